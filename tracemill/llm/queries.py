@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import read
+from tracemill.llm.sharding import assign_shards, with_slots
 from tracemill.llm.token_count import count_tokens
 
 
@@ -17,3 +18,12 @@ def vocabulary(name: str) -> str:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
+#: Metadata that documents are sharded by.
+SHARD_DIMS = ["source", "lang", "n_chars"]
+
+
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_slots(assign_shards(read(spark, sf_dir, "documents"), SHARD_DIMS, shards=24))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

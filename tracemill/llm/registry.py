@@ -2,5 +2,8 @@
 
 from tracemill.llm import queries as q
 
-QUERIES = {"op4_token_counts": q.op4_token_counts}
+QUERIES = {
+    "op1_kd_shards": q.op1_kd_shards,
+    "op4_token_counts": q.op4_token_counts,
+}
 ORACLES: dict[str, str] = {}
