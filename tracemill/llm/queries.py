@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import read
+from tracemill.llm.mixing import mix, taken_words
 from tracemill.llm.sharding import assign_shards, with_slots
 from tracemill.llm.token_count import count_tokens
 
@@ -27,3 +28,12 @@ SHARD_DIMS = ["source", "lang", "n_chars"]
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_slots(assign_shards(read(spark, sf_dir, "documents"), SHARD_DIMS, shards=24))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Weights of sources in code point order, again and again.
+MIX_WEIGHTS = [5.0, 2.0, 1.0]
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = taken_words(*mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, most=2.0))
+    return found.select("doc_id", "size", "source_size", "target", "taken")

@@ -4,6 +4,7 @@ from tracemill.llm import queries as q
 
 QUERIES = {
     "op1_kd_shards": q.op1_kd_shards,
+    "op6_source_mix": q.op6_source_mix,
     "op4_token_counts": q.op4_token_counts,
 }
 ORACLES: dict[str, str] = {}
