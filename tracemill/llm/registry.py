@@ -5,6 +5,9 @@ from tracemill.llm import queries as q
 QUERIES = {
     "op1_kd_shards": q.op1_kd_shards,
     "op6_source_mix": q.op6_source_mix,
+    "op2_decontaminate": q.op2_decontaminate,
     "op4_token_counts": q.op4_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": q.OP2_SQL,
+}
