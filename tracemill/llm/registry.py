@@ -6,8 +6,10 @@ QUERIES = {
     "op1_kd_shards": q.op1_kd_shards,
     "op6_source_mix": q.op6_source_mix,
     "op2_decontaminate": q.op2_decontaminate,
+    "op8_jaccard_join": q.op8_jaccard_join,
     "op4_token_counts": q.op4_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op8_jaccard_join": q.OP8_SQL,
     "op2_decontaminate": q.OP2_SQL,
 }
