@@ -10,6 +10,7 @@ from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.jaccard import jaccard_components
 from tracemill.llm.mixing import mix, taken_words
 from tracemill.llm.sharding import assign_shards, with_slots
+from tracemill.llm.toxicity import score_toxicity
 from tracemill.llm.token_count import count_tokens
 
 
@@ -77,3 +78,20 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, b.y FROM reach r
 SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(reach.y) AS component_id
 FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+def held_out():
+    """The fold that labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """Texts and labels of the rows that may be learned from."""
+    known = labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", label)
+    return docs.select("doc_id", "text").join(known, "doc_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = score_toxicity(docs, learnable(docs, read(spark, sf_dir, "labels"), "toxic"), threshold=0.5)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -7,6 +7,7 @@ QUERIES = {
     "op6_source_mix": q.op6_source_mix,
     "op2_decontaminate": q.op2_decontaminate,
     "op8_jaccard_join": q.op8_jaccard_join,
+    "op9_toxicity": q.op9_toxicity,
     "op4_token_counts": q.op4_token_counts,
 }
 ORACLES: dict[str, str] = {
