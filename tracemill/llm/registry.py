@@ -8,6 +8,7 @@ QUERIES = {
     "op2_decontaminate": q.op2_decontaminate,
     "op8_jaccard_join": q.op8_jaccard_join,
     "op9_toxicity": q.op9_toxicity,
+    "op10_pii": q.op10_pii,
     "op4_token_counts": q.op4_token_counts,
 }
 ORACLES: dict[str, str] = {
