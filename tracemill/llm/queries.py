@@ -10,6 +10,7 @@ from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.jaccard import jaccard_components
 from tracemill.llm.mixing import mix, taken_words
 from tracemill.llm.pii import KINDS, find_spans, shown
+from tracemill.llm.quality import score_quality
 from tracemill.llm.sharding import assign_shards, with_slots
 from tracemill.llm.toxicity import score_toxicity
 from tracemill.llm.token_count import count_tokens
@@ -102,3 +103,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(read(spark, sf_dir, "documents"), disclosure=0.8, support=2)
     count = [F.size(F.expr(f"filter(base, s -> s.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return found.select("doc_id", *count, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = score_quality(docs, learnable(docs, read(spark, sf_dir, "labels"), "quality"), threshold=0.3)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")

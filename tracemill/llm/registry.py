@@ -9,6 +9,7 @@ QUERIES = {
     "op8_jaccard_join": q.op8_jaccard_join,
     "op9_toxicity": q.op9_toxicity,
     "op10_pii": q.op10_pii,
+    "op7_quality": q.op7_quality,
     "op4_token_counts": q.op4_token_counts,
 }
 ORACLES: dict[str, str] = {
