@@ -9,6 +9,7 @@ from tracemill.llm.common import read
 from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.jaccard import jaccard_components
 from tracemill.llm.mixing import mix, taken_words
+from tracemill.llm.neighbours import search
 from tracemill.llm.pii import KINDS, find_spans, shown
 from tracemill.llm.quality import score_quality
 from tracemill.llm.sharding import assign_shards, with_slots
@@ -109,3 +110,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = score_quality(docs, learnable(docs, read(spark, sf_dir, "labels"), "quality"), threshold=0.3)
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "embeddings")
+    return search(table, table.where("vec_id % 20 = 0"), k=20, recall=0.97)

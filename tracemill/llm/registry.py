@@ -10,6 +10,7 @@ QUERIES = {
     "op9_toxicity": q.op9_toxicity,
     "op10_pii": q.op10_pii,
     "op7_quality": q.op7_quality,
+    "op3_learned_partitions": q.op3_learned_partitions,
     "op4_token_counts": q.op4_token_counts,
 }
 ORACLES: dict[str, str] = {
