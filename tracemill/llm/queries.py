@@ -10,6 +10,7 @@ from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.jaccard import jaccard_components
 from tracemill.llm.mixing import mix, taken_words
 from tracemill.llm.neighbours import search
+from tracemill.llm.perspectives import rotate
 from tracemill.llm.pii import KINDS, find_spans, shown
 from tracemill.llm.quality import score_quality
 from tracemill.llm.sharding import assign_shards, with_slots
@@ -115,3 +116,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings")
     return search(table, table.where("vec_id % 20 = 0"), k=20, recall=0.97)
+
+
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rotate(read(spark, sf_dir, "conversations"), context_roles=("system",))
+    mask = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("conv_id", "perspective", "segment", F.size("messages").cast("long").alias("n_messages"), "rendered", mask.alias("mask"))
+
+
+OP5_SQL = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / 64) AS BIGINT) AS segment FROM conversations),
+who AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+seen AS (SELECT s.*, w.perspective, '<|' || CASE WHEN s.role = w.perspective THEN 'assistant' WHEN s.role = 'system' THEN 'system' ELSE 'user name=' || s.role END || '|>' || chr(10) AS head FROM said s JOIN who w ON s.conv_id = w.conv_id),
+placed AS (SELECT *, coalesce(sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
+SELECT conv_id, perspective, segment, count(*) AS n_messages, string_agg(head || text || chr(10), '' ORDER BY turn, role, text) AS rendered,
+  coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(text) AS BIGINT), ',' ORDER BY turn, role, text) FILTER (WHERE role = perspective), '') AS mask
+FROM placed GROUP BY conv_id, perspective, segment
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -11,9 +11,12 @@ QUERIES = {
     "op10_pii": q.op10_pii,
     "op7_quality": q.op7_quality,
     "op3_learned_partitions": q.op3_learned_partitions,
+    "op5_perspectives": q.op5_perspectives,
+    "pipeline": q.pipeline,
     "op4_token_counts": q.op4_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op5_perspectives": q.OP5_SQL,
     "op8_jaccard_join": q.OP8_SQL,
     "op2_decontaminate": q.OP2_SQL,
 }
