@@ -21,13 +21,13 @@ shingle. Repeated rows are members of one class. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tracemill.llm.common import few, written
 from tracemill.llm.components import connected_components
@@ -36,8 +36,6 @@ from tracemill.llm.components import connected_components
 FREQUENT_SHARE, FREQUENT_LEAST = 2000, 48
 #: Classes in a tile, and minimum hashes by which classes meet in tiles.
 TILE, MEETINGS = 1024, 2
-#: Words whose hashes a task keeps.
-KEPT_WORDS = 500_000
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -53,29 +51,23 @@ class Shingler:
     """Text bytes to the sorted hashes of its shingles: A-Z lower-cased, words between ASCII white space."""
 
     def __init__(self, length: int):
-        self.length, self.known = length, {}
+        self.length = length
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.lower().split() if text else []
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         n = len(words)
         k = min(self.length, n)
         if not k:
             return np.empty(0, np.uint64)
-        ids = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+        ids = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
         out = np.full(n - k + 1, k, np.uint64)
-        for j in range(k):
-            out += mixed(ids[j : j + n - k + 1], j + 1)
-            out *= ODD[j % 8]
+        for j in range(k):  # words have random hashes, so their sum with odd factors tells orders apart
+            out += ids[j : j + n - k + 1] * ODD[j % 8]
         return np.unique(mixed(out))
 
 
 def class_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return int(np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
 def texts(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -150,8 +142,9 @@ def shingle_sets(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(length)
+        seen = set()
         for batch in batches:
-            found = [s for _, t in texts(batch) if len(s := shingles(t))]
+            found = [s for _, t in texts(batch) if len(s := shingles(t)) and not ((c := class_of(s)) in seen or seen.add(c))]
             if found:
                 ends = np.cumsum([0, *map(len, found)])
                 sets = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found).astype(np.int64))).cast(pa.list_(pa.int64()))
@@ -253,10 +246,17 @@ def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_c
     keys = prefix_keys(texts_of, length, percent, frequent).repartition("key").groupBy("key", "x", "n", "l").agg(F.lit(1).alias("_"))
     shared = F.count("*").over(Window.partitionBy("key"))
     buckets = written(keys.withColumn("m", shared).where("m > 1").select("key", "x", "n", "l"), "buckets")
+    # A class that links with another shares at least as many keys as the smallest that it may link with must.
+    smallest = F.ceil(F.col("n") * percent / 100)
+    needed = 1 + F.floor((smallest - F.ceil(smallest * percent / 100)) / 4)
+    enough = F.count("*").over(Window.partitionBy("x")) >= needed
+    for _ in range(2):
+        live = buckets.withColumn("enough", enough).where("enough").withColumn("m", shared).where("m > 1")
+        buckets = written(live.select("key", "x", "n", "l"), "buckets")
 
     candidates = members.groupBy("x").agg(F.min("doc_id").alias("_id")).join(buckets.select("x").distinct(), "x", "left_semi")
     chosen = texts_of.join(few(candidates.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = written(shingle_sets(chosen, length), "shingle-sets").dropDuplicates(["x"])
+    sets = written(shingle_sets(chosen, length), "shingle-sets")
 
     meeting = sets.select("x", "s", F.explode("meet").alias("g"))
     crowds = meeting.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
