@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import blank_to_null, final_last_line_anywhere, final_or_text
+from tracemill.functions.text import blank_to_null, final_last_line_anywhere, final_or_text, strip
 
 #: Unit words that may follow a number.
 UNITS = "dollars|dollar|cents|cent|hours|hour|minutes|minute|seconds|second|days|day|years|year|km|cm|mm|m|kg|g|percent|%"
@@ -13,12 +13,12 @@ UNITS = "dollars|dollar|cents|cent|hours|hour|minutes|minute|seconds|second|days
 
 def clean_latex(c: Column) -> Column:
     """ANS-1: dollar signs and degrees go, simple fractions become quotients, braces parentheses."""
-    x = F.regexp_replace(F.trim(c), r"^\$+|\$+$", "")
+    x = F.regexp_replace(strip(c), r"^\$+|\$+$", "")
     x = F.regexp_replace(x, r"\^?\\circ|°", "")
     x = F.regexp_replace(x, r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)")
     x = F.regexp_replace(x, r"\\sqrt\{([^{}]+)\}", "sqrt($1)")
     x = F.regexp_replace(x, r"\\[A-Za-z]+", "")
-    return F.trim(F.translate(x, "{}", "()"))
+    return strip(F.translate(x, "{}", "()"))
 
 
 def numeric(c: Column) -> Column:
@@ -38,8 +38,8 @@ def answers_equal(pred: Column, gold: Column, tolerance: float = 1e-6) -> Column
     """ANS-3: equal numeric sets within the tolerance, else equal texts; blank ones never match."""
     a, b = numeric_set(pred), numeric_set(gold)
     near = F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance), lambda t: F.coalesce(t, F.lit(False)))
-    literal = F.trim(pred) == F.trim(gold)
-    blank = F.coalesce(F.trim(pred), F.lit("")).eqNullSafe("") | F.coalesce(F.trim(gold), F.lit("")).eqNullSafe("")
+    literal = strip(pred) == strip(gold)
+    blank = F.coalesce(strip(pred), F.lit("")).eqNullSafe("") | F.coalesce(strip(gold), F.lit("")).eqNullSafe("")
     return ~blank & F.when(a.isNotNull() & b.isNotNull(), (F.size(a) == F.size(b)) & near).otherwise(literal)
 
 
@@ -54,15 +54,15 @@ def answers_match(pred: Column, gold: Column) -> Column:
 
 def numeric_text(c: Column) -> Column:
     """ANS-5: no dollar signs, commas, closing unit word or dot."""
-    x = F.trim(F.regexp_replace(c, r"[$,]", ""))
-    x = F.trim(F.regexp_replace(x, rf"(?i)\s*({UNITS})$", ""))
+    x = strip(F.regexp_replace(c, r"[$,]", ""))
+    x = strip(F.regexp_replace(x, rf"(?i)\s*({UNITS})$", ""))
     return blank_to_null(F.regexp_replace(x, r"\.$", ""))
 
 
 def fixed_answer(verifier: Column) -> Column:
     """The FIXED_ANSWER of a verifier block; empty if blank, null if there is no tag."""
     p = r"(?is)<<\s*FIXED(?:_ANSWER)?\s*:\s*(.*?)\s*>>"
-    return F.when(verifier.rlike(p), F.trim(F.regexp_extract(verifier, p, 1)))
+    return F.when(verifier.rlike(p), strip(F.regexp_extract(verifier, p, 1)))
 
 
 def verdict(verifier: Column) -> Column:
@@ -84,7 +84,7 @@ def scored_answer(verifier: Column, reasoner: Column, normalizer: Column) -> Col
 def normal_answer(reasoner: Column, verifier: Column, gold: Column) -> Column:
     """ANS-8: struct(final, source). A blank FIXED tag of an INCORRECT verdict still wins."""
     wrong, fixed, last = verdict(verifier).eqNullSafe("INCORRECT"), fixed_answer(verifier), final_last_line_anywhere(reasoner)
-    has_gold = F.coalesce(F.trim(gold), F.lit("")) != ""
-    value = F.when(wrong & fixed.isNotNull(), fixed).when(has_gold, F.trim(gold)).otherwise(F.coalesce(last, F.lit("")))
+    has_gold = F.coalesce(strip(gold), F.lit("")) != ""
+    value = F.when(wrong & fixed.isNotNull(), fixed).when(has_gold, strip(gold)).otherwise(F.coalesce(last, F.lit("")))
     source = F.when(wrong & fixed.isNotNull(), "verifier_fix").when(has_gold, "gold").when(last.isNotNull(), "reasoner").otherwise("none")
     return F.struct(value.alias("final"), source.alias("source"))

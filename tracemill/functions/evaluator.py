@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"\s*(?:(\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|0[xX][0-9a-fA-F]+)|([A-Za-z]\w*)|(\*\*|//|[-+*/%(),]))")
+TOKEN = re.compile(r"\s*(?:(0[xX][0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z]\w*)|(\*\*|//|[-+*/%(),]))")
 #: Digits of the largest whole number, length of the longest expression, depth of the deepest.
 MOST_DIGITS, LONGEST, DEEPEST = 400, 400, 60
 COMMON: dict[str, Callable] = {"sqrt": math.sqrt, "abs": abs, "round": round}
@@ -147,7 +147,7 @@ def safe_calc(expr: str | None, dialect: str = "verifier") -> float | None:
 
 
 #: Signs and commands that stand for operators, in the order in which they are replaced.
-SIGNS = [("×", "*"), ("÷", "/"), ("−", "-"), ("–", "-"), ("\\times", "*"), ("\\cdot", "*"), ("\\div", "/"), ("^\\circ", ""), ("\\circ", ""), ("°", ""), ("\\,", ""), ("\\!", ""), ("\;", ""), ("\\left", ""), ("\\right", "")]
+SIGNS = [("×", "*"), ("÷", "/"), ("−", "-"), ("–", "-"), ("\\times", "*"), ("\\cdot", "*"), ("\\div", "/"), ("^\\circ", ""), ("\\circ", ""), ("°", ""), ("\\,", ""), ("\\!", ""), ("\\;", ""), ("\\left", ""), ("\\right", "")]
 
 
 def plain_math(text: str) -> str:

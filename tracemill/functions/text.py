@@ -17,6 +17,11 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Trims white space of any kind; trim() alone takes spaces only."""
+    return F.btrim(c, F.lit(" \t\r\n\x0b\x0c"))
+
+
 def first_filled(*cs: Column) -> Column:
     """PRJ-2: the first value that is neither null nor empty."""
     return F.coalesce(*[blank_to_null(c) for c in cs])
@@ -24,7 +29,7 @@ def first_filled(*cs: Column) -> Column:
 
 def normalize_ws(c: Column) -> Column:
     """TXT-1: runs of white space become one space; trimmed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, r"\s+", " "))
 
 
 def lines(c: Column) -> Column:
@@ -34,7 +39,7 @@ def lines(c: Column) -> Column:
 
 
 def filled_lines(c: Column) -> Column:
-    return F.filter(lines(c), lambda x: F.trim(x) != "")
+    return F.filter(lines(c), lambda x: strip(x) != "")
 
 
 def chevron_blocks(c: Column) -> Column:
@@ -43,20 +48,20 @@ def chevron_blocks(c: Column) -> Column:
 
 
 def without_chevrons(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "(?s)<<.*?>>", ""))
+    return strip(F.regexp_replace(c, "(?s)<<.*?>>", ""))
 
 
 def plan_text(c: Column) -> Column:
     """TXT-3: a plan as it is if it opens with <<, wrapped otherwise, the default if blank."""
-    wrapped = F.concat(F.lit("<<\n"), F.array_join(F.transform(filled_lines(c), lambda x: F.trim(x)), "\n"), F.lit("\n>>"))
-    return F.when(c.isNull() | (F.trim(c) == ""), DEFAULT_PLAN).when(F.trim(c).startswith("<<"), F.trim(c)).otherwise(wrapped)
+    wrapped = F.concat(F.lit("<<\n"), F.array_join(F.transform(filled_lines(c), lambda x: strip(x)), "\n"), F.lit("\n>>"))
+    return F.when(c.isNull() | (strip(c) == ""), DEFAULT_PLAN).when(strip(c).startswith("<<"), strip(c)).otherwise(wrapped)
 
 
 def cleanup_markers(c: Column) -> Column:
     """TXT-4: drops BEGIN/END artefacts and lone > lines."""
     x = F.regexp_replace(c, "<<<BEGIN>>>>?", "")
     x = F.regexp_replace(x, "<<<END>>>>?", "")
-    return F.trim(F.regexp_replace(x, r"(?m)^[ \t]*>+[ \t]*$\n?", ""))
+    return strip(F.regexp_replace(x, r"(?m)^[ \t]*>+[ \t]*$\n?", ""))
 
 
 def numbers(c: Column) -> Column:
@@ -66,54 +71,54 @@ def numbers(c: Column) -> Column:
 def final_last_line_anywhere(c: Column) -> Column:
     """TXT-7: the payload of the last line that opens with ####."""
     found = F.filter(lines(c), lambda x: x.rlike(r"^\s*####\s*[^\n#]+"))
-    return blank_to_null(F.trim(F.regexp_extract(F.try_element_at(found, F.lit(-1)), r"^\s*####\s*([^\n#]+)", 1)))
+    return blank_to_null(strip(F.regexp_extract(F.try_element_at(found, F.lit(-1)), r"^\s*####\s*([^\n#]+)", 1)))
 
 
 def final_on_last_line(c: Column) -> Column:
     """TXT-7: the payload of #### on the last line that isn't blank, else null."""
     last = F.try_element_at(filled_lines(c), F.lit(-1))
-    return F.when(F.trim(last).startswith("####"), blank_to_null(F.trim(F.regexp_replace(last, r"^\s*####\s*", ""))))
+    return F.when(strip(last).startswith("####"), blank_to_null(strip(F.regexp_replace(last, r"^\s*####\s*", ""))))
 
 
 def final_or_text(c: Column) -> Column:
     """TXT-7: the first #### payload, else the whole text."""
-    return F.coalesce(blank_to_null(F.trim(F.regexp_extract(c, r"####[ \t]*([^\n]+)", 1))), F.trim(c))
+    return F.coalesce(blank_to_null(strip(F.regexp_extract(c, r"####[ \t]*([^\n]+)", 1))), strip(c))
 
 
 def enforce_final(c: Column, fallback: Column) -> Column:
     """TXT-5: struct(text, final) with exactly one closing #### line."""
     own = final_last_line_anywhere(c)
-    value = F.coalesce(own, blank_to_null(F.trim(fallback)), F.try_element_at(numbers(c), F.lit(-1)))
+    value = F.coalesce(own, blank_to_null(strip(fallback)), F.try_element_at(numbers(c), F.lit(-1)))
     body = F.array_join(F.filter(filled_lines(c), lambda x: ~x.rlike(r"^\s*####")), "\n")
     return F.struct(F.when(value.isNull(), body).otherwise(F.concat_ws("\n", blank_to_null(body), F.concat(F.lit("#### "), value))).alias("text"), value.alias("final"))
 
 
 def ensure_final_suffix(c: Column, final: Column) -> Column:
     """TXT-8: appends #### final unless a #### line is there or there is no final."""
-    return F.when(c.rlike(r"(?m)^\s*####") | final.isNull() | (F.trim(final) == ""), c).otherwise(F.concat(F.regexp_replace(c, r"\s+$", ""), F.lit("\n#### "), F.trim(final)))
+    return F.when(c.rlike(r"(?m)^\s*####") | final.isNull() | (strip(final) == ""), c).otherwise(F.concat(F.regexp_replace(c, r"\s+$", ""), F.lit("\n#### "), strip(final)))
 
 
 def clamp(c: Column) -> Column:
     """TXT-9: the text before the earliest stop token."""
     first = F.least(*[F.nullif(F.locate(t, c), F.lit(0)) for t in STOP_TOKENS])
-    return F.trim(F.when(first.isNull(), c).otherwise(F.substring(c, F.lit(1), first - 1)))
+    return strip(F.when(first.isNull(), c).otherwise(F.substring(c, F.lit(1), first - 1)))
 
 
 def sanitize_planner(c: Column) -> Column:
     """TXT-10: the first << block up to >> or the end, wrapped again; else the text up to >>; else clamped."""
-    inner = F.trim(F.regexp_extract(c, r"(?s)<<(.*?)(?:>>|$)", 1))
-    return F.when(c.contains("<<"), F.concat(F.lit("<<\n"), inner, F.lit("\n>>"))).when(c.contains(">>"), F.trim(F.regexp_extract(c, "(?s)^(.*?)>>", 1))).otherwise(clamp(c))
+    inner = strip(F.regexp_extract(c, r"(?s)<<(.*?)(?:>>|$)", 1))
+    return F.when(c.contains("<<"), F.concat(F.lit("<<\n"), inner, F.lit("\n>>"))).when(c.contains(">>"), strip(F.regexp_extract(c, "(?s)^(.*?)>>", 1))).otherwise(clamp(c))
 
 
 def collapse_repeats(arr: Column) -> Column:
     """WIN-2: of consecutive lines that are equal when trimmed, the first."""
-    return F.filter(arr, lambda x, i: (i == 0) | (F.trim(x) != F.trim(F.get(arr, i - 1))))
+    return F.filter(arr, lambda x, i: (i == 0) | (strip(x) != strip(F.get(arr, i - 1))))
 
 
 def sanitize_reasoner(c: Column) -> Column:
     """TXT-11: tags and chevron tokens go, the text ends with its first #### line, repeated lines collapse."""
     x = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"<\|?(?:assistant|user|system|im_start|im_end)[^>]*>|<role:[^>]*>|(?s)<<.*?>>", "")
-    return F.trim(F.array_join(collapse_repeats(clip_lines(lines(x))), "\n"))
+    return strip(F.array_join(collapse_repeats(clip_lines(lines(x))), "\n"))
 
 
 def clip_lines(arr: Column) -> Column:
@@ -130,9 +135,9 @@ def clip_after_final(c: Column) -> Column:
 def sanitize_verifier(c: Column) -> Column:
     """TXT-12: the first whole VERDICT/EVIDENCE/FIXED triple in canonical form, else the text before the first header."""
     p = r"(?is)<<\s*VERDICT\s*:\s*(CORRECT|INCORRECT)\s*>>.*?<<\s*EVIDENCE\s*:\s*(.*?)>>.*?<<\s*FIXED(?:_ANSWER)?\s*:\s*(.*?)>>"
-    part = lambda i: F.trim(F.regexp_extract(c, p, i))
+    part = lambda i: strip(F.regexp_extract(c, p, i))
     whole = F.concat(F.lit("<<VERDICT: "), F.upper(part(1)), F.lit(">>\n<<EVIDENCE: "), part(2), F.lit(">>\n<<FIXED_ANSWER: "), part(3), F.lit(">>"))
-    return F.when(c.rlike(p), whole).otherwise(F.trim(F.regexp_extract(c, r"(?is)^(.*?)(?:<<\s*VERDICT|$)", 1)))
+    return F.when(c.rlike(p), whole).otherwise(strip(F.regexp_extract(c, r"(?is)^(.*?)(?:<<\s*VERDICT|$)", 1)))
 
 
 def selector_roles(c: Column) -> Column:
@@ -153,8 +158,8 @@ def sanitize_selector(c: Column) -> Column:
 
 def parse_selector(c: Column) -> Column:
     """TXT-14: struct(calls, halt), matched independently."""
-    calls = F.filter(F.transform(F.split(F.regexp_extract(c, r"(?i)CALLS\s*:\s*([^;\n]*)", 1), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    return F.struct(calls.alias("calls"), blank_to_null(F.lower(F.trim(F.regexp_extract(c, r"(?i)HALT_AFTER\s*:\s*([A-Za-z_]+)", 1)))).alias("halt"))
+    calls = F.filter(F.transform(F.split(F.regexp_extract(c, r"(?i)CALLS\s*:\s*([^;\n]*)", 1), ","), lambda x: F.lower(strip(x))), lambda x: x != "")
+    return F.struct(calls.alias("calls"), blank_to_null(F.lower(strip(F.regexp_extract(c, r"(?i)HALT_AFTER\s*:\s*([A-Za-z_]+)", 1)))).alias("halt"))
 
 
 def count_steps(c: Column) -> Column:
@@ -166,11 +171,11 @@ def count_steps(c: Column) -> Column:
 
 def looks_multistep(c: Column, words: int = 28) -> Column:
     """TXT-17: any cue as a substring, or many words."""
-    return F.lower(c).rlike("|".join(MULTISTEP_CUES)) | (F.size(F.split(F.trim(c), r"\s+")) >= words)
+    return F.lower(c).rlike("|".join(MULTISTEP_CUES)) | (F.size(F.split(strip(c), r"\s+")) >= words)
 
 
 def renumber(c: Column) -> Column:
     """WIN-1: lines that aren't blank, without their bullet or number, numbered from 1."""
-    body = F.transform(filled_lines(c), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:\d+[.)]|[-*])\s*", "")))
+    body = F.transform(filled_lines(c), lambda x: strip(F.regexp_replace(x, r"^\s*(?:\d+[.)]|[-*])\s*", "")))
     kept = F.filter(body, lambda x: x != "")
     return F.array_join(F.transform(kept, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import blank_to_null, first_filled, normalize_ws
+from tracemill.functions.text import blank_to_null, first_filled, normalize_ws, strip
 
 
 def nested(raw: Column, path: str, kind: str = "string") -> Column:
@@ -19,7 +19,7 @@ def searched(raw: Column, name: str, places: tuple[str, ...] = ("", "orig.", "me
 
 
 def looks_step_by_step(c: Column) -> Column:
-    return c.contains("<<") | (F.size(F.split(F.trim(c), "\n")) >= 2)
+    return c.contains("<<") | (F.size(F.split(strip(c), "\n")) >= 2)
 
 
 def detected_fields(raw: Column) -> Column:
@@ -30,8 +30,8 @@ def detected_fields(raw: Column) -> Column:
         a = blank_to_null(nested(raw, place + "answer"))
         fills = solution.isNull() & looks_step_by_step(a)
         short = ~fills & final.isNull() & ~a.contains("\n") & (F.length(a) <= 64)
-        mined = blank_to_null(F.trim(F.regexp_extract(a, r"####\s*([^\n]+)", 1)))
-        solution, final = F.when(fills, a).otherwise(solution), F.when(fills & final.isNull(), mined).when(short, F.trim(a)).otherwise(final)
+        mined = blank_to_null(strip(F.regexp_extract(a, r"####\s*([^\n]+)", 1)))
+        solution, final = F.when(fills, a).otherwise(solution), F.when(fills & final.isNull(), mined).when(short, strip(a)).otherwise(final)
     unique = F.regexp_replace(F.split_part(searched(raw, "unique_id"), F.lit("/"), F.lit(2)), "_", " ")
     subject = first_filled(searched(raw, "subject"), F.concat(F.upper(F.substring(unique, 1, 1)), F.substring(unique, F.lit(2), F.length(unique))))
     level = first_filled(searched(raw, "level"), searched(raw, "difficulty"))
@@ -48,16 +48,16 @@ def inferred_dataset(record_id: Column, hub_name: Column) -> Column:
 def clean_final(c: Column) -> Column:
     """PRJ-7: unwraps \\boxed{..} around the whole and strips dollar signs; applied twice."""
     for _ in range(2):
-        boxed = F.regexp_extract(F.trim(c), r"^\\boxed\{(.*)\}$", 1)
-        c = F.trim(F.regexp_replace(F.when(boxed != "", boxed).otherwise(F.trim(c)), r"^\$+|\$+$", ""))
+        boxed = F.regexp_extract(strip(c), r"^\\boxed\{(.*)\}$", 1)
+        c = strip(F.regexp_replace(F.when(boxed != "", boxed).otherwise(strip(c)), r"^\$+|\$+$", ""))
     return c
 
 
 def gold_answer(answer: Column) -> Column:
     """PRJ-7: struct(gold, rationale) of an answer text, cut at the last ####."""
     cut = answer.contains("####")
-    gold = F.when(cut, F.trim(F.regexp_extract(answer, r"(?s)^.*####\s*([^\n]*)", 1))).otherwise(answer)
-    rationale = F.when(cut, blank_to_null(F.trim(F.regexp_extract(answer, "(?s)^(.*)####", 1))))
+    gold = F.when(cut, strip(F.regexp_extract(answer, r"(?s)^.*####\s*([^\n]*)", 1))).otherwise(answer)
+    rationale = F.when(cut, blank_to_null(strip(F.regexp_extract(answer, "(?s)^(.*)####", 1))))
     return F.struct(clean_final(gold).alias("gold"), rationale.alias("rationale"))
 
 

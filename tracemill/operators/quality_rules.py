@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.answers import answers_equal, fixed_answer, verdict
 from tracemill.functions.markers import MARKER, is_symbolic
-from tracemill.functions.text import blank_to_null, count_steps, filled_lines, lines, looks_multistep
+from tracemill.functions.text import blank_to_null, count_steps, filled_lines, lines, looks_multistep, strip
 
 
 def checked(*tests: tuple[Column, str]) -> Column:
@@ -30,7 +30,7 @@ def reasoner_quality(c: Column) -> Column:
 
 def verifier_quality(block: Column, label: Column, gold: Column) -> Column:
     """QC-3: tags present, verdict as labelled, fixed answer as gold where INCORRECT."""
-    return checked((~block.contains("<<VERDICT:"), "no_verdict"), (~block.contains("<<EVIDENCE:"), "no_evidence"), (~block.contains("<<FIXED"), "no_fixed"), (~verdict(block).eqNullSafe(label), "verdict_mismatch"), ((label == "INCORRECT") & ~fixed_answer(block).eqNullSafe(F.trim(gold)), "fixed_mismatch"))
+    return checked((~block.contains("<<VERDICT:"), "no_verdict"), (~block.contains("<<EVIDENCE:"), "no_evidence"), (~block.contains("<<FIXED"), "no_fixed"), (~verdict(block).eqNullSafe(label), "verdict_mismatch"), ((label == "INCORRECT") & ~fixed_answer(block).eqNullSafe(strip(gold)), "fixed_mismatch"))
 
 
 def normalizer_quality(c: Column) -> Column:
@@ -53,7 +53,7 @@ def evidence(pred: Column, gold: Column, n_mismatch: Column, n_failed: Column) -
 def verifier_block(pred: Column, gold: Column, why: Column) -> Column:
     """LBL-1: the block of a verdict; a wrong calculation changes the evidence only."""
     label = F.when(answers_equal(pred, gold), "CORRECT").otherwise("INCORRECT")
-    return F.struct(label.alias("verdict_label"), F.concat(F.lit("<<VERDICT: "), label, F.lit(">>\n<<EVIDENCE: "), why, F.lit(">>\n<<FIXED_ANSWER: "), F.when(label == "INCORRECT", F.trim(gold)).otherwise(""), F.lit(">>")).alias("verifier_output"))
+    return F.struct(label.alias("verdict_label"), F.concat(F.lit("<<VERDICT: "), label, F.lit(">>\n<<EVIDENCE: "), why, F.lit(">>\n<<FIXED_ANSWER: "), F.when(label == "INCORRECT", strip(gold)).otherwise(""), F.lit(">>")).alias("verifier_output"))
 
 
 def perturb(text: Column, up: Column) -> Column:
@@ -76,9 +76,9 @@ def perturb(text: Column, up: Column) -> Column:
 def routed_calls(problem: Column, plan: Column, verifier: Column, has_calc: Column, calc_mismatch: Column, reasoner: Column, normalized: Column, subject: Column, level: Column, least_steps: int = 2, use_cues: bool = True, hard_maths: bool = True, force_normalizer: bool = False, aggregator: bool = False) -> Column:
     """LBL-2: struct(calls, halt_after, text)."""
     plans = (count_steps(F.coalesce(plan, F.lit(""))) >= least_steps) | (looks_multistep(problem) if use_cues else F.lit(False))
-    hard = (F.coalesce(F.trim(subject), F.lit("")) != "") & (F.coalesce(level.try_cast("int"), F.lit(0)) >= 4) if hard_maths else F.lit(False)
+    hard = (F.coalesce(strip(subject), F.lit("")) != "") & (F.coalesce(level.try_cast("int"), F.lit(0)) >= 4) if hard_maths else F.lit(False)
     verify = verdict(verifier).eqNullSafe("INCORRECT") | F.coalesce(calc_mismatch, F.lit(False)) | hard
-    normal = F.lit(force_normalizer) | ((F.coalesce(F.trim(normalized), F.lit("")) != "") & (F.trim(normalized) != F.coalesce(F.trim(reasoner), F.lit(""))))
+    normal = F.lit(force_normalizer) | ((F.coalesce(strip(normalized), F.lit("")) != "") & (strip(normalized) != F.coalesce(strip(reasoner), F.lit(""))))
     calls = F.array_compact(F.array(F.when(plans, "planner"), F.lit("reasoner"), F.when(has_calc, "calculator"), F.when(verify, "verifier"), F.when(normal, "normalizer")))
     halt = F.element_at(calls, -1)
     final = F.concat(calls, F.array(F.lit("aggregator"))) if aggregator else calls

@@ -1,4 +1,323 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the benchmark tables, and their SQL."""
 
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracemill.functions import answers as A
+from tracemill.functions import markers as M
+from tracemill.functions import text as X
+from tracemill.functions.evaluator import calc, plan_values
+from tracemill.operators import fields, joins, metrics, quality_rules, roles, sampling
+from tracemill.session import table
+
+SEED = 42
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthesised reasoning traces of lineitem: one marker each; the claim is off by one where orderkey % 7 = 0."""
+    li = table(spark, sf_dir, "lineitem")
+    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    claim = q * n + F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0)
+    text = F.concat(F.lit("1. x [[calc: "), q.cast("string"), F.lit("*"), n.cast("string"), F.lit("]] -> "), claim.cast("string"), F.lit("\n#### "), claim.cast("string"))
+    return li.select("l_orderkey", "l_linenumber", "l_returnflag", q.alias("q"), n.alias("n"), claim.alias("claim"), text.alias("trace"))
+
+
+TRACES = "SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n, CAST(l_quantity AS BIGINT) * l_linenumber + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS claim FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, q || '*' || n AS expr, CAST(claim AS DOUBLE) AS claimed FROM ({TRACES})")
+def q_calc_extract(spark, sf_dir):
+    """CALC-5: markers and their claims."""
+    return traces(spark, sf_dir).select("l_orderkey", "l_linenumber", F.explode(M.claims(F.col("trace"))).alias("c")).select("l_orderkey", "l_linenumber", "c.expr", "c.claimed")
+
+
+@query(f"SELECT l_returnflag, count(*) AS n_checked, count(*) FILTER (WHERE q * n <> claim) AS n_mismatch, round(avg(CASE WHEN q * n = claim THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({TRACES}) GROUP BY l_returnflag")
+def q_calc_verify(spark, sf_dir):
+    """CALC-10, AGG-3: claims checked on the native path."""
+    t = traces(spark, sf_dir).select("l_returnflag", F.explode(M.claims(F.col("trace"))).alias("c"))
+    pattern = r"^(\d+)\*(\d+)$"
+    got = F.regexp_extract("c.expr", pattern, 1).cast("double") * F.regexp_extract("c.expr", pattern, 2).cast("double")
+    bad = F.abs(got - F.col("c.claimed")) > 1e-6
+    return t.groupBy("l_returnflag").agg(F.count("*").alias("n_checked"), F.count_if(bad).alias("n_mismatch"), F.round(F.avg(F.when(bad, 0.0).otherwise(1.0)), 6).alias("accuracy"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((CAST(l_quantity AS BIGINT) + 3) * l_linenumber - l_linenumber * l_linenumber AS DOUBLE) AS value FROM lineitem WHERE l_linenumber <= 2")
+def q_calc_eval_udf(spark, sf_dir):
+    """CALC-1: nested expressions by the evaluator; each distinct expression is evaluated once."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    q, n = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string")
+    x = li.select("l_orderkey", "l_linenumber", F.concat(F.lit("("), q, F.lit("+3)*"), n, F.lit("-"), n, F.lit("**2")).alias("expr"))
+    known = x.select("expr").distinct().withColumn("value", calc(F.col("expr")))
+    return x.join(known, "expr").select("l_orderkey", "l_linenumber", "value")
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 97 + 4 AS DOUBLE) AS v1, CAST((o_orderkey % 97 + 4) * 2 AS DOUBLE) AS v2, CAST(2 AS BIGINT) AS n_values FROM orders WHERE o_orderkey % 4 = 0")
+def q_plan_dsl(spark, sf_dir):
+    """CALC-2: plans with references to earlier results."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    plan = F.concat(F.lit("1. "), (F.col("o_orderkey") % 97).cast("string"), F.lit("+4 # first\n2. _1*2\n<stop>\n3. 9"))
+    x = o.select("o_orderkey", plan.alias("plan"))
+    known = x.select("plan").distinct().withColumn("r", plan_values(F.col("plan")))
+    v = F.col("r.values")
+    return x.join(known, "plan").select("o_orderkey", v[0].alias("v1"), v[1].alias("v2"), F.size(v).cast("long").alias("n_values"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, '1. x [[calc: ' || q || '*' || n || ']] -> ' || (q * n) AS fixed FROM ({TRACES}) WHERE l_orderkey % 7 = 0")
+def q_calc_repair(spark, sf_dir):
+    """CALC-6: wrong arrows recomputed."""
+    t = traces(spark, sf_dir).where("l_orderkey % 7 = 0").withColumn("line", F.split_part("trace", F.lit("\n"), F.lit(1)))
+    known = t.select("line").distinct().withColumn("fixed", M.recompute_markers(F.col("line")))
+    return t.join(known, "line").select("l_orderkey", "l_linenumber", "fixed")
+
+
+@query(f"SELECT DISTINCT l_orderkey, l_linenumber, q * n = claim AS ok FROM ({TRACES}) WHERE l_orderkey % 5 = 0")
+def q_verify_claims(spark, sf_dir):
+    """CALC-10, CALC-14, AGG-8: a report per trace."""
+    t = traces(spark, sf_dir).where("l_orderkey % 5 = 0")
+    return M.verify_claims(t, "trace", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "ok")
+
+
+VERDICTS = "SELECT l_returnflag, l_orderkey % 3 <> 0 AS expected, CASE WHEN l_linenumber % 5 = 0 THEN NULL WHEN (l_orderkey + l_linenumber) % 4 <> 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS said FROM lineitem"
+
+
+@query(f"WITH c AS (SELECT l_returnflag, count(*) FILTER (WHERE expected AND said = 'CORRECT') AS tp, count(*) FILTER (WHERE NOT expected AND said = 'INCORRECT') AS tn, count(*) FILTER (WHERE NOT expected AND said = 'CORRECT') AS fp, count(*) FILTER (WHERE expected AND said = 'INCORRECT') AS fn, count(*) AS verifier_total FROM ({VERDICTS}) GROUP BY l_returnflag) SELECT *, round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS accuracy, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM c")
+def q_verdict_confusion(spark, sf_dir):
+    """AGG-5, AGG-6, TXT-12: verdicts read from verifier blocks."""
+    li = table(spark, sf_dir, "lineitem")
+    said = F.when(F.col("l_linenumber") % 5 == 0, "").when((F.col("l_orderkey") + F.col("l_linenumber")) % 4 != 0, "CORRECT").otherwise("INCORRECT")
+    block = F.concat(F.lit("<<VERDICT: "), said, F.lit(">>"))
+    x = li.select("l_returnflag", (F.col("l_orderkey") % 3 != 0).alias("expected"), A.verdict(block).alias("said"))
+    return metrics.summary(x.groupBy("l_returnflag").agg(*metrics.confusion(F.col("expected"), F.col("said"))))
+
+
+EVAL = "SELECT c.c_mktsegment AS dataset, CASE WHEN o.o_orderkey % 3 = 0 THEN ' ' ELSE o.o_orderpriority END AS subject, o.o_orderkey % 4 <> 0 AS ok FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"
+
+
+@query(f"WITH e AS ({EVAL}), g AS (SELECT dataset, nullif(trim(subject), '') AS s, ok FROM e) SELECT 'overall' AS level, CAST(NULL AS VARCHAR) AS value, count(*) AS n, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS final_accuracy FROM g UNION ALL SELECT 'dataset', dataset, count(*), round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) FROM g GROUP BY dataset UNION ALL SELECT 'subject', s, count(*), round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) FROM g WHERE s IS NOT NULL GROUP BY s")
+def q_eval_grouping_sets(spark, sf_dir):
+    """AGG-3, AGG-4: accuracy overall, by dataset, by subject."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    x = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("dataset"), F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.col("o_orderpriority")).alias("subject"), (F.col("o_orderkey") % 4 != 0).alias("ok"))
+    return metrics.by_grouping_sets(x, "dataset", "subject", [F.count("*").alias("n"), F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 6).alias("final_accuracy")])
+
+
+@query("SELECT o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'planner,reasoner' ELSE 'reasoner' END || ';halt=' || CASE WHEN o_orderkey % 3 = 0 THEN 'None' ELSE 'reasoner' END AS chain, count(*) AS n FROM orders GROUP BY ALL")
+def q_chain_hist(spark, sf_dir):
+    """AGG-7, TXT-14: chains of parsed selector outputs."""
+    said = F.concat(F.lit("CALLS: "), F.when(F.col("o_orderkey") % 2 == 0, "planner, reasoner").otherwise("reasoner"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("; HALT_AFTER: reasoner"))
+    x = table(spark, sf_dir, "orders").select("o_orderstatus", X.parse_selector(said).alias("s")).select("o_orderstatus", "s.calls", "s.halt")
+    return metrics.chain_histogram(x, ["o_orderstatus"], "calls", "halt")
+
+
+RANK = f"row_number() OVER (PARTITION BY {{}} ORDER BY md5('{SEED}:' || doc_id), doc_id)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {RANK.format('lang')} <= floor(count(*) OVER (PARTITION BY lang) * 0.1) THEN 'val' ELSE 'train' END AS split FROM documents")
+def q_split_train_val(spark, sf_dir):
+    """SMP-2."""
+    return sampling.train_val_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), 0.1, SEED, "doc_id", ["lang"]).select("doc_id", "split")
+
+
+@query(f"SELECT doc_id, source FROM (SELECT doc_id, source, {RANK.format('source')} AS r FROM documents) WHERE r <= 20")
+def q_cap_per_group(spark, sf_dir):
+    """SMP-3."""
+    return sampling.capped(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], 20, SEED, "doc_id")
+
+
+@query(f"SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, {RANK.format('lang, source')} AS r FROM documents) ORDER BY r, lang, source LIMIT 150")
+def q_stratified_rr(spark, sf_dir):
+    """SMP-5."""
+    return sampling.round_robin(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], 150, SEED, "doc_id")
+
+
+@query(f"WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS t FROM c), q AS (SELECT lang, n, n * 101 // t AS q, row_number() OVER (ORDER BY n * 101 % t DESC, lang DESC) AS o, CAST(101 - sum(n * 101 // t) OVER () AS BIGINT) AS rest FROM t), r AS (SELECT doc_id, lang, {RANK.format('lang')} AS r FROM documents) SELECT doc_id, r.lang FROM r JOIN q ON r.lang = q.lang WHERE r.r <= q.q + CASE WHEN q.o <= q.rest THEN 1 ELSE 0 END")
+def q_largest_remainder(spark, sf_dir):
+    """SMP-6."""
+    return sampling.largest_remainder(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 101, SEED, "doc_id")
+
+
+@query("""WITH x AS (SELECT doc_id, toxic = 1 AS k, row_number() OVER (PARTITION BY toxic = 1 ORDER BY md5('42:' || doc_id), doc_id) AS r FROM labels),
+f AS (SELECT doc_id, k, CASE WHEN k THEN r <= 30 ELSE r <= 30 END AS chosen FROM x WHERE r <= 60)
+SELECT doc_id, k AS toxic FROM (SELECT *, row_number() OVER (ORDER BY chosen DESC, md5('43:' || doc_id), doc_id) AS o FROM f) WHERE o <= 60""")
+def q_balance_class(spark, sf_dir):
+    """SMP-4: half of the rows of the rarer class."""
+    l = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    return sampling.balanced(l, 60, 0.5, F.col("toxic"), SEED, "doc_id")
+
+
+@query("SELECT conv_id, turn, role, unnest(range(1, CASE role WHEN 'assistant' THEN 3 WHEN 'system' THEN 2 ELSE 1 END + 1)) AS copy FROM conversations")
+def q_role_weights(spark, sf_dir):
+    """SMP-9."""
+    x = sampling.weighted_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), {"assistant": 3, "system": 2})
+    return x.withColumn("copy", F.col("copy").cast("long"))
+
+
+@query("SELECT doc_id FROM documents WHERE CAST(CAST('0x' || substr(md5('40:' || doc_id), 1, 15) AS BIGINT) AS DOUBLE) / 1152921504606846976.0 < 0.25")
+def q_bernoulli(spark, sf_dir):
+    """SMP-11."""
+    return table(spark, sf_dir, "documents").where(sampling.share_key(40, "doc_id") < 0.25).select("doc_id")
+
+
+@query("WITH l AS (SELECT l_orderkey AS k, max_by(l_shipdate, row(l_linenumber, l_shipdate, l_returnflag)) AS d, max_by(l_returnflag, row(l_linenumber, l_shipdate, l_returnflag)) AS f FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS id, d AS l_shipdate, f AS l_returnflag FROM orders LEFT JOIN l ON k = o_orderkey")
+def q_last_wins(spark, sf_dir):
+    """JOIN-2, JOIN-6: each order's last line."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_shipdate", "l_returnflag", F.struct("l_linenumber", "l_shipdate", "l_returnflag").alias("pos"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(joins.last_wins(li, "id", "pos"), "id", "left").select("id", "l_shipdate", "l_returnflag")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def q_resume_anti(spark, sf_dir):
+    """JOIN-3, JOIN-7."""
+    return joins.unfinished(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS h, count(*) AS n FROM documents GROUP BY md5(text)")
+def q_dedup_exact(spark, sf_dir):
+    """SET-2: the first of equal texts."""
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders),
+l AS (SELECT l_orderkey, max_by(l_returnflag, row(l_linenumber, l_returnflag)) AS flag FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey)
+SELECT o_orderkey || '::planner' AS id, 'planner' AS role, 'Q' || o_custkey AS prompt, o_orderpriority AS response FROM o
+UNION ALL SELECT o_orderkey || '::verifier', 'verifier', 'Q' || o_custkey || ' V', flag FROM o JOIN l ON o_orderkey = l_orderkey""")
+def q_merge_roles(spark, sf_dir):
+    """JOIN-5, SET-1, FLT-3: role rows of a spine and a companion."""
+    spine = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Q"), F.col("o_custkey").cast("string")).alias("q"), "o_orderpriority")
+    verifier = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("flag"), F.struct("l_linenumber", "l_returnflag").alias("pos"))
+    x = joins.with_companions(spine, {"verifier": verifier})
+    rows = joins.union_roles(x, {"planner": {"prompt": F.col("q"), "response": F.col("o_orderpriority")}, "verifier": {"prompt": F.concat("q", F.lit(" V")), "response": F.col("verifier.flag")}}, ["id"])
+    return rows.withColumn("id", F.concat_ws("::", "id", "role"))
+
+
+@query("""WITH m AS (SELECT conv_id, max_by(text, turn) FILTER (WHERE role = 'assistant') AS own, max(turn) FILTER (WHERE role = 'assistant') AS t, max_by(text, turn) AS last, max_by(text, turn) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY conv_id)
+SELECT m.conv_id, '<system>' || chr(10) || coalesce(any_value(s), 'You are a careful assistant that solves problems step by step.') || chr(10) || coalesce(string_agg('<' || role || '>' || chr(10) || text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system' AND (t IS NULL OR turn < t)), '') || chr(10) || '<assistant>' || chr(10) AS prompt, coalesce(any_value(own), any_value(last)) AS target
+FROM m JOIN conversations c ON c.conv_id = m.conv_id GROUP BY m.conv_id""")
+def q_chat_io(spark, sf_dir):
+    """TXT-25."""
+    return roles.chat_pairs(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE lang = 'en'")
+def q_ws_norm(spark, sf_dir):
+    """TXT-1."""
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.normalize_ws(F.col("text")).alias("text"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), n AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM l)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_lines, CAST(len(list_filter(range(1, len(a) + 1), lambda i: i = 1 OR trim(a[i], ' ') <> trim(a[i - 1], ' '))) AS BIGINT) AS n_kept FROM n""")
+def q_collapse_lines(spark, sf_dir):
+    """WIN-2: consecutive lines that repeat."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(X.lines(F.col("text")))).alias("a"))
+    return d.select("doc_id", F.size("a").cast("long").alias("n_lines"), F.size(X.collapse_repeats(F.col("a"))).cast("long").alias("n_kept"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS a FROM documents WHERE n_chars < 4000)
+SELECT doc_id, array_to_string([(i || '. ' || trim(a[i], ' ')) FOR i IN range(1, len(a) + 1)], chr(10)) AS steps FROM l""")
+def q_renumber(spark, sf_dir):
+    """WIN-1, TXT-18."""
+    return table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", X.renumber(F.col("text")).alias("steps"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+\\.[ \\n]')) AS n_numbers, regexp_matches(lower(text), 'then|after|before|each|total|remaining|left|altogether|twice|half|percent') OR len(string_split_regex(trim(text, ' '), '\\s+')) >= 28 AS multistep FROM documents")
+def q_multistep(spark, sf_dir):
+    """TXT-16, TXT-17."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+\.[ \n]"), 0)).cast("long").alias("n_numbers"), X.looks_multistep(F.col("text")).alias("multistep"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '__NA__') AS k FROM events")
+def q_nested_path(spark, sf_dir):
+    """PRJ-1, PRJ-17."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", fields.stratum(F.try_parse_json("props"), ["k"]).alias("k"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN left(html, 20) ELSE 'none' END AS field FROM pages")
+def q_coalesce_fields(spark, sf_dir):
+    """PRJ-2."""
+    p = table(spark, sf_dir, "pages")
+    first = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("")
+    second = F.when(F.col("page_id") % 3 == 1, F.substring("html", 1, 20))
+    return p.select("page_id", X.first_filled(first, second, F.lit("none")).alias("field"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'planner' END, 'reasoner', CASE WHEN o_orderkey % 3 = 0 THEN 'calculator' END, CASE WHEN o_orderkey % 5 = 0 THEN 'verifier' END, CASE WHEN o_orderkey % 7 = 0 THEN 'normalizer' END], lambda x: x IS NOT NULL), ',') AS calls FROM orders""")
+def q_router_calls(spark, sf_dir):
+    """LBL-2."""
+    k = F.col("o_orderkey")
+    plan = F.when(k % 2 == 0, F.lit("<<\n1. a\n2. b\n>>")).otherwise(F.lit("<<\n1. a\n>>"))
+    block = F.when(k % 5 == 0, F.lit("<<VERDICT: INCORRECT>>")).otherwise(F.lit("<<VERDICT: CORRECT>>"))
+    routed = quality_rules.routed_calls(F.lit("q"), plan, block, k % 3 == 0, F.lit(False), F.lit("r"), F.when(k % 7 == 0, "n").otherwise("r"), F.lit(""), F.lit("1"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(routed["calls"], ",").alias("calls"))
+
+
+@query("""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS a FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN len(a) < 2 THEN 'too_few_lines' END, CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '^\\s*[0-9]+\\.\\s+'))) = 0 THEN 'no_numbered_step' END, 'no_calc_marker', 'no_final'], lambda x: x IS NOT NULL), ',') AS reasons FROM l""")
+def q_qc_reasons(spark, sf_dir):
+    """QC-2."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(quality_rules.reasoner_quality(F.col("text"))["reasons"], ",").alias("reasons"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS norm, p_partkey % 2 = 0 AS same FROM part")
+def q_answer_norm(spark, sf_dir):
+    """ANS-4, ANS-5."""
+    s = F.col("p_size").cast("string")
+    text = F.concat(F.lit("$"), s, F.when(F.col("p_partkey") % 2 == 0, " dollars").otherwise(" km."))
+    return table(spark, sf_dir, "part").select("p_partkey", A.numeric_text(F.regexp_replace(text, r"\.$", "")).alias("norm"), A.answers_match(F.concat(s, F.lit(" .")), F.when(F.col("p_partkey") % 2 == 0, s).otherwise(F.concat(s, F.lit("0")))).alias("same"))
+
+
+@query("SELECT l_orderkey, l_linenumber, NOT (l_linenumber % 3 = 0) AS equal FROM lineitem")
+def q_answer_sets(spark, sf_dir):
+    """ANS-2, ANS-3: `a, b` against `b, a`."""
+    a, b = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    other = F.when(F.col("l_linenumber") % 3 == 0, F.concat(b, F.lit(".5,"), a)).otherwise(F.concat(b, F.lit(".0,"), a))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.answers_equal(F.concat(a, F.lit(", "), b), other).alias("equal"))
+
+
+@query("SELECT 'gsm8k_' || item_id AS id, 'gsm8k' AS dataset, text AS question, CAST(item_id AS VARCHAR) AS gold_answer, 'r' AS rationale_gold FROM benchmark WHERE item_id % 4 <> 0")
+def q_unify(spark, sf_dir):
+    """PRJ-5 to PRJ-9: records that fit."""
+    i = F.col("item_id").cast("string")
+    record = F.to_json(F.struct(F.concat(F.lit("gsm8k_"), i).alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 4 != 0, F.concat(F.lit("r\n#### $"), i, F.lit("$"))).alias("answer")))
+    x = table(spark, sf_dir, "benchmark").select(F.try_parse_json(record).alias("raw"))
+    return fields.unified(x, "raw", "test").where("fits").select("id", "dataset", "question", "gold_answer", "rationale_gold")
+
+
+@query("SELECT item_id % 4 = 0 AS rejected, count(*) AS n FROM benchmark GROUP BY ALL")
+def q_rejects(spark, sf_dir):
+    """SRC-6, SET-5: lines that are no JSON are rejects."""
+    line = F.when(F.col("item_id") % 4 == 0, "{bad").otherwise(F.to_json(F.struct("item_id")))
+    x = table(spark, sf_dir, "benchmark").select(F.try_parse_json(line).alias("raw"))
+    return x.groupBy(F.col("raw").isNull().alias("rejected")).agg(F.count("*").alias("n"))
+
+
+@query()
+def q_stream_resume(spark, sf_dir):
+    """STR-2: events streamed to a sink, one row per id. Rows only."""
+    from tracemill.streaming.resume import ingest
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-")
+    import uuid
+
+    at = f"{folder}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{at}/in")
+    ingest(spark, f"{at}/in", schema, lambda b: b.select("event_id", "user_id"), f"{at}/out", f"{at}/mark", key="event_id", kind="parquet").awaitTermination()
+    return spark.read.schema(T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType())])).json(f"{at}/out")
