@@ -123,7 +123,8 @@ def score_quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3,
                 z = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
                 cosine = z @ vectors.T
                 near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** 8 * stands[near]
+                # A text outside of the latent space is as near to all, and gets the share of their labels.
+                weight = (np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 0) ** 8 + 1e-9) * stands[near]
                 out.append((weight * labels[near]).sum(1) / weight.sum(1))
             yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
