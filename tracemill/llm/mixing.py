@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     sources = written(target_words(per_source, weights, share, most).join(F.broadcast(per_source.select(F.col("source").alias("_s"), "_rows")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets")
     largest = sources.agg(F.max("_rows")).first()[0] or 0
-    placed = prefix_index(sized, ["source"], "doc_id", ["doc_id", "size", "_text"], "size", "_from", max(4, -(-largest // 4096)))
+    placed = prefix_index(sized, ["source"], "doc_id", ["doc_id", "size", "_text"], "size", "_from", min(20_000, max(4, -(-largest // 512))))
     placed = placed.join(F.broadcast(sources.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     length = F.lit(block_words).cast("long")
@@ -99,7 +99,8 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
         .select(F.col("source").alias("_s"), F.col("_i").alias("_b"), "turn", (F.col("turn") * F.col("blocks") + F.col("_place")).alias("slot"), "_take")
         .withColumn("output_shard", F.pmod(F.xxhash64(F.lit(seed + 2), "_s", "slot"), F.lit(output_shards)).cast("int"))
     )
-    drawn = pieces.join(slots, pieces["source"].eqNullSafe(slots["_s"]) & (pieces["block"] == slots["_b"]) & (pieces["_at"] < slots["_take"]))
+    # Slots grow with the data, though Spark takes the table of sources that they come from for their size: no broadcast.
+    drawn = pieces.hint("merge").join(slots, pieces["source"].eqNullSafe(slots["_s"]) & (pieces["block"] == slots["_b"]) & (pieces["_at"] < slots["_take"]))
     drawn = drawn.select("output_shard", "source", "slot", "turn", "block", "doc_id", "_from", "first_word", F.least(F.col("words"), F.col("_take") - F.col("_at")).alias("words"))
     return placed, drawn
 
