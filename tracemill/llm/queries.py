@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import read
+from tracemill.llm.common import few, read, written
 from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.jaccard import jaccard_components
 from tracemill.llm.mixing import mix, taken_words
@@ -92,7 +92,7 @@ def held_out():
 def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Texts and labels of the rows that may be learned from."""
     known = labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", label)
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return written(docs.select("doc_id", "text").join(few(known), "doc_id"), "labelled")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
