@@ -117,3 +117,26 @@ def test_last_wins_and_resume(spark):
 def test_perturb_keeps_the_final(spark):
     r = one(spark, quality_rules.perturb(F.lit("1. a [[calc: 1+1]] -> 2\n#### 2"), F.lit(True)))[0]
     assert (r.kind, r.text) == ("arrow", "1. a [[calc: 1+1]] -> 3\n#### 2")
+
+
+def test_line_reports():
+    r = M.line_report("[[calc: 2+2]] -> 5 apples", relative=False)
+    assert (r["checked"], r["mismatches"], r["text"]) == (1, 0, "[[calc: 2+2]] -> 5 apples")
+    r = M.line_report("a [[calc: 2^3]] -> 7\nb [[calc: 1/2]] -> 1/2")
+    assert (r["ok"], r["checked"], r["mismatches"], r["text"]) == (False, 2, 1, "a [[calc: 2^3]] -> 8\nb [[calc: 1/2]] -> 1/2")
+
+
+def test_marker_columns(spark):
+    text = F.lit("1. 3+4 = 7\n2. x = 5\n#### 7")
+    r = one(spark, M.inject_markers(text), M.ensure_marker(F.lit("1. so\n#### 9"), F.lit("9")), M.final_expr(F.lit("$2\\sqrt{3}$")), M.clean_expr(F.lit("$1,200 + (3")), M.numbers_outside(F.lit("1. a [[calc: 2+2]] -> 4")), M.normalized_reasoning(F.lit("x <<<BEGIN>>>\n1. 2*3 = 6\n<<<END>>> y"), F.lit("6")))
+    assert r[0] == "1. 3+4 = 7 [[calc: 3+4]] -> 7\n2. x = 5\n#### 7"
+    assert r[1] == "1. so\n2. Computation: [[calc: 9]] -> 9\n#### 9"
+    assert r[2] == "2*sqrt(3)"
+    assert r[3] == "1200+(3)"
+    assert r[4] == [1.0, 4.0]
+    assert tuple(r[5]) == ("1. 2*3 = 6 [[calc: 2*3]] -> 6\n#### 6", "6")
+
+
+def test_checked_lines_column(spark):
+    r = spark.createDataFrame([("[[calc: 1+1]] -> 3",), (None,)], "t string").select(M.check_lines(F.col("t")).alias("r")).select("r.*").collect()
+    assert [(x.ok, x.mismatches) for x in r] == [(False, 1), (True, 0)]

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracemill.functions.evaluator import calc, safe_calc, shown
+from tracemill.functions.evaluator import calc, plain_math, safe_calc, shown
+from tracemill.functions.text import cleanup_markers, enforce_final, lines, numbers, strip
 
 MARKER = r"\[\[\s*calc\s*:\s*([^\]]*?)\s*\]\]"
 CLAIM = MARKER + r"\s*->\s*(-?\d[\d,]*(?:\.\d+)?)"
@@ -45,6 +46,60 @@ def plain_numeric(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+def clean_expr(expr: Column) -> Column:
+    """CALC-16: currency, unit words and thousands commas go, signs in ASCII, braces as parentheses, parentheses balanced."""
+    x = F.regexp_replace(expr, r"[$€£]|(?i)\b(?:dollars?|cents?|hours?|minutes?|days?|km|cm|kg)\b", "")
+    x = F.regexp_replace(x, r"(?<=\d),(?=\d{3})", "")
+    x = F.regexp_replace(F.translate(plain_numeric(x), "{}[]", "()"), r"\s*([-+*/()])\s*", "$1")
+    return balance_parens(strip(x))
+
+
+def final_expr(answer: Column) -> Column:
+    """CALC-9: a final answer in LaTeX as an expression: roots, fractions, pi, degrees, implied products."""
+    x = F.regexp_replace(plain_numeric(F.regexp_replace(answer, r"\$", "")), r"\\sqrt\{([^{}]+)\}", "sqrt($1)")
+    x = F.translate(F.regexp_replace(x, r"\\pi|π", "pi"), "{}", "()")
+    return F.regexp_replace(x, r"(\d)\s*(sqrt|pi|\()", "$1*$2")
+
+
+def numbers_outside(line: Column) -> Column:
+    """CALC-17: numbers outside of markers; arrow values count."""
+    return F.transform(numbers(F.regexp_replace(line, MARKER, "")), lambda x: x.cast("double"))
+
+
+MINED = r"((?:\d|\()[\d\s.+\-*/()]*[-+*/][\d\s.+\-*/()]*[\d)])\s*(?:->|=)\s*(-?\d[\d,]*(?:\.\d+)?)"
+
+
+def mined_marker(line: Column) -> Column:
+    """The marker of an `expression -> value` or `expression = value` in a line, null if there is none."""
+    x = F.regexp_replace(plain_numeric(line), r"^\s*\d+\.\s+", "")
+    found = x.rlike(MINED) & ~x.rlike(r"^[A-Za-z]\w*\s*=")
+    return F.when(found, F.concat(F.lit("[[calc: "), strip(F.regexp_extract(x, MINED, 1)), F.lit("]] -> "), F.regexp_extract(x, MINED, 2)))
+
+
+def inject_markers(text: Column) -> Column:
+    """CALC-7: numbered lines without a marker get the one that their numbers give."""
+    plain = lambda x: x.rlike(r"^\s*\d+\.\s+") & ~x.contains("[[calc")
+    return F.array_join(F.transform(lines(text), lambda x: F.when(plain(x) & mined_marker(x).isNotNull(), F.concat(x, F.lit(" "), mined_marker(x))).otherwise(x)), "\n")
+
+
+def ensure_marker(text: Column, final: Column) -> Column:
+    """CALC-8: a text without any marker gets a computation step before its final line, from its first minable line or its final."""
+    rows = lines(text)
+    mined = F.try_element_at(F.filter(F.transform(rows, mined_marker), lambda m: m.isNotNull()), F.lit(1))
+    value = F.coalesce(F.nullif(strip(final), F.lit("")), F.try_element_at(numbers(text), F.lit(-1)))
+    marker = F.coalesce(mined, F.concat(F.lit("[[calc: "), final_expr(value), F.lit("]] -> "), value))
+    body, last = F.filter(rows, lambda x: ~x.rlike(r"^\s*####")), F.filter(rows, lambda x: x.rlike(r"^\s*####"))
+    step = F.concat((F.size(F.filter(body, lambda x: x.rlike(r"^\s*\d+\.\s+"))) + 1).cast("string"), F.lit(". Computation: "), marker)
+    return F.when(text.rlike(MARKER) | marker.isNull(), text).otherwise(F.array_join(F.concat(body, F.array(step), last), "\n"))
+
+
+def normalized_reasoning(raw: Column, fallback: Column) -> Column:
+    """TXT-6: struct(text, final) of the BEGIN block, cleaned, with one final line and markers."""
+    block = F.when(raw.contains("<<<BEGIN>>>"), F.regexp_extract(raw, r"(?s)<<<BEGIN>>>(.*?)(?:<<<END>>>|$)", 1)).otherwise(raw)
+    done = enforce_final(cleanup_markers(block), fallback)
+    return F.struct(inject_markers(done["text"]).alias("text"), done["final"].alias("final"))
+
+
 def balance_parens(expr: Column) -> Column:
     """CALC-16: appends missing closing parentheses, or cuts surplus ones at the end."""
     gap = F.length(F.regexp_replace(expr, "[^(]", "")) - F.length(F.regexp_replace(expr, "[^)]", ""))
@@ -110,6 +165,38 @@ def repaired(text: str) -> str:
     return patched("\n".join(out))
 
 
+def line_report(text: str | None, relative: bool = True, repair: bool = True) -> dict:
+    """CALC-11 (relative tolerance, rationals allowed) and CALC-13 (wholly numeric to the line's end): counts, messages, text."""
+    out, n, bad, failed, notes = [], 0, 0, 0, []
+    for i, line in enumerate((text or "").split("\n")):
+        m = re.search(MARKER + (r"\s*->\s*(-?[\d,.]+(?:\s*/\s*\d+)?)" if relative else r"\s*->\s*(-?\d[\d,]*(?:\.\d+)?)\s*$"), line)
+        any_marker = re.search(MARKER, line)
+        if any_marker and not re.search(r"[A-Za-z√π]", re.sub(r"sqrt|pi", "", plain_math(any_marker[1]))):
+            n += 1
+            got = safe_calc(any_marker[1], "reasoner" if relative else "eval")
+            said = safe_calc(m[2].replace(",", "").rstrip("."), "reasoner") if m else None
+            if got is None:
+                failed += 1
+                notes.append(f"line {i + 1}: cannot be evaluated")
+            elif said is not None and abs(got - said) > TOLERANCE * (max(1.0, abs(got), abs(said)) if relative else 1.0):
+                bad += 1
+                notes.append(f"line {i + 1}: {shown(said)} should be {shown(got)}")
+                if repair:
+                    line = line[: m.start(2)] + shown(got) + line[m.end(2) :]
+        out.append(line)
+    return {"ok": not bad and not failed, "checked": n, "mismatches": bad, "failed": failed, "notes": notes, "text": "\n".join(out)}
+
+
+def check_lines(text: Column, relative: bool = True, repair: bool = True) -> Column:
+    """CALC-11, CALC-13 as a column: struct(ok, checked, mismatches, failed, notes, text)."""
+
+    @F.pandas_udf("ok boolean, checked int, mismatches int, failed int, notes array<string>, text string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([line_report(x, relative, repair) for x in s], columns=["ok", "checked", "mismatches", "failed", "notes", "text"])
+
+    return run(text)
+
+
 def _text_function(f):
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
