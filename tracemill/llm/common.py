@@ -49,8 +49,9 @@ def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else; null becomes empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower-cases A-Z and nothing else; null becomes empty. lower() is faster, and the same for ASCII texts."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def split_words(text: Column, separators: str) -> Column:

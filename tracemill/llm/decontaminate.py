@@ -1,18 +1,17 @@
 """Benchmark decontamination by a positional inverted index over the training texts.
 
-1. Terms of the test items are counted over all training texts (map-side aggregation).
-2. Each window of consecutive item words names its two rarest terms; a window with a term that no text has is dropped.
-3. One pass stores the postings of those terms, by document: place, term and the words around it. A bit set of the
-   terms (fixed size for a benchmark) keeps all other words out of the explode.
-4. The lists of the rarest and the second rarest term, each less the term's offset, are intersected on (document,
-   start, window); what is left is compared with the stored neighbourhood, so a match is exact. Proximity matches take
-   starts that differ by a slop instead of equal ones.
+1. One pass over the training texts stores the postings of all benchmark terms: (document, place, term).
+2. Each window of consecutive item words ranks its terms by their number of postings, rarest first; a window with a
+   term that no text has is dropped.
+3. The lists of the rarest and the second rarest term, each less the term's offset in the window, are intersected on
+   (document, start, window). What is left must have a posting for every further term at its offset, so a phrase match
+   is exact. Proximity matches take starts that differ by at most a slop instead of equal ones.
 
-Data that is broadcast comes from the benchmark only and is counted first; a larger benchmark goes through shuffled
-joins. A document's rows are known by (id, hash of the text), so repeated rows get the same result each.
+Data that is broadcast or put into a plan comes from the benchmark only and is counted first; a larger benchmark goes
+through shuffled joins. A document's rows are known by (id, hash of the text), so repeated rows get the same result each.
 
 Nulls: a null text has no words and is clean; an item without words has no windows; a null item id counts as the
-string `null`. Empty tables: no documents give no rows, no items give clean documents.
+string `null`. Empty tables: no documents give no rows, no items give clean documents. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import ascii_lower, few, split_words, written
 
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-#: Bits of the term set, by the number of terms; above the last bound every word is exploded.
-TERM_BITS = [(4_000, 1 << 16), (60_000, 1 << 20)]
+#: Terms that may stand in a plan as a set of literals, and the term that ends every document's postings.
+PLAN_TERMS, END = 10_000, ""
 
 
 def words_of(text: Column) -> Column:
@@ -37,68 +36,71 @@ def with_words(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
 
 
 def item_windows(bench: DataFrame, length: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, k and window (array of words) for each run of `length` item words; shorter items are one window."""
-    items = with_words(bench, text_col, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item")).where(F.size("words") > 0).dropDuplicates()
+    """w (a number), item and window (array of words) for each run of `length` item words; shorter items are one window."""
+    items = with_words(bench, text_col, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - length, F.lit(0)))
-    return items.select("item", "words", F.explode(starts).alias("k")).select("item", "k", F.slice("words", F.col("k") + 1, F.lit(length)).alias("window")).dropDuplicates(["item", "window"])
-
-
-def rarest_terms(windows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """windows with (t1, o1) and (t2, o2): the rarest terms and their offsets, by how often they occur in docs."""
-    terms = windows.select(F.explode("window").alias("term")).distinct()
-    tokens = docs.select(F.explode(words_of(F.col(text_col))).alias("token"))
-    seen = written(tokens.join(few(terms), F.col("token") == F.col("term")).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
-    ranked = (
-        windows.select("item", "k", "window", F.posexplode("window").alias("o", "term"))
-        .join(few(seen), "term", "left")
-        .groupBy("item", "k", "window")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "o"))).alias("by"))
-        .where(F.col("by")[0]["n"] > 0)
-    )
-    second = F.try_element_at("by", F.lit(2))
-    return ranked.select("item", "k", "window", F.col("by")[0]["term"].alias("t1"), F.col("by")[0]["o"].alias("o1"), second["term"].alias("t2"), second["o"].alias("o2"))
-
-
-def store_postings(docs: DataFrame, windows: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: doc_id, h, n_words and postings (p, term, at: place of the first word around, around)."""
-    terms = windows.select(F.explode(F.array_compact(F.array("t1", "t2"))).alias("term")).distinct()
-    n = terms.limit(TERM_BITS[-1][0] + 1).count()
-    bits = next((b for most, b in TERM_BITS if n <= most), None)
-    texts = with_words(docs, text_col, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"))
-    places = F.sequence(F.lit(0), F.size("words") - 1)
-    if bits:
-        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-        # As many numbers as the benchmark has terms, by the bound above.
-        marked = {r[0] for r in terms.select(cell(F.col("term"))).distinct().collect()}
-        words32 = [0] * (bits // 32)
-        for m in marked:
-            words32[m // 32] |= 1 << (m % 32)
-        bit_set = F.expr("array(" + ",".join(f"{x}L" for x in words32) + ")")
-        held = lambda at: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(bit_set, F.shiftright(at, 5).cast("int")), at.bitwiseAND(F.expr("31L")).cast("int"))) == 1
-        places = F.filter(places, lambda i: held(cell(F.get(F.col("words"), i))))
-    begin = lambda i: F.greatest(i - (length - 1), F.lit(0))
-    found = F.transform(places, lambda i: F.struct(i.alias("p"), F.get(F.col("words"), i).alias("term"), begin(i).alias("at"), F.slice(F.col("words"), begin(i) + 1, i - begin(i) + length).alias("around")))
-    return written(texts.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), F.when(F.size("words") > 0, found).alias("postings")), "postings")
-
-
-def find_matches(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """doc_id, h, item, k, start, m of each occurrence; with a slop, of each pair of rarest terms that lie so near as in the window, give or take `slop` words."""
-    lists = postings.select("doc_id", "h", F.explode("postings").alias("x")).select("doc_id", "h", "x.*")
-    small = few(windows)
-    first = lists.join(small, F.col("term") == F.col("t1")).select("doc_id", "h", "item", "k", (F.col("p") - F.col("o1")).alias("start"), F.size("window").alias("m"), "t2", F.slice("around", F.greatest(F.col("p") - F.col("o1") - F.col("at") + 1, F.lit(1)), F.size("window")).alias("_here") if slop == 0 else F.lit(None).alias("_here"), "window").where("start >= 0" if slop == 0 else "true")
-    same = ["doc_id", "h", "item", "k"]
-    second = lists.join(few(windows.where("t2 IS NOT NULL").select("item", "k", "t2", "o2")), F.col("term") == F.col("t2")).select(*same, (F.col("p") - F.col("o2")).alias("start"))
-    if slop == 0:
-        first = first.where(F.col("_here") == F.col("window")).drop("_here", "window")
-    else:
-        first = first.drop("_here", "window")
-    alone = first.where("t2 IS NULL").drop("t2")
-    names = {c: f"_{c}" for c in [*same, "start"]}
-    second = second.distinct().withColumnsRenamed(names)
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & (F.col("item") == F.col("_item")) & (F.col("k") == F.col("_k"))
-    on = on & ((F.col("start") == F.col("_start")) if slop == 0 else (F.abs(F.col("start") - F.col("_start")) <= slop))
-    both = first.where("t2 IS NOT NULL").distinct().join(second, on, "left_semi").drop("t2")
-    return both.unionByName(alone.distinct())
+    windows = items.select("item", "words", F.explode(starts).alias("k")).select("item", F.slice("words", F.col("k") + 1, F.lit(length)).alias("window"))
+    return windows.distinct().select(F.monotonically_increasing_id().alias("w"), "item", "window")
+
+
+def store_postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, p, term) of each word that is a term, and (doc_id, h, number of words, END) for each document."""
+    words = F.posexplode(F.concat(words_of(F.col(text_col)), F.array(F.lit(END)))).alias("p", "term")
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), words)
+    listed = [r[0] for r in terms.limit(PLAN_TERMS + 1).collect()]
+    if len(listed) <= PLAN_TERMS:
+        return written(tokens.where(F.col("term").isin(END, *listed)), "postings")
+    known = terms.union(terms.sparkSession.range(1).select(F.lit(END))).distinct()
+    return written(tokens.join(few(known.withColumnRenamed("term", "t")), F.col("term") == F.col("t"), "left_semi"), "postings")
+
+
+def ranked_terms(windows: DataFrame, postings: DataFrame) -> DataFrame:
+    """(w, item, m, r, t, o): the r-th rarest term of a window of m words and its offset; windows that can't occur are left out."""
+    seen = written(postings.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
+    each = windows.select("w", "item", F.size("window").alias("m"), F.posexplode("window").alias("o", "term")).join(few(seen), "term", "left")
+    by = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "o")))
+    ranked = each.groupBy("w", "item", "m").agg(by.alias("by")).where(F.col("by")[0]["n"] > 0)
+    return written(ranked.select("w", "item", "m", F.posexplode("by").alias("r", "x")).select("w", "item", "m", "r", F.col("x.term").alias("t"), F.col("x.o").alias("o")), "ranked-terms")
+
+
+def listed(postings: DataFrame, ranked: DataFrame, rank: int) -> DataFrame:
+    """The list of the windows' terms of a rank, each less its offset: (doc_id, h, start, w)."""
+    wanted = ranked.where(F.col("r") == rank)
+    terms = [r[0] for r in wanted.select("t").distinct().limit(PLAN_TERMS + 1).collect()]
+    some = postings.where(F.col("term").isin(*terms)) if len(terms) <= PLAN_TERMS else postings
+    return some.join(few(wanted.select("w", "t", "o")), F.col("term") == F.col("t")).select("doc_id", "h", (F.col("p") - F.col("o")).alias("start"), "w")
+
+
+def same_document(d: str = "_d", h: str = "_h"):
+    return F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("h") == F.col(h))
+
+
+def find_phrases(postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(doc_id, h, start, w, item, m) of each occurrence of a window."""
+    kinds = few(ranked.where("r = 0").select("w", "item", "m"))
+    first = listed(postings, ranked, 0).join(kinds, "w")
+    second = listed(postings, ranked, 1).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("start").alias("_s"), F.col("w").alias("_w"))
+    met = first.where("start >= 0 AND m > 1").join(second, same_document() & (F.col("start") == F.col("_s")) & (F.col("w") == F.col("_w")), "left_semi")
+    met = written(met.unionByName(first.where("m = 1")).distinct(), "met")
+    # The other terms at their offsets, in documents where something is left.
+    rest = met.join(few(ranked.where("r > 1").select(F.col("w").alias("_w"), "t", "o")), F.col("w") == F.col("_w")).select("doc_id", "h", "start", "w", (F.col("start") + F.col("o")).alias("p"), F.col("t").alias("term"))
+    left = met.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    there = postings.where(F.col("term") != END).join(few(left), same_document(), "left_semi").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("p").alias("_p"), F.col("term").alias("_t")).distinct()
+    held = rest.distinct().join(there, same_document() & (F.col("p") == F.col("_p")) & (F.col("term") == F.col("_t")), "left_semi")
+    counts = held.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("start").alias("_s"), F.col("w").alias("_w")).agg(F.countDistinct("p").alias("n"))
+    whole = met.join(counts, same_document() & (F.col("start") == F.col("_s")) & (F.col("w") == F.col("_w")), "left")
+    return whole.where(F.col("m") - 2 <= F.coalesce("n", F.lit(0))).select("doc_id", "h", "start", "w", "item", "m")
+
+
+def find_near(postings: DataFrame, ranked: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, h, start, w): places where the two rarest terms of a window stand as far apart as in it, give or take `slop` words."""
+    second = listed(postings, ranked, 1).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("start").alias("_s"), F.col("w").alias("_w"))
+    # Starts are dealt in cells as wide as the slop, so that the join is on equal cells.
+    width = max(1, slop)
+    cells = second.withColumn("_c", F.explode(F.array(*[F.floor(F.col("_s") / width) + i for i in (-1, 0, 1)])))
+    first = listed(postings, ranked, 0).withColumn("_c1", F.floor(F.col("start") / width))
+    near = same_document() & (F.col("w") == F.col("_w")) & (F.col("_c1") == F.col("_c")) & (F.abs(F.col("start") - F.col("_s")) <= slop)
+    return first.join(cells, near, "left_semi").select("doc_id", "h", "start", "w").distinct()
 
 
 def covered(spans: Column) -> Column:
@@ -110,9 +112,11 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, length: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: doc_id, h (hash of the text), n_words, n_hit, items (sorted array of item ids with a window in it)."""
-    windows = written(rarest_terms(item_windows(bench, length, item_col, item_text_col), docs, text_col), "windows")
-    postings = store_postings(docs, windows, length, id_col, text_col)
-    per_doc = find_matches(postings, windows).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("m")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    all_docs = postings.select("doc_id", "h", "n_words")
-    out = all_docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
+    windows = written(item_windows(bench, length, item_col, item_text_col), "windows")
+    postings = store_postings(docs, windows.select(F.explode("window").alias("term")).distinct(), id_col, text_col)
+    found = find_phrases(postings, ranked_terms(windows, postings))
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("m")).alias("end"))))
+    per_doc = found.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    all_docs = postings.where(F.col("term") == END).select("doc_id", "h", F.col("p").cast("long").alias("n_words"))
+    out = all_docs.join(per_doc, same_document(), "left")
     return out.select("doc_id", "h", "n_words", F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
