@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import blank_to_null, final_last_line_anywhere, final_or_text, strip
 
-#: Unit words that may follow a number.
-UNITS = "dollars|dollar|cents|cent|hours|hour|minutes|minute|seconds|second|days|day|years|year|km|cm|mm|m|kg|g|percent|%"
+#: Unit words that may follow a number, with no word boundary before them.
+UNITS = "hours?|hrs?|minutes?|mins?|meters?|m|kg|g|dollars?|usd"
 
 
 def clean_latex(c: Column) -> Column:
@@ -55,7 +55,7 @@ def answers_match(pred: Column, gold: Column) -> Column:
 def numeric_text(c: Column) -> Column:
     """ANS-5: no dollar signs, commas, closing unit word or dot."""
     x = strip(F.regexp_replace(c, r"[$,]", ""))
-    x = strip(F.regexp_replace(x, rf"(?i)\s*({UNITS})$", ""))
+    x = strip(F.regexp_replace(x, rf"(?i)[,\s]*({UNITS})$", ""))
     return blank_to_null(F.regexp_replace(x, r"\.$", ""))
 
 

@@ -146,15 +146,18 @@ def safe_calc(expr: str | None, dialect: str = "verifier") -> float | None:
     return v if math.isfinite(v) else None
 
 
-#: Signs and commands that stand for operators, in the order in which they are replaced.
-SIGNS = [("×", "*"), ("÷", "/"), ("−", "-"), ("–", "-"), ("\\times", "*"), ("\\cdot", "*"), ("\\div", "/"), ("^\\circ", ""), ("\\circ", ""), ("°", ""), ("\\,", ""), ("\\!", ""), ("\\;", ""), ("\\left", ""), ("\\right", "")]
+#: Signs and spacings that are replaced before evaluation, in this order; a caret becomes a power last.
+SIGNS = [("×", "*"), ("·", "*"), ("⋅", "*"), ("\\cdot", "*"), ("−", "-"), ("—", "-"), ("÷", "/")]
+SPACINGS = [r"\^\s*\\?circ", "°", r"\\,|\\!|\\;|\\:"]
 
 
 def plain_math(text: str) -> str:
     """CALC-3: fractions, signs and powers in ASCII."""
-    text = re.sub(r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", r"(\1)/(\2)", text)
+    text = re.sub(r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", r"(\1)/(\2)", text)
     for a, b in SIGNS:
         text = text.replace(a, b)
+    for pattern in SPACINGS:
+        text = re.sub(pattern, "", text)
     return re.sub(r"\s+", " ", text.replace("^", "**")).strip()
 
 

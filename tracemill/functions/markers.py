@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracemill.functions.evaluator import calc, plain_math, safe_calc, shown
+from tracemill.functions.evaluator import SIGNS, SPACINGS, calc, plain_math, safe_calc, shown
 from tracemill.functions.text import cleanup_markers, enforce_final, lines, numbers, strip
 
 MARKER = r"\[\[\s*calc\s*:\s*([^\]]*?)\s*\]\]"
@@ -40,10 +40,12 @@ def is_trivial(expr: Column) -> Column:
 
 def plain_numeric(text: Column) -> Column:
     """CALC-3: fractions, signs and powers in ASCII, natively."""
-    x = F.regexp_replace(text, r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)")
-    for a, b in (("×", "*"), ("÷", "/"), ("−", "-"), ("\\times", "*"), ("\\cdot", "*"), ("\\div", "/"), ("^\\circ", ""), ("°", ""), ("^", "**")):
+    x = F.regexp_replace(text, r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", "($1)/($2)")
+    for a, b in SIGNS:
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    for pattern in SPACINGS:
+        x = F.regexp_replace(x, pattern, "")
+    return strip(F.regexp_replace(F.replace(x, F.lit("^"), F.lit("**")), r"\s+", " "))
 
 
 def clean_expr(expr: Column) -> Column:

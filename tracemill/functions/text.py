@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Line ends, the stop tokens of generated text, cue words of multi-step questions.
+#: Line ends, the texts at which generated text is cut, cue words of multi-step questions, role order, plans that stand in for none.
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
-STOP_TOKENS = ["<|im_end|>", "<|endoftext|>", "</s>", "<|eot_id|>"]
-MULTISTEP_CUES = ["then", "after", "before", "each", "total", "remaining", "left", "altogether", "twice", "half", "percent"]
+STOP_TOKENS = ["\n<role:", "\n<<", "<<<END>>>", "<<END>>"]
+MULTISTEP_CUES = ["then", "after", "each day", "per day", "per week", "first", "second", "next", "total", "sum of", "difference of"]
 ROLE_ORDER = ["planner", "reasoner", "calculator", "verifier", "normalizer"]
-DEFAULT_PLAN = "<<\n1. Identify the given quantities.\n2. Compute the requested result.\n>>"
+EMPTY_PLAN = "<<\n1. Read problem carefully.\n2. Compute needed quantities.\n>>"
+DEFAULT_PLAN = "<<\n1. Identify required quantities.\n2. Compute and present final answer.\n>>"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -54,18 +55,17 @@ def without_chevrons(c: Column) -> Column:
 def plan_text(c: Column) -> Column:
     """TXT-3: a plan as it is if it opens with <<, wrapped otherwise, the default if blank."""
     wrapped = F.concat(F.lit("<<\n"), F.array_join(F.transform(filled_lines(c), lambda x: strip(x)), "\n"), F.lit("\n>>"))
-    return F.when(c.isNull() | (strip(c) == ""), DEFAULT_PLAN).when(strip(c).startswith("<<"), strip(c)).otherwise(wrapped)
+    return F.when(c.isNull() | (strip(c) == ""), EMPTY_PLAN).when(strip(c).startswith("<<"), strip(c)).otherwise(wrapped)
 
 
 def cleanup_markers(c: Column) -> Column:
     """TXT-4: drops BEGIN/END artefacts and lone > lines."""
-    x = F.regexp_replace(c, "<<<BEGIN>>>>?", "")
-    x = F.regexp_replace(x, "<<<END>>>>?", "")
-    return strip(F.regexp_replace(x, r"(?m)^[ \t]*>+[ \t]*$\n?", ""))
+    x = F.regexp_replace(F.replace(c, F.lit("<<<BEGIN>>>"), F.lit("")), "<<<END>>>>+", "")
+    return strip(F.regexp_replace(x, r"(?m)^\s*>\s*\n", ""))
 
 
 def numbers(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"-?\d+(?:\.\d+)?"), 0)
+    return F.regexp_extract_all(c, F.lit(r"[+-]?\d+(?:\.\d+)?"), 0)
 
 
 def final_last_line_anywhere(c: Column) -> Column:
@@ -88,8 +88,12 @@ def final_or_text(c: Column) -> Column:
 def enforce_final(c: Column, fallback: Column) -> Column:
     """TXT-5: struct(text, final) with exactly one closing #### line."""
     own = final_last_line_anywhere(c)
-    value = F.coalesce(own, blank_to_null(strip(fallback)), F.try_element_at(numbers(c), F.lit(-1)))
-    body = F.array_join(F.filter(filled_lines(c), lambda x: ~x.rlike(r"^\s*####")), "\n")
+    # What follows the last #### line goes.
+    rows = lines(c)
+    upto = F.array_max(F.transform(rows, lambda x, i: F.when(strip(x).startswith("####"), i + 1)))
+    rows = F.when(upto.isNull(), rows).otherwise(F.slice(rows, F.lit(1), upto))
+    value = F.coalesce(own, blank_to_null(strip(fallback)), F.try_element_at(numbers(F.array_join(rows, "\n")), F.lit(-1)))
+    body = F.array_join(F.filter(rows, lambda x: (strip(x) != "") & ~strip(x).startswith("####")), "\n")
     return F.struct(F.when(value.isNull(), body).otherwise(F.concat_ws("\n", blank_to_null(body), F.concat(F.lit("#### "), value))).alias("text"), value.alias("final"))
 
 
@@ -117,8 +121,11 @@ def collapse_repeats(arr: Column) -> Column:
 
 def sanitize_reasoner(c: Column) -> Column:
     """TXT-11: tags and chevron tokens go, the text ends with its first #### line, repeated lines collapse."""
-    x = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), r"<\|?(?:assistant|user|system|im_start|im_end)[^>]*>|<role:[^>]*>|(?s)<<.*?>>", "")
-    return strip(F.array_join(collapse_repeats(clip_lines(lines(x))), "\n"))
+    x = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "(?i)</?assistant>", "")
+    x = F.regexp_replace(F.regexp_replace(x, "<role:[^>]+>", ""), "<<<?[^>]+>>>?", "")
+    rows = lines(x)
+    at = F.array_position(F.transform(rows, lambda r: r.rlike(r"^####\s")), True)
+    return strip(F.array_join(collapse_repeats(F.when(at > 0, F.slice(rows, F.lit(1), at.cast("int"))).otherwise(rows)), "\n"))
 
 
 def clip_lines(arr: Column) -> Column:
@@ -142,18 +149,19 @@ def sanitize_verifier(c: Column) -> Column:
 
 def selector_roles(c: Column) -> Column:
     """TXT-13: roles of a calls: list, else those that the text names, in canonical order."""
-    low = F.lower(c)
-    named = F.regexp_extract(low, r"calls\s*:\s*([a-z, \t]*)", 1)
-    text = F.when(low.rlike(r"calls\s*:"), named).otherwise(low)
-    return F.filter(F.array(*[F.lit(r) for r in ROLE_ORDER]), lambda r: F.contains(text, r))
+    low = F.lower(F.regexp_replace(F.regexp_replace(strip(c), "(?s)`{3}.*?`{3}", " "), "<<|>>", " "))
+    named = F.transform(F.split(F.regexp_extract(low, r"calls\s*:\s*([^\n;><]+)", 1), ","), strip)
+    listed = low.rlike(r"calls\s*:\s*[^\n;><]+")
+    return F.filter(F.array(*[F.lit(r) for r in ROLE_ORDER]), lambda r: F.when(listed, F.array_contains(named, r)).otherwise(F.contains(low, r)))
 
 
 def sanitize_selector(c: Column) -> Column:
     """TXT-13: `CALLS: a,b; HALT_AFTER: x`."""
     roles = selector_roles(c)
-    said = F.regexp_extract(F.lower(c), r"halt_after\s*:\s*([a-z]+)", 1)
-    halt = F.when(F.array_contains(roles, said), said).when(F.array_contains(roles, "normalizer"), F.lit("normalizer")).otherwise(F.try_element_at(roles, F.lit(-1)))
-    return F.concat(F.lit("CALLS: "), F.array_join(roles, ","), F.lit("; HALT_AFTER: "), F.coalesce(halt, F.lit("")))
+    said = F.regexp_extract(F.lower(c), r"halt[_\-\s]*after\s*:\s*([a-z_]+)", 1)
+    halt = F.when(said.isin(*ROLE_ORDER), said).when(F.array_contains(roles, "normalizer"), F.lit("normalizer")).otherwise(F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("normalizer")))
+    calls = F.when(F.size(roles) > 0, F.concat(F.lit("CALLS: "), F.array_join(roles, ",")))
+    return F.when(c.isNull() | (c == ""), "").otherwise(F.concat_ws("; ", calls, F.concat(F.lit("HALT_AFTER: "), halt)))
 
 
 def parse_selector(c: Column) -> Column:

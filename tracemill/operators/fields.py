@@ -42,7 +42,7 @@ def inferred_dataset(record_id: Column, hub_name: Column) -> Column:
     """PRJ-5: gsm8k before math before multiarith."""
     i, h = F.coalesce(record_id, F.lit("")), F.coalesce(hub_name, F.lit(""))
     low = F.lower(i)
-    return F.when(low.startswith("gsm8k") | F.lower(h).isin("gsm8k", "openai/gsm8k"), "gsm8k").when(i.startswith("MATH_") | low.startswith("math_") | F.lower(h).contains("math"), "math").when(low.startswith("multiarith") | F.lower(h).contains("multiarith"), "multiarith")
+    return F.when(low.startswith("gsm8k_") | (F.lower(h) == "gsm8k"), "gsm8k").when(i.startswith("MATH_") | F.lower(h).contains("math"), "math").when(low.startswith("multiarith_") | F.lower(h).contains("multiarith"), "multiarith")
 
 
 def clean_final(c: Column) -> Column:
@@ -65,7 +65,7 @@ def unified(df: DataFrame, raw: str, split: str) -> DataFrame:
     """PRJ-6, PRJ-8, PRJ-9: id, dataset, split, question, gold_answer, subject, level, rationale_gold and `fits`."""
     v = F.col(raw)
     answer = first_filled(nested(v, "answer"), nested(v, "orig.answer"), nested(v, "meta.orig.answer"), nested(v, "orig.final_ans"))
-    x = df.withColumn("_g", gold_answer(answer)).withColumn("question", first_filled(nested(v, "question"), nested(v, "orig.problem"), nested(v, "orig.question")))
+    x = df.withColumn("_g", gold_answer(answer)).withColumn("question", first_filled(nested(v, "question"), nested(v, "meta.orig.problem"), nested(v, "meta.orig.question")))
     subject, level = (first_filled(nested(v, f"orig.{n}"), nested(v, f"meta.{n}"), nested(v, n)) for n in ("subject", "level"))
     x = x.select(*df.columns, nested(v, "id").alias("id"), inferred_dataset(nested(v, "id"), nested(v, "meta.hf_name")).alias("dataset"), F.lit(split).alias("split"), "question", F.col("_g.gold").alias("gold_answer"), subject.alias("subject"), level.alias("level"), F.col("_g.rationale").alias("rationale_gold"))
     return x.withColumn("fits", F.col("dataset").isNotNull() & F.col("question").isNotNull() & F.col("gold_answer").isNotNull())

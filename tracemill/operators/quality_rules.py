@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.answers import answers_equal, fixed_answer, verdict
 from tracemill.functions.markers import MARKER, is_symbolic
-from tracemill.functions.text import blank_to_null, count_steps, filled_lines, lines, looks_multistep, strip
+from tracemill.functions.text import blank_to_null, count_steps, final_last_line_anywhere, filled_lines, lines, looks_multistep, strip
 
 
 def checked(*tests: tuple[Column, str]) -> Column:
@@ -16,27 +16,54 @@ def checked(*tests: tuple[Column, str]) -> Column:
     return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
 
+#: Most steps and longest step of a plan.
+MOST_STEPS, LONGEST_STEP = 10, 200
+
+
 def planner_quality(c: Column) -> Column:
-    """QC-1: delimiters, 1 to 10 numbered lines, steps of at most 200 characters."""
-    steps = filled_lines(F.regexp_extract(c, "(?s)<<(.*)>>", 1))
-    return checked((~c.rlike("(?s)^\\s*<<.*>>\\s*$"), "missing_delimiters"), (F.size(steps) == 0, "empty_plan"), (F.size(steps) > 10, "too_many_steps"), (F.exists(steps, lambda s: ~s.rlike(r"^\s*\d+\.\s+")), "unnumbered_step"), (F.exists(steps, lambda s: F.length(s) > 200), "step_too_long"))
+    """QC-1: delimiters, 1 to 10 numbered lines, steps of at most 200 characters; the first two faults end the check."""
+    text = strip(F.coalesce(c, F.lit("")))
+    inner = strip(F.substring(text, F.lit(3), F.greatest(F.length(text) - 4, F.lit(0))))
+    steps = F.transform(filled_lines(inner), strip)
+    step = r"^\d+\.\s+(.+)$"
+    odd = F.filter(F.transform(steps, lambda s, i: F.when(~s.rlike(step), F.concat(F.lit("Step formatting not recognized on line "), (i + 1).cast("string"), F.lit(": "), F.substring(s, 1, 80)))), lambda m: m.isNotNull())
+    size = lambda s: F.length(strip(F.regexp_extract(s, step, 1)))
+    long = F.filter(F.transform(steps, lambda s, i: F.when(size(s) > LONGEST_STEP, F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(" too long ("), size(s).cast("string"), F.lit(" chars).")))), lambda m: m.isNotNull())
+    more = F.array_compact(F.array(F.when(F.size(steps) > MOST_STEPS, F.concat(F.lit("Too many steps: "), F.size(steps).cast("string"), F.lit(" (>10).")))))
+    none = F.array_compact(F.array(F.when(~F.exists(steps, lambda s: s.rlike(step)), F.lit("No numbered steps parsed."))))
+    one = lambda m: F.array(F.lit(m))
+    reasons = F.when(~(text.startswith("<<") & text.endswith(">>")), one("Missing or incorrect delimiters << >>.")).when(inner == "", one("Empty plan inside delimiters.")).otherwise(F.concat(more, odd, long, none))
+    return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
 
 def reasoner_quality(c: Column) -> Column:
-    """QC-2: two lines, a numbered one, a marker, a final."""
-    kept = filled_lines(c)
-    return checked((F.size(kept) < 2, "too_few_lines"), (~F.exists(kept, lambda s: s.rlike(r"^\s*\d+\.\s+")), "no_numbered_step"), (~c.rlike(MARKER), "no_calc_marker"), (~c.rlike(r"(?m)^\s*####\s*\S"), "no_final"))
+    """QC-2: two lines, a numbered one, a marker, a final; an empty text has one fault."""
+    text = strip(F.coalesce(c, F.lit("")))
+    kept = filled_lines(text)
+    full = checked((F.size(kept) < 2, "too few lines"), (~F.exists(kept, lambda s: s.rlike(r"^\d+\.\s+\S")), "no numbered steps"), (~text.contains("[[calc:"), "no calc markers"), (final_last_line_anywhere(text).isNull(), "missing final ####"))
+    return F.when(text == "", checked((F.lit(True), "empty output"))).otherwise(full)
 
 
 def verifier_quality(block: Column, label: Column, gold: Column) -> Column:
     """QC-3: tags present, verdict as labelled, fixed answer as gold where INCORRECT."""
-    return checked((~block.contains("<<VERDICT:"), "no_verdict"), (~block.contains("<<EVIDENCE:"), "no_evidence"), (~block.contains("<<FIXED"), "no_fixed"), (~verdict(block).eqNullSafe(label), "verdict_mismatch"), ((label == "INCORRECT") & ~fixed_answer(block).eqNullSafe(strip(gold)), "fixed_mismatch"))
+    said = F.nullif(F.regexp_extract(block, r"<<VERDICT:\s*(CORRECT|INCORRECT)\s*>>", 1), F.lit(""))
+    fixed = fixed_answer(block)
+    tag = lambda n: (~(block.contains(f"<<{n}:") & block.contains(">>")), f"missing {n} tag")
+    differs = F.when(said.isNull(), F.lit("VERDICT value invalid")).when(said != label, F.concat(F.lit("VERDICT label mismatch "), said, F.lit(" vs "), label))
+    tags = checked(tag("VERDICT"), tag("EVIDENCE"), tag("FIXED_ANSWER"))["reasons"]
+    wrong = F.when(fixed.isNotNull() & (label == "INCORRECT") & ~F.coalesce(answers_equal(fixed, gold), F.lit(False)), F.lit("FIXED_ANSWER does not equal gold"))
+    reasons = F.concat(tags, F.array_compact(F.array(differs, wrong)))
+    return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
 
 def normalizer_quality(c: Column) -> Column:
     """QC-4: steps that start at 1, no symbolic marker, a final."""
     steps = F.filter(filled_lines(c), lambda s: ~s.rlike(r"^\s*####"))
-    return checked((F.size(steps) == 0, "no_steps"), (~F.coalesce(F.get(steps, F.lit(0)).rlike(r"^\s*1\.\s"), F.lit(False)), "numbering"), (F.exists(F.regexp_extract_all(c, F.lit(MARKER), 1), lambda e: is_symbolic(e)), "symbolic_marker"), (~c.rlike(r"(?m)^\s*####\s*\S"), "no_final"))
+    symbolic = F.transform(F.filter(F.regexp_extract_all(c, F.lit(MARKER), 1), lambda e: is_symbolic(e)), lambda e: F.concat(F.lit("symbolic calc remained: "), e))
+    before = checked((F.size(steps) == 0, "no steps"), (~c.rlike(r"^1\.\s"), "steps not numbered"))["reasons"]
+    after = checked((~c.rlike(r"(?m)^\s*####\s+.+"), "missing final ####"))["reasons"]
+    reasons = F.concat(before, symbolic, after)
+    return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
 
 def is_verifier_incorrect(role: Column, response: Column) -> Column:
@@ -44,10 +71,13 @@ def is_verifier_incorrect(role: Column, response: Column) -> Column:
     return F.when(role == "verifier", F.when(response.contains("<<VERDICT: INCORRECT"), True).when(response.contains("<<VERDICT: CORRECT"), False))
 
 
-def evidence(pred: Column, gold: Column, n_mismatch: Column, n_failed: Column) -> Column:
-    """TXT-28."""
-    final = F.when(blank_to_null(pred).isNull(), "No final answer was found.").when(answers_equal(pred, gold), "The final answer matches.").otherwise("The final answer does not match.")
-    return F.array_join(F.array_compact(F.array(final, F.when(n_mismatch > 0, F.concat(n_mismatch.cast("string"), F.lit(" calculation(s) are wrong."))), F.when(n_failed > 0, F.concat(n_failed.cast("string"), F.lit(" calculation(s) cannot be evaluated."))))), " ")
+def evidence(pred: Column, gold: Column, why: Column, mismatches: Column, n_failed: Column) -> Column:
+    """TXT-28: the final, up to three mismatches (an array of (expr, claimed, got)), the number of claims that can't be evaluated."""
+    missed = F.concat(F.lit("Final answer mismatch: predicted '"), pred, F.lit("' vs gold '"), gold, F.lit("' ("), why, F.lit(")."))
+    final = F.when(pred.isNull(), "Missing final answer marker '####'.").when(answers_equal(pred, gold), F.concat(F.lit("Final answer matches gold ("), gold, F.lit(")."))).otherwise(missed)
+    shown = F.transform(F.slice(mismatches, 1, 3), lambda m: F.concat(F.lit("Calc mismatch: '"), m["expr"], F.lit("' -> "), m["claimed"].cast("string"), F.lit(" (recalc "), m["got"].cast("string"), F.lit(").")))
+    failed = F.array_compact(F.array(F.when(n_failed > 0, F.concat(n_failed.cast("string"), F.lit(" calc line(s) not evaluable.")))))
+    return F.array_join(F.concat(F.array(final), shown, failed), " ")
 
 
 def verifier_block(pred: Column, gold: Column, why: Column) -> Column:

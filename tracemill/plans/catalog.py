@@ -236,7 +236,7 @@ def q_renumber(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", X.renumber(F.col("text")).alias("steps"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+\\.[ \\n]')) AS n_numbers, regexp_matches(lower(text), 'then|after|before|each|total|remaining|left|altogether|twice|half|percent') OR len(string_split_regex(trim(text, ' '), '\\s+')) >= 28 AS multistep FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+\\.[ \\n]')) AS n_numbers, regexp_matches(lower(text), 'then|after|each day|per day|per week|first|second|next|total|sum of|difference of') OR len(string_split_regex(trim(text, ' '), '\\s+')) >= 28 AS multistep FROM documents")
 def q_multistep(spark, sf_dir):
     """TXT-16, TXT-17."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+\.[ \n]"), 0)).cast("long").alias("n_numbers"), X.looks_multistep(F.col("text")).alias("multistep"))
@@ -269,7 +269,7 @@ def q_router_calls(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS a FROM documents)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN len(a) < 2 THEN 'too_few_lines' END, CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '^\\s*[0-9]+\\.\\s+'))) = 0 THEN 'no_numbered_step' END, 'no_calc_marker', 'no_final'], lambda x: x IS NOT NULL), ',') AS reasons FROM l""")
+SELECT doc_id, array_to_string(list_filter([CASE WHEN len(a) < 2 THEN 'too few lines' END, CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '^[0-9]+\\.\\s+[^\\s]'))) = 0 THEN 'no numbered steps' END, 'no calc markers', 'missing final ####'], lambda x: x IS NOT NULL), ',') AS reasons FROM l""")
 def q_qc_reasons(spark, sf_dir):
     """QC-2."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(quality_rules.reasoner_quality(F.col("text"))["reasons"], ",").alias("reasons"))
@@ -279,7 +279,7 @@ def q_qc_reasons(spark, sf_dir):
 def q_answer_norm(spark, sf_dir):
     """ANS-4, ANS-5."""
     s = F.col("p_size").cast("string")
-    text = F.concat(F.lit("$"), s, F.when(F.col("p_partkey") % 2 == 0, " dollars").otherwise(" km."))
+    text = F.concat(F.lit("$"), s, F.when(F.col("p_partkey") % 2 == 0, " dollars").otherwise(" kg."))
     return table(spark, sf_dir, "part").select("p_partkey", A.numeric_text(F.regexp_replace(text, r"\.$", "")).alias("norm"), A.answers_match(F.concat(s, F.lit(" .")), F.when(F.col("p_partkey") % 2 == 0, s).otherwise(F.concat(s, F.lit("0")))).alias("same"))
 
 

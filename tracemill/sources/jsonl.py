@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Source catalogue: key to hub names in the order in which they are tried; all are local paths here.
+#: Source keys and their (name, configuration) candidates in the order in which they are tried; all are local paths here.
 CATALOG = {
-    "gsm8k": [("openai/gsm8k", "main"), ("gsm8k", "main")],
-    "asdiv": [("EleutherAI/asdiv", None)],
+    "gsm8k": [("gsm8k", "main"), ("gsm8k", "socratic")],
+    "asdiv": [("EleutherAI/asdiv", None), ("asdiv", None)],
     "multiarith": [("ChilleD/MultiArith", None)],
     "addsub": [("allenai/lila", "addsub")],
-    "math": [("hendrycks/competition_math", None)],
-    "mathbench": [("opencompass/mathbench", None)],
-    "omni-math": [("KbsdJames/Omni-MATH", None)],
+    "MATH": [("nlile/hendrycks-MATH-benchmark", None), ("MATH", None)],
+    "MathBench": [("opencompass/MathBench", None)],
+    "Omni-MATH": [("KbsdJames/Omni-MATH", None)],
 }
 
 
