@@ -10,10 +10,10 @@ A document is the set of its word shingles as sorted 64-bit hashes; equal sets a
 3. Classes that still share a key get their sets. Those with an equal minimum hash are dealt in tiles of bounded size,
    sorted by set size: a tile compares bitmaps (hash modulo a power of two), whose bit counts bound the overlap from
    above, and intersects sorted arrays only where the bound leaves a link possible and the two are in different
-   components so far.
-4. What tiles left apart is joined on the prefix keys, only between different components, and must share `l` keys; these
-   pairs are intersected exactly. So no link between different components is lost, and a group of thousands of near
-   copies costs about as many comparisons as it has members.
+   components so far. A crowd of several tiles is compared tile against tile.
+4. Classes that never met in a tile are joined on the prefix keys, only between different components, and must share `l`
+   keys; these pairs are intersected exactly. So no link between different components is lost, and rows per class grow
+   with the tiles of its crowd, not with its members.
 
 Nulls and texts without words have empty sets and link with nothing; texts of fewer words than a shingle are one
 shingle. Repeated rows are members of one class. An empty table gives no rows.
@@ -35,7 +35,7 @@ from tracemill.llm.components import connected_components
 #: A shingle in more than one of so many documents (and of at least FREQUENT_LEAST) comes last in the order of prefixes.
 FREQUENT_SHARE, FREQUENT_LEAST = 2000, 48
 #: Classes in a tile, and minimum hashes by which classes meet in tiles.
-TILE, MEETINGS = 1024, 2
+TILE, MEETINGS = 1024, 3
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -168,7 +168,7 @@ def tile_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         # A band: sizes that may link with its smallest and largest; bitmaps are as wide as the band's largest set.
         end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] * 100 / percent, "right")))
         last = max(end, int(np.searchsorted(sizes, sizes[end - 1] * 100 / percent, "right")))
-        width = 1 << max(6, int(sizes[last - 1] - 1).bit_length())
+        width = 1 << max(6, int(sizes[last - 1] - 1).bit_length() + 2)
         maps = np.zeros((last - begin, width // 8), np.uint8)
         for i in range(begin, last):
             bits = (sets[order[i]] % np.uint64(width)).astype(np.int64)
@@ -260,18 +260,24 @@ def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_c
 
     meeting = sets.select("x", "s", F.explode("meet").alias("g"))
     crowds = meeting.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    dealt = meeting.join(crowds, "g").withColumn("tile", F.pmod(F.xxhash64("x"), F.ceil(F.col("m") / TILE)).cast("int"))
+    # A crowd of several tiles is compared tile against tile, so that all classes with an equal minimum hash have met.
+    n_tiles = F.ceil(F.col("m") / TILE)
+    own = F.pmod(F.xxhash64("x", "g"), n_tiles)
+    dealt = meeting.join(crowds, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_tiles - 1)))
+    dealt = dealt.withColumn("tile", F.least("own", "other") * n_tiles + F.greatest("own", "other"))
     first = written(tiles(dealt, percent).distinct(), "links")
     comps = written(connected_components(first), "components")
 
     # Between different components, classes that share enough prefix keys; the largest component of a key stands on one side only.
     of = buckets.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    of = of.join(sets.select("x", "meet").dropDuplicates(["x"]), "x")
     of = of.withColumn("c", F.count("*").over(Window.partitionBy("key", "comp")))
     most = F.max(F.struct("c", "comp")).over(Window.partitionBy("key")).getField("comp")
     of = of.withColumn("main", F.col("comp") == most).withColumn("several", F.min("comp").over(Window.partitionBy("key")) < F.max("comp").over(Window.partitionBy("key"))).where("several")
-    of = written(of.select("key", "x", "n", "l", "comp", "main"), "apart")
+    of = written(of.select("key", "x", "n", "l", "comp", "main", "meet"), "apart")
     p, q = of.where("NOT main").alias("p"), of.alias("q")
-    near = (F.col("p.comp") != F.col("q.comp")) & (F.col("q.main") | (F.col("p.x") < F.col("q.x"))) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
+    unmet = ~F.exists(F.zip_with("p.meet", "q.meet", lambda a, b: a == b), lambda same: same)
+    near = unmet & (F.col("p.comp") != F.col("q.comp")) & (F.col("q.main") | (F.col("p.x") < F.col("q.x"))) & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
     pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & near)
     pairs = pairs.groupBy(F.least("p.x", "q.x").alias("a"), F.greatest("p.x", "q.x").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("p.l", "q.l")).alias("l")).where("shared >= l").select("a", "b")
     second = exact_links(pairs, sets, percent)
