@@ -270,6 +270,24 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs_of(spark, ["a"]), train.limit(0)).first().predicted == 0
 
 
+def test_toxicity_disguises(spark):
+    counts = toxicity.character_counts(docs_of(spark, ["you are a vile idiot and an ass with a vigewort"] * 50 + [" ".join(chr(0x4E00 + i) + chr(0x4E00 + 7 * i % 2900) for i in range(2900))]))
+    model = toxicity.Characters(counts)
+    assert sum(counts.values()) == 50 * (3 + 3 + 1 + 4 + 5 + 3 + 2 + 3 + 4 + 1 + 8 + 11) + 2900 * 3
+    assert len({c for g in counts for c in g}) <= toxicity.ALPHABET + 3
+
+    def found(text):
+        tokens, apart = toxicity.tokens_of(text)
+        return {w for x in (*tokens, *apart) for w in toxicity.token_words(x, model)}
+
+    for text in ["so i d i o t! he said", "i d 1 o t", "i-d-1-o-t.", "iddiioott", "id-iot", "1d!ot!", "y o u a r e a n i d i o t " * 9, "i d i o t", "(i  d  i  o  t)", "y0u-1d10t"]:
+        assert "idiot" in found(text), text
+    assert "vigewort" in found("a vi9ewort")
+    assert "vile" in found("v i l e")
+    assert "ass" in found("a$$")
+    assert found("2013-05-06 $45.00") == {"2013", "05", "06", "45", "00"}
+
+
 def test_quality(spark):
     good = [words(60, s).capitalize() + "." for s in range(60)]
     junk = ["!! ".join(words(40, s).upper().split()) for s in range(60)]

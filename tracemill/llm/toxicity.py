@@ -3,12 +3,13 @@
 A character language model (counts of character trigrams over the words of all documents) and a channel of three ways
 to disguise a word: look-alike characters (leetspeak), characters set apart by spaces or marks, and repeated characters.
 Only words that show one of them are decoded: their characters span a lattice (each character stands for itself or what
-it looks like; a repeat may stand for a single character; separators may be dropped), and a Viterbi search over pairs of
-characters finds the likeliest word. Restored texts are scored by log odds of words and word beginnings, learned from the
+it looks like; a repeat may stand for a single character; separators may be dropped, and in spelt-out phrases end a
+word), and a Viterbi search over pairs of characters finds the likeliest word. Numbers are no words. Marks at the end
+that look like a letter are read both ways. Restored texts are scored by log odds of words and word beginnings, learned from the
 labelled rows given; what is learned is bounded by TERMS, and counts cover all labelled rows.
 
-Nulls and empty texts have no evidence and get the prior's low score. Very long texts are read whole; a run of
-characters longer than LONGEST is no word and is left as it is. Repeated rows count each for itself. Without labelled rows
+Nulls and empty texts have no evidence and get the prior's low score. Very long texts, tokens and spelt-out
+phrases are read whole; words longer than LONGEST don't count for the language model. Repeated rows count each for itself. Without labelled rows
 of both kinds every text scores the prior. Further columns are not read.
 """
 
@@ -25,28 +26,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import written
+
 #: What a character may stand for in a disguised word, besides itself.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il"}
 #: Log probabilities of the channel: a character as it is, a look-alike, one more repeat, a separator put in.
 AS_IS, ALIKE, REPEAT, SEPARATOR = math.log(0.9), math.log(0.08), math.log(0.05), math.log(0.05)
 LONGEST = 40
+#: Most frequent characters that the language model tells apart; all others count as one, OTHER. Trigrams aren't limited.
+ALPHABET, OTHER = 256, "\ufffd"
+#: Signs for the begin and the end of a word; texts don't use them ("$" and "^" are characters of tokens).
+BEGIN, END = "\ue000", "\ue001"
 #: Strongest terms that scoring uses, and the beginnings of words that count as terms.
 TERMS, BEGINNINGS = 50_000, (4, 5, 6)
 #: Pseudo-documents by which odds shrink to the prior, the least log odds of a term, and the words that count in a text.
 SHRINK, LEAST_ODDS, MOST_WORDS = 4, 2.5, 8
 
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
-SUSPECT = re.compile(r"[^\W\d_].*[0134578@$!+|]|[0134578@$!+|].*[^\W\d_]|([^\W\d_])\1\1", re.UNICODE)
-APART = re.compile(r"(?<!\S)[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?!\S)", re.UNICODE)
+NUMBER = re.compile(r"[$+]?[\d.,:;/%+-]*")
+DISGUISED = re.compile(r"([^\W\d_])\1|[^\W_][.*_-]+[^\W_]", re.UNICODE)
+SINGLE = rf"(?:[^\W\d_]|[{re.escape(''.join(LOOKS_LIKE))}])"
+APART = re.compile(rf"""(?<![^\s"'(\[]){SINGLE}(?:[\s.*_-]+{SINGLE}){{2,}}(?=[^\w\s]*(?:\s|$))""", re.UNICODE)
+GAP, INNER = re.compile(r"[\s.*_-]+"), re.compile(r"[.*_-]+")
+#: Marks around a token that look like no letter, and marks that end one.
+EDGES, CLOSING = ".,;:?\"'()[]*%#&", ".,;:?!\"')|*%$#&"
 #: Tokens whose words a task keeps; distinct signatures of texts that a task keeps for a term.
 KEPT, SIGNATURES = 300_000, 16
+#: Decoded tokens that a Python worker keeps from task to task.
+DECODED = 50_000
 MARKS = " .*_-"
 
 
 class Characters:
     """Log probabilities of a character after two others, from counts."""
 
+    last: tuple[int, Characters] | None = None
+
+    @classmethod
+    def shared(cls, counts: dict[str, int]) -> Characters:
+        """The model of these counts; a worker's next tasks get the same one."""
+        key = hash(frozenset(counts.items()))
+        if cls.last is None or cls.last[0] != key:
+            cls.last = key, cls(counts)
+        return cls.last[1]
+
     def __init__(self, counts: dict[str, int]):
+        self.decoded: dict[tuple[str, bool], str] = {}
         self.three, self.two, self.one = dict(counts), Counter(), Counter()
         for g, n in counts.items():
             self.two[g[:2]] += n
@@ -54,47 +79,80 @@ class Characters:
         self.total, self.kinds, self.known = max(1, sum(self.one.values())), max(1, len(self.one)), {}
 
     def __call__(self, a: str, b: str, c: str) -> float:
-        g = a + b + c
-        p = self.known.get(g)
+        g = key = a + b + c
+        p = self.known.get(key)
         if p is None:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            g = "".join(OTHER if x.isalpha() and x not in self.one else x for x in g)
+            a, b, c = g
             low = (self.one.get(c, 0) + 0.5) / (self.total + 0.5 * self.kinds + 1)
-            p = self.known[g] = math.log((self.three.get(g, 0) + 2 * low) / (self.two.get(a + b, 0) + 2))
+            p = self.known[key] = math.log((self.three.get(g, 0) + 2 * low) / (self.two.get(a + b, 0) + 2))
         return p
 
 
-def restore(token: str, model: Characters) -> str:
-    """The likeliest word behind a token."""
-    begin, end = 0, len(token)
-    while begin < end and token[end - 1] in ".,;:?!\"')":  # a mark at the end is a mark
-        end -= 1
-    token = token[begin:end]
-    if not token or len(token) > LONGEST:
-        return token
-    states = {("^", "^"): (0.0, "")}
+def restore(token: str, model: Characters, apart: bool = False) -> str:
+    """The likeliest word behind a token, or the likeliest words behind characters set apart by single spaces."""
+    states = {(BEGIN, BEGIN): (0.0, None)}  # ways are linked backwards, so that long tokens take linear time
     for ch in token:
-        nxt: dict[tuple[str, str], tuple[float, str]] = {}
+        nxt: dict[tuple[str, str], tuple[float, tuple | None]] = {}
 
-        def offer(key, score, word, nxt=nxt):
+        def offer(key, score, way, nxt=nxt):
             if key not in nxt or score > nxt[key][0]:
-                nxt[key] = (score, word)
-
-        for (a, b), (score, word) in states.items():
-            for c, cost in [(ch, AS_IS), *((x, ALIKE) for x in LOOKS_LIKE.get(ch, ""))]:
+                nxt[key] = (score, way)
+
+        gap, options = ch in MARKS, [(ch, AS_IS), *((x, ALIKE) for x in LOOKS_LIKE.get(ch, ""))]
+        for (a, b), (score, way) in states.items():
+            if gap:
+                offer((a, b), score + SEPARATOR, way)
+                if apart:
+                    if b != BEGIN:
+                        offer((BEGIN, BEGIN), score + SEPARATOR + model(a, b, END), (way, " "))
+                    continue
+            for c, cost in options:
                 if c == b:
-                    offer((a, b), score + REPEAT, word)
-                offer((b, c), score + cost + model(a, b, c), word + c)
-            if ch in MARKS:
-                offer((a, b), score + SEPARATOR, word)
+                    offer((a, b), score + REPEAT, way)
+                offer((b, c), score + cost + model(a, b, c), (way, c))
         states = nxt
-    return max(((s + model(a, b, "$"), w) for (a, b), (s, w) in states.items()), key=lambda x: x[0])[1]
+    way, out = max(((s + model(a, b, END), w) for (a, b), (s, w) in states.items()), key=lambda x: x[0])[1], []
+    while way:
+        way, c = way
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def decoded(token: str, model: Characters, apart: bool = False) -> list[str]:
+    """The words of restore(), remembered."""
+    found = model.decoded.get((token, apart))
+    if found is None:
+        found = restore(token, model, apart)
+        if len(model.decoded) > DECODED:
+            model.decoded.clear()
+        if len(token) <= LONGEST:
+            model.decoded[token, apart] = found
+    return WORD.findall(found)
+
+
+def suspect(token: str) -> bool:
+    """Whether a token shows a disguise: a look-alike, a repeated letter or a mark within."""
+    if NUMBER.fullmatch(token):
+        return False
+    return not LOOKS_LIKE.keys().isdisjoint(token) or DISGUISED.search(token) is not None
 
 
 def token_words(token: str, model: Characters) -> tuple[str, ...]:
-    """The words of a lower-case token, restored ones besides the plain ones."""
+    """The words of a lower-case token or run of characters set apart, restored ones besides the plain ones."""
     words = WORD.findall(token)
-    body = token.rstrip(".,;:?!\"')|*%$#&")
-    if len(body) <= LONGEST and (SUSPECT.search(body) or APART.fullmatch(body)):
-        words += WORD.findall(restore(body, model))
+    body = token.strip(EDGES)
+    for form in dict.fromkeys((body.rstrip(CLOSING), body)):
+        if APART.fullmatch(form):
+            words += decoded(GAP.sub(" ", form), model, apart=True) + decoded(GAP.sub("", form), model)
+        elif suspect(form):
+            words += decoded(form, model)
+            pieces = INNER.split(form)
+            for piece in pieces if len(pieces) > 1 else ():
+                if suspect(piece):
+                    words += decoded(piece, model)
     return tuple(dict.fromkeys(words))
 
 
@@ -105,11 +163,12 @@ def word_terms(word: str) -> list[str]:
 def tokens_of(text: str) -> tuple[set[str], list[str]]:
     """Distinct tokens, and runs of single characters that are set apart."""
     low = text.lower()
-    return set(low.split()), [m.group() for m in APART.finditer(low)]
+    tokens = set(low.split())
+    return tokens, [x for x in dict.fromkeys(m.group() for m in APART.finditer(low)) if x not in tokens and any(map(str.isalpha, x))]
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Trigrams of characters (with word ends) over all words of all documents; as many as there are such trigrams."""
+    """Trigrams of characters (with word ends) over all words of all documents: all there are over the ALPHABET."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[str] = Counter()
@@ -118,7 +177,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
             grams: Counter[str] = Counter()
             for w, n in words.items():
                 if len(w) <= LONGEST and w.isalpha():
-                    w = f"^^{w}$"
+                    w = BEGIN + BEGIN + w + END
                     for i in range(len(w) - 2):
                         grams[w[i : i + 3]] += n
             words.clear()
@@ -133,7 +192,10 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
             yield counted()
 
     sums = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    return {r["g"]: r["n"] for r in sums.orderBy(F.desc("n"), "g").limit(100_000).collect()}
+    sums = written(sums, "trigrams")
+    often = sums.groupBy(F.substring("g", 3, 1).alias("c")).agg(F.sum("n").alias("n")).where(F.col("c") != END).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
+    rare = f"[^{BEGIN}{END}" + "".join(r["c"] for r in often) + "]"
+    return {r["g"]: r["n"] for r in sums.groupBy(F.regexp_replace("g", rare, OTHER).alias("g")).agg(F.sum("n").alias("n")).collect()}
 
 
 def term_evidence(rows: DataFrame, counts: dict[str, int]) -> tuple[dict[str, float], float]:
@@ -145,7 +207,7 @@ def term_evidence(rows: DataFrame, counts: dict[str, int]) -> tuple[dict[str, fl
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known, seen = Characters(shared.value), {}, {}
+        model, known, seen = Characters.shared(shared.value), {}, {}
 
         def counted() -> Iterator[pd.DataFrame]:
             rows = list(seen.items())
@@ -192,13 +254,16 @@ def evidence(text, counts: dict[str, int], weights: dict[str, float]):
     @F.pandas_udf("double")
     def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counts, weights = shared.value
-        model, known = Characters(counts), {}
+        model = Characters.shared(counts)
+
+        def odds_of(words) -> list[float]:
+            return [max(weights.get(t, 0.0) for t in word_terms(w)) for w in words]
 
         class Odds(dict):
             def __missing__(self, token: str) -> float:
                 if len(self) > KEPT:
                     self.clear()
-                best = max((weights.get(t, 0.0) for w in token_words(token, model) for t in word_terms(w)), default=0.0)
+                best = max(odds_of(token_words(token, model)), default=0.0)
                 if len(token) <= LONGEST:
                     self[token] = best
                 return best
@@ -208,7 +273,8 @@ def evidence(text, counts: dict[str, int], weights: dict[str, float]):
             out = []
             for t in texts:
                 tokens, apart = tokens_of(t or "")
-                out.append(sum(sorted(map(known.__getitem__, (*tokens, *apart)), reverse=True)[:MOST_WORDS]))
+                spelt = {w for x in apart for w in token_words(x, model)}  # a spelt-out phrase is as many words as it has
+                out.append(sum(sorted((*map(known.__getitem__, tokens), *odds_of(spelt)), reverse=True)[:MOST_WORDS]))
             yield pd.Series(out, dtype="float64")
 
     return summed(text)
