@@ -227,6 +227,28 @@ def test_pii(spark):
     assert pii.find_spans(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_pii_terms(spark):
+    far = " ".join(["some", "words", "that", "stand", "between"] * 60)
+    texts = [f"quorlin {far} wrote from one@mail.org", "quorlin alone without any address", *["same text of plumbus one two@mail.org"] * 9, "three@mail.org and plumbus"]
+    texts += [f"some words that stand between wrote alone without any address from text of the same and so on {i}" for i in range(2000)]
+    got = {r.doc_id: r for r in pii.find_spans(docs_of(spark, texts)).collect()}
+    size, total = {i: set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub(BASE["email"], " ", lower(t)))) for i, t in enumerate(texts)}, 2004
+    once = {t: i for i, t in enumerate(texts)}.values()
+    assert len(once) == total
+    n_t = Counter(w for i in once for w in size[i])
+    reveal = set()
+    for e in ("one@", "two@", "three@"):
+        inside = [i for i in once if e in texts[i]]
+        n_et, p = Counter(w for i in inside for w in size[i]), len(inside) / total
+        reveal |= {w for w, n in n_et.items() if len(w) >= 3 and not w.isdigit() and np.log((n + 2 * p) / (n_t[w] + 2) / p) >= -0.8 * np.log(p)}
+    for i, t in enumerate(texts):
+        taken = [(s, e) for s, _, e in base_spans(t)]
+        want = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m.group().lower() in reveal and not any(m.start() < e and s < m.end() for s, e in taken)]
+        assert [(s.start, s.end) for s in got[i].spans if s.kind == 4] == want, i
+    assert {"quorlin", "plumbus"} <= reveal
+    assert "some" not in reveal
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = (r.normal(size=(20, 16))[r.integers(0, 20, 5000)] + 0.3 * r.normal(size=(5000, 16))).astype(np.float32)

@@ -1,17 +1,18 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Base spans are patterns (e-mail, IP address, card and phone numbers). Each base span is a mention of a protected entity
-(its kind and text). From the documents' co-occurrence of entities and the words around their mentions,
-PMI(entity, term) = log(N n(entity, term) / (n(entity) n(term))) tells how much a term says about an entity; a term
-that gives at least `disclosure` of the entity's information content log(N / n(entity)), in at least `support`
-documents, reveals it. Its occurrences around mentions of the entity become spans of kind `term`. Sanitising removes
+(its kind and text). From the co-occurrence of entities and words in whole documents,
+PMI(entity, term) = log(N P(entity | term) / n(entity)) tells how much a term says about an entity, where
+P(entity | term) is n(entity, term) / n(term), shrunk to n(entity) / N by `support` pseudo-documents, so that entities of
+one document have terms too. A term that gives at least `disclosure` of an entity's information content log(N / n(entity))
+reveals it. Every occurrence of a revealing term, in whatever document, becomes a span of kind `term`. Sanitising removes
 base spans for a tag of their kind and generalises term spans to `[TERM]`.
 
-n(term) counts all documents, n(entity) all documents with the entity; candidates are joined, never crossed: a mention
-gives at most 2 * WINDOW terms. Patterns are possessive or anchored at run starts, so very long texts take linear time
+Counts are of distinct texts; words inside of base spans aren't counted. A document gives as many pairs as it has
+entities times distinct words. Patterns are possessive or anchored at run starts, so very long texts take linear time
 and no deep recursion.
 
-Nulls and empty texts have no spans. Repeated rows each count as a document. Empty tables give no rows.
+Nulls and empty texts have no spans. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ PATTERNS = {
 }
 #: A cheap test that any text with a match passes.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Words on each side of a mention that may reveal it.
-WINDOW = 5
 WORD_BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 
@@ -83,23 +82,29 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def words_around(text: Column, s: Column) -> Column:
-    """Up to WINDOW words on each side of a span, with their places: an array of (term, start, end)."""
-    reach = WINDOW * 40
-    begin = F.greatest(s["start"] - reach, F.lit(0))
-    out = []
-    for part, offset, side in ((F.substring(text, begin + 1, s["start"] - begin), begin, -1), (F.substring(text, s["end"] + 1, F.lit(reach)), s["end"], 1)):
-        between, found = F.split(part, f"[^{WORD_BREAKS}]+", -1), F.regexp_extract_all(part, F.lit(f"[^{WORD_BREAKS}]+"), 0)
-        pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
-        kind = "array<struct<term:string,start:int,end:int>>"
+def is_term(w: Column) -> Column:
+    return (F.length(w) >= 3) & ~w.rlike("^[0-9]+$")
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + x["b"]
-            return F.struct((start + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("term"), start.alias("start"), (start + F.length(x["m"])).alias("end")))).alias("out"))
 
-        placed = F.aggregate(pairs, F.struct(offset.cast("int").alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
-        out.append(F.slice(placed, F.greatest(F.size(placed) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)) if side < 0 else F.slice(placed, 1, WINDOW))
-    return F.filter(F.concat(*out), lambda w: (F.length(w["term"]) >= 3) & ~w["term"].rlike("^[0-9]+$"))
+def terms_of(text: Column, spans: Column) -> Column:
+    """The distinct lower-case words of a text outside of spans."""
+    bare = F.when(F.size(spans) > 0, replaced(text, spans, lambda s: F.lit(" "))).otherwise(text)
+    return F.filter(F.array_distinct(split_words(ascii_lower(bare), WORD_BREAKS)), is_term)
+
+
+def places_of(text: Column, terms: Column) -> Column:
+    """Where the terms stand in a text: an array of (start, kind, end)."""
+    word = f"[^{WORD_BREAKS}]+"
+    between, found = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), 0)
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(F.array_contains(terms, ascii_lower(m)).alias("hit"), F.length(m).alias("m"), F.length(b).alias("b")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + x["b"] + x["m"]
+        span = F.struct((a["at"] + x["b"]).alias("start"), F.lit(KINDS.index("term")).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(x["hit"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(pairs, begin, step, lambda a: a["out"])
 
 
 def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,42 +112,49 @@ def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, id_co
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = F.array_sort(F.concat(*[spans_of(F.col("text"), k) for k in KINDS[:4]]))
     base = texts.withColumn("base", F.when(F.col("text").rlike("@|[0-9]"), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")))
-    around = F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), words_around(F.col("text"), s).alias("words")))
-    base = written(base.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), around.alias("mentions")), "base-spans")
-
-    mentions = base.where(F.size("mentions") > 0).select("doc_id", "h", F.explode("mentions").alias("m")).select("doc_id", "h", "m.entity", F.explode("m.words").alias("w"))
-    mentions = mentions.select("doc_id", "h", "entity", ascii_lower(F.col("w.term")).alias("term"), "w.start", "w.end")
-    total = base.count()
-    entities = base.where(F.size("mentions") > 0).select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    # Rows of one document are a document each; distinct within the document only.
-    in_doc = mentions.groupBy("doc_id", "h", "entity", "term").agg(F.lit(1).alias("_"))
-    pairs = written(in_doc.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support).join(entities, "entity"), "pairs")
-    wanted = pairs.select("term").distinct()
-    words = texts.select(F.explode(F.array_distinct(split_words(ascii_lower(F.col("text")), WORD_BREAKS))).alias("term"))
-    n_t = words.join(few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    information = F.log(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    reveal = written(pairs.join(n_t, "term").where((information > 0) & (pmi >= disclosure * information)).select("entity", "term"), "revealing")
-
-    terms = mentions.join(few(reveal), ["entity", "term"], "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
-    out = base.join(terms, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    base = written(base.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), entities.alias("entities"), terms_of(F.col("text"), F.col("base")).alias("words")), "base-spans")
+
+    # Each of n copies of a text counts 1 / n, which needs no row of all copies to be chosen.
+    copies = base.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = base.join(few(copies), "h", "left").withColumn("weight", 1 / F.coalesce(F.col("_n"), F.lit(1)))
+    count = F.round(F.sum("weight"))
+    total = rows.agg(count).first()[0] or 0.0
+    holders = written(rows.where(F.size("entities") > 0).select("h", "weight", F.explode("entities").alias("entity"), "words"), "holders")
+    n_e = holders.groupBy("entity").agg(count.alias("n_e"))
+    n_et = holders.select("entity", "weight", F.explode("words").alias("term")).groupBy("entity", "term").agg(count.alias("n_et"))
+    n_t = rows.select("weight", F.explode("words").alias("term")).groupBy("term").agg(count.alias("n_t"))
+    share = F.col("n_e") / F.lit(float(total))
+    given = (F.col("n_et") + support * share) / (F.col("n_t") + support)
+    pairs = n_et.join(few(n_e), "entity").join(n_t, "term")
+    reveal = written(pairs.where((share < 1) & (F.log(given / share) >= -disclosure * F.log(share))).select("term").distinct(), "revealing")
+
+    hits = base.select("doc_id", "h", F.explode("words").alias("term")).join(few(reveal), "term", "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("term").alias("hits"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+    terms = texts.join(few(hits), same).select("_d", "_h", places_of(F.col("text"), F.col("hits")).alias("terms")).groupBy("_d", "_h").agg(F.first("terms").alias("terms"))
+    out = base.join(terms, same, "left")
     # A term inside of a base span is no further span.
     free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return out.select("doc_id", "h", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free))).alias("spans"))
 
 
-def sanitise(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of spans that overlap the first stays."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each span s replaced by by(s); of spans that overlap the first stays."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        here = F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])).alias("out"))
+        here = F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), by(s)).alias("out"))
         return F.when(s["start"] >= a["at"], here).otherwise(a)
 
     return F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
+def sanitise(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in brackets; of spans that overlap the first stays."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    return replaced(text, spans, lambda s: F.get(names, s["kind"]))
+
+
 def sanitise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """docs with their texts sanitised."""
     spans = find_spans(docs, id_col=id_col, text_col=text_col, **limits).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans")
