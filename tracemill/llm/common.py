@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tracemill-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -35,9 +37,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows (counted), else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def few(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows (counted), else df for a shuffled join.
+
+    Rows with arrays count by `weight`, the number of their elements.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(weight + 1)).first()[0] or 0) <= most else df
+
+
+def semi_join(df: DataFrame, wanted: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """Rows of df whose key is in `wanted` (one row per key): by broadcast if wanted is small, else by a shuffle in which
+    the rows of a frequent key are dealt over `salts` tasks."""
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if small:
+        return df.join(F.broadcast(wanted), key, "left_semi")
+    dealt = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(dealt, [key, "_salt"], "left_semi").drop("_salt")
 
 
 def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:

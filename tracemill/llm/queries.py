@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import few, read, written
+from tracemill.llm.common import read
 from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.jaccard import jaccard_components
 from tracemill.llm.mixing import mix, taken_words
@@ -67,7 +67,7 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"), length=5, percent=80)
+    return jaccard_components(read(spark, sf_dir, "documents"), length=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
 OP8_SQL = r"""
@@ -89,27 +89,24 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def learnable(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Texts and labels of the rows that may be learned from."""
-    known = labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", label)
-    return written(docs.select("doc_id", "text").join(few(known), "doc_id"), "labelled")
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """Ids and labels of the rows that may be learned from."""
+    return labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", label)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = score_toxicity(docs, learnable(docs, read(spark, sf_dir, "labels"), "toxic"), threshold=0.5)
+    found = score_toxicity(read(spark, sf_dir, "documents"), learnable(read(spark, sf_dir, "labels"), "toxic"), threshold=0.5)
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(read(spark, sf_dir, "documents"), disclosure=0.8, support=2)
     count = [F.size(F.expr(f"filter(base, s -> s.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return found.select("doc_id", *count, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *count, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), F.size("base").cast("long").alias("n_base"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    found = score_quality(docs, learnable(docs, read(spark, sf_dir, "labels"), "quality"), threshold=0.3)
+    found = score_quality(read(spark, sf_dir, "documents"), learnable(read(spark, sf_dir, "labels"), "quality"), threshold=0.3)
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -125,12 +122,17 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / 64) AS BIGINT) AS segment FROM conversations),
+WITH said AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS k FROM conversations),
 who AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
-seen AS (SELECT s.*, w.perspective, '<|' || CASE WHEN s.role = w.perspective THEN 'assistant' WHEN s.role = 'system' THEN 'system' ELSE 'user name=' || s.role END || '|>' || chr(10) AS head FROM said s JOIN who w ON s.conv_id = w.conv_id),
-placed AS (SELECT *, coalesce(sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
-SELECT conv_id, perspective, segment, count(*) AS n_messages, string_agg(head || text || chr(10), '' ORDER BY turn, role, text) AS rendered,
-  coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(text) AS BIGINT), ',' ORDER BY turn, role, text) FILTER (WHERE role = perspective), '') AS mask
+carried AS (SELECT conv_id, role, arg_min(text, k) AS text, min(k) AS k FROM said WHERE role = 'system' GROUP BY conv_id, role),
+last AS (SELECT conv_id, max(k) // 64 AS last FROM said GROUP BY conv_id),
+later AS (SELECT conv_id, unnest(range(1, last + 1)) AS segment FROM last),
+shown AS (SELECT conv_id, k // 64 AS segment, k, role, text FROM said UNION ALL
+  SELECT c.conv_id, l.segment, c.k, c.role, c.text FROM carried c JOIN later l ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.k < l.segment * 64),
+seen AS (SELECT s.*, w.perspective, '<|' || CASE WHEN s.role = w.perspective THEN 'assistant' WHEN s.role = 'system' THEN 'system' ELSE 'user name=' || s.role END || '|>' || chr(10) AS head FROM shown s JOIN who w ON s.conv_id IS NOT DISTINCT FROM w.conv_id),
+placed AS (SELECT *, coalesce(sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
+SELECT conv_id, perspective, segment, count(*) AS n_messages, string_agg(head || text || chr(10), '' ORDER BY k) AS rendered,
+  coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(text) AS BIGINT), ',' ORDER BY k) FILTER (WHERE role = perspective), '') AS mask
 FROM placed GROUP BY conv_id, perspective, segment
 """
 

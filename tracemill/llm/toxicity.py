@@ -5,12 +5,13 @@ to disguise a word: look-alike characters (leetspeak), characters set apart by s
 Only words that show one of them are decoded: their characters span a lattice (each character stands for itself or what
 it looks like; a repeat may stand for a single character; separators may be dropped, and in spelt-out phrases end a
 word), and a Viterbi search over pairs of characters finds the likeliest word. Numbers are no words. Marks at the end
-that look like a letter are read both ways. Restored texts are scored by log odds of words and word beginnings, learned from the
-labelled rows given; what is learned is bounded by TERMS, and counts cover all labelled rows.
+that look like a letter are read both ways. Restored texts are scored by log odds of words and word beginnings, learned
+from the labelled rows; counts cover all of them. A term needs about five different toxic texts to count, so the terms
+on the driver are far fewer than the labelled rows' words.
 
-Nulls and empty texts have no evidence and get the prior's low score. Very long texts, tokens and spelt-out
-phrases are read whole; words longer than LONGEST don't count for the language model. Repeated rows count each for itself. Without labelled rows
-of both kinds every text scores the prior. Further columns are not read.
+Nulls and empty texts have no evidence and get the prior's low score. Very long texts, tokens and spelt-out phrases are
+read whole. Repeated rows count each for itself; a repeated id takes each of its labels. Without labelled rows of both
+kinds every text scores the prior. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,34 +27,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import written
+from tracemill.llm.common import few, written
 
 #: What a character may stand for in a disguised word, besides itself.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il"}
 #: Log probabilities of the channel: a character as it is, a look-alike, one more repeat, a separator put in.
 AS_IS, ALIKE, REPEAT, SEPARATOR = math.log(0.9), math.log(0.08), math.log(0.05), math.log(0.05)
-LONGEST = 40
 #: Most frequent characters that the language model tells apart; all others count as one, OTHER. Trigrams aren't limited.
 ALPHABET, OTHER = 256, "\ufffd"
 #: Signs for the begin and the end of a word; texts don't use them ("$" and "^" are characters of tokens).
 BEGIN, END = "\ue000", "\ue001"
-#: Strongest terms that scoring uses, and the beginnings of words that count as terms.
-TERMS, BEGINNINGS = 50_000, (4, 5, 6)
-#: Pseudo-documents by which odds shrink to the prior, the least log odds of a term, and the words that count in a text.
-SHRINK, LEAST_ODDS, MOST_WORDS = 4, 2.5, 8
+#: The beginnings of words that count as terms.
+BEGINNINGS = (4, 5, 6)
+#: Pseudo-documents by which odds shrink to the prior, and the least log odds of a term.
+SHRINK, LEAST_ODDS = 4, 2.5
 
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 NUMBER = re.compile(r"[$+]?[\d.,:;/%+-]*")
 DISGUISED = re.compile(r"([^\W\d_])\1|[^\W_][.*_-]+[^\W_]", re.UNICODE)
 SINGLE = rf"(?:[^\W\d_]|[{re.escape(''.join(LOOKS_LIKE))}])"
 APART = re.compile(rf"""(?<![^\s"'(\[]){SINGLE}(?:[\s.*_-]+{SINGLE}){{2,}}(?=[^\w\s]*(?:\s|$))""", re.UNICODE)
+RUN = re.compile(r"([^\W\d_])\1+", re.UNICODE)
 GAP, INNER = re.compile(r"[\s.*_-]+"), re.compile(r"[.*_-]+")
 #: Marks around a token that look like no letter, and marks that end one.
 EDGES, CLOSING = ".,;:?\"'()[]*%#&", ".,;:?!\"')|*%$#&"
 #: Tokens whose words a task keeps; distinct signatures of texts that a task keeps for a term.
 KEPT, SIGNATURES = 300_000, 16
-#: Decoded tokens that a Python worker keeps from task to task.
-DECODED = 50_000
+#: Decoded tokens that a Python worker keeps from task to task, and the longest token that is remembered.
+DECODED, REMEMBERED = 50_000, 64
 MARKS = " .*_-"
 
 
@@ -121,14 +122,34 @@ def restore(token: str, model: Characters, apart: bool = False) -> str:
     return "".join(reversed(out))
 
 
+def unrepeated(token: str, model: Characters) -> str:
+    """What restore() gives for a token without look-alikes and marks: how many letters of a run stay.
+
+    No trigram spans the choices of two runs, so each run is decided by itself; as the score is linear in the number of
+    letters from two on, one letter, two and all are the only candidates.
+    """
+
+    def shorter(m: re.Match) -> str:
+        c, n = m[1], len(m[0])
+        b = token[m.start() - 1] if m.start() else BEGIN
+        d = token[m.end()] if m.end() < len(token) else END
+        more = model(b, c, c) + model(c, c, d)
+        scores = [((n - 1) * REPEAT + model(b, c, d), 1), (AS_IS + (n - 2) * REPEAT + more, 2), ((n - 1) * AS_IS + more + (n - 2) * model(c, c, c), n)]
+        return c * max(scores, key=lambda x: x[0])[1]
+
+    return RUN.sub(shorter, token)
+
+
 def decoded(token: str, model: Characters, apart: bool = False) -> list[str]:
     """The words of restore(), remembered."""
+    if LOOKS_LIKE.keys().isdisjoint(token) and not any(x in token for x in MARKS):
+        return WORD.findall(unrepeated(token, model))
     found = model.decoded.get((token, apart))
     if found is None:
         found = restore(token, model, apart)
         if len(model.decoded) > DECODED:
             model.decoded.clear()
-        if len(token) <= LONGEST:
+        if len(token) <= REMEMBERED:
             model.decoded[token, apart] = found
     return WORD.findall(found)
 
@@ -142,8 +163,11 @@ def suspect(token: str) -> bool:
 
 def token_words(token: str, model: Characters) -> tuple[str, ...]:
     """The words of a lower-case token or run of characters set apart, restored ones besides the plain ones."""
-    words = WORD.findall(token)
     body = token.strip(EDGES)
+    if body.isalpha():
+        short = unrepeated(body, model) if RUN.search(body) else body
+        return (body,) if short == body else (body, short)
+    words = WORD.findall(token)
     for form in dict.fromkeys((body.rstrip(CLOSING), body)):
         if APART.fullmatch(form):
             words += decoded(GAP.sub(" ", form), model, apart=True) + decoded(GAP.sub("", form), model)
@@ -160,10 +184,23 @@ def word_terms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
 
 
+def may_be_apart(words: list[str]) -> bool:
+    """Whether neighbouring tokens end and begin with a single character, as in any phrase that APART finds over white space."""
+    for i, b in enumerate(words[1:]):
+        if len(b) == 1 or not b[1].isalnum() or b[0] in MARKS:
+            a = words[i].rstrip(MARKS)
+            if len(a) <= 1 or not a[-2].isalnum():
+                return True
+    return False
+
+
 def tokens_of(text: str) -> tuple[set[str], list[str]]:
     """Distinct tokens, and runs of single characters that are set apart."""
     low = text.lower()
-    tokens = set(low.split())
+    words = low.split()
+    tokens = set(words)
+    if not may_be_apart(words):
+        return tokens, []
     return tokens, [x for x in dict.fromkeys(m.group() for m in APART.finditer(low)) if x not in tokens and any(map(str.isalpha, x))]
 
 
@@ -176,7 +213,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
         def counted() -> pd.DataFrame:
             grams: Counter[str] = Counter()
             for w, n in words.items():
-                if len(w) <= LONGEST and w.isalpha():
+                if w.isalpha():
                     w = BEGIN + BEGIN + w + END
                     for i in range(len(w) - 2):
                         grams[w[i : i + 3]] += n
@@ -243,7 +280,7 @@ def term_evidence(rows: DataFrame, counts: dict[str, int]) -> tuple[dict[str, fl
     sums = rows.mapInPandas(run, "w string, n0 long, n1 long, s array<long>").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n1") > 0, F.col("s"))))).alias("s"))
     differ = F.when(F.size("s") < SIGNATURES, F.least(F.col("n1"), F.size("s"))).otherwise(F.col("n1"))
     odds = F.log((differ + SHRINK * share) / (F.col("n0") + SHRINK * (1 - share))) - math.log(share / (1 - share))
-    best = sums.withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).orderBy(F.desc("odds"), "w").limit(TERMS).select("w", "odds").collect()
+    best = sums.withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).select("w", "odds").collect()
     return {r["w"]: r["odds"] for r in best}, math.log(n1 / n0)
 
 
@@ -264,7 +301,7 @@ def evidence(text, counts: dict[str, int], weights: dict[str, float]):
                 if len(self) > KEPT:
                     self.clear()
                 best = max(odds_of(token_words(token, model)), default=0.0)
-                if len(token) <= LONGEST:
+                if len(token) <= REMEMBERED:
                     self[token] = best
                 return best
 
@@ -274,7 +311,7 @@ def evidence(text, counts: dict[str, int], weights: dict[str, float]):
             for t in texts:
                 tokens, apart = tokens_of(t or "")
                 spelt = {w for x in apart for w in token_words(x, model)}  # a spelt-out phrase is as many words as it has
-                out.append(sum(sorted((*map(known.__getitem__, tokens), *odds_of(spelt)), reverse=True)[:MOST_WORDS]))
+                out.append(math.fsum(map(known.__getitem__, tokens)) + math.fsum(odds_of(spelt)))
             yield pd.Series(out, dtype="float64")
 
     return summed(text)
@@ -296,13 +333,15 @@ def fitted(points: list[tuple[float, int, int]], prior: float) -> tuple[float, f
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] = ()) -> DataFrame:
-    """Per document: doc_id, score (0 to 1), predicted and the columns to keep. labelled: rows to learn from, with texts."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Per document: doc_id, h (hash of the text), score (0 to 1) and predicted. labels: ids and labels to learn from."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = few(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")))
+    rows = written(texts.join(known, "doc_id").select("text", "y"), "labelled")
     counts = character_counts(docs, text_col)
     weights, prior = term_evidence(rows, counts)
-    seen = rows.select(F.round(evidence(F.col("text"), counts, weights), 1).alias("x"), "y").groupBy("x").agg(F.count(F.when(F.col("y") == 0, 1)), F.count(F.when(F.col("y") == 1, 1))).collect() if weights else []
+    found = written(texts.select("doc_id", F.xxhash64("text").alias("h"), evidence(F.col("text"), counts, weights).alias("x")), "evidence")
+    seen = found.join(known, "doc_id").groupBy(F.round("x", 1).alias("x")).agg(F.count(F.when(F.col("y") == 0, 1)), F.count(F.when(F.col("y") == 1, 1))).collect() if weights else []
     a, b = fitted([tuple(r) for r in seen], prior)
-    s = docs.select(F.col(id_col).alias("doc_id"), *[c for c in keep if c != id_col], evidence(F.col(text_col), counts, weights).alias("_x"))
-    s = s.withColumn("score", 1 / (1 + F.exp(-(F.col("_x") * a + b)))).drop("_x")
-    return s.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    s = found.withColumn("score", 1 / (1 + F.exp(-(F.col("x") * a + b))))
+    return s.select("doc_id", "h", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
