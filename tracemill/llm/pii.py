@@ -8,11 +8,13 @@ one document have terms too. A term that gives at least `disclosure` of an entit
 reveals it. Every occurrence of a revealing term, in whatever document, becomes a span of kind `term`. Sanitising removes
 base spans for a tag of their kind and generalises term spans to `[TERM]`.
 
-Counts are of distinct texts; words inside of base spans aren't counted. A document gives as many pairs as it has
-entities times distinct words. Patterns are possessive or anchored at run starts, so very long texts take linear time
-and no deep recursion.
+Counts are of distinct texts; words inside of base spans aren't counted. Entities that the same texts hold are counted as
+one, and pairs go at once whose term is too common among the texts with entities alone, which can't change the result:
+n(term) is no smaller over all texts. So one pass over all words keeps only those of the candidate terms. Patterns are
+possessive or anchored at run starts, so very long texts take linear time and no deep recursion.
 
-Nulls and empty texts have no spans. Empty tables give no rows.
+Nulls and empty texts have no spans. A null id is an id. Repeated rows get the same spans each. Empty tables give no
+rows. Further columns are not read by `find_spans` and kept by `sanitise_documents`.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import ascii_lower, few, split_words, written
+from tracemill.llm.common import ascii_lower, few, semi_join, split_words, written
 
 #: Kinds in the order in which they are listed, and their patterns. `(?:(?<![..])|\\G)` starts a match
 #: only where a run starts or the last match ended, which the leftmost match does anyway.
@@ -33,6 +35,7 @@ PATTERNS = {
 }
 #: A cheap test that any text with a match passes.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]"}
+SPAN_ARRAY = "array<struct<start:int,kind:int,end:int>>"
 WORD_BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 
@@ -86,10 +89,10 @@ def is_term(w: Column) -> Column:
     return (F.length(w) >= 3) & ~w.rlike("^[0-9]+$")
 
 
-def terms_of(text: Column, spans: Column) -> Column:
-    """The distinct lower-case words of a text outside of spans."""
+def words_outside(text: Column, spans: Column) -> Column:
+    """The lower-case words of a text outside of spans."""
     bare = F.when(F.size(spans) > 0, replaced(text, spans, lambda s: F.lit(" "))).otherwise(text)
-    return F.filter(F.array_distinct(split_words(ascii_lower(bare), WORD_BREAKS)), is_term)
+    return split_words(ascii_lower(bare), WORD_BREAKS)
 
 
 def places_of(text: Column, terms: Column) -> Column:
@@ -107,32 +110,50 @@ def places_of(text: Column, terms: Column) -> Column:
     return F.aggregate(pairs, begin, step, lambda a: a["out"])
 
 
+def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(terms, hits): the revealing terms, and (h, term) of the texts that hold one. base has h, base and entities; texts has h and text."""
+    total = float(base.select("h").distinct().count())
+    held = base.where(F.size("entities") > 0).groupBy("h").agg(F.first("base").alias("base"), F.first("entities").alias("entities"))
+    # Entities of the same texts are one: their number of texts and the exclusive or of those texts' hashes tell them.
+    each = written(held.select("h", F.explode("entities").alias("entity")), "mentions")
+    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("h").alias("e"))
+    classes = written(each.join(few(n_e), "entity").select("h", "e", "n_e").distinct(), "entity-classes")
+    holders = texts.join(few(held.select(F.col("h").alias("_h"), "base"), weight=F.size("base")), F.col("h") == F.col("_h"))
+    words = holders.groupBy("h").agg(F.first(F.array_distinct(words_outside(F.col("text"), F.col("base")))).alias("words"))
+    words = written(words.select("h", F.explode("words").alias("term")).where(is_term(F.col("term"))), "holder-words")
+
+    share = F.col("n_e") / F.lit(total)
+    # given >= share ** (1 - disclosure) as a bound of n_t from above, which grows with n_et.
+    most = lambda n_et: (n_et + support * share) / F.pow(share, 1 - disclosure) - support
+    common = words.groupBy("term").agg(F.count("*").alias("n"))
+    loosest = classes.agg(F.max(most(F.col("n_e")))).first()[0] or 0.0
+    rare = few(common.where(F.col("n") <= loosest + 1e-6).select(F.col("term").alias("_t"), "n"))
+    pairs = words.join(rare, F.col("term") == F.col("_t")).join(classes, "h").where((share < 1) & (F.col("n") <= most(F.col("n_e")) + 1e-6))
+    n_et = written(pairs.groupBy("e", "n_e", "term").agg(F.count("*").alias("n_et"), F.first("n").alias("n")).where(F.col("n") <= most(F.col("n_et")) + 1e-6), "pairs")
+
+    # One pass over the words of all texts; base spans are cut out where there are any.
+    bare = base.select(F.col("h").alias("_h"), "base").where(F.size("base") > 0).groupBy("_h").agg(F.first("base").alias("base"))
+    joined = texts.join(few(bare, weight=F.size("base")), F.col("h") == F.col("_h"), "left").select("h", F.explode(words_outside(F.col("text"), F.coalesce("base", F.array().cast(SPAN_ARRAY)))).alias("term"))
+    places = written(semi_join(joined, n_et.select("term").distinct(), "term").distinct(), "candidate-words")
+    n_t = places.groupBy("term").agg(F.count("*").alias("n_t"))
+    given = (F.col("n_et") + support * share) / (F.col("n_t") + support)
+    reveal = n_et.join(n_t, "term").where(F.log(given / share) >= -disclosure * F.log(share)).select("term").distinct()
+    reveal = written(reveal, "revealing")
+    return reveal, places.join(few(reveal), "term", "left_semi")
+
+
 def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, h (hash of the text), base and spans (arrays of (start, kind, end)); base ones are in spans."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = F.array_sort(F.concat(*[spans_of(F.col("text"), k) for k in KINDS[:4]]))
     base = texts.withColumn("base", F.when(F.col("text").rlike("@|[0-9]"), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    base = written(base.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), entities.alias("entities"), terms_of(F.col("text"), F.col("base")).alias("words")), "base-spans")
-
-    # Each of n copies of a text counts 1 / n, which needs no row of all copies to be chosen.
-    copies = base.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = base.join(few(copies), "h", "left").withColumn("weight", 1 / F.coalesce(F.col("_n"), F.lit(1)))
-    count = F.round(F.sum("weight"))
-    total = rows.agg(count).first()[0] or 0.0
-    holders = written(rows.where(F.size("entities") > 0).select("h", "weight", F.explode("entities").alias("entity"), "words"), "holders")
-    n_e = holders.groupBy("entity").agg(count.alias("n_e"))
-    n_et = holders.select("entity", "weight", F.explode("words").alias("term")).groupBy("entity", "term").agg(count.alias("n_et"))
-    n_t = rows.select("weight", F.explode("words").alias("term")).groupBy("term").agg(count.alias("n_t"))
-    share = F.col("n_e") / F.lit(float(total))
-    given = (F.col("n_et") + support * share) / (F.col("n_t") + support)
-    pairs = n_et.join(few(n_e), "entity").join(n_t, "term")
-    reveal = written(pairs.where((share < 1) & (F.log(given / share) >= -disclosure * F.log(share))).select("term").distinct(), "revealing")
-
-    hits = base.select("doc_id", "h", F.explode("words").alias("term")).join(few(reveal), "term", "left_semi").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("term").alias("hits"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
-    terms = texts.join(few(hits), same).select("_d", "_h", places_of(F.col("text"), F.col("hits")).alias("terms")).groupBy("_d", "_h").agg(F.first("terms").alias("terms"))
-    out = base.join(terms, same, "left")
+    base = written(base.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), entities.alias("entities")), "base-spans")
+    _, hits = revealing_terms(base, texts.select("h", "text"), disclosure, support)
+    hits = hits.groupBy(F.col("h").alias("_h")).agg(F.collect_set("term").alias("hits"))
+    # Spans are of texts, so copies need them once; a text with hits has few different terms of them.
+    terms = texts.select("h", "text").join(few(hits, weight=F.size("hits")), F.col("h") == F.col("_h")).select("_h", places_of(F.col("text"), F.col("hits")).alias("terms")).groupBy("_h").agg(F.first("terms").alias("terms"))
+    out = base.join(few(written(terms, "term-spans"), weight=F.size("terms")), F.col("h") == F.col("_h"), "left")
     # A term inside of a base span is no further span.
     free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return out.select("doc_id", "h", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free))).alias("spans"))
@@ -156,7 +177,9 @@ def sanitise(text: Column, spans: Column) -> Column:
 
 
 def sanitise_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """docs with their texts sanitised."""
-    spans = find_spans(docs, id_col=id_col, text_col=text_col, **limits).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans")
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_h")), "left")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(sanitise(F.col(text_col), F.col("spans")))).drop("_d", "_h", "spans")
+    """docs with their texts sanitised; all columns stay."""
+    spans = find_spans(docs, id_col=id_col, text_col=text_col, **limits).where(F.size("spans") > 0)
+    spans = spans.groupBy(F.col("h").alias("__h")).agg(F.first("spans").alias("__spans"))
+    joined = docs.join(few(spans, weight=F.size("__spans")), F.xxhash64(F.col(text_col)) == F.col("__h"), "left")
+    clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(sanitise(F.col(text_col), F.col("__spans")))
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
