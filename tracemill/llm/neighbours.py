@@ -1,17 +1,20 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample (SAMPLE vectors by hash of the id) the nearest-neighbour graph is cut into balanced parts by
-recursive bisection: a split at the median of the leading direction, then swaps of the nodes with the most neighbours
-on the other side. A small network (one hidden layer) learns a vector's part. Every vector of the table goes to its
-likeliest part; a query goes to its `probes` likeliest parts, where exact inner products rank all vectors. The number
-of parts grows with the table, and `probes` is the least number that reaches `recall` on the sample's own neighbours.
-
-Parts are dealt in blocks of at most about BLOCK_ROWS vectors, so a crowded part is several tasks. A query that found
-fewer than k is searched again in all parts. Model and sample are the only data on the driver.
+On a bounded sample (SAMPLE vectors by hash) the nearest-neighbour graph is cut into balanced parts by recursive
+bisection: a split at the median of the leading direction, then swaps of the nodes with the most neighbours on the other
+side. A small network (one hidden layer) learns a vector's part. Every vector of the table goes to its likeliest part; a
+query goes to its `probes` likeliest parts, where exact inner products rank all vectors. There are LEAST_PARTS parts at
+least and one for PART_ROWS vectors, as long as the sample has SAMPLED_ROWS vectors for each; beyond that parts hold more
+vectors. `probes` is the least number that reaches `recall` on the sample's own neighbours, which lie farther apart than
+those of the whole table.
+
+Vectors of a part are dealt in blocks of about BLOCK_ROWS, its queries in blocks of about QUERY_ROWS, so a crowded part is
+many tasks. A query that found fewer than k is searched again in all parts. Model and sample are the only data on the
+driver; the sample is drawn by a hash bound, so no task sends it more than its share.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Rows that
-repeat a vec_id are candidates each, but never of a query with the same id. Ties go to the smaller vec_id. An empty
-table gives no rows. Further columns are not read.
+repeat a vec_id are candidates each, but never of a query with the same id; of queries that repeat an id the least vector
+asks. Ties go to the smaller vec_id. An empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import values, written
 
 SAMPLE, GRAPH_NEIGHBOURS, HIDDEN = 8192, 12, 128
-PART_ROWS, MOST_PARTS, BLOCK_ROWS = 1600, 1024, 4096
+LEAST_PARTS, PART_ROWS, SAMPLED_ROWS = 16, 1600, 8
+BLOCK_ROWS, QUERY_ROWS = 4096, 8192
 
 
 def graph_of(x: np.ndarray, k: int) -> np.ndarray:
@@ -120,9 +124,11 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total, size = length["count"], length["n"]
     rows, asked = rows.where(F.size("v") == size), valid_vectors(queries, id_col, vector_col).where(F.size("v") == size)
-    parts = int(min(MOST_PARTS, max(1, total // PART_ROWS)))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+    bound = int(min(1.0, 1.2 * SAMPLE / total) * 2**32)
+    mark = F.xxhash64("vec_id", "v")
+    drawn = rows.where(F.pmod(mark, F.lit(2**32)) <= bound).orderBy(mark, "vec_id", "v").limit(SAMPLE).select("v").collect()
     x = unit(np.array([r["v"] for r in drawn], np.float64))
+    parts = max(1, min(max(LEAST_PARTS, total // PART_ROWS), len(x) // SAMPLED_ROWS))
     if parts > 1:
         graph = graph_of(x, min(max(k, GRAPH_NEIGHBOURS), len(x) - 1))
         w = trained(x, balanced_parts(x, graph[:, :GRAPH_NEIGHBOURS], parts), parts)
@@ -150,9 +156,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
     schema = "part int, vec_id long, v array<double>"
     placed = written(rows.mapInPandas(dealt(1), schema), "placed")
     # One row per part comes to the driver.
-    blocks = [(r["part"], max(1, -(-r["count"] // BLOCK_ROWS))) for r in placed.groupBy("part").count().collect()]
-    n_blocks = F.broadcast(values(spark, "_p INT, _n INT", blocks))
-    index = placed.join(n_blocks, F.col("part") == F.col("_p")).select("part", F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int").alias("block"), "vec_id", "v")
+    blocks = {r["part"]: max(1, -(-r["count"] // BLOCK_ROWS)) for r in placed.groupBy("part").count().collect()}
 
     def ranked(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -177,11 +181,20 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def found(asked: DataFrame, n: int) -> DataFrame:
-        sent = asked.mapInPandas(dealt(n), schema).join(n_blocks, F.col("part") == F.col("_p")).select("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("block"), "vec_id", "v")
-        near = sent.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInPandas(ranked, "query_id long, vec_id long, score double")
-        return near.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    asked = asked.dropDuplicates(["vec_id"])
+        sent = written(asked.mapInPandas(dealt(n), schema), "sent-queries")
+        crowds = {r["part"]: max(1, -(-r["count"] // QUERY_ROWS)) for r in sent.groupBy("part").count().collect()}
+        tiles = [(p, blocks[p], m) for p, m in crowds.items() if p in blocks]
+        if not tiles:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        sizes = F.broadcast(values(spark, "_p INT, _n INT, _m INT", tiles))
+        own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        q = sent.join(sizes, F.col("part") == F.col("_p")).withColumn("crowd", own("_m")).withColumn("block", every("_n")).select("part", "block", "crowd", "vec_id", "v")
+        c = placed.join(sizes, F.col("part") == F.col("_p")).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("_n")).cast("int")).withColumn("crowd", every("_m")).select("part", "block", "crowd", "vec_id", "v")
+        near = q.groupBy("part", "block", "crowd").cogroup(c.groupBy("part", "block", "crowd")).applyInPandas(ranked, "query_id long, vec_id long, score double")
+        return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     result = written(found(asked, probes), "neighbours")
     if probes == parts:
         return result
