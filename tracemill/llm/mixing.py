@@ -2,7 +2,7 @@
 
 The words of a source, document after document in hashed order, are packed into blocks of a fixed number of words. A
 source that shall give T words gives whole passes over its blocks and then a part of a further pass; every pass has its
-own pseudorandom permutation of the block indexes. Each slot of a source is dealt to an output shard by a hash of
+own pseudorandom permutation of the block indexes (swap-or-not rounds over a hash). Each slot of a source is dealt to an output shard by a hash of
 (source, slot), so the counts of a source over the shards are multinomial, with their sum fixed at the target. Slots
 find their blocks by a join on (source, block index); the last slot is cut to the words still wanted.
 
@@ -10,7 +10,8 @@ Only integer and hash functions of Spark are used, so reruns agree. Offsets are
 a source with a third of all rows is no single task. Targets need one row per source.
 
 Nulls: a null source is a source of its own, last in order; a null text has no words, is in no block and is never taken.
-Empty tables give no rows. Further columns are not carried; rows that repeat an id are mixed each for itself.
+Empty tables give no rows. Further columns are not carried, so none can clash; rows that repeat an id, or id and text,
+are mixed each for itself.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import prefix_index, split_words, written
+from tracemill.llm.common import few, prefix_index, split_words, written
 
 SPACES = r"\x20\x09-\x0D"
-#: Primes above any number of blocks of one source; a pass multiplies indexes by one of them.
-PRIMES = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497]
+#: Rounds of a permutation, and slots that one task makes.
+ROUNDS, TASK_SLOTS = 12, 200_000
 
 
 def count_words(text: Column) -> Column:
@@ -53,11 +54,17 @@ def target_words(sizes: DataFrame, weights: list[float], share: float = 1.5, mos
 
 
 def permuted(index: Column, blocks: Column, source: Column, turn: Column, seed: int) -> Column:
-    """The place of a block index in the pass `turn`: a permutation of 0 to blocks - 1, as the factor is a prime above blocks."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), source, turn), F.lit(len(PRIMES)))
-    factor = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (pick + 1).cast("int"))
-    shift = F.pmod(F.xxhash64(F.lit(seed + 1), source, turn), blocks)
-    return (F.pmod(index * F.pmod(factor, blocks), blocks) + shift) % blocks
+    """The place of a block index in the pass `turn`, a pseudorandom permutation of 0 to blocks - 1.
+
+    Swap-or-not: each round pairs x with (key - x) mod blocks and swaps the two or not by a hash of the pair, which is a
+    bijection for any number of blocks.
+    """
+
+    def step(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), source, turn, r), blocks) - x, blocks)
+        return F.when(F.pmod(F.xxhash64(F.lit(seed + 1), source, turn, r, F.greatest(x, other)), F.lit(2)) == 0, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, step)
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, block_words: int = 128, output_shards: int = 64, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -67,11 +74,12 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     `row_id`, which tells rows with the same id apart by their number of words and place.
     """
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_text")), "mix-sizes")
+    # Sources are categories: targets are computed over one row each.
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
-    sources = written(target_words(per_source, weights, share, most).join(F.broadcast(per_source.select(F.col("source").alias("_s"), "_rows")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets")
+    sources = written(target_words(per_source, weights, share, most).join(few(per_source.select(F.col("source").alias("_s"), "_rows")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets")
     largest = sources.agg(F.max("_rows")).first()[0] or 0
     placed = prefix_index(sized, ["source"], "doc_id", ["doc_id", "size", "_text"], "size", "_from", min(20_000, max(4, -(-largest // 512))))
-    placed = placed.join(F.broadcast(sources.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    placed = placed.join(few(sources.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     length = F.lit(block_words).cast("long")
     pieces = (
@@ -83,11 +91,12 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     )
     blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
     wanted = sources.where("source_size > 0").withColumn("blocks", blocks).withColumn("_whole", F.expr("cast(round(target) AS LONG) div source_size")).withColumn("_rest", F.expr("cast(round(target) AS LONG) % source_size"))
+    n_slots = wanted.agg(F.sum(F.col("blocks") * (F.col("_whole") + 1))).first()[0] or 0
     slots = (
         wanted.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(int(most)))))
         .where(F.col("turn") <= F.col("_whole"))
         .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(4096).cast("long"))))  # two steps, so that a large source is no single task
-        .repartition("source", "turn", "_first")
+        .repartition(max(1, -(-n_slots // TASK_SLOTS)), "source", "turn", "_first")
         .withColumn("_i", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + 4095, F.col("blocks") - 1))))
         .withColumn("_place", permuted(F.col("_i"), F.col("blocks"), F.col("source"), F.col("turn"), seed))
         .withColumn("_tail_place", permuted(F.col("blocks") - 1, F.col("blocks"), F.col("source"), F.col("turn"), seed))
@@ -111,3 +120,15 @@ def taken_words(placed: DataFrame, drawn: DataFrame) -> DataFrame:
     # Documents with words have places of their own; those without take nothing.
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_from") == F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") > 0)
     return placed.join(sums, on, "left").select("doc_id", "source", "_text", "size", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
+
+
+def whole_documents(placed: DataFrame) -> DataFrame:
+    """The mix in whole documents: `times`, how often each is taken.
+
+    Every document of a source is in each of its whole passes; the pass that ends at the target takes the documents whose
+    middle lies before its end, in the source's hashed order, so the words of a source meet its target to within half of
+    the document at the end. Documents without words are taken once.
+    """
+    whole, rest = F.expr("cast(round(target) AS LONG) div nullif(source_size, 0)"), F.expr("cast(round(target) AS LONG) % nullif(source_size, 0)")
+    inside = 2 * F.col("_from") + F.col("size") <= 2 * rest
+    return placed.withColumn("times", F.when(F.col("size") == 0, 1).otherwise(whole + F.when(inside, 1).otherwise(0)).cast("int")).where("times > 0")
