@@ -11,12 +11,14 @@ A document is the set of its word shingles as sorted 64-bit hashes; equal sets a
    sorted by set size: a tile compares bitmaps (hash modulo a power of two), whose bit counts bound the overlap from
    above, and intersects sorted arrays only where the bound leaves a link possible and the two are in different
    components so far. A crowd of several tiles is compared tile against tile.
-4. Classes that never met in a tile are joined on the prefix keys, only between different components, and must share `l`
-   keys; these pairs are intersected exactly. So no link between different components is lost, and rows per class grow
-   with the tiles of its crowd, not with its members.
+4. Classes that never met in a tile are joined on the prefix keys, only between different components and within the size
+   band, and must share `l` keys; bitmaps of fixed width bound the overlap of these pairs, and what is left is
+   intersected exactly. So no link between different components is lost, and rows per class grow with the tiles of its
+   crowd, not with its members.
 
 Nulls and texts without words have empty sets and link with nothing; texts of fewer words than a shingle are one
-shingle. Repeated rows are members of one class. An empty table gives no rows.
+shingle. Repeated rows are members of one class. A null id is a document like others; it is no component's smallest id
+unless the component has none else. An empty table gives no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from tracemill.llm.components import connected_components
 FREQUENT_SHARE, FREQUENT_LEAST = 2000, 48
 #: Classes in a tile, and minimum hashes by which classes meet in tiles.
 TILE, MEETINGS = 1024, 3
+#: 64-bit words of the bitmaps that bound pairs outside of tiles.
+BITMAP_WORDS = 16
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -70,13 +74,13 @@ def class_of(s: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def texts(batch: pa.RecordBatch) -> Iterator[tuple]:
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        yield i, t.as_py()
+def texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    for t in batch.column(0):
+        yield t.as_py()
 
 
 def profiles(docs: DataFrame, length: int) -> DataFrame:
-    """kind 0: a document's id, set size n and class x; kind 1: a shingle x that n different sets of a task have."""
+    """kind 0: a document's id, text hash h, set size n and class x; kind 1: a shingle x that n different sets of a task have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen, held, n_held, n_sets = Shingler(length), set(), [], 0, 0
@@ -84,18 +88,18 @@ def profiles(docs: DataFrame, length: int) -> DataFrame:
         def counted() -> pa.RecordBatch:
             x, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
             keep = c >= max(3, n_sets / (4 * FREQUENT_SHARE))
-            return batch_of(None, c[keep], x[keep].astype(np.int64), 1)
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            return batch_of(none, none, c[keep], x[keep].astype(np.int64), 1)
 
-        def batch_of(ids, n, x, kind) -> pa.RecordBatch:
-            m = len(n)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()) if ids is not None else pa.nulls(m, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(np.full(m, kind), pa.int32())], ["doc_id", "n", "x", "kind"])
+        def batch_of(ids, h, n, x, kind) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, h, pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(np.full(len(n), kind), pa.int32())], ["doc_id", "h", "n", "x", "kind"])
 
         for batch in batches:
-            ids, n, x = [], [], []
-            for i, t in texts(batch):
+            n, x = [], []
+            for t in texts(batch):
                 s = shingles(t)
                 c = class_of(s)
-                ids.append(i), n.append(len(s)), x.append(c)
+                n.append(len(s)), x.append(c)
                 if c not in seen:
                     seen.add(c)
                     held.append(s)
@@ -104,10 +108,10 @@ def profiles(docs: DataFrame, length: int) -> DataFrame:
                 if n_held > 4_000_000:
                     yield counted()
                     held, n_held, n_sets = [], 0, 0
-            yield batch_of(ids, n, x, 0)
+            yield batch_of(batch.column(1), batch.column(2), n, x, 0)
         yield counted()
 
-    return docs.mapInArrow(run, "doc_id long, n long, x long, kind int")
+    return docs.select("text", "doc_id", "h").mapInArrow(run, "doc_id long, h long, n long, x long, kind int")
 
 
 def prefix_keys(docs: DataFrame, length: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -117,7 +121,7 @@ def prefix_keys(docs: DataFrame, length: int, percent: int, frequent: np.ndarray
         shingles, seen = Shingler(length), set()
         for batch in batches:
             keys, xs, ns, ls = [], [], [], []
-            for _, t in texts(batch):
+            for t in texts(batch):
                 s = shingles(t)
                 c = class_of(s)
                 if not len(s) or c in seen:
@@ -134,24 +138,32 @@ def prefix_keys(docs: DataFrame, length: int, percent: int, frequent: np.ndarray
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(ls), pa.int32())], ["key", "x", "n", "l"])
 
-    return docs.mapInArrow(run, "key long, x long, n int, l int")
+    return docs.select("text").mapInArrow(run, "key long, x long, n int, l int")
 
 
 def shingle_sets(docs: DataFrame, length: int) -> DataFrame:
-    """x (class), s (its sorted shingles) and meet (its minimum hashes)."""
+    """x (class), s (its sorted shingles), meet (its minimum hashes) and bits (its bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(length)
         seen = set()
         for batch in batches:
-            found = [s for _, t in texts(batch) if len(s := shingles(t)) and not ((c := class_of(s)) in seen or seen.add(c))]
+            found = [s for t in texts(batch) if len(s := shingles(t)) and not ((c := class_of(s)) in seen or seen.add(c))]
             if found:
                 ends = np.cumsum([0, *map(len, found)])
                 sets = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found).astype(np.int64))).cast(pa.list_(pa.int64()))
                 meet = pa.array([[int(mixed(s, 3 + r).min().astype(np.int64)) for r in range(MEETINGS)] for s in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), sets, meet], ["x", "s", "meet"])
+                bits = pa.array([bitmap(s).view(np.int64).tolist() for s in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), sets, meet, bits], ["x", "s", "meet", "bits"])
 
-    return docs.mapInArrow(run, "x long, s array<long>, meet array<long>")
+    return docs.select("text").mapInArrow(run, "x long, s array<long>, meet array<long>, bits array<long>")
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS words with the bit of each shingle's hash."""
+    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
+    bits[(s % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -227,16 +239,22 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(np.array(p.as_py(), np.int64), np.array(q.as_py(), np.int64), percent) for p, q in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # Each bit that only one of the two has is a shingle that the other lacks, which bounds the overlap from above.
+    maps = [sets.select(F.col("x").alias(n), F.size("s").alias(f"n{n}"), F.col("bits").alias(f"bits_{n}")).dropDuplicates([n]) for n in "ab"]
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    bound = F.expr("(na + nb - apart) div 2")
+    pairs = pairs.join(maps[0], "a").join(maps[1], "b").withColumn("apart", apart).where(100 * bound >= percent * (F.col("na") + F.col("nb") - bound)).select("a", "b")
+    sets = sets.select("x", "s").dropDuplicates(["x"])
     left = sets.select(F.col("x").alias("a"), F.col("s").alias("p"))
     right = sets.select(F.col("x").alias("b"), F.col("s").alias("q"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """Per document: doc_id, h (hash of the text), n_shingles, component (a number), component_id (smallest doc_id reachable by links)."""
+    texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     found = written(profiles(texts_of, length), "profiles")
-    members = found.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "x")
+    members = found.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), "x")
     n_docs = members.count()
     often = max(FREQUENT_LEAST, n_docs / FREQUENT_SHARE)
     # Bounded by the mean size of a set times FREQUENT_SHARE, however many documents there are.
@@ -249,13 +267,17 @@ def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_c
     # A class that links with another shares at least as many keys as the smallest that it may link with must.
     smallest = F.ceil(F.col("n") * percent / 100)
     needed = 1 + F.floor((smallest - F.ceil(smallest * percent / 100)) / 4)
-    enough = F.count("*").over(Window.partitionBy("x")) >= needed
     for _ in range(2):
-        live = buckets.withColumn("enough", enough).where("enough").withColumn("m", shared).where("m > 1")
-        buckets = written(live.select("key", "x", "n", "l"), "buckets")
-
-    candidates = members.groupBy("x").agg(F.min("doc_id").alias("_id")).join(buckets.select("x").distinct(), "x", "left_semi")
-    chosen = texts_of.join(few(candidates.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+        enough = buckets.groupBy("x", "n").agg(F.count("*").alias("_keys")).where(F.col("_keys") >= needed).select("x")
+        live = buckets.join(few(enough), "x", "left_semi")
+        several = live.groupBy("key").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi")).where("_lo < _hi").select("key")
+        buckets = written(live.join(few(several), "key", "left_semi"), "buckets")
+
+    # One document of each class that still shares a key.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    candidates = members.groupBy("x").agg(F.min(row).alias("row")).join(few(buckets.select("x").distinct()), "x", "left_semi")
+    candidates = candidates.select(F.col("row.doc_id").alias("_id"), F.col("row.h").alias("_h"))
+    chosen = texts_of.join(few(candidates), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
     sets = written(shingle_sets(chosen, length), "shingle-sets")
 
     meeting = sets.select("x", "s", F.explode("meet").alias("g"))
@@ -270,10 +292,9 @@ def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_c
 
     # Between different components, classes that share enough prefix keys; the largest component of a key stands on one side only.
     of = buckets.join(comps.withColumnRenamed("node", "x"), "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    per_key = of.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("most"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key", "most")
+    of = of.join(few(written(per_key, "keys-apart")), "key").withColumn("main", F.col("comp") == F.col("most"))
     of = of.join(sets.select("x", "meet").dropDuplicates(["x"]), "x")
-    of = of.withColumn("c", F.count("*").over(Window.partitionBy("key", "comp")))
-    most = F.max(F.struct("c", "comp")).over(Window.partitionBy("key")).getField("comp")
-    of = of.withColumn("main", F.col("comp") == most).withColumn("several", F.min("comp").over(Window.partitionBy("key")) < F.max("comp").over(Window.partitionBy("key"))).where("several")
     of = written(of.select("key", "x", "n", "l", "comp", "main", "meet"), "apart")
     p, q = of.where("NOT main").alias("p"), of.alias("q")
     unmet = ~F.exists(F.zip_with("p.meet", "q.meet", lambda a, b: a == b), lambda same: same)
@@ -290,8 +311,9 @@ def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_c
 
     classes = members.groupBy("x").agg(F.min("doc_id").alias("first"))
     named = classes.join(final, "x", "left").withColumn("top", F.coalesce("top", "x"))
-    # A null id is a document all the same; it stands for itself where a class has no other.
+    # A null id is a document all the same; it stands for itself where a component has no other.
     smallest = named.groupBy("top").agg(F.min("first").alias("component_id"))
-    ids = named.join(smallest, "top").select("x", "component_id")
-    out = members.join(ids, "x", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = written(named.join(smallest, "top").select(F.col("x").alias("_x"), F.col("top").alias("component"), "component_id"), "class-ids")
+    out = members.join(few(ids), F.col("x") == F.col("_x"))
+    filled = F.col("n_shingles") > 0
+    return out.select("doc_id", "h", "n_shingles", "component", F.when(filled, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
