@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,14 +48,28 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None)
     return F.broadcast(df) if (df.agg(F.sum(weight + 1)).first()[0] or 0) <= most else df
 
 
-def semi_join(df: DataFrame, wanted: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Rows of df whose key is in `wanted` (one row per key): by broadcast if wanted is small, else by a shuffle in which
-    the rows of a frequent key are dealt over `salts` tasks."""
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if small:
-        return df.join(F.broadcast(wanted), key, "left_semi")
-    dealt = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(dealt, [key, "_salt"], "left_semi").drop("_salt")
+#: 64-bit words of the largest sieve (8 MB).
+SIEVE_WORDS = 1 << 20
+
+
+def sieve(wanted: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that all keys of `wanted` pass and about one in sixty others: a bitmap of bounded size with two bits a key.
+
+    Beyond the bound more others pass, so an exact join has to follow in any case.
+    """
+    words = min(SIEVE_WORDS, 1 << max(4, (wanted.count() // 4).bit_length()))
+    cells = lambda c: [F.pmod(F.xxhash64(F.lit(i), c), F.lit(words * 64)) for i in range(2)]
+    bit = lambda cell: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))
+    place = lambda cell: F.shiftright(cell, 6).cast("int")
+    packed = wanted.select(F.explode(F.array(*cells(F.col(key)))).alias("cell")).groupBy(place(F.col("cell")).alias("i")).agg(F.bit_or(bit(F.col("cell"))).alias("b"))
+    whole = wanted.sparkSession.range(words).join(packed, F.col("id") == F.col("i"), "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    map_of = written(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("map")), "sieve").scalar()
+
+    def passes(c: Column) -> Column:
+        first, second = (F.get(map_of, place(x)).bitwiseAND(bit(x)) != 0 for x in cells(c))
+        return first & second
+
+    return passes
 
 
 def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:

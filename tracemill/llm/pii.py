@@ -10,8 +10,8 @@ base spans for a tag of their kind and generalises term spans to `[TERM]`.
 
 Counts are of distinct texts; words inside of base spans aren't counted. Entities that the same texts hold are counted as
 one, and pairs go at once whose term is too common among the texts with entities alone, which can't change the result:
-n(term) is no smaller over all texts. So one pass over all words keeps only those of the candidate terms. Patterns are
-possessive or anchored at run starts, so very long texts take linear time and no deep recursion.
+n(term) is no smaller over all texts. So the passes over all words, one that counts and one that finds, keep only those of the
+candidate terms. Patterns are possessive or anchored at run starts, so very long texts take linear time and no deep recursion.
 
 Nulls and empty texts have no spans. A null id is an id. Repeated rows get the same spans each. Empty tables give no
 rows. Further columns are not read by `find_spans` and kept by `sanitise_documents`.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import ascii_lower, few, semi_join, split_words, written
+from tracemill.llm.common import ascii_lower, few, sieve, written
 
 #: Kinds in the order in which they are listed, and their patterns. `(?:(?<![..])|\\G)` starts a match
 #: only where a run starts or the last match ended, which the leftmost match does anyway.
@@ -35,6 +35,8 @@ PATTERNS = {
 }
 #: A cheap test that any text with a match passes.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Terms of a text that are looked for by one pattern.
+PATTERN_TERMS = 200
 SPAN_ARRAY = "array<struct<start:int,kind:int,end:int>>"
 WORD_BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
@@ -89,18 +91,20 @@ def is_term(w: Column) -> Column:
     return (F.length(w) >= 3) & ~w.rlike("^[0-9]+$")
 
 
-def words_outside(text: Column, spans: Column) -> Column:
-    """The lower-case words of a text outside of spans."""
-    bare = F.when(F.size(spans) > 0, replaced(text, spans, lambda s: F.lit(" "))).otherwise(text)
-    return split_words(ascii_lower(bare), WORD_BREAKS)
+def bare(text: Column, spans: Column) -> Column:
+    """A text with its spans cut out."""
+    return F.when(F.size(spans) > 0, replaced(text, spans, lambda s: F.lit(" "))).otherwise(text)
 
 
-def places_of(text: Column, terms: Column) -> Column:
-    """Where the terms stand in a text: an array of (start, kind, end)."""
-    word = f"[^{WORD_BREAKS}]+"
-    between, found = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), 0)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(F.array_contains(terms, ascii_lower(m)).alias("hit"), F.length(m).alias("m"), F.length(b).alias("b")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+def words_of(text: Column) -> Column:
+    """The distinct lower-case words of a text, perhaps with an empty one. The text is split once, even in a generator."""
+    return F.array_distinct(F.split(ascii_lower(text), f"[{WORD_BREAKS}]+"))
+
+
+def pieces_at(between: Column, found: Column, hit) -> Column:
+    """The (start, kind, end) of the found pieces that are hits; `between` are the parts of the text around them."""
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(hit(m).alias("hit"), F.length(m).alias("m"), F.length(b).alias("b")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_ARRAY).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         end = a["at"] + x["b"] + x["m"]
@@ -110,16 +114,31 @@ def places_of(text: Column, terms: Column) -> Column:
     return F.aggregate(pairs, begin, step, lambda a: a["out"])
 
 
+def places_of(text: Column, terms: Column) -> Column:
+    """Where the terms stand in a text: an array of (start, kind, end).
+
+    Few terms are found by a pattern of them (they hold no marks); among many, each word is looked up instead. Both give
+    the same places.
+    """
+    word = f"[^{WORD_BREAKS}]"
+    some = F.concat(F.lit(f"(?i)(?<!{word})(?:"), F.array_join(terms, "|"), F.lit(f")(?!{word})"))
+    by_pattern = pieces_at(F.split(text, some, -1), F.regexp_extract_all(text, some, 0), lambda m: F.lit(True))
+    by_word = pieces_at(F.split(text, word + "+", -1), F.regexp_extract_all(text, F.lit(word + "+"), 0), lambda m: F.array_contains(terms, ascii_lower(m)))
+    return F.when(F.size(terms) <= PATTERN_TERMS, by_pattern).otherwise(by_word)
+
+
 def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, support: int) -> tuple[DataFrame, DataFrame]:
-    """(terms, hits): the revealing terms, and (h, term) of the texts that hold one. base has h, base and entities; texts has h and text."""
+    """(h, hits): the revealing terms of each text that holds some. base has h and entities; texts has h, text and base.
+
+    Joins of words are shuffled at every size; only what passes a sieve of the wanted terms is.
+    """
     total = float(base.select("h").distinct().count())
-    held = base.where(F.size("entities") > 0).groupBy("h").agg(F.first("base").alias("base"), F.first("entities").alias("entities"))
+    held = base.where(F.size("entities") > 0).groupBy("h").agg(F.first("entities").alias("entities"))
     # Entities of the same texts are one: their number of texts and the exclusive or of those texts' hashes tell them.
     each = written(held.select("h", F.explode("entities").alias("entity")), "mentions")
     n_e = each.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("h").alias("e"))
     classes = written(each.join(few(n_e), "entity").select("h", "e", "n_e").distinct(), "entity-classes")
-    holders = texts.join(few(held.select(F.col("h").alias("_h"), "base"), weight=F.size("base")), F.col("h") == F.col("_h"))
-    words = holders.groupBy("h").agg(F.first(F.array_distinct(words_outside(F.col("text"), F.col("base")))).alias("words"))
+    words = texts.where(F.size("base") > 0).groupBy("h").agg(F.first(words_of(bare(F.col("text"), F.col("base")))).alias("words"))
     words = written(words.select("h", F.explode("words").alias("term")).where(is_term(F.col("term"))), "holder-words")
 
     share = F.col("n_e") / F.lit(total)
@@ -131,29 +150,32 @@ def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, suppor
     pairs = words.join(rare, F.col("term") == F.col("_t")).join(classes, "h").where((share < 1) & (F.col("n") <= most(F.col("n_e")) + 1e-6))
     n_et = written(pairs.groupBy("e", "n_e", "term").agg(F.count("*").alias("n_et"), F.first("n").alias("n")).where(F.col("n") <= most(F.col("n_et")) + 1e-6), "pairs")
 
-    # One pass over the words of all texts; base spans are cut out where there are any.
-    bare = base.select(F.col("h").alias("_h"), "base").where(F.size("base") > 0).groupBy("_h").agg(F.first("base").alias("base"))
-    joined = texts.join(few(bare, weight=F.size("base")), F.col("h") == F.col("_h"), "left").select("h", F.explode(words_outside(F.col("text"), F.coalesce("base", F.array().cast(SPAN_ARRAY)))).alias("term"))
-    places = written(semi_join(joined, n_et.select("term").distinct(), "term").distinct(), "candidate-words")
-    n_t = places.groupBy("term").agg(F.count("*").alias("n_t"))
+    # Passes over the words of all texts. Copies count once: a word of a text with n copies is 1 / n.
+    all_words = texts.select("h", F.explode(words_of(bare(F.col("text"), F.col("base")))).alias("term"))
+    copies = base.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("h").alias("_h"), "copies")
+    candidates = written(n_et.select("term").distinct(), "candidates")
+    seen = all_words.where(sieve(candidates, "term")(F.col("term"))).join(few(copies), F.col("h") == F.col("_h"), "left").select("term", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    n_t = written(seen.groupBy("term").agg(F.round(F.sum("weight")).alias("n_t")), "term-counts")
     given = (F.col("n_et") + support * share) / (F.col("n_t") + support)
     reveal = n_et.join(n_t, "term").where(F.log(given / share) >= -disclosure * F.log(share)).select("term").distinct()
     reveal = written(reveal, "revealing")
-    return reveal, places.join(few(reveal), "term", "left_semi")
+    some = all_words.where(sieve(reveal, "term")(F.col("term"))).join(reveal.hint("merge"), "term", "left_semi")
+    return written(some.groupBy("h").agg(F.collect_set("term").alias("hits")), "hits")
 
 
 def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, h (hash of the text), base and spans (arrays of (start, kind, end)); base ones are in spans."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = F.array_sort(F.concat(*[spans_of(F.col("text"), k) for k in KINDS[:4]]))
-    base = texts.withColumn("base", F.when(F.col("text").rlike("@|[0-9]"), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")))
+    found = F.when(F.col("text").rlike("@|[0-9]"), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    # Base spans stand behind a generator, so that a pass finds them once; they are found again rather than joined to texts.
+    texts = texts.select("doc_id", "h", "text", F.explode(F.array(found)).alias("base"))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    base = written(base.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), entities.alias("entities")), "base-spans")
-    _, hits = revealing_terms(base, texts.select("h", "text"), disclosure, support)
-    hits = hits.groupBy(F.col("h").alias("_h")).agg(F.collect_set("term").alias("hits"))
-    # Spans are of texts, so copies need them once; a text with hits has few different terms of them.
-    terms = texts.select("h", "text").join(few(hits, weight=F.size("hits")), F.col("h") == F.col("_h")).select("_h", places_of(F.col("text"), F.col("hits")).alias("terms")).groupBy("_h").agg(F.first("terms").alias("terms"))
-    out = base.join(few(written(terms, "term-spans"), weight=F.size("terms")), F.col("h") == F.col("_h"), "left")
+    base = written(texts.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), entities.alias("entities")), "base-spans")
+    hits = revealing_terms(base, texts, disclosure, support).withColumnRenamed("h", "_h").hint("merge")
+    # Spans are of texts, so copies need them once. Half of all texts can have hits: the join is shuffled at every size.
+    terms = texts.select("h", "text").join(hits, F.col("h") == F.col("_h")).select("_h", places_of(F.col("text"), F.col("hits")).alias("terms")).groupBy("_h").agg(F.first("terms").alias("terms"))
+    out = base.join(terms.hint("merge"), F.col("h") == F.col("_h"), "left")
     # A term inside of a base span is no further span.
     free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return out.select("doc_id", "h", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free))).alias("spans"))
