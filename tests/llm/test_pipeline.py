@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_operators import brute_components
 from tracemill.llm import queries
-from tracemill.llm.mixing import mix, taken_words
+from tracemill.llm.mixing import mix
 
 SF_DIR = "/root/testdata/sf0.001"
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,13 +63,35 @@ def test_contaminated_documents_go(spark, steps):
     assert ids(steps[3]) == sorted(r.doc_id for r in steps[2] if clean(r.text))
 
 
-def test_mix_repeats_documents(spark, steps):
+def test_mix_meets_its_targets_in_whole_documents(spark, steps):
     before = spark.createDataFrame(steps[3], spark.read.parquet(f"{SF_DIR}/documents.parquet").schema)
-    taken = {r.doc_id: (r["size"], r.taken) for r in taken_words(*mix(before, queries.MIX_WEIGHTS)).collect()}
-    want = Counter({i: 1 if not n else int(t / n + 0.5) for i, (n, t) in taken.items()})
-    assert Counter(ids(steps[4])) == +want
+    rows = mix(before, queries.MIX_WEIGHTS)[0].collect()
+    size, source = {r.doc_id: r["size"] for r in rows}, {r.doc_id: r.source for r in rows}
+    target, total = {r.source: r.target for r in rows}, {r.source: r.source_size for r in rows}
+    got, words = Counter(ids(steps[4])), Counter()
+    for i, n in got.items():
+        words[source[i]] += n * size[i]
+        whole = target[source[i]] // total[source[i]] if total[source[i]] else 1
+        assert n in (whole, whole + 1)
+    for s in target:
+        assert abs(words[s] - target[s]) <= max(n for i, n in size.items() if source[i] == s) / 2 + 1
 
 
 def test_shards_hold_every_row(steps):
     assert ids(steps[5]) == ids(steps[4])
     assert {r.shard for r in steps[5]} <= set(range(24))
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    twin = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, twin, "en", "a", 1), (1, twin, "en", "a", 1), (1, "a text of its own that stays here", "en", "a", 1), (1, twin, "en", "a", 1), (2, None, "en", None, 0), (2, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, "a text of its own that stays here"), (1, twin), (2, ""), (2, "")]
+    bad = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("text IS NOT NULL").first().text
+    docs = spark.createDataFrame([(None, bad, "en", "a", 1), (None, "clean", "en", "a", 1), (3, bad, "en", "a", 1), (3, "clean", "en", "a", 1)], schema)
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.benchmark_contamination(spark, docs, SF_DIR).collect()) == [(0, "clean"), (3, "clean")]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0, name
