@@ -49,7 +49,7 @@ def test_markers():
     assert M.repaired(M.repaired("a [[calc: 2+2]] -> 5")) == M.repaired("a [[calc: 2+2]] -> 5")
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("2, 3", "3,2", True), ("10\\sqrt{3}", "17.3205", False), ("\\frac{1}{2}", "0.5", True), ("1,000", "1000", False), ("", "", False), ("x", "x", True)])
+@pytest.mark.parametrize(("a", "b", "same"), [("2, 3", "3,2", True), ("10\\sqrt{3}", "17.3205", False), ("\\frac{1}{2}", "0.5", True), ("1,000", "1000", False), ("", "", False), ("x", "x", True), ("2*3", "6", True), ("(1+2)/3", "1", True), ("x.", "x", True), ("\\frac{3}{4}.", "0.75", True), ("007", "7", False), ("1, 2", "1", False), ("90^\\degree", "90", False), ("90°", "90", True)])
 def test_answers_equal(spark, a, b, same):
     assert one(spark, A.answers_equal(F.lit(a), F.lit(b)))[0] is same
 
@@ -116,7 +116,7 @@ def test_last_wins_and_resume(spark):
 
 def test_perturb_keeps_the_final(spark):
     r = one(spark, quality_rules.perturb(F.lit("1. a [[calc: 1+1]] -> 2\n#### 2"), F.lit(True)))[0]
-    assert (r.kind, r.text) == ("arrow", "1. a [[calc: 1+1]] -> 3\n#### 2")
+    assert (r.kind, r.text) == ("calc_arrow_tweak", "1. a [[calc: 1+1]] -> 3.0\n#### 2")
 
 
 def test_line_reports():
@@ -140,3 +140,22 @@ def test_marker_columns(spark):
 def test_checked_lines_column(spark):
     r = spark.createDataFrame([("[[calc: 1+1]] -> 3",), (None,)], "t string").select(M.check_lines(F.col("t")).alias("r")).select("r.*").collect()
     assert [(x.ok, x.mismatches) for x in r] == [(False, 1), (True, 0)]
+
+
+@pytest.mark.parametrize(("text", "kind", "out"), [("x + 3 apples\n#### 2", "op_flip", "x - 3 apples\n#### 2"), ("no\n#### 2", "replace_final", "no\n#### 0"), ("no", "append_wrong_final", "no\n#### 0"), ("", "none", ""), ("[[calc: 60+1]] -> 61", "calc_arrow_tweak", "[[calc: 60+1]] -> 54.9")])
+def test_perturb(spark, text, kind, out):
+    r = one(spark, quality_rules.perturb(F.lit(text), F.lit(False)))[0]
+    assert (r.kind, r.text, r.changed) == (kind, out, kind != "none")
+
+
+def test_first_claim_of_a_line(spark):
+    df = spark.createDataFrame([(1, "[[calc: 1+1]] -> 2 and [[calc: 2+2]] -> 5"), (2, "[[calc: 1/0]] -> 2\n[[calc: 1+1]] -> 3"), (3, None)], "id int, t string")
+    got = {r.id: (r.n_checked, r.n_failed, r.n_mismatch, r.ok, [tuple(m) for m in r.mismatches]) for r in M.verify_claims(df, "t", ["id"]).collect()}
+    assert got == {1: (1, 0, 0, True, []), 2: (2, 1, 1, False, [("1+1", 3.0, 2.0)]), 3: (0, 0, 0, True, [])}
+
+
+def test_routing_halts(spark):
+    s = F.lit(None).cast("string")
+    route = lambda calc, verdict, norm, plan=s: quality_rules.routed_calls(F.lit("then"), plan, verdict, F.lit(calc), F.lit(False), F.lit("r"), norm, s, s, aggregator=True)["text"]
+    r = one(spark, route(True, s, s), route(True, F.lit("<<VERDICT: INCORRECT>>"), s), route(False, s, F.lit("n")), route(False, s, s, F.lit("1. a\n2. b\n3. c\n4. d\n5. e")))
+    assert tuple(r) == ("CALLS: reasoner,calculator; HALT_AFTER: reasoner", "CALLS: reasoner,calculator,verifier; HALT_AFTER: verifier", "CALLS: reasoner,normalizer; HALT_AFTER: normalizer", "CALLS: planner,reasoner,aggregator; HALT_AFTER: reasoner")

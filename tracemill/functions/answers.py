@@ -1,46 +1,73 @@
-"""Answers: canonical forms and comparison (ANS-1 to ANS-8), natively."""
+"""Answers: canonical forms and comparison (ANS-1 to ANS-8), natively but for expressions."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import blank_to_null, final_last_line_anywhere, final_or_text, strip
+from tracemill.functions.evaluator import safe_calc
+from tracemill.functions.text import blank_to_null, final_last_line_anywhere, final_or_text, once, strip
+
+BRACES = str.maketrans("{}", "()")
 
 #: Unit words that may follow a number, with no word boundary before them.
 UNITS = "hours?|hrs?|minutes?|mins?|meters?|m|kg|g|dollars?|usd"
 
 
-def clean_latex(c: Column) -> Column:
-    """ANS-1: dollar signs and degrees go, simple fractions become quotients, braces parentheses."""
-    x = F.regexp_replace(strip(c), r"^\$+|\$+$", "")
-    x = F.regexp_replace(x, r"\^?\\circ|°", "")
-    x = F.regexp_replace(x, r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)")
-    x = F.regexp_replace(x, r"\\sqrt\{([^{}]+)\}", "sqrt($1)")
-    x = F.regexp_replace(x, r"\\[A-Za-z]+", "")
-    return strip(F.translate(x, "{}", "()"))
+def numeric(text: str) -> float | None:
+    """ANS-1: the value of an answer that is an expression; fractions, roots and degrees may be LaTeX, letters never count."""
+    x = text.strip()
+    if len(x) > 1 and x[0] == x[-1] == "$":
+        x = x[1:-1]
+    x = re.sub(r"\\degree|°", "", x)
+    x = re.sub(r"\\sqrt\{([^}]+)\}", r"sqrt(\1)", re.sub(r"\\frac\{([^}]+)\}\{([^}]+)\}", r"(\1)/(\2)", x))
+    x = re.sub(r"\\[A-Za-z]+", "", x).translate(BRACES)
+    return None if re.search("[A-Za-z]", x) else safe_calc(x.strip(), "verifier")
 
 
-def numeric(c: Column) -> Column:
-    """A number or a quotient of two, else null; letters never count."""
-    x = F.regexp_replace(clean_latex(c), r"[()\s]", "")
-    top, below = F.regexp_extract(x, r"^(-?[\d.]+)/(-?[\d.]+)$", 1).try_cast("double"), F.regexp_extract(x, r"^(-?[\d.]+)/(-?[\d.]+)$", 2).try_cast("double")
-    return F.when(x.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), x.try_cast("double")).otherwise(F.try_divide(top, below))
+def answer_values(text: str) -> list[float] | None:
+    """ANS-2: the sorted values of an answer or of its comma list, null unless all are numeric."""
+    core = text.strip().strip(".").strip()
+    if len(core) > 1 and core[0] == core[-1] == "$":
+        core = core[1:-1].strip()
+    found = [numeric(p) for p in re.split(r"\s*,\s*", core)]
+    return None if None in found else sorted(found)
 
 
 def numeric_set(c: Column) -> Column:
-    """ANS-2: the sorted values of a comma list whose members are all numeric, else null."""
-    values = F.transform(F.split(c, ","), numeric)
-    return F.when(F.forall(values, lambda v: v.isNotNull()), F.array_sort(values))
+    """ANS-2 as a column: lists of plain numbers natively, other answers that hold a digit in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def slow(s: pd.Series) -> pd.Series:
+        known = {x: answer_values(x) for x in s.dropna().unique()}
+        return s.map(lambda x: known.get(x)).astype(object)
+
+    core = F.btrim(strip(c), F.lit("."))
+    number = r"[+-]?(?:0+|[1-9]\d*|\d+\.\d*|\.\d+)"
+    plain = core.rlike(rf"^{number}(?:\s*,\s*{number})*$")
+    native = F.array_sort(F.transform(F.split(core, ","), lambda p: strip(p).cast("double")))
+    return F.when(plain, native).otherwise(slow(F.when(~plain & core.rlike(r"\d"), c)))
+
+
+def answer_class(c: Column) -> Column:
+    """ANS-2: NUMERIC_SET or TEXT, null for null."""
+    return F.when(c.isNull(), F.lit(None)).when(numeric_set(c).isNotNull(), "NUMERIC_SET").otherwise("TEXT")
 
 
 def answers_equal(pred: Column, gold: Column, tolerance: float = 1e-6) -> Column:
-    """ANS-3: equal numeric sets within the tolerance, else equal texts; blank ones never match."""
-    a, b = numeric_set(pred), numeric_set(gold)
-    near = F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance), lambda t: F.coalesce(t, F.lit(False)))
-    literal = strip(pred) == strip(gold)
-    blank = F.coalesce(strip(pred), F.lit("")).eqNullSafe("") | F.coalesce(strip(gold), F.lit("")).eqNullSafe("")
-    return ~blank & F.when(a.isNotNull() & b.isNotNull(), (F.size(a) == F.size(b)) & near).otherwise(literal)
+    """ANS-3: equal numeric sets within the tolerance, else equal texts without dots at their ends; empty ones never match."""
+    text = lambda c: strip(F.btrim(strip(c), F.lit(".")))
+    both = F.struct(numeric_set(pred).alias("a"), numeric_set(gold).alias("b"), text(pred).alias("p"), text(gold).alias("g"))
+
+    def same(x: Column) -> Column:
+        near = F.forall(F.zip_with(x["a"], x["b"], lambda p, q: F.abs(p - q) <= tolerance), lambda t: F.coalesce(t, F.lit(False)))
+        literal = F.coalesce((x["p"] != "") & (x["p"] == x["g"]), F.lit(False))
+        return F.when(x["a"].isNotNull() & x["b"].isNotNull(), (F.size(x["a"]) == F.size(x["b"])) & near).otherwise(literal)
+
+    return once(both, same)
 
 
 def strip_answer(c: Column) -> Column:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tracemill.functions.evaluator import SIGNS, SPACINGS, calc, plain_math, safe_calc, shown
 from tracemill.functions.text import cleanup_markers, enforce_final, lines, numbers, strip
 
+#: The formats of markers and of their claims; LINE_CLAIM is what a line is checked by.
 MARKER = r"\[\[\s*calc\s*:\s*([^\]]*?)\s*\]\]"
 CLAIM = MARKER + r"\s*->\s*(-?\d[\d,]*(?:\.\d+)?)"
+LINE_CLAIM = r"\[\[calc:\s*(.*?)\s*\]\]\s*->\s*([+-]?\d+(?:\.\d+)?)"
 PYTHON_MARKER = re.compile(MARKER + r"(?:\s*->\s*(\S+))?")
 NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
 TOLERANCE = 1e-6
@@ -25,8 +27,9 @@ def calc_exprs(text: Column) -> Column:
 
 def claims(text: Column) -> Column:
     """Markers with a numeric arrow, as an array of (expr, claimed)."""
-    values = F.transform(F.regexp_extract_all(text, F.lit(CLAIM), 2), lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double"))
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(CLAIM), 1).alias("expr"), values.alias("claimed"))
+    # One pass over the text; the few claims are taken apart after it.
+    one = lambda m: F.struct(F.regexp_extract(m, CLAIM, 1).alias("expr"), F.replace(F.regexp_extract(m, CLAIM, 2), F.lit(","), F.lit("")).try_cast("double").alias("claimed"))
+    return F.transform(F.regexp_extract_all(text, F.lit(CLAIM), 0), one)
 
 
 def is_symbolic(expr: Column, allowed: tuple[str, ...] = ("pi", "e")) -> Column:
@@ -225,8 +228,15 @@ def repair_markers(text: Column) -> Column:
 
 
 def verify_claims(df, text: str, key: list[str], tolerance: float = TOLERANCE, dialect: str = "verifier"):
-    """CALC-10/14, AGG-8: per key n_checked, n_failed, n_mismatch, ok. Claims are exploded, so each expression is a column value."""
-    each = df.select(*key, F.explode_outer(claims(F.col(text))).alias("c")).select(*key, "c.expr", "c.claimed")
-    got = each.withColumn("got", calc(F.col("expr"), dialect))
-    wrong = F.abs(F.col("got") - F.col("claimed")) > tolerance
-    return got.groupBy(*key).agg(F.count_if(F.col("got").isNotNull() & F.col("claimed").isNotNull()).alias("n_checked"), F.count_if(F.col("expr").isNotNull() & F.col("got").isNull()).alias("n_failed"), F.count_if(wrong).alias("n_mismatch")).withColumn("ok", (F.col("n_failed") == 0) & (F.col("n_mismatch") == 0))
+    """CALC-10/14, AGG-8: per key n_checked, n_failed, n_mismatch, ok, mismatches (expr, claimed, got; by line).
+
+    A line's first claim counts, those that can't be evaluated too. Lines are exploded, so each expression is a column
+    value; a text without claims passes.
+    """
+    marked = F.filter(F.transform(lines(F.coalesce(F.col(text), F.lit(""))), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].contains("[[calc:"))
+    each = df.select(*key, F.explode_outer(marked).alias("_l")).select(*key, F.col("_l.line").alias("line"), F.nullif(F.regexp_extract("_l.text", LINE_CLAIM, 2), F.lit("")).cast("double").alias("claimed"), F.trim(F.regexp_extract("_l.text", LINE_CLAIM, 1)).alias("expr"))
+    got = each.withColumn("got", calc(F.when(F.col("claimed").isNotNull(), F.col("expr")), dialect))
+    there, wrong = F.col("claimed").isNotNull(), F.abs(F.col("got") - F.col("claimed")) > tolerance
+    missed = F.transform(F.array_sort(F.collect_list(F.when(wrong, F.struct("line", "expr", "claimed", "got")))), lambda x: F.struct(x["expr"].alias("expr"), x["claimed"].alias("claimed"), x["got"].alias("got")))
+    counts = got.groupBy(*key).agg(F.count_if(there).alias("n_checked"), F.count_if(there & F.col("got").isNull()).alias("n_failed"), F.count_if(wrong).alias("n_mismatch"), missed.alias("mismatches"))
+    return counts.withColumn("ok", (F.col("n_failed") == 0) & (F.col("n_mismatch") == 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,10 +35,15 @@ def normalize_ws(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f mentions it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def lines(c: Column) -> Column:
     """Lines of a text; one empty part after a final line end is dropped, an empty text has none."""
-    parts = F.split(c, LINE_ENDS)
-    return F.when(c == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(once(F.split(c, LINE_ENDS), cut))
 
 
 def filled_lines(c: Column) -> Column:

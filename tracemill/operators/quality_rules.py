@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill.functions.answers import answers_equal, fixed_answer, verdict
-from tracemill.functions.markers import MARKER, is_symbolic
-from tracemill.functions.text import blank_to_null, count_steps, final_last_line_anywhere, filled_lines, lines, looks_multistep, strip
+from tracemill.functions.markers import LINE_CLAIM, MARKER, is_symbolic
+from tracemill.functions.text import blank_to_null, count_steps, final_last_line_anywhere, filled_lines, lines, looks_multistep, once, strip
 
 
 def checked(*tests: tuple[Column, str]) -> Column:
@@ -26,21 +26,23 @@ def planner_quality(c: Column) -> Column:
     inner = strip(F.substring(text, F.lit(3), F.greatest(F.length(text) - 4, F.lit(0))))
     steps = F.transform(filled_lines(inner), strip)
     step = r"^\d+\.\s+(.+)$"
-    odd = F.filter(F.transform(steps, lambda s, i: F.when(~s.rlike(step), F.concat(F.lit("Step formatting not recognized on line "), (i + 1).cast("string"), F.lit(": "), F.substring(s, 1, 80)))), lambda m: m.isNotNull())
     size = lambda s: F.length(strip(F.regexp_extract(s, step, 1)))
-    long = F.filter(F.transform(steps, lambda s, i: F.when(size(s) > LONGEST_STEP, F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(" too long ("), size(s).cast("string"), F.lit(" chars).")))), lambda m: m.isNotNull())
+    odd = lambda s, i: F.concat(F.lit("Step formatting not recognized on line "), (i + 1).cast("string"), F.lit(": "), F.substring(s, 1, 80))
+    long = lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(" too long ("), size(s).cast("string"), F.lit(" chars)."))
+    each = F.array_compact(F.transform(steps, lambda s, i: F.when(~s.rlike(step), odd(s, i)).when(size(s) > LONGEST_STEP, long(s, i))))
     more = F.array_compact(F.array(F.when(F.size(steps) > MOST_STEPS, F.concat(F.lit("Too many steps: "), F.size(steps).cast("string"), F.lit(" (>10).")))))
     none = F.array_compact(F.array(F.when(~F.exists(steps, lambda s: s.rlike(step)), F.lit("No numbered steps parsed."))))
     one = lambda m: F.array(F.lit(m))
-    reasons = F.when(~(text.startswith("<<") & text.endswith(">>")), one("Missing or incorrect delimiters << >>.")).when(inner == "", one("Empty plan inside delimiters.")).otherwise(F.concat(more, odd, long, none))
+    reasons = F.when(~(text.startswith("<<") & text.endswith(">>")), one("Missing or incorrect delimiters << >>.")).when(inner == "", one("Empty plan inside delimiters.")).otherwise(F.concat(more, each, none))
     return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
 
 def reasoner_quality(c: Column) -> Column:
     """QC-2: two lines, a numbered one, a marker, a final; an empty text has one fault."""
     text = strip(F.coalesce(c, F.lit("")))
-    kept = filled_lines(text)
-    full = checked((F.size(kept) < 2, "too few lines"), (~F.exists(kept, lambda s: s.rlike(r"^\d+\.\s+\S")), "no numbered steps"), (~text.contains("[[calc:"), "no calc markers"), (final_last_line_anywhere(text).isNull(), "missing final ####"))
+    found = lambda kept: F.struct(F.size(kept).alias("lines"), F.exists(kept, lambda s: s.rlike(r"^\d+\.\s+\S")).alias("steps"), F.exists(kept, lambda s: s.rlike(r"^\s*####\s*[^\n#]*[^\s#]")).alias("final"))
+    judged = lambda x: checked((x["lines"] < 2, "too few lines"), (~x["steps"], "no numbered steps"), (~text.contains("[[calc:"), "no calc markers"), (~x["final"], "missing final ####"))
+    full = once(once(filled_lines(text), found), judged)
     return F.when(text == "", checked((F.lit(True), "empty output"))).otherwise(full)
 
 
@@ -87,29 +89,41 @@ def verifier_block(pred: Column, gold: Column, why: Column) -> Column:
 
 
 def perturb(text: Column, up: Column) -> Column:
-    """TXT-19: struct(text, kind): the first arrow of a marker moves by 1 or a tenth; else signs swap on the first line with a sum; else the final becomes 0."""
-    arrow = r"(?s)^(.*?\]\]\s*->\s*)(-?\d+(?:\.\d+)?)(.*)$"
-    old = F.regexp_extract(text, arrow, 2).try_cast("double")
-    move = F.when(F.abs(old) < 50, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.abs(old) * 0.1)) * F.when(up, 1).otherwise(-1)
-    new = old + move
-    said = F.when(new == F.floor(new), new.cast("long").cast("string")).otherwise(F.round(new, 6).cast("string"))
-    shifted = F.concat(F.regexp_extract(text, arrow, 1), said, F.regexp_extract(text, arrow, 3))
-    all_lines = lines(text)
-    at = F.array_position(F.transform(all_lines, lambda s: s.rlike(r"\d\s*[-+]\s*\d") & ~s.contains("[[calc")), True)
-    swapped = F.array_join(F.transform(all_lines, lambda s, i: F.when(i + 1 == at, F.translate(s, "+-", "-+")).otherwise(s)), "\n")
-    has_final = text.rlike(r"(?m)^\s*####")
-    zero = F.regexp_replace(text, r"(?m)^\s*####.*$", "#### 0")
-    kind = F.when(old.isNotNull(), "arrow").when(at > 0, "signs").when(~has_final, "append_final").otherwise("final")
-    return F.struct(F.when(old.isNotNull(), shifted).when(at > 0, swapped).when(~has_final, F.concat(text, F.lit("\n#### 0"))).otherwise(zero).alias("text"), kind.alias("kind"))
-
-
-def routed_calls(problem: Column, plan: Column, verifier: Column, has_calc: Column, calc_mismatch: Column, reasoner: Column, normalized: Column, subject: Column, level: Column, least_steps: int = 2, use_cues: bool = True, hard_maths: bool = True, force_normalizer: bool = False, aggregator: bool = False) -> Column:
-    """LBL-2: struct(calls, halt_after, text)."""
-    plans = (count_steps(F.coalesce(plan, F.lit(""))) >= least_steps) | (looks_multistep(problem) if use_cues else F.lit(False))
-    hard = (F.coalesce(strip(subject), F.lit("")) != "") & (F.coalesce(level.try_cast("int"), F.lit(0)) >= 4) if hard_maths else F.lit(False)
-    verify = verdict(verifier).eqNullSafe("INCORRECT") | F.coalesce(calc_mismatch, F.lit(False)) | hard
-    normal = F.lit(force_normalizer) | ((F.coalesce(strip(normalized), F.lit("")) != "") & (strip(normalized) != F.coalesce(strip(reasoner), F.lit(""))))
-    calls = F.array_compact(F.array(F.when(plans, "planner"), F.lit("reasoner"), F.when(has_calc, "calculator"), F.when(verify, "verifier"), F.when(normal, "normalizer")))
-    halt = F.element_at(calls, -1)
-    final = F.concat(calls, F.array(F.lit("aggregator"))) if aggregator else calls
-    return F.struct(final.alias("calls"), halt.alias("halt_after"), F.concat(F.lit("CALLS: "), F.array_join(final, ","), F.lit("; HALT_AFTER: "), halt).alias("text"))
+    """TXT-19: struct(text, kind, changed): on the first line with a claim its value moves by 1 or a tenth; else signs swap
+    on the first line without a marker that has a number and a sign; else a final 0 is appended or replaces the first final."""
+    rows, number = lines(text), r"(?<![\w.])[+-]?\d+(?:\.\d+)?(?![\w.])"
+
+    def spoilt(x: Column) -> Column:
+        place = lambda test: F.array_position(F.transform(x, test), True)
+        put = lambda at, by: F.array_join(F.transform(x, lambda s, i: F.when(i + 1 == at, by(s)).otherwise(s)), "\n")
+        claim, sum_, final = place(lambda s: s.rlike(LINE_CLAIM)), place(lambda s: s.rlike(number) & s.rlike("[+-]") & ~s.contains("[[calc:")), place(lambda s: s.rlike(r"####\s*.+\s*$"))
+
+        def moved(s: Column) -> Column:
+            old = F.regexp_extract(s, LINE_CLAIM, 2).try_cast("double")
+            new = old + F.when(F.abs(old) < 50, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.abs(old) * 0.1)) * F.when(up, 1).otherwise(-1)
+            said = F.when((new == F.floor(new)) & (F.abs(new) < 1e15), F.concat(new.cast("long").cast("string"), F.lit(".0"))).otherwise(new.cast("string"))
+            whole, expr = F.regexp_extract(s, LINE_CLAIM, 0), F.regexp_extract(s, LINE_CLAIM, 1)
+            at = F.instr(s, whole)
+            return F.concat(F.substring(s, F.lit(1), at - 1), F.lit("[[calc: "), expr, F.lit("]] -> "), said, F.substring(s, at + F.length(whole), F.length(s)))
+
+        kind = F.when(F.size(x) == 0, "none").when(claim > 0, "calc_arrow_tweak").when(sum_ > 0, "op_flip").when(final == 0, "append_wrong_final").otherwise("replace_final")
+        out = F.when(F.size(x) == 0, text).when(claim > 0, put(claim, moved)).when(sum_ > 0, put(sum_, lambda s: F.translate(s, "+-", "-+"))).when(final == 0, F.array_join(F.concat(x, F.array(F.lit("#### 0"))), "\n")).otherwise(put(final, lambda _: F.lit("#### 0")))
+        return F.struct(out.alias("text"), kind.alias("kind"), (F.size(x) > 0).alias("changed"))
+
+    return once(rows, spoilt)
+
+
+def routed_calls(problem: Column, plan: Column, verifier: Column, has_calc: Column, calc_mismatch: Column, reasoner: Column, normalized: Column, subject: Column, level: Column, least_steps: int = 2, use_cues: bool = False, hard_maths: bool = False, force_normalizer: bool = False, aggregator: bool = False, aggregator_steps: int = 5, hard_level: int = 4) -> Column:
+    """LBL-2: struct(calls, halt_after, text, signals). The calculator is never what a chain halts after."""
+    steps = count_steps(F.coalesce(plan, F.lit("")))
+    plans = ((F.coalesce(plan, F.lit("")) != "") & (steps >= least_steps)) | (F.coalesce(looks_multistep(problem), F.lit(False)) if use_cues else F.lit(False))
+    number = F.when(level.cast("string").rlike(r"^\s*[+-]?\d+\s*$"), strip(level.cast("string")).try_cast("int"))
+    hard = (F.coalesce(strip(subject), F.lit("")) != "") & F.coalesce(number >= hard_level, F.lit(False))
+    incorrect, mismatch = verdict(verifier).eqNullSafe("INCORRECT"), F.coalesce(calc_mismatch, F.lit(False))
+    verify = incorrect | mismatch | (hard if hard_maths else F.lit(False))
+    normal = F.lit(force_normalizer) | ((F.coalesce(normalized, F.lit("")) != "") & (strip(F.coalesce(normalized, F.lit(""))) != F.coalesce(strip(reasoner), F.lit(""))))
+    added = F.lit(aggregator) & (steps >= aggregator_steps)
+    calls = F.array_compact(F.array(F.when(plans, "planner"), F.lit("reasoner"), F.when(has_calc, "calculator"), F.when(verify, "verifier"), F.when(normal, "normalizer"), F.when(added, "aggregator")))
+    halt = F.when(normal, "normalizer").when(verify, "verifier").otherwise("reasoner")
+    signals = F.struct(steps.alias("planner_steps"), has_calc.alias("has_numeric_calc"), incorrect.alias("verdict_incorrect"), mismatch.alias("calc_mismatch"), hard.alias("hard_math"), normal.alias("needs_normalizer"))
+    return F.struct(calls.alias("calls"), halt.alias("halt_after"), F.concat(F.lit("CALLS: "), F.array_join(calls, ","), F.lit("; HALT_AFTER: "), halt).alias("text"), signals.alias("signals"))

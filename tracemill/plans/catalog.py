@@ -50,28 +50,26 @@ def q_calc_extract(spark, sf_dir):
 
 @query(f"SELECT l_returnflag, count(*) AS n_checked, count(*) FILTER (WHERE q * n <> claim) AS n_mismatch, round(avg(CASE WHEN q * n = claim THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({TRACES}) GROUP BY l_returnflag")
 def q_calc_verify(spark, sf_dir):
-    """CALC-10, AGG-3: claims checked on the native path."""
-    t = traces(spark, sf_dir).select("l_returnflag", F.explode(M.claims(F.col("trace"))).alias("c"))
-    pattern = r"^(\d+)\*(\d+)$"
-    got = F.regexp_extract("c.expr", pattern, 1).cast("double") * F.regexp_extract("c.expr", pattern, 2).cast("double")
-    bad = F.abs(got - F.col("c.claimed")) > 1e-6
-    return t.groupBy("l_returnflag").agg(F.count("*").alias("n_checked"), F.count_if(bad).alias("n_mismatch"), F.round(F.avg(F.when(bad, 0.0).otherwise(1.0)), 6).alias("accuracy"))
+    """CALC-10, AGG-3: the reports of all traces, by return flag."""
+    x = M.verify_claims(traces(spark, sf_dir), "trace", ["l_orderkey", "l_linenumber", "l_returnflag"])
+    n, bad = F.sum("n_checked"), F.sum("n_mismatch")
+    return x.groupBy("l_returnflag").agg(n.alias("n_checked"), bad.alias("n_mismatch"), F.round((n - bad) / n, 6).alias("accuracy"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST((CAST(l_quantity AS BIGINT) + 3) * l_linenumber - l_linenumber * l_linenumber AS DOUBLE) AS value FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT l_orderkey, l_linenumber, CAST((CAST(l_quantity AS BIGINT) + 3) * l_linenumber - l_linenumber * l_linenumber AS DOUBLE) AS value FROM lineitem")
 def q_calc_eval_udf(spark, sf_dir):
     """CALC-1: nested expressions by the evaluator; each distinct expression is evaluated once."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, sf_dir, "lineitem")
     q, n = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string")
     x = li.select("l_orderkey", "l_linenumber", F.concat(F.lit("("), q, F.lit("+3)*"), n, F.lit("-"), n, F.lit("**2")).alias("expr"))
     known = x.select("expr").distinct().withColumn("value", calc(F.col("expr")))
     return x.join(known, "expr").select("l_orderkey", "l_linenumber", "value")
 
 
-@query("SELECT o_orderkey, CAST(o_orderkey % 97 + 4 AS DOUBLE) AS v1, CAST((o_orderkey % 97 + 4) * 2 AS DOUBLE) AS v2, CAST(2 AS BIGINT) AS n_values FROM orders WHERE o_orderkey % 4 = 0")
+@query("SELECT o_orderkey, CAST(o_orderkey % 97 + 4 AS DOUBLE) AS v1, CAST((o_orderkey % 97 + 4) * 2 AS DOUBLE) AS v2, CAST(2 AS BIGINT) AS n_values FROM orders")
 def q_plan_dsl(spark, sf_dir):
     """CALC-2: plans with references to earlier results."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    o = table(spark, sf_dir, "orders")
     plan = F.concat(F.lit("1. "), (F.col("o_orderkey") % 97).cast("string"), F.lit("+4 # first\n2. _1*2\n<stop>\n3. 9"))
     x = o.select("o_orderkey", plan.alias("plan"))
     known = x.select("plan").distinct().withColumn("r", plan_values(F.col("plan")))
@@ -79,19 +77,23 @@ def q_plan_dsl(spark, sf_dir):
     return x.join(known, "plan").select("o_orderkey", v[0].alias("v1"), v[1].alias("v2"), F.size(v).cast("long").alias("n_values"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, '1. x [[calc: ' || q || '*' || n || ']] -> ' || (q * n) AS fixed FROM ({TRACES}) WHERE l_orderkey % 7 = 0")
+@query(f"SELECT l_orderkey, l_linenumber, '1. x [[calc: ' || q || '*' || n || ']] -> ' || (q * n) AS fixed FROM ({TRACES})")
 def q_calc_repair(spark, sf_dir):
     """CALC-6: wrong arrows recomputed."""
-    t = traces(spark, sf_dir).where("l_orderkey % 7 = 0").withColumn("line", F.split_part("trace", F.lit("\n"), F.lit(1)))
+    t = traces(spark, sf_dir).withColumn("line", F.split_part("trace", F.lit("\n"), F.lit(1)))
     known = t.select("line").distinct().withColumn("fixed", M.recompute_markers(F.col("line")))
     return t.join(known, "line").select("l_orderkey", "l_linenumber", "fixed")
 
 
-@query(f"SELECT DISTINCT l_orderkey, l_linenumber, q * n = claim AS ok FROM ({TRACES}) WHERE l_orderkey % 5 = 0")
+REPORTS = f"SELECT l_orderkey, l_linenumber, CAST(sum(2 + CAST(l_orderkey % 3 = 0 AS INT)) AS BIGINT) AS n_checked, count(*) FILTER (WHERE l_orderkey % 3 = 0) AS n_failed, count(*) FILTER (WHERE q * n <> claim) AS n_mismatch FROM ({TRACES}) GROUP BY l_orderkey, l_linenumber"
+
+
+@query(f"SELECT *, n_failed = 0 AND n_mismatch = 0 AS ok FROM ({REPORTS})")
 def q_verify_claims(spark, sf_dir):
-    """CALC-10, CALC-14, AGG-8: a report per trace."""
-    t = traces(spark, sf_dir).where("l_orderkey % 5 = 0")
-    return M.verify_claims(t, "trace", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "ok")
+    """CALC-10, CALC-14, AGG-8: a report per trace; of two claims on a line the first counts, one that can't be evaluated fails."""
+    more = F.concat(F.lit("\n2. y [[calc: 1+1]] -> 2 and [[calc: 2+2]] -> 5"), F.when(F.col("l_orderkey") % 3 == 0, "\n3. z [[calc: 1/0]] -> 1").otherwise(""))
+    x = traces(spark, sf_dir).withColumn("trace", F.concat("trace", more))
+    return M.verify_claims(x, "trace", ["l_orderkey", "l_linenumber"]).drop("mismatches")
 
 
 VERDICTS = "SELECT l_returnflag, l_orderkey % 3 <> 0 AS expected, CASE WHEN l_linenumber % 5 = 0 THEN NULL WHEN (l_orderkey + l_linenumber) % 4 <> 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS said FROM lineitem"
@@ -188,10 +190,11 @@ def q_resume_anti(spark, sf_dir):
     return joins.unfinished(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT min(doc_id) AS doc_id, md5(text) AS h, count(*) AS n FROM documents GROUP BY md5(text)")
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY md5(text)")
 def q_dedup_exact(spark, sf_dir):
     """SET-2: the first of equal texts."""
-    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    return joins.distinct_first(d.withColumn("first", F.col("doc_id")), ["h"], "doc_id").select(F.col("first").alias("doc_id"), "h")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders),
@@ -215,10 +218,10 @@ def q_chat_io(spark, sf_dir):
     return roles.chat_pairs(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
 def q_ws_norm(spark, sf_dir):
     """TXT-1."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.normalize_ws(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalize_ws(F.col("text")).alias("text"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), n AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM l)
@@ -229,17 +232,18 @@ def q_collapse_lines(spark, sf_dir):
     return d.select("doc_id", F.size("a").cast("long").alias("n_lines"), F.size(X.collapse_repeats(F.col("a"))).cast("long").alias("n_kept"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS a FROM documents WHERE n_chars < 4000)
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS a FROM documents)
 SELECT doc_id, array_to_string([(i || '. ' || trim(a[i], ' ')) FOR i IN range(1, len(a) + 1)], chr(10)) AS steps FROM l""")
 def q_renumber(spark, sf_dir):
     """WIN-1, TXT-18."""
-    return table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", X.renumber(F.col("text")).alias("steps"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.renumber(F.col("text")).alias("steps"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+\\.[ \\n]')) AS n_numbers, regexp_matches(lower(text), 'then|after|each day|per day|per week|first|second|next|total|sum of|difference of') OR len(string_split_regex(trim(text, ' '), '\\s+')) >= 28 AS multistep FROM documents")
+@query("""WITH l AS (SELECT doc_id, text, len(regexp_extract_all(text, '(?m)^\\s*[0-9]+\\.\\s+')) AS n, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')) AS m FROM documents)
+SELECT doc_id, CAST(CASE WHEN n > 0 THEN n ELSE m END AS BIGINT) AS n_steps, regexp_matches(lower(text), 'then|after|each day|per day|per week|first|second|next|total|sum of|difference of') OR len(string_split_regex(trim(text, ' '), '\\s+')) >= 28 AS multistep FROM l""")
 def q_multistep(spark, sf_dir):
     """TXT-16, TXT-17."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+\.[ \n]"), 0)).cast("long").alias("n_numbers"), X.looks_multistep(F.col("text")).alias("multistep"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.count_steps(F.col("text")).cast("long").alias("n_steps"), X.looks_multistep(F.col("text")).alias("multistep"))
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '__NA__') AS k FROM events")
@@ -249,23 +253,24 @@ def q_nested_path(spark, sf_dir):
     return e.select("event_id", fields.stratum(F.try_parse_json("props"), ["k"]).alias("k"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN left(html, 20) ELSE 'none' END AS field FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN html ELSE 'none' END AS field FROM pages")
 def q_coalesce_fields(spark, sf_dir):
     """PRJ-2."""
     p = table(spark, sf_dir, "pages")
     first = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("")
-    second = F.when(F.col("page_id") % 3 == 1, F.substring("html", 1, 20))
+    second = F.when(F.col("page_id") % 3 == 1, F.col("html"))
     return p.select("page_id", X.first_filled(first, second, F.lit("none")).alias("field"))
 
 
-@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'planner' END, 'reasoner', CASE WHEN o_orderkey % 3 = 0 THEN 'calculator' END, CASE WHEN o_orderkey % 5 = 0 THEN 'verifier' END, CASE WHEN o_orderkey % 7 = 0 THEN 'normalizer' END], lambda x: x IS NOT NULL), ',') AS calls FROM orders""")
+@query("""SELECT o_orderkey, 'CALLS: ' || array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'planner' END, 'reasoner', CASE WHEN o_orderkey % 3 = 0 THEN 'calculator' END, CASE WHEN o_orderkey % 5 = 0 THEN 'verifier' END, CASE WHEN o_orderkey % 7 = 0 THEN 'normalizer' END, CASE WHEN o_orderkey % 4 = 0 THEN 'aggregator' END], lambda x: x IS NOT NULL), ',') || '; HALT_AFTER: ' || CASE WHEN o_orderkey % 7 = 0 THEN 'normalizer' WHEN o_orderkey % 5 = 0 THEN 'verifier' ELSE 'reasoner' END AS text,
+CAST(CASE WHEN o_orderkey % 4 = 0 THEN 5 WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS steps FROM orders""")
 def q_router_calls(spark, sf_dir):
-    """LBL-2."""
+    """LBL-2: calls, where they halt, and steps; five steps call the aggregator, a calculator is never halted after."""
     k = F.col("o_orderkey")
-    plan = F.when(k % 2 == 0, F.lit("<<\n1. a\n2. b\n>>")).otherwise(F.lit("<<\n1. a\n>>"))
+    plan = F.when(k % 4 == 0, F.lit("<<\n1. a\n2. b\n3. c\n4. d\n5. e\n>>")).when(k % 2 == 0, F.lit("<<\n1. a\n2. b\n>>")).otherwise(F.lit("<<\n1. a\n>>"))
     block = F.when(k % 5 == 0, F.lit("<<VERDICT: INCORRECT>>")).otherwise(F.lit("<<VERDICT: CORRECT>>"))
-    routed = quality_rules.routed_calls(F.lit("q"), plan, block, k % 3 == 0, F.lit(False), F.lit("r"), F.when(k % 7 == 0, "n").otherwise("r"), F.lit(""), F.lit("1"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(routed["calls"], ",").alias("calls"))
+    routed = quality_rules.routed_calls(F.lit("q then"), plan, block, k % 3 == 0, F.lit(False), F.lit("r"), F.when(k % 7 == 0, "n").otherwise("r"), F.lit("algebra"), F.lit("5"), aggregator=True)
+    return table(spark, sf_dir, "orders").select("o_orderkey", routed.alias("r")).select("o_orderkey", "r.text", F.col("r.signals.planner_steps").cast("long").alias("steps"))
 
 
 @query("""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS a FROM documents)
@@ -300,23 +305,88 @@ def q_unify(spark, sf_dir):
     return fields.unified(x, "raw", "test").where("fits").select("id", "dataset", "question", "gold_answer", "rationale_gold")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_linenumber % 4 <> 3 AS equal, CASE WHEN l_linenumber % 4 = 2 THEN 'TEXT' ELSE 'NUMERIC_SET' END AS class FROM lineitem")
+def q_answer_expressions(spark, sf_dir):
+    """ANS-1 to ANS-3: expressions, LaTeX, dots at the end and texts."""
+    k, n = F.col("l_linenumber") % 4, (F.col("l_orderkey") % 50 + 1).cast("string")
+    said = F.when(k == 0, F.concat(F.lit("("), n, F.lit("*2+4)/2"))).when(k == 1, F.concat(F.lit("$\\frac{"), n, F.lit("}{4}$."))).when(k == 2, F.concat(F.lit("x="), n, F.lit("."))).otherwise(F.concat(n, F.lit("**2")))
+    gold = F.when(k == 0, F.concat(n, F.lit("+2"))).when(k == 1, F.concat(n, F.lit("/4"))).when(k == 2, F.concat(F.lit("x="), n)).otherwise(F.concat(n, F.lit("**2+1")))
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", said.alias("said"), gold.alias("gold"))
+    known = x.select("said", "gold").distinct().withColumns({"equal": A.answers_equal(F.col("said"), F.col("gold")), "class": A.answer_class(F.col("said"))})
+    return x.join(known, ["said", "gold"]).drop("said", "gold")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN '1. x [[calc: 2*3]] -> ' || (q + CASE WHEN q < 50 THEN 1.0 ELSE 5.0 END) || chr(10) || '#### 5' WHEN 1 THEN 'so ' || q || ' - 3' || chr(10) || 'y' ELSE 'no number' || chr(10) || '#### 0' END AS text,
+CASE l_linenumber % 3 WHEN 0 THEN 'calc_arrow_tweak' WHEN 1 THEN 'op_flip' ELSE 'append_wrong_final' END AS kind FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q FROM lineitem)""")
+def q_perturb(spark, sf_dir):
+    """TXT-19: hard negatives."""
+    q, k = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber") % 3
+    text = F.when(k == 0, F.concat(F.lit("1. x [[calc: 2*3 ]] -> "), q, F.lit("\n#### 5"))).when(k == 1, F.concat(F.lit("so "), q, F.lit(" + 3\ny"))).otherwise(F.lit("no number"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", quality_rules.perturb(text, F.lit(True)).alias("p")).select("l_orderkey", "l_linenumber", "p.text", "p.kind")
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'Step formatting not recognized on line 1: odd' END, 'Step 2 too long (201 chars).', 'Step formatting not recognized on line 3: odd'], lambda x: x IS NOT NULL), '|') AS reasons FROM orders""")
+def q_planner_quality(spark, sf_dir):
+    """QC-1: faults line by line."""
+    plan = F.concat(F.lit("<<\n"), F.when(F.col("o_orderkey") % 2 == 0, "odd").otherwise("1. fine"), F.lit("\n2. " + "a" * 201 + "\nodd\n>>"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(quality_rules.planner_quality(plan)["reasons"], "|").alias("reasons"))
+
+
+@query("SELECT 'planner' AS role, doc_id, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= CASE lang WHEN 'en' THEN 7 ELSE 3 END")
+def q_caps_by_role_and_pair(spark, sf_dir):
+    """SMP-7, SMP-8: caps per role, overridden per (dataset, role)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"), F.lit("planner").alias("role"))
+    kept = sampling.capped_by(d, {"planner": 3}, {("en", "planner"): 7}, SEED, "doc_id")
+    return kept.join(kept.groupBy("dataset").agg(F.count("*").alias("n")), "dataset").select("role", "doc_id", "n")
+
+
+@query("SELECT doc_id, coalesce(CAST(quality AS VARCHAR), '<<' || chr(10) || '1. Identify required quantities.' || chr(10) || '2. Compute and present final answer.' || chr(10) || '>>') AS plan FROM documents LEFT JOIN (SELECT doc_id, max_by(quality, toxic * 10 + quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
+def q_default_plan(spark, sf_dir):
+    """JOIN-1: each row's plan, or the default one."""
+    plans = table(spark, sf_dir, "labels").select(F.col("doc_id"), F.col("quality").cast("string").alias("plan"), (F.col("toxic") * 10 + F.col("quality")).alias("pos"))
+    return joins.with_plan(table(spark, sf_dir, "documents").select("doc_id"), plans, "doc_id")
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder that driver and executors share; a local one only where all run on this machine."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tracemill-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 @query("SELECT item_id % 4 = 0 AS rejected, count(*) AS n FROM benchmark GROUP BY ALL")
 def q_rejects(spark, sf_dir):
-    """SRC-6, SET-5: lines that are no JSON are rejects."""
-    line = F.when(F.col("item_id") % 4 == 0, "{bad").otherwise(F.to_json(F.struct("item_id")))
-    x = table(spark, sf_dir, "benchmark").select(F.try_parse_json(line).alias("raw"))
-    return x.groupBy(F.col("raw").isNull().alias("rejected")).agg(F.count("*").alias("n"))
+    """SRC-6, SET-5: lines that are no JSON are rejects; written and read as JSON lines."""
+    from tracemill.sources.jsonl import read_variant
+
+    at = scratch(spark, "lines")
+    table(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 4 == 0, "{bad").otherwise(F.to_json(F.struct("item_id"))).alias("value")).write.text(at)
+    good, bad = read_variant(spark, at)
+    return good.select(F.lit(False).alias("rejected")).unionByName(bad.select(F.lit(True).alias("rejected"))).groupBy("rejected").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, lang, source FROM documents WHERE lang IS NOT NULL")
+def q_jsonl_round_trip(spark, sf_dir):
+    """SRC-1, SNK-1, SNK-2: rows written twice by key are there once, nulls kept."""
+    from tracemill.sources.jsonl import append_new, read_strict
+
+    at, d = scratch(spark, "jsonl"), table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang", "source")
+    append_new(d.where("doc_id % 2 = 0"), at, "doc_id")
+    append_new(d, at, "doc_id")
+    return read_strict(spark, at, d.schema)
+
+
+@query("SELECT DISTINCT event_id, user_id FROM events")
 def q_stream_resume(spark, sf_dir):
-    """STR-2: events streamed to a sink, one row per id. Rows only."""
+    """STR-2: events streamed to a sink, one row per id."""
     from tracemill.streaming.resume import ingest
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-")
-    import uuid
-
-    at = f"{folder}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{at}/in")
     ingest(spark, f"{at}/in", schema, lambda b: b.select("event_id", "user_id"), f"{at}/out", f"{at}/mark", key="event_id", kind="parquet").awaitTermination()
