@@ -43,7 +43,7 @@ def numeric_set(c: Column) -> Column:
     @F.pandas_udf("array<double>")
     def slow(s: pd.Series) -> pd.Series:
         known = {x: answer_values(x) for x in s.dropna().unique()}
-        return s.map(lambda x: known.get(x)).astype(object)
+        return s.map(known.get).astype(object) if known else pd.Series([None] * len(s), dtype=object)
 
     core = F.btrim(strip(c), F.lit("."))
     number = r"[+-]?(?:0+|[1-9]\d*|\d+\.\d*|\.\d+)"

@@ -203,7 +203,10 @@ def calc(expr: Column, dialect: str = "verifier") -> Column:
     @F.pandas_udf("double")
     def slow(s: pd.Series) -> pd.Series:
         known = {x: safe_calc(x, dialect) for x in s.dropna().unique()}
-        return s.map(known).astype("float64").astype(object).where(s.notna() & s.map(lambda x: known.get(x) is not None), None)
+        if not known:
+            return pd.Series([None] * len(s), dtype=object)
+        found = s.map(known)  # values are finite, so what is no number is null
+        return found.astype(object).where(found.notna(), None)
 
     return F.when(plain, native).otherwise(slow(F.when(plain, F.lit(None)).otherwise(expr)))
 
