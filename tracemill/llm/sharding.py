@@ -172,4 +172,5 @@ def shard_rows(docs: DataFrame, dims: list[str], id_col: str = "doc_id", text_co
     if "shard" in docs.columns:
         raise ValueError("the column shard is there already")
     found = assign_shards(docs, dims, id_col=id_col, text_col=text_col, **tree).groupBy(F.col("h").alias("__h")).agg(F.min("shard").alias("__shard"))
-    return docs.join(few(found), text_hash(F.col(text_col)) == F.col("__h")).select(*[F.col(c) for c in docs.columns], F.col("__shard").alias("shard"))
+    # One row for each different text: the join is shuffled at every size.
+    return docs.join(found.hint("merge"), text_hash(F.col(text_col)) == F.col("__h")).select(*[F.col(c) for c in docs.columns], F.col("__shard").alias("shard"))
