@@ -159,3 +159,55 @@ def test_routing_halts(spark):
     route = lambda calc, verdict, norm, plan=s: quality_rules.routed_calls(F.lit("then"), plan, verdict, F.lit(calc), F.lit(False), F.lit("r"), norm, s, s, aggregator=True)["text"]
     r = one(spark, route(True, s, s), route(True, F.lit("<<VERDICT: INCORRECT>>"), s), route(False, s, F.lit("n")), route(False, s, s, F.lit("1. a\n2. b\n3. c\n4. d\n5. e")))
     assert tuple(r) == ("CALLS: reasoner,calculator; HALT_AFTER: reasoner", "CALLS: reasoner,calculator,verifier; HALT_AFTER: verifier", "CALLS: reasoner,normalizer; HALT_AFTER: normalizer", "CALLS: planner,reasoner,aggregator; HALT_AFTER: reasoner")
+
+
+@pytest.mark.parametrize(("text", "strict", "out", "notes"), [
+    ("has 5 and 7 [[calc: ]] -> 12", False, "has 5 and 7 [[calc: 5.0+7.0]] -> 12", ["filled blank calc -> 5.0+7.0 = 12"]),
+    ("has 5 [[calc: ]] -> 80", False, "has 5 -> 80", ["dropped blank calc (kept arrow value)"]),
+    ("[[calc: x+1]] -> 2", False, "", ["removed symbolic calc marker: x+1"]),
+    ("[[calc: 2+2]] -> 5", False, "[[calc: 2+2]] -> 4.0", ["fixed arrow: 2+2 = 4.0 (was 5)"]),
+    ("[[calc: 2+2]] -> 5", True, "[[calc: 2+2]] -> 5", []),
+    ("1 and 2 [[calc: ]] -> 3", True, "1 and 2 ", ["strict mode: dropped calc in symbolic context"]),
+    ("9 [[calc: 9]] -> 9", False, "9 [[calc: 9]] -> 9", []),
+    ("9 [[calc: 2+*]] -> 50", False, "9 [[calc: 2+*]] -> 50", ["left malformed calc unchanged: 2+*"]),
+    ("[[calc: $1,200 + (3]] -> 1203", False, "[[calc: 1200 + (3)]] -> 1203", []),
+])
+def test_repair_report(text, strict, out, notes):
+    assert M.repair_report(text, strict) == (out, notes)
+
+
+def test_inferred_orders():
+    assert M.inferred([1.0, 3.0, 2.0, 2.0], 4.0) == "1.0+3.0"
+    assert M.inferred([1.0, 3.0, 2.0, 2.0], 4.0, last_first=True) == "2.0+2.0"
+    assert M.inferred([], 1.0) is None
+    assert M.tidy("(2+3))") == "(2+3)"
+
+
+def test_repair_rows(spark):
+    df = spark.createDataFrame([("a", "[[calc: 2+2]] -> 5", (False, ["x"])), ("b", "plain", None), ("c", None, None)], "id string, reasoner_output string, qc struct<passed:boolean,reasons:array<string>>")
+    got = {r.id: (r.reasoner_output, r.qc.passed, r.qc.reasons) for r in M.repair_rows(df).collect()}
+    assert got == {"a": ("[[calc: 2+2]] -> 4.0", False, ["x", "[repair] fixed arrow: 2+2 = 4.0 (was 5)"]), "b": ("plain", True, []), "c": (None, True, [])}
+
+
+def test_provenance(spark):
+    raw = lambda x: F.try_parse_json(F.lit(x))
+    r = one(spark, fields.origin(raw('{"id":"a","source":{"x":1},"meta":{"orig":{"hf_name":"no"}}}')), fields.origin(raw('{"meta":{"hf_name":"h"}}')), fields.kept_source(raw('{"z":1,"level":null,"plan":"p"}')), fields.slim_provenance(raw('{"idx":3,"meta":{"hf_name":"h","original_index":7}}')), fields.provenance(raw("{}"), "none"), fields.provenance(raw('{"a":1}'), "raw"))
+    assert r[0] == '{"id":"a"}'
+    assert r[1] == '{"id":null,"prov":{"hf_name":"h"}}'
+    assert r[2] == '{"plan":"p","level":null}'
+    assert tuple(r[3]) == ("3", "h", "", 7, "")
+    assert (r[4], r[5]) == ("{}", '{"source":{"a":1}}')
+
+
+def test_drawn_ranks_keep_null_groups(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "a") for i in range(60)], "id int, g string")
+    rows = sampling.drawn_ranks(df, ["g"], 1, "id").collect()
+    assert sorted(r._r for r in rows if r.g is None) == list(range(1, 41))
+    assert {r._n for r in rows if r.g == "a"} == {20}
+
+
+def test_carve_out(spark):
+    train, held = sampling.eval_carve_out(spark.range(10), 0.01, 1, "id")
+    assert (train.count(), held.count(), train.join(held, "id").count()) == (9, 1, 0)
+    train, held = sampling.eval_carve_out(spark.range(1), 0.5, 1, "id")
+    assert (train.count(), held.count()) == (1, 1)

@@ -76,3 +76,56 @@ def test_padding(spark):
 
 def test_masked_labels(spark):
     assert spark.range(1).select(roles.masked_labels(F.array(F.lit(7), F.lit(8), F.lit(9)), F.lit(2))).first()[0] == [-100, -100, 9]
+
+
+def test_generated_skips_nulls_and_unwraps(spark):
+    def make():
+        return lambda prompts: [[{"generated_text": p + "!"}, {"generated_text": "no"}] if p == "a" else {"generated_text": p} if p == "b" else None for p in prompts]
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "c")], "i int, p string").coalesce(1)
+    assert {r.i: r.out for r in roles.generated(df, "p", "out", make).collect()} == {1: "a!", 2: None, 3: "b", 4: ""}
+
+
+def test_repair_loop(spark):
+    good = "1. add [[calc: 1+1]] -> 2\n#### 2"
+
+    def make():
+        def generate(prompts):
+            return ["" if "q3" in p or ("q2" in p and "afresh" not in p) else good for p in prompts]
+
+        return generate
+
+    df = spark.createDataFrame([("q1", "<<\n1. a\n>>", "2"), ("q2", None, "2"), ("q3", None, None)], "q string, plan string, final string")
+    got = {r.q: r for r in roles.reasoned(df, "q", "plan", "final", make, verify=True).collect()}
+    assert (got["q1"].reasoner_output, got["q1"].final_answer, got["q1"].qc.passed) == (good, "2", True)
+    assert got["q2"].qc.passed and got["q2"].reasoner_output == good
+    assert not got["q3"].qc.passed
+    assert got["q3"].qc.reasons[-3:] == ["repair failed: empty reply", "repair2 failed: empty reply", "repair3 failed: empty reply"]
+
+
+def test_prompt_and_target(spark):
+    schema = "i int, role string, messages array<struct<role:string,text:string>>, prompt string, response string, input_question string, plan string, planner_output string, final_answer string"
+    rows = [
+        (1, None, [("system", "S"), ("user", "u"), ("assistant", "a"), ("user", "v"), ("assistant", " t ")], "p", "r", None, None, None, None),
+        (2, "planner", [], "p", "r", None, None, None, None),
+        (3, "planner", None, None, None, "Q", "P", "<<1>>", None),
+        (4, "verifier", None, "p", None, "Q", "P", None, "7"),
+        (5, None, [("user", "u")], None, None, None, None, None, None),
+    ]
+    got = {r.i: (r.prompt, r.target) for r in roles.prompt_and_target(spark.createDataFrame(rows, schema)).collect()}
+    head = f"<system>\n{roles.DEFAULT_SYSTEM}\n\n<user>\n"
+    assert got[1] == ("<system>\nS\n\n<user>\nu\n\n<assistant>\na\n\n<user>\nv", "t")
+    assert got[2] == (head + "p", "r")
+    assert got[3] == (head + "Act as <role:planner>.\n\nPROBLEM:\nQ", "<<1>>")
+    assert got[4] == (head + "Act as <role:verifier>.\n\nPROBLEM:\nQ\n\nPLAN:\nP", "7")
+    assert got[5] == (head + "u", "u")
+
+
+def test_supervised_rows(spark):
+    spine = spark.createDataFrame([("1", "d", "s", "Q", None, "1. x\n#### 2", "2")], "id string, dataset string, split string, question string, plan string, reasoner_output string, final_answer string")
+    role = lambda columns, *row: spark.createDataFrame([row], f"id string, pos int, {columns}")
+    rows = roles.supervised_rows(spine, role("planner_output string", "9", 0, "<<>>"), role("reasoner_input string, verifier_output string, final_answer_gold string", "1", 0, "c", "<<VERDICT: CORRECT>>", "2"), role("normalized_rationale string, final_answer_norm string, final_answer_gold string", "9", 0, "n", "2", "2"), role("selector_input string, selector_output string", "1", 0, "<role:selector>\nQ", "CALLS: reasoner"))
+    got = {r.role: r for r in rows.collect()}
+    assert set(got) == {"reasoner", "verifier", "selector"}
+    assert "PLAN:" not in got["reasoner"].prompt and "GOLD:\n2" in got["verifier"].prompt
+    assert got["selector"].prompt == "<role:selector>\nQ" and got["selector"].id == "1::selector"

@@ -15,6 +15,10 @@ from tracemill.functions.text import cleanup_markers, enforce_final, lines, numb
 MARKER = r"\[\[\s*calc\s*:\s*([^\]]*?)\s*\]\]"
 CLAIM = MARKER + r"\s*->\s*(-?\d[\d,]*(?:\.\d+)?)"
 LINE_CLAIM = r"\[\[calc:\s*(.*?)\s*\]\]\s*->\s*([+-]?\d+(?:\.\d+)?)"
+#: Currency signs and unit words that expressions lose; numbers with commas at each thousand.
+CURRENCY = "[$£€¥]"
+UNIT_WORDS = r"(?i)\b(?:kg|g|lbs?|pounds?|mile?s?|km|m|cm|mm|ft|feet|inch(?:es)?|hrs?|hours?|mins?|minutes?|days?|years?|deg(?:rees)?|°|percent)\b"
+THOUSANDS = r"(?<!\d)\d{1,3}(?:,\d{3})+(?!\d)"
 PYTHON_MARKER = re.compile(MARKER + r"(?:\s*->\s*(\S+))?")
 NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
 TOLERANCE = 1e-6
@@ -53,8 +57,9 @@ def plain_numeric(text: Column) -> Column:
 
 def clean_expr(expr: Column) -> Column:
     """CALC-16: currency, unit words and thousands commas go, signs in ASCII, braces as parentheses, parentheses balanced."""
-    x = F.regexp_replace(expr, r"[$€£]|(?i)\b(?:dollars?|cents?|hours?|minutes?|days?|km|cm|kg)\b", "")
-    x = F.regexp_replace(x, r"(?<=\d),(?=\d{3})", "")
+    x = F.regexp_replace(F.regexp_replace(expr, CURRENCY, ""), UNIT_WORDS, "")
+    # A comma between the first digit and the last group of a number with thousands.
+    x = F.regexp_replace(x, r"(?<=\d),(?=\d{3}(?:,\d{3})*(?!\d))", "")
     x = F.regexp_replace(F.translate(plain_numeric(x), "{}[]", "()"), r"\s*([-+*/()])\s*", "$1")
     return balance_parens(strip(x))
 
@@ -108,7 +113,8 @@ def normalized_reasoning(raw: Column, fallback: Column) -> Column:
 def balance_parens(expr: Column) -> Column:
     """CALC-16: appends missing closing parentheses, or cuts surplus ones at the end."""
     gap = F.length(F.regexp_replace(expr, "[^(]", "")) - F.length(F.regexp_replace(expr, "[^)]", ""))
-    return F.when(gap > 0, F.concat(expr, F.repeat(F.lit(")"), gap))).when(gap < 0, F.regexp_replace(expr, r"\)+\s*$", "")).otherwise(expr)
+    trailing = F.length(F.regexp_extract(expr, r"\)+$", 0))
+    return F.when(gap > 0, F.concat(expr, F.repeat(F.lit(")"), gap))).when(gap < 0, F.substring(expr, F.lit(1), F.length(expr) - F.least(-gap, trailing))).otherwise(expr)
 
 
 def recomputed(text: str) -> str:
@@ -133,41 +139,80 @@ def patched(text: str) -> str:
     return "\n".join(out)
 
 
-def inferred(numbers: list[float], target: float) -> str | None:
-    """CALC-18: an operation on two of the last six numbers that gives the target."""
+def inferred(numbers: list[float], target: float, last_first: bool = False) -> str | None:
+    """CALC-18: an operation on two of the last six numbers that gives the target; pairs are tried in order, or the last one first."""
     last = numbers[-6:]
-    for i, a in enumerate(last):
-        for b in last[i + 1 :]:
-            for p, q, op in ((a, b, "+"), (a, b, "-"), (b, a, "-"), (a, b, "*"), (a, b, "/"), (b, a, "/")):
-                v = {"+": p + q, "-": p - q, "*": p * q}.get(op) if op != "/" else (p / q if q else None)
-                if v is not None and abs(v - target) <= TOLERANCE:
-                    return f"{p}{op}{q}"
+    pairs = [(a, b) for i, a in enumerate(last) for b in last[i + 1 :]]
+    for a, b in pairs[-1:] * last_first + pairs:
+        tried = [(a, b, "+", a + b), (a, b, "-", a - b), (b, a, "-", b - a), (a, b, "*", a * b)]
+        tried += [(p, q, "/", p / q) for p, q in ((a, b), (b, a)) if abs(q) > TOLERANCE]
+        for p, q, op, v in tried:
+            if abs(v - target) <= TOLERANCE:
+                return f"{p}{op}{q}"
     return None
 
 
-def repaired(text: str) -> str:
-    """CALC-19, then CALC-12: symbolic markers go, blank, bare or failing ones are inferred from their line, wrong arrows corrected."""
-    out = []
+#: What repairs note. Of two notes the first stands where an expression was inferred, the second where none was.
+REPAIR_NOTES = {
+    "symbolic": "removed symbolic calc marker: {expr}",
+    "strict": "strict mode: dropped calc in symbolic context",
+    "arrow": "fixed arrow: {clean} = {value} (was {said})",
+    "blank": ("filled blank calc -> {guess} = {said}", "dropped blank calc (kept arrow value)"),
+    "bare": ("replaced numeric-only calc {clean} -> {guess}", "dropped non-evaluable numeric-only calc {clean}"),
+    "odd": ("repaired malformed calc '{expr}' -> {guess}", "left malformed calc unchanged: {expr}"),
+}
+
+
+def tidy(expr: str) -> str:
+    """CALC-16 for one expression of a repair: spaces stay."""
+    x = re.sub(UNIT_WORDS, "", re.sub(CURRENCY, "", expr))
+    x = plain_math(re.sub(THOUSANDS, lambda m: m[0].replace(",", ""), x)).translate(str.maketrans("{}", "()", "[]"))
+    gap = x.count("(") - x.count(")")
+    return x + ")" * gap if gap >= 0 else re.sub(r"\){1,%d}$" % -gap, "", x)
+
+
+def repair_report(text: str, strict: bool = False) -> tuple[str, list[str]]:
+    """CALC-19: (text, notes). Markers with a numeric arrow are repaired: symbolic ones go; blank, bare and failing ones are
+    inferred from the numbers of their line, if they can be; wrong arrows get the value. Strict ones are kept if they have a
+    value and go otherwise."""
+    out, notes = [], []
     for line in text.split("\n"):
-        numbers = [float(x) for x in NUMBER.findall(PYTHON_MARKER.sub(lambda m: m[2] or "", line))]
+        numbers = [float(x) for x in re.findall(r"[+-]?\d+(?:\.\d+)?", re.sub(r"\[\[calc:.*?\]\]", "", line))]
 
         def fix(m: re.Match, numbers=numbers) -> str:
-            expr, arrow = m[1], m[2]
-            if re.search(r"[A-Za-z]", re.sub(r"\b(?:sqrt|pi|e)\b", "", expr)):
+            expr, said = m[1].strip(), m[2]
+            clean = tidy(expr)
+            value, marker = safe_calc(clean, "repair") if clean else None, lambda e: f"[[calc: {e}]] -> {said}"
+            note = lambda n, guess=None: notes.append(n.format(expr=expr, clean=clean, value=value, said=said, guess=guess))
+            if set(re.findall(r"[A-Za-z_]\w*", clean)) - {"sqrt", "pi", "e"}:
+                note(REPAIR_NOTES["symbolic"])
                 return ""
-            claimed = float(arrow.replace(",", "")) if arrow and re.fullmatch(r"-?\d[\d,]*(\.\d+)?", arrow) else None
-            v = safe_calc(expr, "repair")
-            bare = not expr or NUMBER.fullmatch(expr)
-            if (bare or v is None) and claimed is not None:
-                guess = inferred(numbers, claimed)
-                if guess:
-                    return f"[[calc: {guess}]] -> {arrow}"
-            if bare or v is None:
-                return m[0]
-            return f"[[calc: {expr}]] -> {arrow if claimed is not None and abs(v - claimed) <= TOLERANCE else shown(v)}"
+            if strict:
+                if value is None:
+                    note(REPAIR_NOTES["strict"])
+                return "" if value is None else marker(clean)
+            kind = "blank" if not clean else "bare" if re.fullmatch(r"[+-]?\d+(?:\.\d+)?", clean) else "odd"
+            if kind == "odd" and value is not None:
+                if abs(value - float(said)) <= TOLERANCE:
+                    return marker(clean)
+                note(REPAIR_NOTES["arrow"])
+                return f"[[calc: {clean}]] -> {value}"
+            guess = inferred(numbers, float(said))
+            if guess and safe_calc(tidy(guess), "repair") is not None:
+                note(REPAIR_NOTES[kind][0], tidy(guess))
+                return marker(tidy(guess))
+            if kind == "bare" and value is not None:
+                return marker(clean)
+            note(REPAIR_NOTES[kind][1])
+            return marker(expr) if kind == "odd" else f"-> {said}"
+
+        out.append(re.sub(LINE_CLAIM, fix, line))
+    return "\n".join(out), notes
+
 
-        out.append(PYTHON_MARKER.sub(fix, line))
-    return patched("\n".join(out))
+def repaired(text: str) -> str:
+    """CALC-19, then CALC-12."""
+    return patched(repair_report(text)[0])
 
 
 def line_report(text: str | None, relative: bool = True, repair: bool = True) -> dict:
@@ -227,6 +272,27 @@ def repair_markers(text: Column) -> Column:
     return with_markers(text, _text_function(repaired))
 
 
+def repair_rows(df, text: str = "reasoner_output", qc: str = "qc", strict: bool = False):
+    """CALC-20: the text repaired (CALC-19, then CALC-12); each note is appended to qc.reasons as `[repair] note`.
+
+    Whether a row passed stays; a row without a qc has passed. Python sees only the texts that hold a marker.
+    """
+
+    @F.pandas_udf("text string, notes array<string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        reports = [repair_report(x or "", strict) for x in s]
+        return pd.DataFrame([(patched(t), notes) for t, notes in reports], columns=["text", "notes"])
+
+    marked, c = F.col(text).contains("[[calc:"), F.col(text)
+    plain = F.struct(c.alias("text"), F.array().cast("array<string>").alias("notes"))
+    if qc not in df.columns:
+        df = df.withColumn(qc, F.lit(None).cast("struct<passed:boolean,reasons:array<string>>"))
+    x = df.withColumn("_r", F.when(marked, run(F.when(marked, c))).otherwise(plain))
+    noted = F.transform("_r.notes", lambda n: F.concat(F.lit("[repair] "), n))
+    reasons = F.concat(F.coalesce(F.col(qc)["reasons"], F.array().cast("array<string>")), noted)
+    return x.withColumn(qc, F.struct(F.when(F.col(qc).isNull(), True).otherwise(F.col(qc)["passed"]).alias("passed"), reasons.alias("reasons"))).withColumn(text, F.col("_r.text")).drop("_r")
+
+
 def verify_claims(df, text: str, key: list[str], tolerance: float = TOLERANCE, dialect: str = "verifier"):
     """CALC-10/14, AGG-8: per key n_checked, n_failed, n_mismatch, ok, mismatches (expr, claimed, got; by line).
 

@@ -82,13 +82,56 @@ def enveloped(df: DataFrame, key: str, position: str, question: Column, answer:
     return df.select(F.concat(F.lit(f"{key}_"), F.col(position).cast("string")).alias("id"), question.alias("question"), answer.alias("answer"), F.to_json(F.struct(*df.columns)).alias("orig"))
 
 
-def provenance(raw: Column, mode: str = "minimal") -> Column:
-    """PRJ-12 to PRJ-15: none, the identifying fields, or the whole record as JSON."""
+#: The keys that a row keeps as its source, and those that tell where it comes from.
+SOURCE_KEYS = ["id", "dataset", "split", "input_question", "plan", "reasoner_output", "final_answer", "rationale_gold", "subject", "level"]
+ORIGIN_KEYS = ["unique_id", "hf_name", "hf_config", "original_index"]
+
+
+def part(raw: Column, path: str) -> Column:
+    """A part of a VARIANT as JSON, null if it isn't there; a JSON null is `null`."""
+    return F.to_json(F.try_variant_get(raw, f"$.{path}", "variant"))
+
+
+def object_of(members: list[tuple[str, Column]]) -> Column:
+    """A JSON object of the members (name, JSON) that aren't null."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), c) for name, c in members]), F.lit("}"))
+
+
+def slim_provenance(raw: Column) -> Column:
+    """PRJ-12: struct(id, hf_name, hf_config, original_index, unique_id); what is missing is empty, an index null."""
+    own = lambda path: F.coalesce(nested(raw, path), F.lit(""))
+    found = first_filled(nested(raw, "id"), nested(raw, "idx"), nested(raw, "meta.orig.unique_id"), F.lit(""))
+    return F.struct(F.coalesce(found, F.lit("")).alias("id"), own("meta.hf_name").alias("hf_name"), own("meta.hf_config").alias("hf_config"), nested(raw, "meta.original_index", "long").alias("original_index"), own("meta.orig.unique_id").alias("unique_id"))
+
+
+def kept_source(raw: Column) -> Column:
+    """PRJ-13: those of the ten kept keys that a record has, as JSON; a null stays one."""
+    return object_of([(k, part(raw, k)) for k in SOURCE_KEYS])
+
+
+def origin(raw: Column) -> Column:
+    """PRJ-14: the id, and in `prov` what is known of the origin, as JSON; an origin of which nothing is known is left out.
+
+    The origin lies in the source (else the meta) of the record, there under source, else orig, else at its top.
+    """
+    empty = ["null", "{}", "[]", '""', "0", "false"]
+    at = lambda place: F.coalesce(~part(raw, place).isin(*empty), F.lit(False))
+    known = lambda place, k: F.nullif(part(raw, f"{place}.{k}"), F.lit("null"))
+
+    def members(carrier: str) -> Column:
+        places = [f"{carrier}.source", f"{carrier}.orig"]
+        of = lambda place: object_of([(k, known(place, k)) for k in ORIGIN_KEYS])
+        return F.when(at(places[0]), of(places[0])).when(at(places[1]), of(places[1])).otherwise(of(carrier))
+
+    prov = F.when(at("source"), members("source")).when(at("meta"), members("meta"))
+    return object_of([("id", F.coalesce(part(raw, "id"), F.lit("null"))), ("prov", F.nullif(prov, F.lit("{}")))])
+
+
+def provenance(raw: Column, mode: str = "minimal", minimal=origin) -> Column:
+    """PRJ-15: the meta of a row as JSON: nothing, the whole record, or its source as `minimal` has it (PRJ-13, PRJ-14)."""
     if mode == "none":
-        return F.lit(None).cast("string")
-    if mode == "raw":
-        return F.to_json(raw)
-    return F.to_json(F.struct(*[searched(raw, n).alias(n) for n in ("id", "hf_name", "hf_config", "original_index", "unique_id")]))
+        return F.lit("{}")
+    return object_of([("source", F.to_json(raw) if mode == "raw" else minimal(raw))])
 
 
 def with_fallback(raw: Column, name: str) -> Column:

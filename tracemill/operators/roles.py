@@ -1,4 +1,4 @@
-"""Role prompts, supervised rows and generators (TXT-20 to TXT-26, UDF-1 to UDF-5, LBL-3, LBL-4, ML-1, ML-2)."""
+"""Role prompts, supervised rows and generators (TXT-20 to TXT-27, UDF-1 to UDF-5, LBL-3, LBL-4, ML-1, ML-2)."""
 
 from __future__ import annotations
 
@@ -9,44 +9,81 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.answers import normal_answer
-from tracemill.functions.markers import recompute_markers
-from tracemill.functions.text import ensure_final_suffix, first_filled, plan_text, renumber
+from tracemill.functions.markers import check_lines, ensure_marker, normalized_reasoning, recompute_markers
+from tracemill.functions.text import count_steps, ensure_final_suffix, final_last_line_anywhere, first_filled, once, renumber, strip
 from tracemill.operators.joins import union_roles, with_companions
-from tracemill.operators.quality_rules import normalizer_quality
+from tracemill.operators.quality_rules import normalizer_quality, reasoner_quality
 
 DEFAULT_SYSTEM = "You are a careful assistant that solves problems step by step."
-#: Templates by role; names in braces are replaced literally.
-TEMPLATES = {
-    "planner": "<role:planner>\nQUESTION: {question}\nWrite a numbered plan between << and >>.",
-    "reasoner": "<role:reasoner>\nQUESTION: {question}\nPLAN:\n{plan}\nSolve it; mark each calculation and end with #### and the answer.",
-    "verifier": "<role:verifier>\nQUESTION: {question}\nCANDIDATE:\n{candidate}\nGOLD: {gold}\nGive VERDICT, EVIDENCE and FIXED_ANSWER.",
-    "normalizer": "<role:normalizer>\nQUESTION: {question}\nCANDIDATE:\n{candidate}\nVERDICT:\n{verdict}\nRewrite it as clean steps.",
-    "selector": "<role:selector>\nQUESTION: {question}\nName the roles to call.",
+#: What each role is told, and what evaluation adds.
+TASKS = {
+    "planner": "Write a numbered plan between << and >>.",
+    "reasoner": "Solve it in numbered steps; mark each calculation and end with #### and the answer.",
+    "verifier": "Give VERDICT, EVIDENCE and FIXED_ANSWER.",
+    "normalizer": "Rewrite it as clean numbered steps that end with #### and the answer.",
+    "selector": "Name the roles to call.",
 }
+STRICT = {
+    "planner": "Three to six steps, no results, nothing outside of the block.",
+    "reasoner": "Mark numeric expressions only; nothing before the first step or after the answer.",
+    "verifier": "Three lines; the evidence is one sentence that names the first wrong calculation, if there is one.",
+    "normalizer": "At most eight steps and one final line, without units.",
+    "selector": "Two lines: CALLS with roles in order, HALT_AFTER with one of them.",
+}
+#: The sections of each role's prompt after the question, in order; SHOWN are there even if blank.
+SECTIONS = {"planner": ["solution", "hint"], "reasoner": ["plan", "hint"], "verifier": ["candidate", "gold"], "normalizer": ["candidate", "verdict"], "selector": ["plan"]}
+SHOWN = ["candidate"]
+
+
+def stripped(c: Column) -> Column:
+    return strip(F.coalesce(c, F.lit("")))
+
+
+def role_prompt(role: str, question: Column, strict: bool = False, **parts: Column) -> Column:
+    """TXT-20 to TXT-22: the prompt of a role. A section is left out if nothing is given for it or it is blank; strict
+    prompts, those of evaluation, have all sections that are given, blank or not."""
+    section = lambda name, c: F.concat(F.lit(f"{name.upper()}:\n"), stripped(c))
+    given = [(n, parts[n]) for n in SECTIONS[role] if n in parts]
+    body = [section(n, c) if strict or n in SHOWN else F.when(stripped(c) != "", section(n, c)) for n, c in given]
+    head = f"<role:{role}>\n{TASKS[role]}" + (f"\n{STRICT[role]}" if strict else "")
+    return F.concat_ws("\n", F.lit(head), section("question", question), *body)
+
 
+def planner_request(question: Column, solution: Column, final: Column) -> Column:
+    """TXT-20: a planner sees the solution, or where there is none the final answer as a hint."""
+    return role_prompt("planner", question, solution=solution, hint=F.when(stripped(solution) == "", final))
 
-def filled(template: str, **parts: Column) -> Column:
-    """TXT-20 to TXT-23: a template with its names replaced by columns (nulls by nothing)."""
-    out = F.lit(template)
-    for name, c in parts.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c, F.lit("")))
-    return out
 
+def selector_input(problem: Column, plan: Column, include_plan: bool = False, least_steps: int = 2) -> Column:
+    """TXT-23: the tag, the problem, and, if wanted, a plan of enough steps."""
+    shown = F.lit(include_plan) & (stripped(plan) != "") & (count_steps(plan) >= least_steps)
+    return F.concat_ws("\n", F.lit("<role:selector>"), stripped(problem), F.when(shown, F.concat(F.lit("PLAN:\n"), stripped(plan))))
 
-def supervised_rows(spine: DataFrame, planner: DataFrame, verifier: DataFrame, normalizer: DataFrame, router: DataFrame, labelled_candidate: bool = True) -> DataFrame:
-    """JOIN-5, SET-1, TXT-24: one row per role of each reasoner row; the normalized rationale is preferred."""
+
+def selector_prompt(said: Column) -> Column:
+    """TXT-21: a selector's input with its tag, which is put before it only where it isn't there."""
+    said = F.coalesce(said, F.lit(""))
+    return F.when(said.startswith("<role:selector>"), said).otherwise(F.concat(F.lit("<role:selector>\n"), said))
+
+
+def supervised_rows(spine: DataFrame, planner: DataFrame, verifier: DataFrame, normalizer: DataFrame, router: DataFrame, labelled_candidate: bool = True, include_plan: bool = True) -> DataFrame:
+    """JOIN-5, SET-1, TXT-24: one row per role of each reasoner row; the normalized rationale is preferred.
+
+    A plan, a gold answer and a verdict are sections only where there is one.
+    """
     x = with_companions(spine, {"planner": planner, "verifier": verifier, "normalizer": normalizer, "router": router})
     q = F.col("question")
     plan = first_filled(F.col("planner.planner_output"), F.col("plan"))
     normal = F.nullif(F.trim(F.col("normalizer.normalized_rationale")), F.lit(""))
     final = F.when(normal.isNotNull(), first_filled(F.col("normalizer.final_answer_norm"), F.col("normalizer.final_answer_gold"), F.col("final_answer"))).otherwise(first_filled(F.col("final_answer"), F.col("normalizer.final_answer_gold")))
     candidate = first_filled(F.col("verifier.reasoner_input"), F.col("reasoner_output")) if labelled_candidate else F.col("reasoner_output")
+    asked = F.col("router.selector_input") if "selector_input" in router.columns else q
     roles = {
-        "planner": {"prompt": filled(TEMPLATES["planner"], question=q), "response": F.col("planner.planner_output")},
-        "reasoner": {"prompt": filled(TEMPLATES["reasoner"], question=q, plan=plan_text(plan)), "response": ensure_final_suffix(F.coalesce(normal, F.col("reasoner_output")), final)},
-        "verifier": {"prompt": filled(TEMPLATES["verifier"], question=q, candidate=candidate, gold=F.col("verifier.final_answer_gold")), "response": F.col("verifier.verifier_output")},
-        "normalizer": {"prompt": filled(TEMPLATES["normalizer"], question=q, candidate=F.col("reasoner_output"), verdict=F.col("verifier.verifier_output")), "response": normal},
-        "selector": {"prompt": filled(TEMPLATES["selector"], question=q), "response": F.col("router.selector_output")},
+        "planner": {"prompt": role_prompt("planner", q), "response": F.col("planner.planner_output")},
+        "reasoner": {"prompt": role_prompt("reasoner", q, **({"plan": plan} if include_plan else {})), "response": ensure_final_suffix(F.coalesce(normal, F.col("reasoner_output")), final)},
+        "verifier": {"prompt": role_prompt("verifier", q, candidate=candidate, gold=F.col("verifier.final_answer_gold")), "response": F.col("verifier.verifier_output")},
+        "normalizer": {"prompt": role_prompt("normalizer", q, candidate=F.col("reasoner_output"), verdict=F.col("verifier.verifier_output")), "response": normal},
+        "selector": {"prompt": selector_prompt(asked), "response": F.col("router.selector_output")},
     }
     rows = union_roles(x, roles, ["id", "dataset", "split"])
     return rows.withColumn("id", F.concat_ws("::", "id", "role"))
@@ -61,23 +98,52 @@ def normalized_rows(reasoner: DataFrame, verifier: DataFrame) -> DataFrame:
     return x.withColumn("final_answer_norm", F.col("_a.final")).withColumn("qc", normalizer_quality(F.col("normalized_rationale"))).drop("_a", "verifier")
 
 
+def message_pair(messages: Column) -> Column:
+    """TXT-25: struct(prompt, target) of an array of (role, text), null for none. The last message is the target, and stays
+    in the prompt unless it is the assistant's. The last system text leads; other roles than the assistant are users."""
+    text = lambda m: F.coalesce(m["text"], F.lit(""))
+    role = lambda m: F.lower(F.coalesce(m["role"], F.lit("")))
+
+    def pair(all_: Column) -> Column:
+        n = F.size(all_)
+        system = F.try_element_at(F.filter(all_, lambda m: role(m) == "system"), F.lit(-1))
+        shown = F.filter(all_, lambda m, i: (role(m) != "system") & ((role(m) != "assistant") | (i < n - 1)))
+        tag = lambda m: F.concat(F.when(role(m) == "assistant", "<assistant>\n").otherwise("<user>\n"), text(m))
+        head = F.concat(F.lit("<system>\n"), first_filled(text(system), F.lit(DEFAULT_SYSTEM)), F.lit("\n\n"))
+        return F.struct(strip(F.concat(head, strip(F.array_join(F.transform(shown, tag), "\n\n")))).alias("prompt"), strip(text(F.try_element_at(all_, F.lit(-1)))).alias("target"))
+
+    return F.when(F.size(messages) > 0, once(messages, pair))
+
+
 def chat_pairs(turns: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """TXT-25: prompt and target of each conversation: the last assistant message is the target, the last system text leads."""
+    """TXT-25: prompt and target of each conversation, its messages in order of turn, role and text."""
     messages = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(turn, "role", "text"))).alias("m"))
-    last_own = F.try_element_at(F.filter("m", lambda x: x["role"] == "assistant"), F.lit(-1))
-    target = F.coalesce(last_own, F.element_at("m", -1))
-    system = F.try_element_at(F.filter("m", lambda x: x["role"] == "system"), F.lit(-1))["text"]
-    x = messages.withColumn("t", target).withColumn("s", F.coalesce(system, F.lit(DEFAULT_SYSTEM)))
-    # A conversation without an assistant keeps its last message in the prompt as well.
-    before = F.filter("m", lambda y: (y["role"] != "system") & ((y[turn] < F.col("t")[turn]) | (F.col("t")["role"] != "assistant")))
-    shown = F.array_join(F.transform(before, lambda y: F.concat(F.lit("<"), y["role"], F.lit(">\n"), y["text"])), "\n")
-    return x.select(key, F.concat(F.lit("<system>\n"), F.col("s"), F.lit("\n"), shown, F.lit("\n<assistant>\n")).alias("prompt"), F.col("t")["text"].alias("target"))
-
-
-def prompt_and_target(df: DataFrame, prompts: list[str], targets: list[str]) -> DataFrame:
-    """TXT-26: the first filled alias of each."""
+    return messages.select(key, message_pair(F.col("m")).alias("p")).select(key, "p.prompt", "p.target")
+
+
+#: Names under which rows keep prompts and targets, and what a role's own target is called.
+PROMPTS, TARGETS = ["prompt", "input_text", "source_prompt"], ["response", "target_text", "output_text"]
+OWN_TARGETS = {"planner": ["planner_output"], "reasoner": ["reasoner_output"], "verifier": ["verifier_output"], "normalizer": ["normalized_rationale", "aggregated_rationale"], "aggregator": ["normalized_rationale", "aggregated_rationale"]}
+
+
+def prompt_and_target(df: DataFrame, messages: str = "messages") -> DataFrame:
+    """TXT-26: adds `prompt` and `target`: of the messages (role, text), if there are some; else of the first filled names
+    of prompt and target, if both are; else put together from the fields of the row's role."""
     pick = lambda names: first_filled(*[F.col(n) for n in names if n in df.columns], F.lit(None).cast("string"))
-    return df.withColumn("prompt", pick(prompts)).withColumn("target", pick(targets))
+    headed = lambda c: F.concat(F.lit(f"<system>\n{DEFAULT_SYSTEM}\n\n<user>\n"), c)
+    role = F.coalesce(F.col("role"), F.lit("assistant")) if "role" in df.columns else F.lit("assistant")
+    asked, said = pick(PROMPTS), pick(TARGETS)
+    part = lambda name, names, roles: F.when(role.isin(*roles) if roles else F.lit(True), F.concat(F.lit(f"{name}:\n"), pick(names)))
+    parts = [part("PROBLEM", ["input_question", "problem"], []), part("PLAN", ["plan"], ["reasoner", "verifier", "normalizer"]), part("REASONING", ["reasoner_output", "normalized_rationale"], ["verifier", "normalizer"])]
+    request = F.concat_ws("\n\n", F.concat(F.lit("Act as <role:"), role, F.lit(">.")), *parts)
+    own = F.lit(None).cast("string")
+    for r, names in OWN_TARGETS.items():
+        own = F.when(role == r, pick(names)).otherwise(own)
+    target = F.coalesce(pick(["target_text", "response", "final_answer_norm", "final_answer"]), own, F.lit(""))
+    pair = F.when(asked.isNotNull() & said.isNotNull(), F.struct(headed(asked).alias("prompt"), said.alias("target"))).otherwise(F.struct(strip(headed(request)).alias("prompt"), strip(target).alias("target")))
+    if messages in df.columns:
+        pair = F.coalesce(message_pair(F.col(messages)), pair)
+    return df.withColumn("_p", pair).withColumns({"prompt": F.col("_p.prompt"), "target": F.col("_p.target")}).drop("_p")
 
 
 def masked_labels(ids: Column, prompt_length: Column, ignore: int = -100) -> Column:
@@ -95,8 +161,16 @@ def padded_batches(df: DataFrame, batch: int, order: str, group: str, pad: int =
     return x.withColumns({"attention_mask": fill(mask, 0), "labels": fill(F.col("labels"), ignore), "input_ids": fill(F.col("input_ids"), pad)}).drop("_w")
 
 
-def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[[list[str]], list[str]]], batch: int = 8) -> DataFrame:
-    """UDF-1 to UDF-6: a column of generated texts. `make` builds the generator once per task; a batch that fails is tried one by one, a text that fails is empty."""
+def first_text(output) -> str:
+    """TXT-27: the text of one generator's output: of several sequences the first, `generated_text` of a mapping, else itself."""
+    if isinstance(output, list):
+        output = output[0] if output and isinstance(output[0], dict) else None
+    return str((output.get("generated_text") if isinstance(output, dict) else output) or "")
+
+
+def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[[list[str]], list]], batch: int = 8) -> DataFrame:
+    """UDF-1 to UDF-6: a column of generated texts. `make` builds the generator once per task; a batch that fails is tried
+    one by one, a text that fails is empty. Null prompts aren't generated from and give null."""
 
     @F.pandas_udf("string")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,36 +178,69 @@ def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[
 
         def one(p: str) -> str:
             try:
-                return generate([p])[0]
+                return first_text(generate([p])[0])
             except Exception:  # noqa: BLE001 - a generator may fail in any way
                 return ""
 
         for s in series:
-            texts: list[str] = []
-            for i in range(0, len(s), batch):
-                part = s.iloc[i : i + batch].fillna("").tolist()
+            asked, texts = s.dropna(), []
+            for i in range(0, len(asked), batch):
+                part = asked.iloc[i : i + batch].tolist()
                 try:
-                    texts += generate(part)
+                    texts += [first_text(x) for x in generate(part)]
                 except Exception:  # noqa: BLE001
                     texts += [one(p) for p in part]
-            yield pd.Series(texts, dtype=object)
+            yield pd.Series(texts, index=asked.index, dtype=object).reindex(s.index).where(s.notna(), None)
 
     return df.withColumn(out, run(F.col(prompt)))
 
 
+#: How a draft is asked for again: with the draft, afresh, and along a skeleton.
+REPAIRS = ["Mend this draft so that it has numbered steps, marked calculations and a final line.\nDRAFT:\n{draft}", "Write it afresh: numbered steps, marked calculations, a final line.", "Fill in: 1. ... [[calc: ...]] -> ...\n#### ..."]
+#: Faults for which a draft is asked for again.
+MENDED = ["empty output", "no numbered steps", "no calc markers", "missing final ####"]
+
+
+def reasoned(df: DataFrame, question: str, plan: str, final: str, make: Callable, verify: bool = False) -> DataFrame:
+    """UDF-5: adds reasoner_output, final_answer and qc(passed, reasons). A draft is normalized and given a marker; if it
+    has a fault that is mended, up to three further drafts are asked for until one passes. The first draft alone decides
+    whether. Rows that pass are asked for nothing more."""
+    whole = lambda raw: ensure_marker(normalized_reasoning(raw, F.col(final))["text"], F.col(final))
+    asked = role_prompt("reasoner", F.col(question), plan=F.col(plan))
+    x = generated(df.withColumn("_p", asked), "_p", "_raw", make)
+    x = x.withColumn("_t", whole(F.col("_raw"))).withColumn("_q", reasoner_quality(F.col("_t")))
+    x = x.withColumn("_mend", F.arrays_overlap("_q.reasons", F.array(*[F.lit(m) for m in MENDED])))
+    for i, ask in enumerate(REPAIRS):
+        todo = F.col("_mend") & ~F.col("_q.passed")
+        draft = F.when(F.coalesce(F.col("_t"), F.lit("")) == "", "(empty)").otherwise(F.col("_t"))
+        again = F.concat(asked, F.lit("\n"), F.replace(F.lit(ask), F.lit("{draft}"), draft))
+        x = generated(x.withColumn("_p", F.when(todo, again)), "_p", "_raw", make)
+        got = F.coalesce(F.col("_raw"), F.lit("")) != ""
+        x = x.withColumn("_t", F.when(got, whole(F.col("_raw"))).otherwise(F.col("_t")))
+        failed = F.array_append(F.col("_q.reasons"), F.lit(f"repair{i + 1 if i else ''} failed: empty reply"))
+        x = x.withColumn("_q", F.when(got, reasoner_quality(F.col("_t"))).when(todo, F.struct(F.col("_q.passed").alias("passed"), failed.alias("reasons"))).otherwise(F.col("_q")))
+    x = x.withColumn("reasoner_output", F.col("_t"))
+    if verify:
+        x = x.withColumn("_c", check_lines(F.col("_t"))).withColumn("reasoner_output", F.col("_c.text"))
+        reasons = F.concat("_q.reasons", F.transform("_c.notes", lambda n: F.concat(F.lit("[calc] "), n)))
+        x = x.withColumn("_q", F.struct(F.col("_q.passed").alias("passed"), reasons.alias("reasons"))).drop("_c")
+    answer = first_filled(final_last_line_anywhere(F.col("reasoner_output")), F.col(final), F.lit(""))
+    return x.withColumn("final_answer", F.coalesce(answer, F.lit(""))).withColumn("qc", F.col("_q")).drop("_p", "_raw", "_t", "_q", "_mend")
+
+
 def role_chain(df: DataFrame, makes: dict[str, Callable], enforce_halt: bool = False) -> DataFrame:
     """LBL-4: selector, planner, reasoner, verifier, normalizer, each only where the selector calls it."""
     from tracemill.functions.text import parse_selector
 
-    x = generated(df.withColumn("_p", filled(TEMPLATES["selector"], question=F.col("question"))), "_p", "selector_output", makes["selector"])
+    x = generated(df.withColumn("_p", role_prompt("selector", F.col("question"), strict=True)), "_p", "selector_output", makes["selector"])
     x = x.withColumn("_s", parse_selector(F.col("selector_output")))
-    sources = {"planner": {}, "reasoner": {"plan": "planner_output"}, "verifier": {"candidate": "reasoner_output", "gold": "gold_answer"}, "normalizer": {"candidate": "reasoner_output", "verdict": "verifier_output"}}
+    sources = {"planner": {}, "reasoner": {"plan": "planner_output"}, "verifier": {"candidate": "reasoner_output", "gold": "gold_answer"}, "normalizer": {"candidate": "reasoner_output"}}
     order = list(sources)
     for role, parts in sources.items():
-        text = filled(TEMPLATES[role], question=F.col("question"), **{k: F.col(v) for k, v in parts.items()})
+        text = role_prompt(role, F.col("question"), strict=True, **{k: F.col(v) for k, v in parts.items()})
         called = F.array_contains(F.col("_s.calls"), role)
         if enforce_halt:
             halt = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("_s.halt"))
             called = called & ((halt == 0) | F.col("_s.halt").isNull() | (halt >= order.index(role) + 1))
-        x = generated(x.withColumn("_p", F.when(called, text)), "_p", f"{role}_output", makes[role]).withColumn(f"{role}_output", F.when(called, F.col(f"{role}_output")))
+        x = generated(x.withColumn("_p", F.when(called, text)), "_p", f"{role}_output", makes[role])
     return x.withColumn("calls", F.col("_s.calls")).withColumn("halt_after", F.col("_s.halt")).drop("_p", "_s")

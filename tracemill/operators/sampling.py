@@ -1,7 +1,7 @@
 """Limits, splits, caps and stratified samples (SMP-1 to SMP-11): order by hash, so reruns agree.
 
-Ranks within a group come from a window. Groups are strata or (dataset, role) pairs; where a cap makes most rows
-superfluous, Spark's window group limit keeps only the first of each task before the shuffle.
+Groups are strata or (dataset, role) pairs. Where a cap makes most rows superfluous, ranks come from a window, and Spark's
+window group limit keeps only the first of each task before the shuffle; other ranks are counted by `drawn_ranks`.
 """
 
 from __future__ import annotations
@@ -25,12 +25,29 @@ def first_rows(df: DataFrame, n: int | None, position: str) -> DataFrame:
     return df if n is None or n < 0 else df.where(F.col(position) < n)
 
 
+def drawn_ranks(df: DataFrame, group: list[str], seed: int, key: str) -> DataFrame:
+    """Adds _r, the place from 1 in drawn order within a group, and _n, the size of the group.
+
+    A group is cut by the first three digits of the draw key, so that no group is a single task; only the counts of these
+    cuts, at most 4096 of a group, meet in a window. Null groups are groups.
+    """
+    x = df.withColumn("_k", draw_key(seed, key)).withColumn("_cut", F.substring("_k", 1, 3))
+    names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    counts = x.groupBy(*names, F.col("_cut").alias("_c")).agg(F.count("*").alias("_rows"))
+    own = Window.partitionBy(*[f"_g{i}" for i in range(len(group))])
+    before = F.sum("_rows").over(own.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_n": F.sum("_rows").over(own)}).drop("_rows")
+    on = F.col("_cut") == F.col("_c")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    place = F.row_number().over(Window.partitionBy(*group, "_cut").orderBy("_k", key))
+    return x.withColumn("_own", place).join(counts, on).withColumn("_r", F.col("_before") + F.col("_own")).drop("_k", "_cut", "_c", "_own", "_before", *[f"_g{i}" for i in range(len(group))])
+
+
 def train_val_split(df: DataFrame, ratio: float, seed: int, key: str, group: list[str] = ()) -> DataFrame:
     """SMP-2: the first floor(n * ratio) of a group in drawn order are `val`, the rest `train`."""
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(draw_key(seed, key), key)))
-    joined = ranked.join(F.broadcast(sizes), list(group)) if group else ranked.crossJoin(F.broadcast(sizes))
-    return joined.withColumn("split", F.when(F.col("_r") <= F.floor(F.col("_n") * ratio), "val").otherwise("train")).drop("_n", "_r")
+    ranked = drawn_ranks(df, list(group), seed, key)
+    return ranked.withColumn("split", F.when(F.col("_r") <= F.floor(F.col("_n") * ratio), "val").otherwise("train")).drop("_n", "_r")
 
 
 def capped(df: DataFrame, group: list[str], cap: int | Column, seed: int, key: str) -> DataFrame:
@@ -79,7 +96,7 @@ def largest_remainder(df: DataFrame, stratum: str, k: int, seed: int, key: str)
     left = F.lit(k) - F.sum("_q").over(Window.partitionBy())
     order = F.row_number().over(Window.orderBy(F.desc("_rest"), F.desc(stratum)))
     quota = x.withColumn("_left", left).withColumn("_o", order).select(F.col(stratum).alias("_s"), F.when(F.col("_t") <= k, F.col("n")).otherwise(F.col("_q") + F.when(F.col("_o") <= F.col("_left"), 1).otherwise(0)).alias("_quota"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(draw_key(seed, key), key)))
+    ranked = drawn_ranks(df, [stratum], seed, key).drop("_n")
     return ranked.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("_r") <= F.col("_quota")).drop("_s", "_quota", "_r")
 
 
@@ -92,6 +109,9 @@ def weighted_rows(df: DataFrame, weights: dict[str, int], role: str = "role") ->
 
 
 def eval_carve_out(df: DataFrame, ratio: float, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """SMP-10: (train, eval) by a share of the ids, before any weighting, so that no row is in both."""
-    held = share_key(seed, key) < ratio
-    return df.where(~held), df.where(held)
+    """SMP-10: (train, eval): max(1, floor(n * ratio)) rows in drawn order are held out, before any weighting, so that no
+    row is in both. Where that would be all rows, all are trained on and one is evaluated as well."""
+    x = drawn_ranks(df, [], seed, key).withColumn("_e", F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)))
+    held = F.when(F.col("_e") < F.col("_n"), F.col("_r") > F.col("_n") - F.col("_e"))
+    train, evaluated = x.where(~F.coalesce(held, F.lit(False))), x.where(F.coalesce(held, F.col("_r") == 1))
+    return train.drop("_r", "_n", "_e"), evaluated.drop("_r", "_n", "_e")

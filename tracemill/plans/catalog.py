@@ -210,9 +210,12 @@ def q_merge_roles(spark, sf_dir):
     return rows.withColumn("id", F.concat_ws("::", "id", "role"))
 
 
-@query("""WITH m AS (SELECT conv_id, max_by(text, turn) FILTER (WHERE role = 'assistant') AS own, max(turn) FILTER (WHERE role = 'assistant') AS t, max_by(text, turn) AS last, max_by(text, turn) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY conv_id)
-SELECT m.conv_id, '<system>' || chr(10) || coalesce(any_value(s), 'You are a careful assistant that solves problems step by step.') || chr(10) || coalesce(string_agg('<' || role || '>' || chr(10) || text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system' AND (t IS NULL OR turn < t)), '') || chr(10) || '<assistant>' || chr(10) AS prompt, coalesce(any_value(own), any_value(last)) AS target
-FROM m JOIN conversations c ON c.conv_id = m.conv_id GROUP BY m.conv_id""")
+WS = "chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
+@query(f"""WITH c AS (SELECT conv_id, lower(coalesce(role, '')) AS role, coalesce(text, '') AS text, row_number() OVER w AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+m AS (SELECT conv_id, max_by(text, r) AS target, max_by(text, r) FILTER (WHERE role = 'system') AS s, string_agg(CASE role WHEN 'assistant' THEN '<assistant>' ELSE '<user>' END || chr(10) || text, chr(10) || chr(10) ORDER BY r) FILTER (WHERE role <> 'system' AND (role <> 'assistant' OR r < n)) AS shown FROM c GROUP BY conv_id)
+SELECT conv_id, trim('<system>' || chr(10) || coalesce(nullif(s, ''), 'You are a careful assistant that solves problems step by step.') || chr(10) || chr(10) || trim(coalesce(shown, ''), {WS}), {WS}) AS prompt, trim(target, {WS}) AS target FROM m""")
 def q_chat_io(spark, sf_dir):
     """TXT-25."""
     return roles.chat_pairs(table(spark, sf_dir, "conversations"))
@@ -347,6 +350,48 @@ def q_default_plan(spark, sf_dir):
     return joins.with_plan(table(spark, sf_dir, "documents").select("doc_id"), plans, "doc_id")
 
 
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"source":{"id":' || event_id || ',"prov":{"unique_id":"u","original_index":' || event_id || '}}}' WHEN 1 THEN '{"source":{"id":' || event_id || ',"prov":{"hf_name":"h"}}}' ELSE '{"source":{"id":' || event_id || '}}' END AS meta,
+CASE event_id % 3 WHEN 1 THEN '{"id":' || event_id || ',"plan":null}' ELSE '{"id":' || event_id || '}' END AS kept FROM events""")
+def q_provenance(spark, sf_dir):
+    """PRJ-13 to PRJ-15: what rows keep of their sources."""
+    i, k = F.col("event_id").cast("string"), F.col("event_id") % 3
+    record = F.when(k == 0, F.concat(F.lit('{"id":'), i, F.lit(',"source":{"source":{"unique_id":"u","original_index":'), i, F.lit(',"x":1}}}')))
+    record = record.when(k == 1, F.concat(F.lit('{"id":'), i, F.lit(',"plan":null,"source":{},"meta":{"orig":{"hf_name":"h","hf_config":null}}}')))
+    record = record.otherwise(F.concat(F.lit('{"id":'), i, F.lit(',"source":{"orig":{"x":1}}}')))
+    x = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(record).alias("raw"))
+    return x.select("event_id", fields.provenance(F.col("raw")).alias("meta"), fields.kept_source(F.col("raw")).alias("kept"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'a [[calc: ' || q || '*2]] -> ' || q * 2 || '.0' WHEN 1 THEN 'has ' || (q + 1) || ' and 3 -> ' || (q + 1000) WHEN 2 THEN 'b ' ELSE 'has ' || q || ' and 700 [[calc: ' || q || '.0+700.0]] -> ' || (q + 700) END AS text,
+CASE l_linenumber % 4 WHEN 0 THEN '[repair] fixed arrow: ' || q || '*2 = ' || q * 2 || '.0 (was ' || (q * 2 + 1) || ')' WHEN 1 THEN '[repair] dropped blank calc (kept arrow value)' WHEN 2 THEN '[repair] removed symbolic calc marker: x+1' ELSE '[repair] filled blank calc -> ' || q || '.0+700.0 = ' || (q + 700) END AS note FROM ({TRACES})""")
+def q_repair_rows(spark, sf_dir):
+    """CALC-18 to CALC-20: markers repaired, with a note of each repair."""
+    q, k = F.col("l_quantity").cast("long"), F.col("l_linenumber") % 4
+    s = q.cast("string")
+    text = F.when(k == 0, F.concat(F.lit("a [[calc: "), s, F.lit("*2]] -> "), (q * 2 + 1).cast("string"))).when(k == 1, F.concat(F.lit("has "), (q + 1).cast("string"), F.lit(" and 3 [[calc: ]] -> "), (q + 1000).cast("string")))
+    text = text.when(k == 2, F.lit("b [[calc: x+1]] -> 5")).otherwise(F.concat(F.lit("has "), s, F.lit(" and 700 [[calc: ]] -> "), (q + 700).cast("string")))
+    x = M.repair_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text")), "text")
+    return x.select("l_orderkey", "l_linenumber", "text", F.array_join("qc.reasons", "|").alias("note"))
+
+
+@query("""SELECT o_orderkey, '<role:selector>' || chr(10) || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'PLAN:' || chr(10) || '<<' || chr(10) || '1. a' || chr(10) || '2. b' || chr(10) || '>>' ELSE '' END AS selector,
+o_orderkey % 3 = 0 AS gold, o_orderkey % 2 = 0 AS plan FROM orders""")
+def q_prompt_sections(spark, sf_dir):
+    """TXT-21, TXT-23: sections of prompts are there where something is given."""
+    k = F.col("o_orderkey")
+    plan = F.when(k % 2 == 0, F.lit("<<\n1. a\n2. b\n>>")).otherwise(F.lit(""))
+    verifier = roles.role_prompt("verifier", F.col("o_orderpriority"), candidate=F.lit("c"), gold=F.when(k % 3 == 0, F.lit("1")))
+    reasoner = roles.role_prompt("reasoner", F.col("o_orderpriority"), plan=plan)
+    return table(spark, sf_dir, "orders").select("o_orderkey", roles.selector_input(F.col("o_orderpriority"), plan, include_plan=True).alias("selector"), verifier.contains("\nGOLD:\n1").alias("gold"), reasoner.contains("\nPLAN:\n<<").alias("plan"))
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, r > n - greatest(1, CAST(floor(n * 0.05) AS BIGINT)) AS held FROM r")
+def q_eval_carve_out(spark, sf_dir):
+    """SMP-10: rows held out of training."""
+    train, held = sampling.eval_carve_out(table(spark, sf_dir, "documents").select("doc_id"), 0.05, SEED, "doc_id")
+    return train.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
+
+
 def scratch(spark, name: str) -> str:
     """A new folder that driver and executors share; a local one only where all run on this machine."""
     import uuid
