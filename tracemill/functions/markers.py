@@ -280,8 +280,10 @@ def repair_rows(df, text: str = "reasoner_output", qc: str = "qc", strict: bool
 
     @F.pandas_udf("text string, notes array<string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        reports = [repair_report(x or "", strict) for x in s]
-        return pd.DataFrame([(patched(t), notes) for t, notes in reports], columns=["text", "notes"])
+        # A text that repeats in a batch is repaired once.
+        reports = {x: repair_report(x or "", strict) for x in s.unique()}
+        done = {x: (patched(t), notes) for x, (t, notes) in reports.items()}
+        return pd.DataFrame([done[x] for x in s], columns=["text", "notes"])
 
     marked, c = F.col(text).contains("[[calc:"), F.col(text)
     plain = F.struct(c.alias("text"), F.array().cast("array<string>").alias("notes"))
