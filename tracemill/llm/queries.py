@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import read
 from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.jaccard import jaccard_components
+from tracemill.llm.link_trust import LINK, judge_urls
 from tracemill.llm.mixing import mix, taken_words
 from tracemill.llm.neighbours import search
 from tracemill.llm.perspectives import rotate
 from tracemill.llm.pii import KINDS, find_spans, shown
 from tracemill.llm.quality import score_quality
 from tracemill.llm.sharding import assign_shards, with_slots
-from tracemill.llm.toxicity import score_toxicity
+from tracemill.llm.spelling import spelling_variants
 from tracemill.llm.token_count import count_tokens
+from tracemill.llm.toxicity import score_toxicity
+from tracemill.llm.yinyang import cluster
 
 
 def vocabulary(name: str) -> str:
@@ -137,6 +140,61 @@ FROM placed GROUP BY conv_id, perspective, segment
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"), shortest=5, least=3, misspell=97, times=2)
+
+
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dims=64)
+
+
+def _op12_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one after another: assignments a0, a1, ... and centroids c0, c1, ..."""
+    kept = """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+    parts = [kept, f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS c, e FROM v QUALIFY c < {k})"]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, d.d AS distance, d.c AS c FROM (SELECT r, min({{'d': list_sum(list_transform(list_zip(v.e, c{i}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c{i}.c}}) AS d FROM v, c{i} GROUP BY r))""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.e, c{i}.e) AS e FROM c{i} LEFT JOIN (SELECT c, list(x ORDER BY k) AS e FROM
+  (SELECT c, k, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x FROM (SELECT a.c, unnest(v.e) AS x, unnest(range(64)) AS k FROM a{i} a JOIN v USING (r)) GROUP BY c, k) GROUP BY c) m USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} z USING (c)"""
+
+
+OP12_SQL = _op12_sql()
+
+#: (verdict, host/path).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op13_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES, threshold=0.5).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op13_sql() -> str:
+    """Walks of up to 86 links, as 0.85 ** 86 is the first below 1e-6."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in URL_RULES)
+    host = low.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
+    link = LINK.replace("'", "''")
+    return rf"""
+WITH RECURSIVE x AS MATERIALIZED (SELECT page_id, html, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(verdict, rule, base, below) AS (VALUES {rules}),
+fits AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM (SELECT DISTINCT host, path FROM x) JOIN rules ON (host = base OR ends_with(host, '.' || base)) AND starts_with(path, below) GROUP BY host, path),
+p AS MATERIALIZED (SELECT page_id, html, x.host, x.path, rule, verdict FROM x LEFT JOIN fits ON x.host = fits.host AND x.path = fits.path),
+e AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {low.format(f"unnest(regexp_extract_all(html, '{link}', 1))")} AS dst FROM p WHERE host <> '') WHERE src <> dst GROUP BY src, dst),
+ways AS MATERIALIZED (SELECT 'allow' AS kind, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS part FROM e UNION ALL SELECT 'block', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
+seeds AS (SELECT kind, host, count(*) FILTER (verdict = kind) / count(*) AS weight FROM p, (VALUES ('allow'), ('block')) k(kind) WHERE host <> '' GROUP BY kind, host),
+walk(k, kind, host, weight) AS (SELECT 0, kind, host, weight FROM seeds WHERE weight > 0 UNION ALL SELECT w.k + 1, w.kind, ways.b, 0.85 * sum(w.weight * ways.part) FROM walk w JOIN ways ON ways.kind = w.kind AND ways.a = w.host WHERE w.k < 86 GROUP BY w.k, w.kind, ways.b),
+levels AS (SELECT host, coalesce(sum(weight) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(weight) FILTER (kind = 'block'), 0) AS distrust FROM walk GROUP BY host)
+SELECT page_id, p.host, path, rule, coalesce(verdict, CASE WHEN distrust >= 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN levels ON p.host = levels.host"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

@@ -12,6 +12,9 @@ QUERIES = {
     "op7_quality": q.op7_quality,
     "op3_learned_partitions": q.op3_learned_partitions,
     "op5_perspectives": q.op5_perspectives,
+    "op11_spelling": q.op11_spelling,
+    "op12_yinyang": q.op12_yinyang,
+    "op13_link_trust": q.op13_link_trust,
     "pipeline": q.pipeline,
     "op4_token_counts": q.op4_token_counts,
 }
@@ -19,4 +22,6 @@ ORACLES: dict[str, str] = {
     "op5_perspectives": q.OP5_SQL,
     "op8_jaccard_join": q.OP8_SQL,
     "op2_decontaminate": q.OP2_SQL,
+    "op12_yinyang": q.OP12_SQL,
+    "op13_link_trust": q.OP13_SQL,
 }
