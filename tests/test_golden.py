@@ -120,10 +120,38 @@ def test_perturb_keeps_the_final(spark):
 
 
 def test_line_reports():
-    r = M.line_report("[[calc: 2+2]] -> 5 apples", relative=False)
-    assert (r["checked"], r["mismatches"], r["text"]) == (1, 0, "[[calc: 2+2]] -> 5 apples")
-    r = M.line_report("a [[calc: 2^3]] -> 7\nb [[calc: 1/2]] -> 1/2")
-    assert (r["ok"], r["checked"], r["mismatches"], r["text"]) == (False, 2, 1, "a [[calc: 2^3]] -> 8\nb [[calc: 1/2]] -> 1/2")
+    assert M.evaluation_report("[[calc: 2+2]] -> 5 apples", True) == (1, 0, 0, 0, "[[calc: 2+2]] -> 5 apples")
+    assert M.evaluation_report("a [[calc: 2+2]] -> 5\n[[calc: x]] -> 1\nb", True) == (2, 1, 1, 1, "a [[calc: 2+2]] -> 4.0\n[[calc: x]] -> 1\nb")
+    assert M.evaluation_report("a [[calc: 2+2]] -> 1,005", False) == (1, 1, 0, 0, "a [[calc: 2+2]] -> 1,005")
+    ok, notes, text = M.reasoner_report("a [[calc: 2^3]] -> 7\nb [[calc: 1/2]] -> 1/2\nc [[calc: 1+1]] -> many\nd [[calc: 1/0]] -> 1\ne [[calc: 5×2]] -> 1,0")
+    assert not ok and text == "a [[calc: 2^3]] -> 8\nb [[calc: 1/2]] -> 1/2\nc [[calc: 1+1]] -> many\nd [[calc: 1/0]] -> 1\ne [[calc: 5×2]] -> 1,0"
+    assert notes == ["mismatch: 2^3 -> 7 (calc=8)", "skip symbolic: '1+1' -> 'many'", "eval error: 1/0"]
+
+
+def test_steps():
+    text, notes = M.steps_report("1. a [[calc: 3*4]] -> 13.\n\n- b  [[calc: x+1]] -> 2\n* [[calc: y]] -> 1\n> c [[calc: 1/3]] -> 0\n#### 5\nz")
+    assert text == "1. a [[calc: 3*4]] -> 12\n2. b\n3. c [[calc: 1/3]] -> 0.3333333333"
+    assert notes == ["fixed '3*4' from 13. to 12", "removed symbolic calc 'x+1'", "removed symbolic calc 'y'", "fixed '1/3' from 0 to 0.3333333333"]
+
+
+LATEX = [
+    ("2 \\times 3", "6", "2 * 3"), ("\\sqrt{16}", "4", "sqrt(16)"), ("√9 + 1", "4", "sqrt(9) + 1"), ("\\left(1+2\\right)\\cdot 2", "6", "(1+2)* 2"), ("6)**2", "36", "(6)**2"),
+    ("\\frac{6}{3}", "2", "(6)/(3)"), ("3^2", "9", "3**2"), ("$1,200 kg / 2", "600", "1200 / 2"), ("1 × 2", "2", "1 * 2"), ("[2+3", "5", "2+3"), ("(2+3", "5", "(2+3)"), ("2+3))", "5", "2+3"),
+]
+
+
+@pytest.mark.parametrize(("expr", "value", "clean"), LATEX)
+def test_repair_keeps_valid_markers(expr, value, clean):
+    assert M.tidy(expr) == clean
+    if "[" not in expr:
+        assert M.repair_report(f"a [[calc: {expr}]] -> {value}") == (f"a [[calc: {clean}]] -> {value}", [])
+
+
+def test_clean_expressions_agree(spark):
+    more = ["1234,567", "1,234,567 + 1", "x_1 {2}", " a\tb ", "12)**2+(3", ""]
+    texts = [e for e, _, _ in LATEX] + more
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.clean_expr(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == {t: M.tidy(t) for t in texts}
 
 
 def test_marker_columns(spark):
@@ -132,14 +160,65 @@ def test_marker_columns(spark):
     assert r[0] == "1. 3+4 = 7 [[calc: 3+4]] -> 7\n2. x = 5\n#### 7"
     assert r[1] == "1. so\n2. Computation: [[calc: 9]] -> 9\n#### 9"
     assert r[2] == "2*sqrt(3)"
-    assert r[3] == "1200+(3)"
+    assert r[3] == "1200 + (3)"
     assert r[4] == [1.0, 4.0]
     assert tuple(r[5]) == ("1. 2*3 = 6 [[calc: 2*3]] -> 6\n#### 6", "6")
 
 
 def test_checked_lines_column(spark):
     r = spark.createDataFrame([("[[calc: 1+1]] -> 3",), (None,)], "t string").select(M.check_lines(F.col("t")).alias("r")).select("r.*").collect()
-    assert [(x.ok, x.mismatches) for x in r] == [(False, 1), (True, 0)]
+    assert [(x.ok, len(x.notes), x.text) for x in r] == [(False, 1, "[[calc: 1+1]] -> 2"), (True, 0, None)]
+
+
+def test_native_steps_agree(spark):
+    texts = ["1. a\n\n- b  c\n* d\n> e\n#### 5", "", "a\r\nb", "12. x", None, "\n####"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.normalized_steps(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n and r.n.text for r in got} == {t: None if t is None else M.steps_report(t)[0] for t in texts}
+
+
+def test_claims_fold_in_their_row(spark):
+    rows = [(1, "[[calc: 1+1]] -> 2"), (1, "[[calc: 2*(1+1)]] -> 5\n[[calc: 1/0]] -> 1"), (2, None), (3, "[[calc: 1+1]] -> 3 [[calc: 1+1]] -> 2")]
+    x = M.verify_claims(spark.createDataFrame(rows, "k int, t string"), "t", ["k"])
+    assert sorted((r.k, r.n_checked, r.n_failed, r.n_mismatch, r.ok, [tuple(m) for m in r.mismatches]) for r in x.collect()) == [(1, 1, 0, 0, True, []), (1, 2, 1, 1, False, [("2*(1+1)", 5.0, 4.0)]), (2, 0, 0, 0, True, []), (3, 1, 0, 1, False, [("1+1", 3.0, 2.0)])]
+    # A report is a matter of its row.
+    assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expression_dictionary(spark, monkeypatch, tmp_path):
+    from tracemill.functions import evaluator
+
+    rows = [(1, ["2*(1+1)", "1+1"]), (1, ["2*(1+1)", "1+1"]), (2, []), (3, None), (4, ["(3)", None, "2*(1+1)", "1/0"])] * 20
+    log = str(tmp_path / "calls")
+
+    def counted(expr, dialect, plain=evaluator.safe_calc):
+        with open(log, "a") as f:
+            f.write(f"{expr}\n")
+        return plain(expr, dialect)
+
+    monkeypatch.setattr(evaluator, "safe_calc", counted)
+    got = evaluator.expression_values(spark.createDataFrame(rows, "k int, e array<string>").repartition(7), "e").collect()
+    want = {1: [4.0, 2.0], 2: [], 3: None, 4: [3.0, None, 4.0, None]}
+    assert len(got) == 100 and all(r["values"] == want[r.k] for r in got)
+
+
+@pytest.mark.parametrize(("pred", "gold", "why"), [("2, 3", "3,2", "numeric match"), ("1", "1, 2", "set size mismatch 1 vs 2"), ("1, 5", "5, 2", "value mismatch 1.0 vs 2.0"), ("", "1", "missing pred"), ("1", "", "missing gold"), (None, "1", "missing pred"), ("x.", "x", "literal match"), ("x", "y", "literal mismatch 'x' vs 'y'"), ("90°", "90", "numeric match")])
+def test_comparison_says_why(spark, pred, gold, why):
+    r = one(spark, A.answer_comparison(F.lit(pred).cast("string"), F.lit(gold)))[0]
+    assert (r.why, r.equal) == (why, why.endswith(" match"))
+
+
+def test_verified_rows(spark):
+    rows = [("a", "1. [[calc: 3*4]] -> 12\n#### 12", "12"), ("b", "1. [[calc: 3*4]] -> 13\n#### 12", "12"), ("c", "1. [[calc: x]] -> 12\n#### 7", "12"), ("d", None, None)]
+    df = spark.createDataFrame(rows, "id string, reasoner_output string, final_answer string")
+    got = {r.id: r for r in quality_rules.verified_rows(df, share=0.0).collect()}
+    assert got["a"].verifier_output == "<<VERDICT: CORRECT>>\n<<EVIDENCE: Final answer matches gold (12).>>\n<<FIXED_ANSWER: 12>>"
+    assert got["b"].verdict_label == "CORRECT" and "Calc mismatch: '3*4' -> 13.0 (recalc 12.0)." in got["b"].verifier_output
+    assert got["c"].verifier_output == "<<VERDICT: INCORRECT>>\n<<EVIDENCE: Final answer mismatch: predicted '7' vs gold '12' (value mismatch 7.0 vs 12.0). 1 calc line(s) not evaluable.>>\n<<FIXED_ANSWER: 12>>"
+    assert "Missing final answer marker" in got["d"].verifier_output and got["d"].verdict_label == "INCORRECT"
+    assert all(got[k].qc.passed for k in "abc")
+    spoilt = {r.id: r for r in quality_rules.verified_rows(df, share=1.1).collect()}
+    assert spoilt["a"].perturbed and spoilt["a"].perturb_kind == "calc_arrow_tweak" and spoilt["a"].verdict_label == "CORRECT"
+    assert not spoilt["d"].perturbed
 
 
 @pytest.mark.parametrize(("text", "kind", "out"), [("x + 3 apples\n#### 2", "op_flip", "x - 3 apples\n#### 2"), ("no\n#### 2", "replace_final", "no\n#### 0"), ("no", "append_wrong_final", "no\n#### 0"), ("", "none", ""), ("[[calc: 60+1]] -> 61", "calc_arrow_tweak", "[[calc: 60+1]] -> 54.9")])

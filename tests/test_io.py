@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.operators import roles
-from tracemill.sources import jsonl
+from tracemill.sources import jsonl, ledger
 from tracemill.streaming.resume import ingest
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.LongType())])
@@ -19,15 +19,15 @@ def test_permissive_and_silent(spark, tmp_path):
     p = put(tmp_path / "a.jsonl", ['{"id": "a", "v": 1}', "", "{bad", '{"id": "b", "v": null}'])
     good, bad = jsonl.read_permissive(spark, p, SCHEMA)
     assert sorted(r.id for r in good.collect()) == ["a", "b"]
-    assert [r.value for r in bad.collect()] == ["{bad"]
+    assert [(r.value, r.line, r.file.endswith("a.jsonl")) for r in bad.collect()] == [("{bad", 3, True)]
     assert jsonl.read_silent(spark, p, SCHEMA).count() == 2
 
 
 def test_append_twice_adds_nothing(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", None)], SCHEMA)
     out = str(tmp_path / "out")
-    jsonl.append_new(df, out, "id")
-    jsonl.append_new(df, out, "id")
+    ledger.append_new(df, out, "id")
+    ledger.append_new(df, out, "id")
     assert spark.read.schema(SCHEMA).json(out).count() == 2
     kept = [json.loads(x) for x in spark.read.text(out).toPandas()["value"]]
     assert {"id": "b", "v": None} in kept
@@ -95,14 +95,33 @@ def test_repair_loop(spark):
 
         return generate
 
-    df = spark.createDataFrame([("q1", "<<\n1. a\n>>", "2"), ("q2", None, "2"), ("q3", None, None)], "q string, plan string, final string")
+    df = spark.createDataFrame([("q1", "<<\n1. a\n>>", "2"), ("q2", None, None), ("q3", None, None), ("q4", None, " ")], "q string, plan string, final string")
     got = {r.q: r for r in roles.reasoned(df, "q", "plan", "final", make, verify=True).collect()}
+    assert set(got) == {"q1", "q2", "q3", "q4"} and got["q4"].reasoner_output == good
     assert (got["q1"].reasoner_output, got["q1"].final_answer, got["q1"].qc.passed) == (good, "2", True)
     assert got["q2"].qc.passed and got["q2"].reasoner_output == good
-    assert not got["q3"].qc.passed
+    assert not got["q3"].qc.passed and got["q3"].final_answer == ""
     assert got["q3"].qc.reasons[-3:] == ["repair failed: empty reply", "repair2 failed: empty reply", "repair3 failed: empty reply"]
 
 
+def test_repairs_stop_when_nothing_fails(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def make():
+        def generate(prompts):
+            asked.add(len(prompts))
+            return ["1. x [[calc: 3*4]] -> 13\n#### 13" if "bad" not in p or "DRAFT" in p else "no" for p in prompts]
+
+        return generate
+
+    df = spark.createDataFrame([(i, "bad" if i % 5 == 0 else "q", i) for i in range(20)], "i int, q string, x int").withColumns({"plan": F.lit(None).cast("string"), "final": F.lit(None).cast("string")})
+    got = {r.i: r for r in roles.reasoned(df, "q", "plan", "final", make, verify=True).collect()}
+    # 20 drafts and 4 repairs: rows that pass are asked for nothing more, and no round follows the last failure.
+    assert asked.value == 24
+    assert all(r.qc.passed and r.reasoner_output == "1. x [[calc: 3*4]] -> 12\n#### 13" and r.x == i for i, r in got.items())
+    assert all(len(r.qc.reasons) == 1 and r.qc.reasons[0].startswith("[calc] ") for r in got.values())
+
+
 def test_prompt_and_target(spark):
     schema = "i int, role string, messages array<struct<role:string,text:string>>, prompt string, response string, input_question string, plan string, planner_output string, final_answer string"
     rows = [

@@ -53,12 +53,39 @@ def numeric_set(c: Column) -> Column:
 
 
 def answer_class(c: Column) -> Column:
-    """ANS-2: NUMERIC_SET or TEXT, null for null."""
+    """ANS-2: NUMERIC_SET or TEXT, null for null. A single number is a set of one, and degree signs go before an answer is
+    evaluated, so no answer is left for classes of its own."""
     return F.when(c.isNull(), F.lit(None)).when(numeric_set(c).isNotNull(), "NUMERIC_SET").otherwise("TEXT")
 
 
+def decimal_text(v: Column) -> Column:
+    """A double as text: whole ones below 1e16 end in .0."""
+    return F.when((v == F.floor(v)) & (F.abs(v) < 1e16), F.concat(v.cast("long").cast("string"), F.lit(".0"))).otherwise(v.cast("string"))
+
+
+def answer_comparison(pred: Column, gold: Column, tolerance: float = 1e-6) -> Column:
+    """ANS-3: struct(equal, why). Sets of numbers are equal within the tolerance, in any order; else texts are equal without
+    the dots at their ends; missing ones never match."""
+    text = lambda c: F.btrim(strip(c), F.lit("."))
+    both = F.struct(numeric_set(pred).alias("a"), numeric_set(gold).alias("b"), text(pred).alias("p"), text(gold).alias("g"))
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+
+    def compared(x: Column) -> Column:
+        n, m = F.size(x["a"]), F.size(x["b"])
+        apart = F.filter(F.zip_with(x["a"], x["b"], lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda t: ~(F.abs(t["p"] - t["q"]) <= tolerance))
+        first = F.try_element_at(apart, F.lit(1))
+        sizes = F.concat(F.lit("set size mismatch "), n.cast("string"), F.lit(" vs "), m.cast("string"))
+        values = F.concat(F.lit("value mismatch "), decimal_text(first["p"]), F.lit(" vs "), decimal_text(first["q"]))
+        numbers = F.when(n != m, sizes).when(first.isNotNull(), values).otherwise("numeric match")
+        literal = F.when((strip(x["p"]) != "") & (strip(x["p"]) == strip(x["g"])), "literal match").otherwise(F.concat(F.lit("literal mismatch '"), x["p"], F.lit("' vs '"), x["g"], F.lit("'")))
+        why = F.when(none(gold), "missing gold").when(none(pred), "missing pred").when(x["a"].isNotNull() & x["b"].isNotNull(), numbers).otherwise(literal)
+        return once(why, lambda w: F.struct(w.endswith(" match").alias("equal"), w.alias("why")))
+
+    return once(both, compared)
+
+
 def answers_equal(pred: Column, gold: Column, tolerance: float = 1e-6) -> Column:
-    """ANS-3: equal numeric sets within the tolerance, else equal texts without dots at their ends; empty ones never match."""
+    """ANS-3: whether answer_comparison finds them equal."""
     text = lambda c: strip(F.btrim(strip(c), F.lit(".")))
     both = F.struct(numeric_set(pred).alias("a"), numeric_set(gold).alias("b"), text(pred).alias("p"), text(gold).alias("g"))
 

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\s*(?:(0[xX][0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z]\w*)|(\*\*|//|[-+*/%(),]))")
@@ -192,13 +192,22 @@ def evaluate_plan(plan: str | None) -> tuple[list[float | None], list[dict]]:
     return values, logs
 
 
+#: What is evaluated natively: two plain numbers and a sign.
+PLAIN = r"^\s*(\d{1,15}(?:\.\d{1,6})?)\s*([-+*/])\s*(\d{1,15}(?:\.\d{1,6})?)\s*$"
+
+
+def _plain(expr: Column) -> Column:
+    return expr.rlike(PLAIN) & ~expr.rlike(r"(^|[-+*/\s])0\d")
+
+
+def _native(expr: Column) -> Column:
+    a, op, b = (F.regexp_extract(expr, PLAIN, i) for i in (1, 2, 3))
+    a, b = a.try_cast("double"), b.try_cast("double")
+    return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b))
+
+
 def calc(expr: Column, dialect: str = "verifier") -> Column:
     """CALC-1 as a column: the native path for `a op b`, Arrow batches for the rest."""
-    pattern = r"^\s*(\d{1,15}(?:\.\d{1,6})?)\s*([-+*/])\s*(\d{1,15}(?:\.\d{1,6})?)\s*$"
-    plain = expr.rlike(pattern) & ~expr.rlike(r"(^|[-+*/\s])0\d")
-    a, op, b = (F.regexp_extract(expr, pattern, i) for i in (1, 2, 3))
-    a, b = a.try_cast("double"), b.try_cast("double")
-    native = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b))
 
     @F.pandas_udf("double")
     def slow(s: pd.Series) -> pd.Series:
@@ -208,7 +217,41 @@ def calc(expr: Column, dialect: str = "verifier") -> Column:
         found = s.map(known)  # values are finite, so what is no number is null
         return found.astype(object).where(found.notna(), None)
 
-    return F.when(plain, native).otherwise(slow(F.when(plain, F.lit(None)).otherwise(expr)))
+    return F.when(_plain(expr), _native(expr)).otherwise(slow(F.when(_plain(expr), F.lit(None)).otherwise(expr)))
+
+
+def calc_each(exprs: Column, dialect: str = "verifier") -> Column:
+    """CALC-1 over an array of expressions: values in their order, null where there is none. Arrays of `a op b` only are
+    evaluated natively; of the others a batch evaluates each different expression once."""
+
+    @F.pandas_udf("array<double>")
+    def slow(s: pd.Series) -> pd.Series:
+        known: dict = {}
+        for each in s.dropna():
+            known.update((e, safe_calc(e, dialect)) for e in each if e not in known)
+        return s.map(lambda each: None if each is None else [known[e] for e in each])
+
+    plain = F.forall(exprs, lambda e: F.coalesce(_plain(e), F.lit(True)))
+    return F.when(plain, F.transform(exprs, _native)).otherwise(slow(F.when(~plain, exprs)))
+
+
+def expression_values(df: DataFrame, exprs: str, dialect: str = "verifier", out: str = "values") -> DataFrame:
+    """CALC-1 with a dictionary: adds the values of an array of expressions, each different expression of the whole table
+    evaluated once. For expressions that repeat much and cost much; the dictionary is two shuffles.
+
+    Expressions meet by a 64-bit hash with the text as check; rows get their values back by the hash of their array. Rows
+    without expressions, or with a null array, take no part in either.
+    """
+    key = F.xxhash64(exprs)
+    arrays = df.select(F.col(exprs).alias("_e")).where(F.size("_e") > 0).distinct()
+    each = arrays.select(F.xxhash64("_e").alias("_h"), "_e", F.posexplode("_e").alias("_i", "_x")).withColumn("_k", F.xxhash64("_x"))
+    known = each.select("_k", "_x").distinct().withColumn("_v", calc(F.col("_x"), dialect))
+    valued = each.alias("e").join(known.alias("d"), (F.col("e._k") == F.col("d._k")) & F.col("e._x").eqNullSafe(F.col("d._x"))).select("e._h", "e._e", "e._i", "d._v")
+    back = valued.groupBy("_h", "_e").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("_values"))
+    x = df.withColumn("_key", F.when(F.size(exprs) > 0, key))
+    x = x.join(back, (F.col("_key") == F.col("_h")) & (F.col(exprs) == F.col("_e")), "left")
+    empty = F.when(F.col(exprs).isNotNull(), F.array().cast("array<double>"))
+    return x.withColumn(out, F.coalesce("_values", empty)).drop("_key", "_h", "_e", "_values")
 
 
 PLAN_RESULT = "values array<double>, logs array<struct<line:string,error:string,value:double>>"

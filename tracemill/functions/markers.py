@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracemill.functions.evaluator import SIGNS, SPACINGS, calc, plain_math, safe_calc, shown
-from tracemill.functions.text import cleanup_markers, enforce_final, lines, numbers, strip
+from tracemill.functions.evaluator import SIGNS, SPACINGS, calc_each, plain_math, safe_calc, shown
+from tracemill.functions.text import cleanup_markers, enforce_final, filled_lines, lines, numbers, once, strip
 
 #: The formats of markers and of their claims; LINE_CLAIM is what a line is checked by.
 MARKER = r"\[\[\s*calc\s*:\s*([^\]]*?)\s*\]\]"
@@ -19,8 +20,25 @@ LINE_CLAIM = r"\[\[calc:\s*(.*?)\s*\]\]\s*->\s*([+-]?\d+(?:\.\d+)?)"
 CURRENCY = "[$£€¥]"
 UNIT_WORDS = r"(?i)\b(?:kg|g|lbs?|pounds?|mile?s?|km|m|cm|mm|ft|feet|inch(?:es)?|hrs?|hours?|mins?|minutes?|days?|years?|deg(?:rees)?|°|percent)\b"
 THOUSANDS = r"(?<!\d)\d{1,3}(?:,\d{3})+(?!\d)"
-PYTHON_MARKER = re.compile(MARKER + r"(?:\s*->\s*(\S+))?")
-NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
+#: The marker with an arrow that recomputation sees; a marker with whatever stands behind its arrow.
+RECOMPUTED = r"(?i)\[\[\s*calc\s*:\s*(.*?)\s*\]\]\s*->\s*(\S+)"
+ARROWED = r"\[\[calc:\s*(.*?)\s*\]\]\s*->\s*([^\r\n]+)"
+#: How inline mathematics, without currency, units and thousands, becomes an expression, in this order; {1} and
+#: {2} are what a pattern has caught.
+INLINE_MATHS = [
+    (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "({1})/({2})"),
+    (r"\\cdot|\\times|·|×", "*"),
+    (r"\\left|\\right", ""),
+    (r"√\s*(\d+(?:\.\d+)?)", "sqrt({1})"),
+    (r"\\sqrt", "sqrt"),
+    (r"\{", "("),
+    (r"\}", ")"),
+    (r"(?<=\d)\s*\^\s*(\d+)", "**{1}"),
+    (r"\s+", " "),
+    (r"^ | $", ""),
+    (r"[\[\]]", ""),
+    (r"(^|\s)(\d+)\)\s*\*\*", "{1}({2})**"),
+]
 TOLERANCE = 1e-6
 
 
@@ -56,12 +74,13 @@ def plain_numeric(text: Column) -> Column:
 
 
 def clean_expr(expr: Column) -> Column:
-    """CALC-16: currency, unit words and thousands commas go, signs in ASCII, braces as parentheses, parentheses balanced."""
+    """CALC-16: currency, unit words and thousands commas go, LaTeX and signs in ASCII, braces as parentheses, balanced."""
     x = F.regexp_replace(F.regexp_replace(expr, CURRENCY, ""), UNIT_WORDS, "")
-    # A comma between the first digit and the last group of a number with thousands.
-    x = F.regexp_replace(x, r"(?<=\d),(?=\d{3}(?:,\d{3})*(?!\d))", "")
-    x = F.regexp_replace(F.translate(plain_numeric(x), "{}[]", "()"), r"\s*([-+*/()])\s*", "$1")
-    return balance_parens(strip(x))
+    # The commas of a number with at most ten groups of digits.
+    x = F.regexp_replace(x, r"(?<=(?<!\d)\d{1,3}(?:,\d{3}){0,9}),(?=\d{3}(?:,\d{3})*(?!\d))", "")
+    for pattern, by in INLINE_MATHS:
+        x = F.regexp_replace(x, pattern, by.replace("{", "$").replace("}", ""))
+    return once(x, balance_parens)
 
 
 def final_expr(answer: Column) -> Column:
@@ -81,33 +100,43 @@ MINED = r"((?:\d|\()[\d\s.+\-*/()]*[-+*/][\d\s.+\-*/()]*[\d)])\s*(?:->|=)\s*(-?\
 
 def mined_marker(line: Column) -> Column:
     """The marker of an `expression -> value` or `expression = value` in a line, null if there is none."""
-    x = F.regexp_replace(plain_numeric(line), r"^\s*\d+\.\s+", "")
-    found = x.rlike(MINED) & ~x.rlike(r"^[A-Za-z]\w*\s*=")
-    return F.when(found, F.concat(F.lit("[[calc: "), strip(F.regexp_extract(x, MINED, 1)), F.lit("]] -> "), F.regexp_extract(x, MINED, 2)))
+
+    def mined(x: Column) -> Column:
+        found = x.rlike(MINED) & ~x.rlike(r"^[A-Za-z]\w*\s*=")
+        return F.when(found, F.concat(F.lit("[[calc: "), strip(F.regexp_extract(x, MINED, 1)), F.lit("]] -> "), F.regexp_extract(x, MINED, 2)))
+
+    return once(F.regexp_replace(plain_numeric(line), r"^\s*\d+\.\s+", ""), mined)
 
 
 def inject_markers(text: Column) -> Column:
     """CALC-7: numbered lines without a marker get the one that their numbers give."""
     plain = lambda x: x.rlike(r"^\s*\d+\.\s+") & ~x.contains("[[calc")
-    return F.array_join(F.transform(lines(text), lambda x: F.when(plain(x) & mined_marker(x).isNotNull(), F.concat(x, F.lit(" "), mined_marker(x))).otherwise(x)), "\n")
+    marked = lambda x: F.concat_ws(" ", x, mined_marker(x))
+    return F.array_join(F.transform(lines(text), lambda x: F.when(plain(x), marked(x)).otherwise(x)), "\n")
 
 
 def ensure_marker(text: Column, final: Column) -> Column:
     """CALC-8: a text without any marker gets a computation step before its final line, from its first minable line or its final."""
-    rows = lines(text)
-    mined = F.try_element_at(F.filter(F.transform(rows, mined_marker), lambda m: m.isNotNull()), F.lit(1))
-    value = F.coalesce(F.nullif(strip(final), F.lit("")), F.try_element_at(numbers(text), F.lit(-1)))
-    marker = F.coalesce(mined, F.concat(F.lit("[[calc: "), final_expr(value), F.lit("]] -> "), value))
-    body, last = F.filter(rows, lambda x: ~x.rlike(r"^\s*####")), F.filter(rows, lambda x: x.rlike(r"^\s*####"))
-    step = F.concat((F.size(F.filter(body, lambda x: x.rlike(r"^\s*\d+\.\s+"))) + 1).cast("string"), F.lit(". Computation: "), marker)
-    return F.when(text.rlike(MARKER) | marker.isNull(), text).otherwise(F.array_join(F.concat(body, F.array(step), last), "\n"))
+    last = lambda x: x.rlike(r"^\s*####")
+
+    def ensured(x: Column) -> Column:
+        rows, value = x["rows"], F.coalesce(F.nullif(strip(x["final"]), F.lit("")), F.try_element_at(numbers(x["text"]), F.lit(-1)))
+        mined = F.try_element_at(F.filter(F.transform(rows, mined_marker), lambda m: m.isNotNull()), F.lit(1))
+        marker = F.coalesce(mined, once(value, lambda v: F.concat(F.lit("[[calc: "), final_expr(v), F.lit("]] -> "), v)))
+        body = F.filter(rows, lambda r: ~last(r))
+        step = F.concat((F.size(F.filter(body, lambda r: r.rlike(r"^\s*\d+\.\s+"))) + 1).cast("string"), F.lit(". Computation: "))
+        put = lambda m: F.array_join(F.concat(body, F.array(F.concat(step, m)), F.filter(rows, last)), "\n")
+        return once(marker, lambda m: F.when(m.isNull(), x["text"]).otherwise(put(m)))
+
+    whole = lambda t: F.when(t.rlike(MARKER), t).otherwise(once(F.struct(t.alias("text"), lines(t).alias("rows"), final.alias("final")), ensured))
+    return once(text, whole)
 
 
 def normalized_reasoning(raw: Column, fallback: Column) -> Column:
     """TXT-6: struct(text, final) of the BEGIN block, cleaned, with one final line and markers."""
     block = F.when(raw.contains("<<<BEGIN>>>"), F.regexp_extract(raw, r"(?s)<<<BEGIN>>>(.*?)(?:<<<END>>>|$)", 1)).otherwise(raw)
-    done = enforce_final(cleanup_markers(block), fallback)
-    return F.struct(inject_markers(done["text"]).alias("text"), done["final"].alias("final"))
+    marked = lambda done: F.struct(inject_markers(done["text"]).alias("text"), done["final"].alias("final"))
+    return once(cleanup_markers(block), lambda c: once(enforce_final(c, fallback), marked))
 
 
 def balance_parens(expr: Column) -> Column:
@@ -117,14 +146,37 @@ def balance_parens(expr: Column) -> Column:
     return F.when(gap > 0, F.concat(expr, F.repeat(F.lit(")"), gap))).when(gap < 0, F.substring(expr, F.lit(1), F.length(expr) - F.least(-gap, trailing))).otherwise(expr)
 
 
-def recomputed(text: str) -> str:
-    """CALC-6: symbolic or failing markers go, the others get their value."""
+def recompute_report(text: str) -> tuple[str, list[str]]:
+    """CALC-6: (text, notes): symbolic or failing markers go, the others get their value; runs of spaces become one."""
+    notes: list[str] = []
 
     def fix(m: re.Match) -> str:
-        v = None if re.search(r"[A-Za-z]", re.sub(r"\b(?:pi|e)\b", "", m[1])) else safe_calc(m[1], "normalizer")
-        return "" if v is None else f"[[calc: {m[1]}]] -> {shown(v)}"
+        expr, said = m[1].strip(), m[2]
+        if re.search(r"[A-Za-z]", re.sub(r"\b(?:pi|e)\b", "", expr)):
+            notes.append(f"removed symbolic calc '{expr}'")
+            return ""
+        v = safe_calc(expr, "normalizer")
+        if v is None:
+            notes.append(f"calc parse failed '{expr}'; removed")
+            return ""
+        value = str(round(v)) if abs(v - round(v)) < 1e-9 else f"{v:.10g}"
+        if value != said:
+            notes.append(f"fixed '{expr}' from {said} to {value}")
+        return f"[[calc: {expr}]] -> {value}"
+
+    return re.sub(r"\s{2,}", " ", re.sub(RECOMPUTED, fix, text)).rstrip(), notes
+
 
-    return re.sub(r" {2,}", " ", PYTHON_MARKER.sub(fix, text)).strip()
+def recomputed(text: str) -> str:
+    """CALC-6 for one line."""
+    return recompute_report(text)[0]
+
+
+def steps_report(text: str) -> tuple[str, list[str]]:
+    """TXT-18: (text, notes): the steps before the first #### line, without bullet or number, recomputed and numbered."""
+    found = [recompute_report(re.sub(r"^\s*(\d+\.|-\s+|\*\s+|[>\u2022]\s+)", "", x)) for x in text.split("\n####", 1)[0].splitlines() if x.strip()]
+    steps = [t.strip() for t, _ in found if t.strip()]
+    return "\n".join(f"{i}. {t}" for i, t in enumerate(steps, 1)), [n for _, notes in found for n in notes]
 
 
 def patched(text: str) -> str:
@@ -164,9 +216,11 @@ REPAIR_NOTES = {
 
 
 def tidy(expr: str) -> str:
-    """CALC-16 for one expression of a repair: spaces stay."""
+    """CALC-16 for one expression of a repair."""
     x = re.sub(UNIT_WORDS, "", re.sub(CURRENCY, "", expr))
-    x = plain_math(re.sub(THOUSANDS, lambda m: m[0].replace(",", ""), x)).translate(str.maketrans("{}", "()", "[]"))
+    x = re.sub(THOUSANDS, lambda m: m[0].replace(",", ""), x)
+    for pattern, by in INLINE_MATHS:
+        x = re.sub(pattern, lambda m, by=by: by.replace("{1}", m[1] or "" if m.re.groups else "").replace("{2}", m[2] if m.re.groups > 1 else ""), x)
     gap = x.count("(") - x.count(")")
     return x + ")" * gap if gap >= 0 else re.sub(r"\){1,%d}$" % -gap, "", x)
 
@@ -215,36 +269,97 @@ def repaired(text: str) -> str:
     return patched(repair_report(text)[0])
 
 
-def line_report(text: str | None, relative: bool = True, repair: bool = True) -> dict:
-    """CALC-11 (relative tolerance, rationals allowed) and CALC-13 (wholly numeric to the line's end): counts, messages, text."""
-    out, n, bad, failed, notes = [], 0, 0, 0, []
-    for i, line in enumerate((text or "").split("\n")):
-        m = re.search(MARKER + (r"\s*->\s*(-?[\d,.]+(?:\s*/\s*\d+)?)" if relative else r"\s*->\s*(-?\d[\d,]*(?:\.\d+)?)\s*$"), line)
-        any_marker = re.search(MARKER, line)
-        if any_marker and not re.search(r"[A-Za-z√π]", re.sub(r"sqrt|pi", "", plain_math(any_marker[1]))):
-            n += 1
-            got = safe_calc(any_marker[1], "reasoner" if relative else "eval")
-            said = safe_calc(m[2].replace(",", "").rstrip("."), "reasoner") if m else None
+def reasoner_report(text: str | None) -> tuple[bool, list[str], str]:
+    """CALC-11: (ok, messages, text): a line's first marker is skipped if it or its value is symbolic; values may be rationals
+    and are compared relatively; a wrong one is replaced to the line's end."""
+    ok, notes, out = True, [], []
+    for line in (text or "").splitlines():
+        m = re.search(ARROWED, line)
+        if m:
+            expr, said = m[1].strip(), m[2].strip()
+            plain, value = plain_math(expr), plain_math(said)
+            if re.search(r"[A-Za-z_√π]", plain) or re.search(r"[A-Za-z√π]", value):
+                notes.append(f"skip symbolic: '{expr}' -> '{said}'")
+            elif (got := safe_calc(plain, "reasoner")) is None:
+                ok = False
+                notes.append(f"eval error: {expr}")
+            elif (claimed := rational(value)) is None:
+                notes.append(f"skip non-numeric rhs: '{said}'")
+            elif abs(got - claimed) > TOLERANCE * max(1.0, abs(got), abs(claimed)):
+                ok = False
+                notes.append(f"mismatch: {expr} -> {said} (calc={shown(got)})")
+                line = line[: m.start(2)] + shown(got) + line[m.end(2) :]
+        out.append(line)
+    return ok, notes, "\n".join(out)
+
+
+def rational(text: str) -> float | None:
+    """CALC-15: a number, with commas or as a fraction."""
+    x = text.replace(",", "").strip()
+    m = re.fullmatch(r"([+-]?\d+(?:\.\d+)?)\s*/\s*([+-]?\d+(?:\.\d+)?)", x)
+    try:
+        v = float(m[1]) / float(m[2]) if m else float(x)
+    except (ValueError, ZeroDivisionError):
+        return None
+    return v if math.isfinite(v) else None
+
+
+def evaluation_report(text: str | None, repair: bool) -> tuple[int, int, int, int, str]:
+    """CALC-13: (checked, mismatches, repaired, failed, text): a line's first marker counts; only values that are wholly
+    numeric up to the line's end are compared. A repair replaces every marker of the line by the first one's."""
+    checked = wrong = mended = failed = 0
+    out = []
+    for line in (text or "").splitlines():
+        m = re.search(ARROWED, line)
+        if m:
+            checked += 1
+            expr, got = m[1].strip(), safe_calc(m[1].strip(), "eval")
+            try:
+                claimed = float(m[2].strip().replace(",", ""))
+            except ValueError:
+                claimed = None
             if got is None:
                 failed += 1
-                notes.append(f"line {i + 1}: cannot be evaluated")
-            elif said is not None and abs(got - said) > TOLERANCE * (max(1.0, abs(got), abs(said)) if relative else 1.0):
-                bad += 1
-                notes.append(f"line {i + 1}: {shown(said)} should be {shown(got)}")
+            elif claimed is not None and abs(got - claimed) > TOLERANCE:
+                wrong += 1
                 if repair:
-                    line = line[: m.start(2)] + shown(got) + line[m.end(2) :]
+                    mended += 1
+                    line = re.sub(ARROWED, lambda _, e=expr, v=got: f"[[calc: {e}]] -> {v}", line)
         out.append(line)
-    return {"ok": not bad and not failed, "checked": n, "mismatches": bad, "failed": failed, "notes": notes, "text": "\n".join(out)}
+    return checked, wrong, mended, failed, "\n".join(out)
 
 
-def check_lines(text: Column, relative: bool = True, repair: bool = True) -> Column:
-    """CALC-11, CALC-13 as a column: struct(ok, checked, mismatches, failed, notes, text)."""
+def _reported(text: Column, f, fields: str, blank: Column) -> Column:
+    """f over the texts that hold a marker, each different text of a batch once; `blank` is what the others get."""
 
-    @F.pandas_udf("ok boolean, checked int, mismatches int, failed int, notes array<string>, text string")
+    @F.pandas_udf(fields)
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([line_report(x, relative, repair) for x in s], columns=["ok", "checked", "mismatches", "failed", "notes", "text"])
+        known = {x: f(x or "") for x in s.unique()}
+        return pd.DataFrame([known[x] for x in s], columns=[c.split()[0] for c in fields.split(", ")])
+
+    marked = text.contains("[[")
+    return F.when(marked, run(F.when(marked, text))).otherwise(blank)
+
+
+def check_lines(text: Column) -> Column:
+    """CALC-11 as a column: struct(ok, notes, text)."""
+    blank = F.struct(F.lit(True).alias("ok"), F.array().cast("array<string>").alias("notes"), text.alias("text"))
+    return _reported(text, reasoner_report, "ok boolean, notes array<string>, text string", blank)
 
-    return run(text)
+
+def evaluated_lines(text: Column, repair: bool = True) -> Column:
+    """CALC-13 as a column: struct(checked, mismatches, repaired, failed, text)."""
+    none = [F.lit(0).alias(n) for n in ("checked", "mismatches", "repaired", "failed")]
+    return _reported(text, lambda x: evaluation_report(x, repair), "checked int, mismatches int, repaired int, failed int, text string", F.struct(*none, text.alias("text")))
+
+
+def normalized_steps(text: Column) -> Column:
+    """TXT-18 as a column: struct(text, notes). Texts without a marker are renumbered natively."""
+    body = F.split_part(text, F.lit("\n####"), F.lit(1))
+    bare = F.transform(filled_lines(body), lambda x: strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s*(\d+\.|-\s+|\*\s+|[>\u2022]\s+)", ""), r"\s{2,}", " "), r"\s+$", "")))
+    steps = F.transform(F.filter(bare, lambda x: x != ""), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    plain = F.struct(F.array_join(steps, "\n").alias("text"), F.array().cast("array<string>").alias("notes"))
+    return F.when(text.isNotNull(), _reported(text, steps_report, "text string, notes array<string>", plain))
 
 
 def _text_function(f):
@@ -261,7 +376,8 @@ def with_markers(text: Column, column) -> Column:
 
 
 def recompute_markers(text: Column) -> Column:
-    return with_markers(text, _text_function(recomputed))
+    """CALC-6, line by line."""
+    return with_markers(text, _text_function(lambda t: "\n".join(recomputed(x) for x in t.split("\n"))))
 
 
 def patch_arrows(text: Column) -> Column:
@@ -296,15 +412,15 @@ def repair_rows(df, text: str = "reasoner_output", qc: str = "qc", strict: bool
 
 
 def verify_claims(df, text: str, key: list[str], tolerance: float = TOLERANCE, dialect: str = "verifier"):
-    """CALC-10/14, AGG-8: per key n_checked, n_failed, n_mismatch, ok, mismatches (expr, claimed, got; by line).
-
-    A line's first claim counts, those that can't be evaluated too. Lines are exploded, so each expression is a column
-    value; a text without claims passes.
-    """
-    marked = F.filter(F.transform(lines(F.coalesce(F.col(text), F.lit(""))), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].contains("[[calc:"))
-    each = df.select(*key, F.explode_outer(marked).alias("_l")).select(*key, F.col("_l.line").alias("line"), F.nullif(F.regexp_extract("_l.text", LINE_CLAIM, 2), F.lit("")).cast("double").alias("claimed"), F.trim(F.regexp_extract("_l.text", LINE_CLAIM, 1)).alias("expr"))
-    got = each.withColumn("got", calc(F.when(F.col("claimed").isNotNull(), F.col("expr")), dialect))
-    there, wrong = F.col("claimed").isNotNull(), F.abs(F.col("got") - F.col("claimed")) > tolerance
-    missed = F.transform(F.array_sort(F.collect_list(F.when(wrong, F.struct("line", "expr", "claimed", "got")))), lambda x: F.struct(x["expr"].alias("expr"), x["claimed"].alias("claimed"), x["got"].alias("got")))
-    counts = got.groupBy(*key).agg(F.count_if(there).alias("n_checked"), F.count_if(there & F.col("got").isNull()).alias("n_failed"), F.count_if(wrong).alias("n_mismatch"), missed.alias("mismatches"))
-    return counts.withColumn("ok", (F.col("n_failed") == 0) & (F.col("n_mismatch") == 0))
+    """CALC-10, CALC-14, AGG-8: for each row its key and n_checked, n_failed, n_mismatch, ok, mismatches (expr, claimed, got;
+    by line), folded over its lines. A line's first claim counts; one that can't be evaluated fails; a text without claims
+    passes."""
+    marked = F.filter(lines(F.coalesce(F.col(text), F.lit(""))), lambda x: x.rlike(LINE_CLAIM))
+    claim = lambda x: F.struct(F.trim(F.regexp_extract(x, LINE_CLAIM, 1)).alias("expr"), F.regexp_extract(x, LINE_CLAIM, 2).cast("double").alias("claimed"))
+    x = df.select(*key, F.transform(marked, claim).alias("_c"))
+    x = x.withColumn("_v", calc_each(F.transform("_c", lambda c: c["expr"]), dialect))
+    wrong = lambda c: F.abs(c["got"] - c["claimed"]) > tolerance
+    judged = F.zip_with("_c", "_v", lambda c, v: F.struct(c["expr"].alias("expr"), c["claimed"].alias("claimed"), v.alias("got")))
+    x = x.withColumn("mismatches", F.filter(judged, lambda c: F.coalesce(wrong(c), F.lit(False))))
+    x = x.withColumns({"n_checked": F.size("_c").cast("long"), "n_failed": F.size(F.filter("_v", lambda v: v.isNull())).cast("long"), "n_mismatch": F.size("mismatches").cast("long")})
+    return x.drop("_c", "_v").withColumn("ok", (F.col("n_failed") == 0) & (F.col("n_mismatch") == 0))

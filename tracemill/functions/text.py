@@ -95,13 +95,19 @@ def final_or_text(c: Column) -> Column:
 def enforce_final(c: Column, fallback: Column) -> Column:
     """TXT-5: struct(text, final) with exactly one closing #### line."""
     own = final_last_line_anywhere(c)
-    # What follows the last #### line goes.
-    rows = lines(c)
-    upto = F.array_max(F.transform(rows, lambda x, i: F.when(strip(x).startswith("####"), i + 1)))
-    rows = F.when(upto.isNull(), rows).otherwise(F.slice(rows, F.lit(1), upto))
-    value = F.coalesce(own, blank_to_null(strip(fallback)), F.try_element_at(numbers(F.array_join(rows, "\n")), F.lit(-1)))
-    body = F.array_join(F.filter(rows, lambda x: (strip(x) != "") & ~strip(x).startswith("####")), "\n")
-    return F.struct(F.when(value.isNull(), body).otherwise(F.concat_ws("\n", blank_to_null(body), F.concat(F.lit("#### "), value))).alias("text"), value.alias("final"))
+
+    def through_last(rows: Column) -> Column:
+        """What follows the last #### line goes."""
+        upto = F.array_max(F.transform(rows, lambda x, i: F.when(strip(x).startswith("####"), i + 1)))
+        return once(upto, lambda n: F.when(n.isNull(), rows).otherwise(F.slice(rows, F.lit(1), n)))
+
+    def closed(rows: Column) -> Column:
+        value = F.coalesce(own, blank_to_null(strip(fallback)), F.try_element_at(numbers(F.array_join(rows, "\n")), F.lit(-1)))
+        body = F.array_join(F.filter(rows, lambda x: (strip(x) != "") & ~strip(x).startswith("####")), "\n")
+        text = lambda x: F.when(x["v"].isNull(), x["b"]).otherwise(F.concat_ws("\n", blank_to_null(x["b"]), F.concat(F.lit("#### "), x["v"])))
+        return once(F.struct(value.alias("v"), body.alias("b")), lambda x: F.struct(text(x).alias("text"), x["v"].alias("final")))
+
+    return once(once(lines(c), through_last), closed)
 
 
 def ensure_final_suffix(c: Column, final: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import blank_to_null, first_filled, normalize_ws, strip
+from tracemill.functions.text import blank_to_null, first_filled, normalize_ws, once, strip
 
 
 def nested(raw: Column, path: str, kind: str = "string") -> Column:
@@ -26,16 +26,19 @@ def detected_fields(raw: Column) -> Column:
     """PRJ-3, PRJ-4: struct(question, solution, final, subject, level); answers fill the solution or the final, in order."""
     question, solution, final = searched(raw, "question"), searched(raw, "solution"), first_filled(searched(raw, "final_answer"), searched(raw, "final_ans"))
     question = first_filled(question, searched(raw, "problem"))
-    for place in ("", "orig.", "meta.", "meta.orig."):
-        a = blank_to_null(nested(raw, place + "answer"))
-        fills = solution.isNull() & looks_step_by_step(a)
-        short = ~fills & final.isNull() & ~a.contains("\n") & (F.length(a) <= 64)
+
+    def filled(s: Column, a: Column) -> Column:
+        fills = s["solution"].isNull() & looks_step_by_step(a)
+        short = ~fills & s["final"].isNull() & ~a.contains("\n") & (F.length(a) <= 64)
         mined = blank_to_null(strip(F.regexp_extract(a, r"####\s*([^\n]+)", 1)))
-        solution, final = F.when(fills, a).otherwise(solution), F.when(fills & final.isNull(), mined).when(short, strip(a)).otherwise(final)
+        return F.struct(F.when(fills, a).otherwise(s["solution"]).alias("solution"), F.when(fills & s["final"].isNull(), mined).when(short, strip(a)).otherwise(s["final"]).alias("final"))
+
+    answers = F.array(*[blank_to_null(nested(raw, place + "answer")) for place in ("", "orig.", "meta.", "meta.orig.")])
+    found = F.aggregate(answers, F.struct(solution.alias("solution"), final.alias("final")), filled)
     unique = F.regexp_replace(F.split_part(searched(raw, "unique_id"), F.lit("/"), F.lit(2)), "_", " ")
     subject = first_filled(searched(raw, "subject"), F.concat(F.upper(F.substring(unique, 1, 1)), F.substring(unique, F.lit(2), F.length(unique))))
     level = first_filled(searched(raw, "level"), searched(raw, "difficulty"))
-    return F.struct(normalize_ws(question).alias("question"), solution.alias("solution"), final.alias("final"), subject.alias("subject"), level.alias("level"))
+    return once(found, lambda x: F.struct(normalize_ws(question).alias("question"), x["solution"].alias("solution"), x["final"].alias("final"), subject.alias("subject"), level.alias("level")))
 
 
 def inferred_dataset(record_id: Column, hub_name: Column) -> Column:

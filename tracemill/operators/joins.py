@@ -61,9 +61,27 @@ def kept_and_rejected(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame
     return df.where(ok), df.where(~ok)
 
 
-def not_chosen(pool: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
-    """JOIN-7: rows of the pool that weren't chosen."""
-    return pool.join(chosen.select(key), key, "left_anti")
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column by which values can be hashed and compared; maps and variants as JSON. -0.0 is 0.0."""
+    kind = df.schema[name].dataType.simpleString()
+    if "map<" in kind or "variant" in kind:
+        return F.to_json(F.struct(F.col(name)))
+    return F.col(name) + F.lit(0.0) if kind in ("float", "double") else F.col(name)
+
+
+def not_chosen(pool: DataFrame, chosen: DataFrame) -> DataFrame:
+    """JOIN-7: the rows of the pool that equal no chosen one in all columns of the pool; nulls are equal. A row that repeats
+    a chosen one goes with it. Rows meet by a hash of their content and are compared in full then."""
+    columns = pool.columns
+    mine = [_comparable(pool, c).alias(f"_p{i}") for i, c in enumerate(columns)]
+    theirs = [_comparable(chosen, c).alias(f"_c{i}") for i, c in enumerate(columns)]
+    taken = chosen.select(*theirs).distinct()
+    taken = taken.withColumn("_ch", F.xxhash64(*taken.columns))
+    x = pool.select("*", *mine).withColumn("_ph", F.xxhash64(*[f"_p{i}" for i in range(len(columns))]))
+    same = F.col("_ph") == F.col("_ch")
+    for i in range(len(columns)):
+        same = same & F.col(f"_p{i}").eqNullSafe(F.col(f"_c{i}"))
+    return x.join(taken, same, "left_anti").select(*columns)
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:

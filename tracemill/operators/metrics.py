@@ -51,10 +51,16 @@ def changed_counts(df: DataFrame, group: list[str], old: str, new: str) -> DataF
 
 
 def kept_counts(df: DataFrame, dataset: str, kept: Column) -> DataFrame:
-    """AGG-1, AGG-2."""
+    """AGG-1: rows in, kept and rejected of each dataset."""
     return df.groupBy(dataset).agg(F.count("*").alias("n_in"), F.count_if(kept).alias("n_kept"), F.count_if(~F.coalesce(kept, F.lit(False))).alias("n_rejected"))
 
 
+def count_report(df: DataFrame, fields: list[str], missing: str = "unknown") -> DataFrame:
+    """AGG-2: rows by the strata of some fields, in their order; null fields are named `missing`."""
+    strata = [F.coalesce(F.col(f).cast("string"), F.lit(missing)).alias(f) for f in fields]
+    return df.groupBy(*strata).agg(F.count("*").alias("n")).orderBy(*fields)
+
+
 def perplexity(df: DataFrame, loss: str) -> DataFrame:
     """AGG-11."""
     return df.agg(F.exp(F.avg(loss)).alias("perplexity"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.answers import answers_equal, fixed_answer, verdict
-from tracemill.functions.markers import LINE_CLAIM, MARKER, is_symbolic
-from tracemill.functions.text import blank_to_null, count_steps, final_last_line_anywhere, filled_lines, lines, looks_multistep, once, strip
+from tracemill.functions.answers import answer_comparison, answers_equal, decimal_text, fixed_answer, verdict
+from tracemill.functions.markers import LINE_CLAIM, MARKER, is_symbolic, verify_claims
+from tracemill.functions.text import count_steps, filled_lines, final_on_last_line, lines, looks_multistep, once, strip
+from tracemill.operators.sampling import share_key
 
 
 def checked(*tests: tuple[Column, str]) -> Column:
@@ -76,16 +77,38 @@ def is_verifier_incorrect(role: Column, response: Column) -> Column:
 def evidence(pred: Column, gold: Column, why: Column, mismatches: Column, n_failed: Column) -> Column:
     """TXT-28: the final, up to three mismatches (an array of (expr, claimed, got)), the number of claims that can't be evaluated."""
     missed = F.concat(F.lit("Final answer mismatch: predicted '"), pred, F.lit("' vs gold '"), gold, F.lit("' ("), why, F.lit(")."))
-    final = F.when(pred.isNull(), "Missing final answer marker '####'.").when(answers_equal(pred, gold), F.concat(F.lit("Final answer matches gold ("), gold, F.lit(")."))).otherwise(missed)
-    shown = F.transform(F.slice(mismatches, 1, 3), lambda m: F.concat(F.lit("Calc mismatch: '"), m["expr"], F.lit("' -> "), m["claimed"].cast("string"), F.lit(" (recalc "), m["got"].cast("string"), F.lit(").")))
+    final = F.when(pred.isNull(), "Missing final answer marker '####'.").when(why.endswith(" match"), F.concat(F.lit("Final answer matches gold ("), gold, F.lit(")."))).otherwise(missed)
+    shown = F.transform(F.slice(mismatches, 1, 3), lambda m: F.concat(F.lit("Calc mismatch: '"), m["expr"], F.lit("' -> "), decimal_text(m["claimed"]), F.lit(" (recalc "), decimal_text(m["got"]), F.lit(").")))
     failed = F.array_compact(F.array(F.when(n_failed > 0, F.concat(n_failed.cast("string"), F.lit(" calc line(s) not evaluable.")))))
     return F.array_join(F.concat(F.array(final), shown, failed), " ")
 
 
-def verifier_block(pred: Column, gold: Column, why: Column) -> Column:
-    """LBL-1: the block of a verdict; a wrong calculation changes the evidence only."""
-    label = F.when(answers_equal(pred, gold), "CORRECT").otherwise("INCORRECT")
-    return F.struct(label.alias("verdict_label"), F.concat(F.lit("<<VERDICT: "), label, F.lit(">>\n<<EVIDENCE: "), why, F.lit(">>\n<<FIXED_ANSWER: "), F.when(label == "INCORRECT", strip(gold)).otherwise(""), F.lit(">>")).alias("verifier_output"))
+def verifier_block(label: Column, why: Column, gold: Column) -> Column:
+    """The three lines of a verdict; the fixed answer is the gold one whatever the verdict."""
+    return F.concat(F.lit("<<VERDICT: "), label, F.lit(">>\n<<EVIDENCE: "), why, F.lit(">>\n<<FIXED_ANSWER: "), F.coalesce(gold, F.lit("")), F.lit(">>"))
+
+
+def verified_rows(df: DataFrame, share: float = 0.25, seed: int = 40, key: str = "id") -> DataFrame:
+    """LBL-1, QC-3: verifier rows of reasoner rows (reasoner_output, final_answer).
+
+    A share of the rows, drawn by key, is spoilt (TXT-19) where it can be. The verdict compares the final with the gold
+    answer; wrong calculations change the evidence only. Adds reasoner_input, verdict_label, verifier_output, qc, perturbed,
+    perturb_kind and calc_check (ok, checked, failed, mismatches). Each step is a column of its own row: no shuffle.
+    """
+    drawn = share_key(seed, key) < share
+    up = F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 0
+    x = df.withColumn("_s", once(F.col("reasoner_output"), lambda t: F.when(drawn, perturb(t, up)).otherwise(F.struct(t.alias("text"), F.lit("none").alias("kind"), F.lit(False).alias("changed")))))
+    x = x.withColumns({"perturbed": F.coalesce("_s.changed", F.lit(False)), "reasoner_input": F.coalesce(F.when(F.col("_s.changed"), F.col("_s.text")), F.col("reasoner_output"), F.lit(""))})
+    x = x.withColumn("perturb_kind", F.when(F.col("perturbed"), F.col("_s.kind")).otherwise("")).drop("_s")
+    x = verify_claims(x, "reasoner_input", x.columns)
+    check = F.struct("ok", F.col("n_checked").alias("checked"), F.col("n_failed").alias("failed"), "mismatches")
+    x = x.withColumn("calc_check", check).drop("ok", "n_checked", "n_failed", "n_mismatch", "mismatches")
+    gold = F.coalesce(F.col("final_answer"), F.lit(""))
+    x = x.withColumn("_pred", final_on_last_line(F.col("reasoner_input"))).withColumn("_w", answer_comparison(F.col("_pred"), gold))
+    x = x.withColumn("verdict_label", F.when(F.col("_w.equal"), "CORRECT").otherwise("INCORRECT"))
+    said = evidence(F.col("_pred"), gold, F.col("_w.why"), F.col("calc_check.mismatches"), F.col("calc_check.failed"))
+    x = x.withColumn("verifier_output", verifier_block(F.col("verdict_label"), said, gold)).drop("_pred", "_w")
+    return x.withColumn("qc", verifier_quality(F.col("verifier_output"), F.col("verdict_label"), gold))
 
 
 def perturb(text: Column, up: Column) -> Column:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.answers import normal_answer
-from tracemill.functions.markers import check_lines, ensure_marker, normalized_reasoning, recompute_markers
-from tracemill.functions.text import count_steps, ensure_final_suffix, final_last_line_anywhere, first_filled, once, renumber, strip
+from tracemill.functions.answers import answers_match, fixed_answer, normal_answer, predicted_answer, verdict
+from tracemill.functions.markers import check_lines, ensure_marker, evaluated_lines, normalized_reasoning, normalized_steps
+from tracemill.functions.text import clip_after_final, count_steps, ensure_final_suffix, final_last_line_anywhere, first_filled, once, parse_selector, sanitize_planner, sanitize_reasoner, sanitize_selector, sanitize_verifier, strip
 from tracemill.operators.joins import union_roles, with_companions
 from tracemill.operators.quality_rules import normalizer_quality, reasoner_quality
+from tracemill.scratch import written
 
 DEFAULT_SYSTEM = "You are a careful assistant that solves problems step by step."
 #: What each role is told, and what evaluation adds.
@@ -90,12 +92,13 @@ def supervised_rows(spine: DataFrame, planner: DataFrame, verifier: DataFrame, n
 
 
 def normalized_rows(reasoner: DataFrame, verifier: DataFrame) -> DataFrame:
-    """LBL-3: steps recomputed and renumbered, the answer settled, the final line appended, checked."""
+    """LBL-3: steps recomputed and renumbered (TXT-18), the answer settled, the final line appended, checked; notes of the
+    recomputation are kept as step_notes."""
     x = with_companions(reasoner, {"verifier": verifier})
-    body = F.regexp_extract(F.col("reasoner_output"), r"(?s)^(.*?)(?:\n####.*)?$", 1)
+    x = x.withColumn("_n", normalized_steps(F.col("reasoner_output")))
     x = x.withColumn("_a", normal_answer(F.col("reasoner_output"), F.col("verifier.verifier_output"), F.col("verifier.final_answer_gold")))
-    x = x.withColumn("normalized_rationale", ensure_final_suffix(renumber(recompute_markers(body)), F.col("_a.final")))
-    return x.withColumn("final_answer_norm", F.col("_a.final")).withColumn("qc", normalizer_quality(F.col("normalized_rationale"))).drop("_a", "verifier")
+    x = x.withColumns({"normalized_rationale": ensure_final_suffix(F.col("_n.text"), F.col("_a.final")), "step_notes": F.col("_n.notes")})
+    return x.withColumn("final_answer_norm", F.col("_a.final")).withColumn("qc", normalizer_quality(F.col("normalized_rationale"))).drop("_a", "_n", "verifier")
 
 
 def message_pair(messages: Column) -> Column:
@@ -151,14 +154,27 @@ def masked_labels(ids: Column, prompt_length: Column, ignore: int = -100) -> Col
     return F.transform(ids, lambda x, i: F.when(i < prompt_length, ignore).otherwise(x))
 
 
-def padded_batches(df: DataFrame, batch: int, order: str, group: str, pad: int = 0, multiple: int = 8, ignore: int = -100) -> DataFrame:
-    """ML-2: ids, mask and labels padded to the longest of their batch, rounded up; batches are numbered in groups."""
-    x = df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / batch))
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(group, "batch"))
+def padded_batches(df: DataFrame, batch: int, order: str, group: str, pad: int = 0, multiple: int = 8, ignore: int = -100, cells: int = 64) -> DataFrame:
+    """ML-2: ids, mask and labels padded to the longest of their batch, rounded up; batches are numbered in groups.
+
+    A group is ordered by length, so that batches need little padding, then by cells of the hash of `order`, then by it.
+    Only counts by length and cell are summed over a group; rows are ranked within a cell and meet in batches. Null ids are
+    empty.
+    """
+    x = df.withColumn("input_ids", F.coalesce("input_ids", F.array().cast(df.schema["input_ids"].dataType)))
+    x = x.withColumn("_l", F.size("input_ids")).withColumn("_c", F.pmod(F.xxhash64(order), F.lit(cells)))
+    counts = x.groupBy(F.col(group).alias("_g"), F.col("_l").alias("_gl"), F.col("_c").alias("_gc")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_gl", "_gc").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(group, "_l", "_c").orderBy(order)) - 1
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_l") == F.col("_gl")) & (F.col("_c") == F.col("_gc"))
+    x = x.withColumn("_own", own).join(counts, same).withColumn("batch", F.floor((F.col("_before") + F.col("_own")) / batch))
+    longest = F.max("_l").over(Window.partitionBy(group, "batch"))
     x = x.withColumn("_w", (F.ceil(longest / multiple) * multiple).cast("int"))
-    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.col("_w") - F.size("input_ids")))
+    fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.col("_w") - F.col("_l")))
     mask = F.transform("input_ids", lambda _: F.lit(1))
-    return x.withColumns({"attention_mask": fill(mask, 0), "labels": fill(F.col("labels"), ignore), "input_ids": fill(F.col("input_ids"), pad)}).drop("_w")
+    x = x.withColumns({"attention_mask": fill(mask, 0), "labels": fill(F.col("labels"), ignore), "input_ids": fill(F.col("input_ids"), pad)})
+    return x.drop("_w", "_l", "_c", "_g", "_gl", "_gc", "_before", "_own")
 
 
 def first_text(output) -> str:
@@ -168,9 +184,33 @@ def first_text(output) -> str:
     return str((output.get("generated_text") if isinstance(output, dict) else output) or "")
 
 
-def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[[list[str]], list]], batch: int = 8) -> DataFrame:
-    """UDF-1 to UDF-6: a column of generated texts. `make` builds the generator once per task; a batch that fails is tried
-    one by one, a text that fails is empty. Null prompts aren't generated from and give null."""
+def _in_time(f: Callable, prompts: list[str], seconds: float | None) -> list:
+    """f(prompts); a failure if it takes longer, its thread left to itself."""
+    if seconds is None:
+        return f(prompts)
+    got: list = []
+    failed: list = []
+
+    def run() -> None:
+        try:
+            got.append(f(prompts))
+        except BaseException as e:  # noqa: BLE001 - handed on
+            failed.append(e)
+
+    worker = threading.Thread(target=run, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    if failed:
+        raise failed[0]
+    if not got:
+        raise TimeoutError
+    return got[0]
+
+
+def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[[list[str]], list]], batch: int = 8, seconds: float | None = None) -> DataFrame:
+    """UDF-1 to UDF-6: a column of generated texts. `make` builds the generator once per task; a batch that fails, or takes
+    longer than `seconds`, is tried one by one, a text that fails or takes longer is empty. Null prompts aren't generated from
+    and give null."""
 
     @F.pandas_udf("string")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,7 +218,7 @@ def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[
 
         def one(p: str) -> str:
             try:
-                return first_text(generate([p])[0])
+                return first_text(_in_time(generate, [p], seconds)[0])
             except Exception:  # noqa: BLE001 - a generator may fail in any way
                 return ""
 
@@ -187,7 +227,7 @@ def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[
             for i in range(0, len(asked), batch):
                 part = asked.iloc[i : i + batch].tolist()
                 try:
-                    texts += [first_text(x) for x in generate(part)]
+                    texts += [first_text(x) for x in _in_time(generate, part, seconds)]
                 except Exception:  # noqa: BLE001
                     texts += [one(p) for p in part]
             yield pd.Series(texts, index=asked.index, dtype=object).reindex(s.index).where(s.notna(), None)
@@ -201,46 +241,115 @@ REPAIRS = ["Mend this draft so that it has numbered steps, marked calculations a
 MENDED = ["empty output", "no numbered steps", "no calc markers", "missing final ####"]
 
 
+def _drafted(x: DataFrame, final: str, make: Callable, tried: str) -> DataFrame:
+    """Rows with a prompt `_p` and the state (_t text, _passed, _reasons): a draft is generated, normalized and judged. An
+    empty reply leaves text and verdict as they are and is noted as `tried`; of a first draft, it is the text."""
+    x = written(generated(x, "_p", "_raw", make), "drafts")
+    raw = F.col("_raw") if tried else F.coalesce(F.col("_raw"), F.lit(""))
+    whole = ensure_marker(normalized_reasoning(raw, F.col(final))["text"], F.col(final))
+    judged = lambda t: F.struct(t.alias("text"), reasoner_quality(t).alias("q"))
+    missed = F.struct(F.col("_t").alias("text"), F.struct(F.col("_passed").alias("passed"), F.array_append("_reasons", F.lit(f"{tried} failed: empty reply")).alias("reasons")).alias("q"))
+    none = F.coalesce(raw, F.lit("")) == ""
+    got = F.when(none, missed).otherwise(once(whole, judged)) if tried else once(whole, judged)
+    x = x.withColumn("_s", got).withColumns({"_t": F.col("_s.text"), "_passed": F.col("_s.q.passed"), "_reasons": F.col("_s.q.reasons")})
+    return written(x.drop("_s", "_raw", "_p"), "judged")
+
+
 def reasoned(df: DataFrame, question: str, plan: str, final: str, make: Callable, verify: bool = False) -> DataFrame:
     """UDF-5: adds reasoner_output, final_answer and qc(passed, reasons). A draft is normalized and given a marker; if it
     has a fault that is mended, up to three further drafts are asked for until one passes. The first draft alone decides
-    whether. Rows that pass are asked for nothing more."""
-    whole = lambda raw: ensure_marker(normalized_reasoning(raw, F.col(final))["text"], F.col(final))
+    whether. Each round is a written table of the rows that still fail; rows that are done are set aside and asked for
+    nothing more.
+    """
     asked = role_prompt("reasoner", F.col(question), plan=F.col(plan))
-    x = generated(df.withColumn("_p", asked), "_p", "_raw", make)
-    x = x.withColumn("_t", whole(F.col("_raw"))).withColumn("_q", reasoner_quality(F.col("_t")))
-    x = x.withColumn("_mend", F.arrays_overlap("_q.reasons", F.array(*[F.lit(m) for m in MENDED])))
+    state = {"_t": F.lit(None).cast("string"), "_passed": F.lit(False), "_reasons": F.array().cast("array<string>")}
+    x = _drafted(df.withColumns({"_p": asked, **state}), final, make, "")
+    mend = F.arrays_overlap("_reasons", F.array(*[F.lit(m) for m in MENDED]))
+    done, todo = [x.where(~mend | F.col("_passed"))], x.where(mend & ~F.col("_passed"))
     for i, ask in enumerate(REPAIRS):
-        todo = F.col("_mend") & ~F.col("_q.passed")
         draft = F.when(F.coalesce(F.col("_t"), F.lit("")) == "", "(empty)").otherwise(F.col("_t"))
         again = F.concat(asked, F.lit("\n"), F.replace(F.lit(ask), F.lit("{draft}"), draft))
-        x = generated(x.withColumn("_p", F.when(todo, again)), "_p", "_raw", make)
-        got = F.coalesce(F.col("_raw"), F.lit("")) != ""
-        x = x.withColumn("_t", F.when(got, whole(F.col("_raw"))).otherwise(F.col("_t")))
-        failed = F.array_append(F.col("_q.reasons"), F.lit(f"repair{i + 1 if i else ''} failed: empty reply"))
-        x = x.withColumn("_q", F.when(got, reasoner_quality(F.col("_t"))).when(todo, F.struct(F.col("_q.passed").alias("passed"), failed.alias("reasons"))).otherwise(F.col("_q")))
-    x = x.withColumn("reasoner_output", F.col("_t"))
+        x = _drafted(todo.withColumn("_p", again), final, make, f"repair{i + 1 if i else ''}")
+        done.append(x.where("_passed"))
+        todo = x.where("NOT _passed")
+        if todo.limit(1).count() == 0:
+            break
+    else:
+        done.append(todo)
+    x = done[0]
+    for more in done[1:]:
+        x = x.unionByName(more)
+    reasons = F.col("_reasons")
     if verify:
-        x = x.withColumn("_c", check_lines(F.col("_t"))).withColumn("reasoner_output", F.col("_c.text"))
-        reasons = F.concat("_q.reasons", F.transform("_c.notes", lambda n: F.concat(F.lit("[calc] "), n)))
-        x = x.withColumn("_q", F.struct(F.col("_q.passed").alias("passed"), reasons.alias("reasons"))).drop("_c")
-    answer = first_filled(final_last_line_anywhere(F.col("reasoner_output")), F.col(final), F.lit(""))
-    return x.withColumn("final_answer", F.coalesce(answer, F.lit(""))).withColumn("qc", F.col("_q")).drop("_p", "_raw", "_t", "_q", "_mend")
-
-
-def role_chain(df: DataFrame, makes: dict[str, Callable], enforce_halt: bool = False) -> DataFrame:
-    """LBL-4: selector, planner, reasoner, verifier, normalizer, each only where the selector calls it."""
-    from tracemill.functions.text import parse_selector
-
-    x = generated(df.withColumn("_p", role_prompt("selector", F.col("question"), strict=True)), "_p", "selector_output", makes["selector"])
-    x = x.withColumn("_s", parse_selector(F.col("selector_output")))
-    sources = {"planner": {}, "reasoner": {"plan": "planner_output"}, "verifier": {"candidate": "reasoner_output", "gold": "gold_answer"}, "normalizer": {"candidate": "reasoner_output"}}
-    order = list(sources)
-    for role, parts in sources.items():
-        text = role_prompt(role, F.col("question"), strict=True, **{k: F.col(v) for k, v in parts.items()})
-        called = F.array_contains(F.col("_s.calls"), role)
+        x = written(x.withColumn("_c", check_lines(F.col("_t"))), "checked")
+        x = x.withColumn("_t", F.col("_c.text"))
+        reasons = F.concat("_reasons", F.transform("_c.notes", lambda n: F.concat(F.lit("[calc] "), n)))
+    answer = first_filled(final_last_line_anywhere(F.col("_t")), F.col(final), F.lit(""))
+    qc = F.struct(F.col("_passed").alias("passed"), reasons.alias("reasons"))
+    return x.select(*df.columns, F.col("_t").alias("reasoner_output"), F.coalesce(answer, F.lit("")).alias("final_answer"), qc.alias("qc"))
+
+
+#: The chain of rows whose selector calls nothing, if it is to be replaced.
+DEFAULT_CHAIN = ["planner", "reasoner", "verifier", "normalizer"]
+#: What each role of a chain is shown, how its text is cleaned, and whose calculations are checked.
+CHAIN = {"planner": {}, "reasoner": {"plan": "planner_output"}, "verifier": {"candidate": "reasoner_output", "gold": "gold_answer"}, "normalizer": {"candidate": "reasoner_output"}}
+CLEANED = {"selector": sanitize_selector, "planner": sanitize_planner, "reasoner": sanitize_reasoner, "verifier": sanitize_verifier, "normalizer": sanitize_reasoner}
+CALCULATED = ["reasoner", "normalizer"]
+
+
+def _spoken(x: DataFrame, role: str, prompt: Column, make: Callable) -> DataFrame:
+    """A stage: the rows' texts of a role, cleaned; written, so that nothing is generated twice."""
+    raw = written(generated(x.withColumn("_p", prompt), "_p", "_raw", make), role)
+    return raw.withColumn(f"{role}_output", F.coalesce(CLEANED[role](F.col("_raw")), F.lit(""))).drop("_p", "_raw")
+
+
+def role_chain(df: DataFrame, makes: dict[str, Callable], enforce_halt: bool = False, selector: bool = True, fallback: bool = False, verify: bool = False, repair: bool = False) -> DataFrame:
+    """LBL-4: selector, planner, reasoner, verifier, normalizer, each generated for the rows only that call it, and empty for
+    the others. The calculator is a stage of its own after reasoner and normalizer: it checks (verify) or mends (repair) the
+    calculations of the rows that have some, and cleans and clips their texts again. Adds calls, halt_after, each role's
+    output, and calc_checked, calc_mismatches, calc_repaired, calc_failed over both roles. Without a selector every row runs
+    the default chain; so do rows that call nothing, with `fallback`.
+    """
+    q, order = F.col("question"), list(CHAIN)
+    default = F.array(*[F.lit(r) for r in DEFAULT_CHAIN])
+    if selector:
+        x = _spoken(df, "selector", role_prompt("selector", q, strict=True), makes["selector"]).withColumn("_s", parse_selector(F.col("selector_output")))
+        x = x.withColumns({"calls": F.col("_s.calls"), "halt_after": F.coalesce("_s.halt", F.lit(""))}).drop("_s")
+        if fallback:
+            none = F.size("calls") == 0
+            x = x.withColumns({"halt_after": F.when(none, "normalizer").otherwise(F.col("halt_after")), "calls": F.when(none, default).otherwise(F.col("calls"))})
+    else:
+        x = df.withColumns({"selector_output": F.lit(""), "calls": default, "halt_after": F.lit("normalizer")})
+    counters = ["checked", "mismatches", "repaired", "failed"]
+    x = x.withColumns({f"calc_{n}": F.lit(0) for n in counters})
+    for role, parts in CHAIN.items():
+        out, called = f"{role}_output", F.array_contains("calls", role)
         if enforce_halt:
-            halt = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("_s.halt"))
-            called = called & ((halt == 0) | F.col("_s.halt").isNull() | (halt >= order.index(role) + 1))
-        x = generated(x.withColumn("_p", F.when(called, text)), "_p", f"{role}_output", makes[role])
-    return x.withColumn("calls", F.col("_s.calls")).withColumn("halt_after", F.col("_s.halt")).drop("_p", "_s")
+            halt = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("halt_after"))
+            called = called & ((halt == 0) | (halt >= order.index(role) + 1))
+        text = role_prompt(role, q, strict=True, **{k: F.col(v) for k, v in parts.items()})
+        said = _spoken(x.where(called), role, text, makes[role])
+        if role in CALCULATED and (verify or repair):
+            marked = F.col(out).contains("[[calc:")
+            found = written(said.where(marked).withColumn("_c", evaluated_lines(F.col(out), repair)), f"{role}-calculator")
+            clean = clip_after_final(CLEANED[role](F.col("_c.text")))
+            found = found.withColumns({out: clean, **{f"calc_{n}": F.col(f"calc_{n}") + F.col(f"_c.{n}") for n in counters}}).drop("_c")
+            said = found.unionByName(said.where(~marked))
+        x = said.unionByName(x.where(~called).withColumn(out, F.lit("")))
+    return x
+
+
+def predictions(chain: DataFrame) -> DataFrame:
+    """ANS-6, ANS-7: finals, verdicts and predictions of a chain's rows (with gold_answer), and whether they are right.
+
+    The normalizer's final counts where it spoke, else the reasoner's; a fixed answer of an INCORRECT verdict overrides it.
+    """
+    said = lambda role: F.nullif(F.col(f"{role}_output"), F.lit(""))
+    final = lambda role: F.nullif(strip(F.regexp_extract(said(role), r"####\s*(.+)\s*$", 1)), F.lit(""))
+    none, gold = F.lit(""), F.col("gold_answer")
+    x = chain.withColumns({"reasoner_final": final("reasoner"), "normalizer_final": final("normalizer"), "verdict": F.coalesce(verdict(said("verifier")), none), "fixed_answer": F.coalesce(fixed_answer(said("verifier")), none)})
+    x = x.withColumn("pred_before_verify", F.coalesce(F.when(said("normalizer").isNotNull(), F.col("normalizer_final")).otherwise(F.col("reasoner_final")), none))
+    fixed = (F.col("verdict") == "INCORRECT") & (F.col("fixed_answer") != "")
+    x = x.withColumns({"pred_after_verify": F.when(fixed, F.col("fixed_answer")).otherwise(F.col("pred_before_verify")), "pred_final": F.coalesce(predicted_answer(said("verifier"), said("reasoner"), said("normalizer")), none)})
+    right = lambda c: F.coalesce(answers_match(c, gold), F.lit(False))
+    return x.withColumns({"reasoner_ok": F.col("reasoner_final").isNotNull() & right(F.col("reasoner_final")), "final_ok": right(F.col("pred_after_verify"))})

@@ -51,12 +51,30 @@ def train_val_split(df: DataFrame, ratio: float, seed: int, key: str, group: lis
 
 
 def capped(df: DataFrame, group: list[str], cap: int | Column, seed: int, key: str) -> DataFrame:
-    """SMP-3, SMP-7: at most `cap` rows of each group; all, if it is null or not above 0."""
-    if isinstance(cap, int) and cap <= 0:
-        return df
-    cap = F.lit(cap) if isinstance(cap, int) else cap
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(draw_key(seed, key), key)))
-    return ranked.where(cap.isNull() | (cap <= 0) | (F.col("_r") <= cap)).drop("_r")
+    """SMP-3, SMP-7: at most `cap` rows of each group, in drawn order; all, if it is null or not above 0.
+
+    A cap in a column is one for its whole group. Then rows are counted by the first digits of their draw key; a group keeps
+    all cells below the one in which its cap is reached, and only that cell's rows are ranked.
+    """
+    if isinstance(cap, int):
+        if cap <= 0:
+            return df
+        ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(draw_key(seed, key), key)))
+        return ranked.where(F.col("_r") <= cap).drop("_r")
+    x = df.withColumns({"_k": draw_key(seed, key), "_cap": cap}).withColumn("_cell", F.substring("_k", 1, 3))
+    names = [f"_g{i}" for i in range(len(group))]
+    cells = x.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("_cell").alias("_c")).agg(F.count("*").alias("_n"), F.max("_cap").alias("_most")).where("_most > 0")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*names).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("_before", before).where("_before < _most")
+    edges = cells.groupBy(*names).agg(F.max(F.struct("_c", (F.col("_most") - F.col("_before")).alias("left"))).alias("_edge"))
+    same = F.lit(True)
+    for g, n in zip(group, names, strict=True):
+        same = same & x[g].eqNullSafe(edges[n])
+    near = x.join(edges, same, "left").where(F.col("_edge").isNull() | (F.col("_cell") <= F.col("_edge._c")))
+    at_edge = F.coalesce(F.col("_cell") == F.col("_edge._c"), F.lit(False))
+    # Rows that stay in any case are partitions of their own, so no group meets in a task.
+    place = F.row_number().over(Window.partitionBy(*group, "_cell", F.when(~at_edge, F.col("_k"))).orderBy("_k", key))
+    return near.withColumn("_r", place).where(~at_edge | (F.col("_r") <= F.col("_edge.left"))).select(*df.columns)
 
 
 def capped_by(df: DataFrame, role_caps: dict[str, int], pair_caps: dict[tuple[str, str], int], seed: int, key: str, dataset: str = "dataset", role: str = "role") -> DataFrame:
@@ -97,7 +115,7 @@ def largest_remainder(df: DataFrame, stratum: str, k: int, seed: int, key: str)
     order = F.row_number().over(Window.orderBy(F.desc("_rest"), F.desc(stratum)))
     quota = x.withColumn("_left", left).withColumn("_o", order).select(F.col(stratum).alias("_s"), F.when(F.col("_t") <= k, F.col("n")).otherwise(F.col("_q") + F.when(F.col("_o") <= F.col("_left"), 1).otherwise(0)).alias("_quota"))
     ranked = drawn_ranks(df, [stratum], seed, key).drop("_n")
-    return ranked.join(F.broadcast(quota), F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("_r") <= F.col("_quota")).drop("_s", "_quota", "_r")
+    return ranked.join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).where(F.col("_r") <= F.col("_quota")).drop("_s", "_quota", "_r")
 
 
 def weighted_rows(df: DataFrame, weights: dict[str, int], role: str = "role") -> DataFrame:

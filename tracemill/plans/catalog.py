@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracemill.functions import answers as A
 from tracemill.functions import markers as M
 from tracemill.functions import text as X
 from tracemill.functions.evaluator import calc, plan_values
 from tracemill.operators import fields, joins, metrics, quality_rules, roles, sampling
+from tracemill.plans import chains, files, tools  # noqa: F401 - they register theirs
+from tracemill.plans.registered import ORACLES, QUERIES, SEED, query  # noqa: F401
 from tracemill.session import table
 
-SEED = 42
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +71,7 @@ def q_calc_repair(spark, sf_dir):
     return t.join(known, "line").select("l_orderkey", "l_linenumber", "fixed")
 
 
-REPORTS = f"SELECT l_orderkey, l_linenumber, CAST(sum(2 + CAST(l_orderkey % 3 = 0 AS INT)) AS BIGINT) AS n_checked, count(*) FILTER (WHERE l_orderkey % 3 = 0) AS n_failed, count(*) FILTER (WHERE q * n <> claim) AS n_mismatch FROM ({TRACES}) GROUP BY l_orderkey, l_linenumber"
+REPORTS = f"SELECT l_orderkey, l_linenumber, CAST(2 + CAST(l_orderkey % 3 = 0 AS INT) AS BIGINT) AS n_checked, CAST(l_orderkey % 3 = 0 AS BIGINT) AS n_failed, CAST(q * n <> claim AS BIGINT) AS n_mismatch FROM ({TRACES})"
 
 
 @query(f"SELECT *, n_failed = 0 AND n_mismatch = 0 AS ok FROM ({REPORTS})")
@@ -198,13 +184,13 @@ def q_dedup_exact(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders),
-l AS (SELECT l_orderkey, max_by(l_returnflag, row(l_linenumber, l_returnflag)) AS flag FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey)
+l AS (SELECT l_partkey, max_by(l_returnflag, row(l_orderkey, l_linenumber, l_returnflag)) AS flag FROM lineitem GROUP BY l_partkey)
 SELECT o_orderkey || '::planner' AS id, 'planner' AS role, 'Q' || o_custkey AS prompt, o_orderpriority AS response FROM o
-UNION ALL SELECT o_orderkey || '::verifier', 'verifier', 'Q' || o_custkey || ' V', flag FROM o JOIN l ON o_orderkey = l_orderkey""")
+UNION ALL SELECT o_orderkey || '::verifier', 'verifier', 'Q' || o_custkey || ' V', flag FROM o JOIN l ON o_orderkey = l_partkey""")
 def q_merge_roles(spark, sf_dir):
-    """JOIN-5, SET-1, FLT-3: role rows of a spine and a companion."""
+    """JOIN-5, SET-1, FLT-3: role rows of a spine and of a companion, which many rows of the spine lack."""
     spine = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("Q"), F.col("o_custkey").cast("string")).alias("q"), "o_orderpriority")
-    verifier = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_returnflag").alias("flag"), F.struct("l_linenumber", "l_returnflag").alias("pos"))
+    verifier = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("id"), F.col("l_returnflag").alias("flag"), F.struct("l_orderkey", "l_linenumber", "l_returnflag").alias("pos"))
     x = joins.with_companions(spine, {"verifier": verifier})
     rows = joins.union_roles(x, {"planner": {"prompt": F.col("q"), "response": F.col("o_orderpriority")}, "verifier": {"prompt": F.concat("q", F.lit(" V")), "response": F.col("verifier.flag")}}, ["id"])
     return rows.withColumn("id", F.concat_ws("::", "id", "role"))
@@ -390,49 +376,3 @@ def q_eval_carve_out(spark, sf_dir):
     """SMP-10: rows held out of training."""
     train, held = sampling.eval_carve_out(table(spark, sf_dir, "documents").select("doc_id"), 0.05, SEED, "doc_id")
     return train.withColumn("held", F.lit(False)).unionByName(held.withColumn("held", F.lit(True)))
-
-
-def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share; a local one only where all run on this machine."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="tracemill-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-@query("SELECT item_id % 4 = 0 AS rejected, count(*) AS n FROM benchmark GROUP BY ALL")
-def q_rejects(spark, sf_dir):
-    """SRC-6, SET-5: lines that are no JSON are rejects; written and read as JSON lines."""
-    from tracemill.sources.jsonl import read_variant
-
-    at = scratch(spark, "lines")
-    table(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 4 == 0, "{bad").otherwise(F.to_json(F.struct("item_id"))).alias("value")).write.text(at)
-    good, bad = read_variant(spark, at)
-    return good.select(F.lit(False).alias("rejected")).unionByName(bad.select(F.lit(True).alias("rejected"))).groupBy("rejected").agg(F.count("*").alias("n"))
-
-
-@query("SELECT doc_id, lang, source FROM documents WHERE lang IS NOT NULL")
-def q_jsonl_round_trip(spark, sf_dir):
-    """SRC-1, SNK-1, SNK-2: rows written twice by key are there once, nulls kept."""
-    from tracemill.sources.jsonl import append_new, read_strict
-
-    at, d = scratch(spark, "jsonl"), table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang", "source")
-    append_new(d.where("doc_id % 2 = 0"), at, "doc_id")
-    append_new(d, at, "doc_id")
-    return read_strict(spark, at, d.schema)
-
-
-@query("SELECT DISTINCT event_id, user_id FROM events")
-def q_stream_resume(spark, sf_dir):
-    """STR-2: events streamed to a sink, one row per id."""
-    from tracemill.streaming.resume import ingest
-
-    at = scratch(spark, "stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{at}/in")
-    ingest(spark, f"{at}/in", schema, lambda b: b.select("event_id", "user_id"), f"{at}/out", f"{at}/mark", key="event_id", kind="parquet").awaitTermination()
-    return spark.read.schema(T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType())])).json(f"{at}/out")
