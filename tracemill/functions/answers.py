@@ -45,11 +45,12 @@ def numeric_set(c: Column) -> Column:
         known = {x: answer_values(x) for x in s.dropna().unique()}
         return s.map(known.get).astype(object) if known else pd.Series([None] * len(s), dtype=object)
 
-    core = F.btrim(strip(c), F.lit("."))
+    core = lambda x: F.btrim(strip(x), F.lit("."))
     number = r"[+-]?(?:0+|[1-9]\d*|\d+\.\d*|\.\d+)"
-    plain = core.rlike(rf"^{number}(?:\s*,\s*{number})*$")
-    native = F.array_sort(F.transform(F.split(core, ","), lambda p: strip(p).cast("double")))
-    return F.when(plain, native).otherwise(slow(F.when(~plain & core.rlike(r"\d"), c)))
+    plain = lambda x: x.rlike(rf"^{number}(?:\s*,\s*{number})*$")
+    values = lambda x: F.array_sort(F.transform(F.split(x, ","), lambda p: strip(p).cast("double")))
+    native = once(core(c), lambda x: F.when(plain(x), values(x)))
+    return F.coalesce(native, slow(F.when(~plain(core(c)) & c.rlike(r"\d"), c)))
 
 
 def answer_class(c: Column) -> Column:
@@ -116,7 +117,7 @@ def numeric_text(c: Column) -> Column:
 def fixed_answer(verifier: Column) -> Column:
     """The FIXED_ANSWER of a verifier block; empty if blank, null if there is no tag."""
     p = r"(?is)<<\s*FIXED(?:_ANSWER)?\s*:\s*(.*?)\s*>>"
-    return F.when(verifier.rlike(p), strip(F.regexp_extract(verifier, p, 1)))
+    return once(verifier, lambda v: F.when(v.rlike(p), strip(F.regexp_extract(v, p, 1))))
 
 
 def verdict(verifier: Column) -> Column:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.text import once
+
 TOKEN = re.compile(r"\s*(?:(0[xX][0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z]\w*)|(\*\*|//|[-+*/%(),]))")
 #: Digits of the largest whole number, length of the longest expression, depth of the deepest.
 MOST_DIGITS, LONGEST, DEEPEST = 400, 400, 60
@@ -231,8 +233,8 @@ def calc_each(exprs: Column, dialect: str = "verifier") -> Column:
             known.update((e, safe_calc(e, dialect)) for e in each if e not in known)
         return s.map(lambda each: None if each is None else [known[e] for e in each])
 
-    plain = F.forall(exprs, lambda e: F.coalesce(_plain(e), F.lit(True)))
-    return F.when(plain, F.transform(exprs, _native)).otherwise(slow(F.when(~plain, exprs)))
+    plain = lambda x: F.forall(x, lambda e: F.coalesce(_plain(e), F.lit(True)))
+    return F.coalesce(once(exprs, lambda x: F.when(plain(x), F.transform(x, _native))), slow(once(exprs, lambda x: F.when(~plain(x), x))))
 
 
 def expression_values(df: DataFrame, exprs: str, dialect: str = "verifier", out: str = "values") -> DataFrame:

@@ -411,16 +411,24 @@ def repair_rows(df, text: str = "reasoner_output", qc: str = "qc", strict: bool
     return x.withColumn(qc, F.struct(F.when(F.col(qc).isNull(), True).otherwise(F.col(qc)["passed"]).alias("passed"), reasons.alias("reasons"))).withColumn(text, F.col("_r.text")).drop("_r")
 
 
-def verify_claims(df, text: str, key: list[str], tolerance: float = TOLERANCE, dialect: str = "verifier"):
-    """CALC-10, CALC-14, AGG-8: for each row its key and n_checked, n_failed, n_mismatch, ok, mismatches (expr, claimed, got;
-    by line), folded over its lines. A line's first claim counts; one that can't be evaluated fails; a text without claims
-    passes."""
-    marked = F.filter(lines(F.coalesce(F.col(text), F.lit(""))), lambda x: x.rlike(LINE_CLAIM))
+def claim_report(text: Column, tolerance: float = TOLERANCE, dialect: str = "verifier") -> Column:
+    """CALC-10, CALC-14: struct(ok, checked, failed, mismatches (expr, claimed, got)) of a text, folded over its lines. A
+    line's first claim counts; one that can't be evaluated fails; a text without claims passes."""
     claim = lambda x: F.struct(F.trim(F.regexp_extract(x, LINE_CLAIM, 1)).alias("expr"), F.regexp_extract(x, LINE_CLAIM, 2).cast("double").alias("claimed"))
-    x = df.select(*key, F.transform(marked, claim).alias("_c"))
-    x = x.withColumn("_v", calc_each(F.transform("_c", lambda c: c["expr"]), dialect))
-    wrong = lambda c: F.abs(c["got"] - c["claimed"]) > tolerance
-    judged = F.zip_with("_c", "_v", lambda c, v: F.struct(c["expr"].alias("expr"), c["claimed"].alias("claimed"), v.alias("got")))
-    x = x.withColumn("mismatches", F.filter(judged, lambda c: F.coalesce(wrong(c), F.lit(False))))
-    x = x.withColumns({"n_checked": F.size("_c").cast("long"), "n_failed": F.size(F.filter("_v", lambda v: v.isNull())).cast("long"), "n_mismatch": F.size("mismatches").cast("long")})
-    return x.drop("_c", "_v").withColumn("ok", (F.col("n_failed") == 0) & (F.col("n_mismatch") == 0))
+    found = once(lines(F.coalesce(text, F.lit(""))), lambda rows: F.transform(F.filter(rows, lambda x: x.rlike(LINE_CLAIM)), claim))
+
+    def report(x: Column) -> Column:
+        judged = F.zip_with(x["c"], x["v"], lambda c, v: F.struct(c["expr"].alias("expr"), c["claimed"].alias("claimed"), v.alias("got")))
+        wrong = F.filter(judged, lambda c: F.coalesce(F.abs(c["got"] - c["claimed"]) > tolerance, F.lit(False)))
+        failed = F.size(F.filter(x["v"], lambda v: v.isNull())).cast("long")
+        counted = F.struct(F.size(x["c"]).cast("long").alias("checked"), failed.alias("failed"), wrong.alias("mismatches"))
+        ok = lambda r: (r["failed"] == 0) & (F.size(r["mismatches"]) == 0)
+        return once(counted, lambda r: F.struct(ok(r).alias("ok"), r["checked"].alias("checked"), r["failed"].alias("failed"), r["mismatches"].alias("mismatches")))
+
+    return once(F.struct(found.alias("c"), calc_each(F.transform(found, lambda c: c["expr"]), dialect).alias("v")), report)
+
+
+def verify_claims(df, text: str, key: list[str], tolerance: float = TOLERANCE, dialect: str = "verifier"):
+    """CALC-10, CALC-14, AGG-8: for each row its key and n_checked, n_failed, n_mismatch, ok, mismatches of claim_report."""
+    r = df.select(*key, claim_report(F.col(text), tolerance, dialect).alias("_r"))
+    return r.select(*key, F.col("_r.checked").alias("n_checked"), F.col("_r.failed").alias("n_failed"), F.size("_r.mismatches").cast("long").alias("n_mismatch"), "_r.ok", "_r.mismatches")

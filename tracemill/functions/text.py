@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Line ends, the texts at which generated text is cut, cue words of multi-step questions, role order, plans that stand in for none.
@@ -40,6 +40,15 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once per row and never copied into what follows.
+
+    Spark merges a projection into the Python UDFs above it as often as they mention it, however dear it is, unless it isn't
+    deterministic; the row number, never below 0, makes it so and changes no value.
+    """
+    return df.withColumns({n: F.when(F.monotonically_increasing_id() >= 0, c) for n, c in columns.items()})
+
+
 def lines(c: Column) -> Column:
     """Lines of a text; one empty part after a final line end is dropped, an empty text has none."""
     cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.answers import answer_comparison, answers_equal, decimal_text, fixed_answer, verdict
-from tracemill.functions.markers import LINE_CLAIM, MARKER, is_symbolic, verify_claims
-from tracemill.functions.text import count_steps, filled_lines, final_on_last_line, lines, looks_multistep, once, strip
+from tracemill.functions.markers import LINE_CLAIM, MARKER, claim_report, is_symbolic
+from tracemill.functions.text import count_steps, filled_lines, final_on_last_line, lines, looks_multistep, once, strip, with_computed
 from tracemill.operators.sampling import share_key
 
 
@@ -49,14 +49,19 @@ def reasoner_quality(c: Column) -> Column:
 
 def verifier_quality(block: Column, label: Column, gold: Column) -> Column:
     """QC-3: tags present, verdict as labelled, fixed answer as gold where INCORRECT."""
-    said = F.nullif(F.regexp_extract(block, r"<<VERDICT:\s*(CORRECT|INCORRECT)\s*>>", 1), F.lit(""))
     fixed = fixed_answer(block)
-    tag = lambda n: (~(block.contains(f"<<{n}:") & block.contains(">>")), f"missing {n} tag")
-    differs = F.when(said.isNull(), F.lit("VERDICT value invalid")).when(said != label, F.concat(F.lit("VERDICT label mismatch "), said, F.lit(" vs "), label))
-    tags = checked(tag("VERDICT"), tag("EVIDENCE"), tag("FIXED_ANSWER"))["reasons"]
-    wrong = F.when(fixed.isNotNull() & (label == "INCORRECT") & ~F.coalesce(answers_equal(fixed, gold), F.lit(False)), F.lit("FIXED_ANSWER does not equal gold"))
-    reasons = F.concat(tags, F.array_compact(F.array(differs, wrong)))
-    return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
+    agrees = F.coalesce(answers_equal(fixed, gold), F.lit(False))
+    tag = lambda b, n: F.when(~(b.contains(f"<<{n}:") & b.contains(">>")), f"missing {n} tag")
+
+    def judged(x: Column) -> Column:
+        said = x["said"]
+        differs = F.when(said == "", F.lit("VERDICT value invalid")).when(said != x["label"], F.concat(F.lit("VERDICT label mismatch "), said, F.lit(" vs "), x["label"]))
+        wrong = F.when(x["fixed"].isNotNull() & (x["label"] == "INCORRECT") & ~x["agrees"], F.lit("FIXED_ANSWER does not equal gold"))
+        reasons = F.array_compact(F.array(*[tag(x["block"], n) for n in ("VERDICT", "EVIDENCE", "FIXED_ANSWER")], differs, wrong))
+        return once(reasons, lambda r: F.struct((F.size(r) == 0).alias("passed"), r.alias("reasons")))
+
+    verdict_said = F.coalesce(F.regexp_extract(block, r"<<VERDICT:\s*(CORRECT|INCORRECT)\s*>>", 1), F.lit(""))
+    return once(F.struct(block.alias("block"), verdict_said.alias("said"), fixed.alias("fixed"), label.alias("label"), agrees.alias("agrees")), judged)
 
 
 def normalizer_quality(c: Column) -> Column:
@@ -97,18 +102,15 @@ def verified_rows(df: DataFrame, share: float = 0.25, seed: int = 40, key: str =
     """
     drawn = share_key(seed, key) < share
     up = F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 0
-    x = df.withColumn("_s", once(F.col("reasoner_output"), lambda t: F.when(drawn, perturb(t, up)).otherwise(F.struct(t.alias("text"), F.lit("none").alias("kind"), F.lit(False).alias("changed")))))
-    x = x.withColumns({"perturbed": F.coalesce("_s.changed", F.lit(False)), "reasoner_input": F.coalesce(F.when(F.col("_s.changed"), F.col("_s.text")), F.col("reasoner_output"), F.lit(""))})
-    x = x.withColumn("perturb_kind", F.when(F.col("perturbed"), F.col("_s.kind")).otherwise("")).drop("_s")
-    x = verify_claims(x, "reasoner_input", x.columns)
-    check = F.struct("ok", F.col("n_checked").alias("checked"), F.col("n_failed").alias("failed"), "mismatches")
-    x = x.withColumn("calc_check", check).drop("ok", "n_checked", "n_failed", "n_mismatch", "mismatches")
+    spoilt = once(F.col("reasoner_output"), lambda t: F.when(drawn, perturb(t, up)).otherwise(F.struct(t.alias("text"), F.lit("none").alias("kind"), F.lit(False).alias("changed"))))
+    x = with_computed(df, _s=spoilt)
+    x = with_computed(x, perturbed=F.coalesce("_s.changed", F.lit(False)), perturb_kind=F.when(F.col("_s.changed"), F.col("_s.kind")).otherwise(""), reasoner_input=F.coalesce(F.when(F.col("_s.changed"), F.col("_s.text")), F.col("reasoner_output"), F.lit("")))
     gold = F.coalesce(F.col("final_answer"), F.lit(""))
-    x = x.withColumn("_pred", final_on_last_line(F.col("reasoner_input"))).withColumn("_w", answer_comparison(F.col("_pred"), gold))
-    x = x.withColumn("verdict_label", F.when(F.col("_w.equal"), "CORRECT").otherwise("INCORRECT"))
-    said = evidence(F.col("_pred"), gold, F.col("_w.why"), F.col("calc_check.mismatches"), F.col("calc_check.failed"))
-    x = x.withColumn("verifier_output", verifier_block(F.col("verdict_label"), said, gold)).drop("_pred", "_w")
-    return x.withColumn("qc", verifier_quality(F.col("verifier_output"), F.col("verdict_label"), gold))
+    x = with_computed(x.drop("_s"), calc_check=claim_report(F.col("reasoner_input")), _pred=final_on_last_line(F.col("reasoner_input")))
+    x = with_computed(x, _w=answer_comparison(F.col("_pred"), gold))
+    x = with_computed(x, verdict_label=F.when(F.col("_w.equal"), "CORRECT").otherwise("INCORRECT"), _said=evidence(F.col("_pred"), gold, F.col("_w.why"), F.col("calc_check.mismatches"), F.col("calc_check.failed")))
+    x = with_computed(x, verifier_output=verifier_block(F.col("verdict_label"), F.col("_said"), gold)).drop("_pred", "_w", "_said")
+    return with_computed(x, qc=verifier_quality(F.col("verifier_output"), F.col("verdict_label"), gold))
 
 
 def perturb(text: Column, up: Column) -> Column:

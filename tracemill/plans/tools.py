@@ -149,8 +149,8 @@ def q_evidence(spark, sf_dir):
     q = F.col("l_quantity").cast("long").cast("string")
     text = F.array_join(F.transform(F.array(*[F.lit(str(i)) for i in range(1, 5)]), lambda i: F.concat(i, F.lit(". [[calc: "), q, F.lit("+"), i, F.lit("]] -> 0"))), "\n")
     x = M.verify_claims(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", q.alias("q"), text.alias("t")), "t", ["l_orderkey", "l_linenumber", "q"])
-    x = x.withColumn("w", A.answer_comparison(F.col("q"), F.lit("0")))
-    x = x.withColumn("said", quality_rules.evidence(F.col("q"), F.lit("0"), F.col("w.why"), F.col("mismatches"), F.col("n_failed")))
+    x = X.with_computed(x, w=A.answer_comparison(F.col("q"), F.lit("0")))
+    x = X.with_computed(x, said=quality_rules.evidence(F.col("q"), F.lit("0"), F.col("w.why"), F.col("mismatches"), F.col("n_failed")))
     block = quality_rules.verifier_block(F.lit("INCORRECT"), F.col("said"), F.lit("0"))
     return x.select("l_orderkey", "l_linenumber", "said", F.array_join(quality_rules.verifier_quality(block, F.lit("CORRECT"), F.lit("0"))["reasons"], "|").alias("faults"))
 
