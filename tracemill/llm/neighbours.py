@@ -1,12 +1,14 @@
-"""Approximate nearest neighbours by learned partitions.
+"""Approximate nearest neighbours, by inner product, by learned partitions.
 
-On a bounded sample (SAMPLE vectors by hash) the nearest-neighbour graph is cut into balanced parts by recursive
+On a bounded sample (SAMPLE vectors by hash) the graph of largest inner products is cut into balanced parts by recursive
 bisection: a split at the median of the leading direction, then swaps of the nodes with the most neighbours on the other
-side. A small network (one hidden layer) learns a vector's part. Every vector of the table goes to its likeliest part; a
-query goes to its `probes` likeliest parts, where exact inner products rank all vectors. There are LEAST_PARTS parts at
-least and one for PART_ROWS vectors, as long as the sample has SAMPLED_ROWS vectors for each; beyond that parts hold more
-vectors. `probes` is the least number that reaches `recall` on the sample's own neighbours, which lie farther apart than
-those of the whole table.
+side. A small network (one hidden layer) learns a vector's part; vectors are lifted for it, each by the coordinate that it
+lacks to the largest norm of the table, so that long and short ones of a direction are told apart. A second network learns,
+for a query's direction, in which parts the vectors with the largest products lie. Every vector of the table goes to its
+likeliest part; a query goes to its `probes` likeliest parts, where exact inner products rank all vectors. There are
+LEAST_PARTS parts at least and one for PART_ROWS vectors, as long as the sample has SAMPLED_ROWS vectors for each; beyond
+that parts hold more vectors. `probes` is the least number that reaches `recall` for the eighth of the sample that the second
+network hasn't seen; their neighbours in the sample lie farther apart than those of the whole table.
 
 Vectors of a part are dealt in blocks of about BLOCK_ROWS, its queries in blocks of about QUERY_ROWS, so a crowded part is
 many tasks. A query that found fewer than k is searched again in all parts. Model and sample are the only data on the
@@ -75,8 +77,10 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int) -> np.ndarray:
     return part
 
 
-def trained(x: np.ndarray, part: np.ndarray, parts: int, rounds: int = 40) -> list[np.ndarray]:
-    """Weights of the network, by Adam on shuffled batches of fixed seed."""
+def trained(x: np.ndarray, goal: np.ndarray, parts: int, rounds: int = 40) -> list[np.ndarray]:
+    """Weights of a network from vectors to parts (goal: numbers) or to shares of parts (goal: a row of shares for each
+    vector), by Adam on shuffled batches of fixed seed."""
+    goal = np.eye(parts)[goal] if goal.ndim == 1 else goal
     r = np.random.default_rng(7)
     w = [r.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), r.normal(0, 1 / math.sqrt(HIDDEN), (HIDDEN, parts)), np.zeros(parts)]
     m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
@@ -88,8 +92,7 @@ def trained(x: np.ndarray, part: np.ndarray, parts: int, rounds: int = 40) -> li
             z = h @ w[2] + w[3]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), part[rows]] -= 1
-            p /= len(rows)
+            p = (p - goal[rows]) / len(rows)
             back = (p @ w[2].T) * (h > 0)
             grads = [x[rows].T @ back, back.sum(0), h.T @ p, p.sum(0)]
             t += 1
@@ -109,6 +112,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def lifted(x: np.ndarray, largest: float) -> np.ndarray:
+    """Vectors over the largest norm, with the coordinate that makes them unit vectors."""
+    y = x / largest
+    return np.hstack([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1, keepdims=True)))])
+
+
+def learned(x: np.ndarray, largest: float, parts: int, k: int, recall: float) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """(network of lifted vectors, network of queries, probes) of a sample."""
+    y = lifted(x, largest)
+    if parts == 1:
+        return trained(y, np.zeros(len(x), np.int64), 1, 0), trained(x, np.zeros(len(x), np.int64), 1, 0), 1
+    graph = graph_of(x / largest, min(max(k, GRAPH_NEIGHBOURS), len(x) - 1))
+    place = trained(y, balanced_parts(y, graph[:, :GRAPH_NEIGHBOURS], parts), parts)
+    goal = np.zeros((len(x), parts))
+    np.add.at(goal, (np.arange(len(x))[:, None], likelihood(y, place).argmax(1)[graph]), 1 / graph.shape[1])
+    held = np.arange(len(x)) % 8 == 0
+    route = trained(unit(x[~held]), goal[~held], parts)
+    # The share of a query's neighbours that its likeliest parts hold, by their number.
+    order = np.argsort(-likelihood(unit(x[held]), route), axis=1, kind="stable")
+    found = np.take_along_axis(goal[held], order, 1).mean(0).cumsum()
+    return place, route, min(parts, int(np.searchsorted(found, recall - 1e-9)) + 1)
+
+
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
@@ -127,34 +153,26 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
     bound = int(min(1.0, 1.2 * SAMPLE / total) * 2**32)
     mark = F.xxhash64("vec_id", "v")
     drawn = rows.where(F.pmod(mark, F.lit(2**32)) <= bound).orderBy(mark, "vec_id", "v").limit(SAMPLE).select("v").collect()
-    x = unit(np.array([r["v"] for r in drawn], np.float64))
+    x = np.array([r["v"] for r in drawn], np.float64)
+    largest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))).first()[0]
     parts = max(1, min(max(LEAST_PARTS, total // PART_ROWS), len(x) // SAMPLED_ROWS))
-    if parts > 1:
-        graph = graph_of(x, min(max(k, GRAPH_NEIGHBOURS), len(x) - 1))
-        w = trained(x, balanced_parts(x, graph[:, :GRAPH_NEIGHBOURS], parts), parts)
-        score = likelihood(x, w)
-        place = np.argsort(np.argsort(-score, axis=1), axis=1)
-        best = score.argmax(1)
-        # The place that a neighbour's part has among the parts of the query.
-        ranks = np.sort(np.take_along_axis(place, best[graph], 1).ravel())
-        probes = int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
-    else:
-        w, probes = trained(x, np.zeros(len(x), np.int64), 1, 0), 1
-    model = spark.sparkContext.broadcast(w)
-
-    def dealt(n: int):
+    place, route, probes = learned(x, largest, parts, k, recall)
+    model = spark.sparkContext.broadcast((place, route))
+
+    def dealt(n: int, asking: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                s = likelihood(unit(np.stack(b["v"].to_numpy())), model.value)
+                v = np.stack(b["v"].to_numpy())
+                s = likelihood(unit(v) if asking else lifted(v, largest), model.value[asking])
                 near = np.argsort(-s, axis=1, kind="stable")[:, :n]
                 yield pd.DataFrame({"part": near.ravel().astype("int32"), "vec_id": np.repeat(b["vec_id"].to_numpy(), near.shape[1]), "v": [v for v in b["v"] for _ in range(near.shape[1])]})
 
         return run
 
     schema = "part int, vec_id long, v array<double>"
-    placed = written(rows.mapInPandas(dealt(1), schema), "placed")
+    placed = written(rows.mapInPandas(dealt(1, False), schema), "placed")
     # One row per part comes to the driver.
     blocks = {r["part"]: max(1, -(-r["count"] // BLOCK_ROWS)) for r in placed.groupBy("part").count().collect()}
 
@@ -181,7 +199,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def found(asked: DataFrame, n: int) -> DataFrame:
-        sent = written(asked.mapInPandas(dealt(n), schema), "sent-queries")
+        sent = written(asked.mapInPandas(dealt(n, True), schema), "sent-queries")
         crowds = {r["part"]: max(1, -(-r["count"] // QUERY_ROWS)) for r in sent.groupBy("part").count().collect()}
         tiles = [(p, blocks[p], m) for p, m in crowds.items() if p in blocks]
         if not tiles:
