@@ -2,11 +2,14 @@
 
 Base spans are patterns (e-mail, IP address, card and phone numbers). Each base span is a mention of a protected entity
 (its kind and text). From the co-occurrence of entities and words in whole documents,
-PMI(entity, term) = log(N P(entity | term) / n(entity)) tells how much a term says about an entity, where
-P(entity | term) is n(entity, term) / n(term), shrunk to n(entity) / N by `support` pseudo-documents, so that entities of
-one document have terms too. A term that gives at least `disclosure` of an entity's information content log(N / n(entity))
-reveals it. Every occurrence of a revealing term, in whatever document, becomes a span of kind `term`. Sanitising removes
-base spans for a tag of their kind and generalises term spans to `[TERM]`.
+PMI(entity, term) = log(N P(entity | term) / n(entity)) tells how much a term says about an entity. P(entity | term) is the
+lower 95 % limit (Wilson) of n(entity, term) / n(term), so what a few documents say counts for little. A term that gives at
+least `disclosure` of an entity's information content log(N / n(entity)), stands with it in `support` different texts at
+least, and with that confidence in at least `certainty` of the texts that hold the term, reveals the entity. The last two
+bounds don't move with the size of the table; without them, any rare word beside an address would reveal it in a table that
+is large enough. Every occurrence of a revealing term, in whatever document, becomes a span of kind `term`. Sanitising removes
+base spans for a tag of their kind and generalises term spans to `[TERM]`. Words of one or two characters and numbers are no
+terms.
 
 Counts are of distinct texts; words inside of base spans aren't counted. Entities that the same texts hold are counted as
 one, and pairs go at once whose term is too common among the texts with entities alone, which can't change the result:
@@ -127,7 +130,14 @@ def places_of(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) <= PATTERN_TERMS, by_pattern).otherwise(by_word)
 
 
-def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, support: int) -> tuple[DataFrame, DataFrame]:
+def lower_limit(k: Column, n: Column, z: float = 1.645) -> Column:
+    """Wilson's lower limit of the share k / n; k is at most n."""
+    p = F.least(k / n, F.lit(1.0))
+    spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return (p + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
+def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, support: int, certainty: float) -> tuple[DataFrame, DataFrame]:
     """(h, hits): the revealing terms of each text that holds some. base has h and entities; texts has h, text and base.
 
     Joins of words are shuffled at every size; only what passes a sieve of the wanted terms is.
@@ -142,13 +152,14 @@ def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, suppor
     words = written(words.select("h", F.explode("words").alias("term")).where(is_term(F.col("term"))), "holder-words")
 
     share = F.col("n_e") / F.lit(total)
-    # given >= share ** (1 - disclosure) as a bound of n_t from above, which grows with n_et.
-    most = lambda n_et: (n_et + support * share) / F.pow(share, 1 - disclosure) - support
+    least = F.greatest(F.lit(certainty), F.pow(share, 1 - disclosure))
+    # The limit is below n_et / n_t, so this bounds n_t from above, the more the more n_et is.
+    most = lambda n_et: n_et / least
     common = words.groupBy("term").agg(F.count("*").alias("n"))
     loosest = classes.agg(F.max(most(F.col("n_e")))).first()[0] or 0.0
     rare = few(common.where(F.col("n") <= loosest + 1e-6).select(F.col("term").alias("_t"), "n"))
     pairs = words.join(rare, F.col("term") == F.col("_t")).join(classes, "h").where((share < 1) & (F.col("n") <= most(F.col("n_e")) + 1e-6))
-    n_et = written(pairs.groupBy("e", "n_e", "term").agg(F.count("*").alias("n_et"), F.first("n").alias("n")).where(F.col("n") <= most(F.col("n_et")) + 1e-6), "pairs")
+    n_et = written(pairs.groupBy("e", "n_e", "term").agg(F.count("*").alias("n_et"), F.first("n").alias("n")).where((F.col("n_et") >= support) & (F.col("n") <= most(F.col("n_et")) + 1e-6)), "pairs")
 
     # Passes over the words of all texts. Copies count once: a word of a text with n copies is 1 / n.
     all_words = texts.select("h", F.explode(words_of(bare(F.col("text"), F.col("base")))).alias("term"))
@@ -156,14 +167,14 @@ def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, suppor
     candidates = written(n_et.select("term").distinct(), "candidates")
     seen = all_words.where(sieve(candidates, "term")(F.col("term"))).join(few(copies), F.col("h") == F.col("_h"), "left").select("term", (1 / F.coalesce("copies", F.lit(1))).alias("weight"))
     n_t = written(seen.groupBy("term").agg(F.round(F.sum("weight")).alias("n_t")), "term-counts")
-    given = (F.col("n_et") + support * share) / (F.col("n_t") + support)
-    reveal = n_et.join(n_t, "term").where(F.log(given / share) >= -disclosure * F.log(share)).select("term").distinct()
+    given = lower_limit(F.col("n_et"), F.col("n_t"))
+    reveal = n_et.join(n_t, "term").where(given >= least).select("term").distinct()
     reveal = written(reveal, "revealing")
     some = all_words.where(sieve(reveal, "term")(F.col("term"))).join(reveal.hint("merge"), "term", "left_semi")
     return written(some.groupBy("h").agg(F.collect_set("term").alias("hits")), "hits")
 
 
-def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, certainty: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, h (hash of the text), base and spans (arrays of (start, kind, end)); base ones are in spans."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = F.array_sort(F.concat(*[spans_of(F.col("text"), k) for k in KINDS[:4]]))
@@ -172,9 +183,10 @@ def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, id_co
     texts = texts.select("doc_id", "h", "text", F.explode(F.array(found)).alias("base"))
     entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     base = written(texts.select("doc_id", "h", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), entities.alias("entities")), "base-spans")
-    hits = revealing_terms(base, texts, disclosure, support).withColumnRenamed("h", "_h").hint("merge")
-    # Spans are of texts, so copies need them once. Half of all texts can have hits: the join is shuffled at every size.
-    terms = texts.select("h", "text").join(hits, F.col("h") == F.col("_h")).select("_h", places_of(F.col("text"), F.col("hits")).alias("terms")).groupBy("_h").agg(F.first("terms").alias("terms"))
+    hits = revealing_terms(base, texts, disclosure, support, certainty).withColumnRenamed("h", "_h").hint("merge")
+    # Spans are of texts: of copies one is kept before it is moved and searched. The join is shuffled at every size.
+    once = texts.groupBy("h").agg(F.first("text").alias("text"))
+    terms = once.join(hits, F.col("h") == F.col("_h")).select("_h", places_of(F.col("text"), F.col("hits")).alias("terms"))
     out = base.join(terms.hint("merge"), F.col("h") == F.col("_h"), "left")
     # A term inside of a base span is no further span.
     free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
