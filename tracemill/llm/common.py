@@ -95,14 +95,14 @@ def split_words(text: Column, separators: str) -> Column:
     return F.slice(parts, begin, F.greatest(F.size(parts) - last - begin + 1, F.lit(0)))
 
 
-def prefix_index(df: DataFrame, group: list[str], by: str, order: list[str], weight: str | None, out: str, buckets: int) -> DataFrame:
+def prefix_index(df: DataFrame, group: list[str], by: str, order: list[str], weight: str | None, out: str, buckets: int, bucket: Column | None = None) -> DataFrame:
     """Adds `out`: the sum of `weight` (rows, if None) over the rows of the group before this one, gapless and in parallel.
 
-    Rows of a group are ordered by (hash bucket of `by`, order). A group is dealt over `buckets` tasks, so a group that
+    Rows of a group are ordered by (`bucket`, a number from 0 to buckets - 1, or else the hash bucket of `by`, order). A group is dealt over `buckets` tasks, so a group that
     holds a third of all rows is no single task; only (group, bucket) totals meet in the window over buckets.
     """
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
+    df = df.withColumn("_bucket", (F.pmod(F.xxhash64(by), F.lit(buckets)) if bucket is None else bucket).cast("int"))
     totals = df.groupBy(*group, "_bucket").agg(F.sum(w).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))

@@ -46,7 +46,7 @@ MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = taken_words(*mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS, share=1.5, most=2.0))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
