@@ -58,7 +58,8 @@ def grouped(centroids: np.ndarray, n: int) -> np.ndarray:
 
 
 def _below(d: np.ndarray) -> np.ndarray:
-    return d - SLACK * (1 + np.abs(d))
+    """A safe lower bound; infinite where a group has no other centroid."""
+    return np.where(np.isinf(d), d, d - SLACK * (1 + np.abs(np.where(np.isinf(d), 0, d))))
 
 
 def first_state(x: np.ndarray, c: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
