@@ -124,20 +124,23 @@ def test_repairs_stop_when_nothing_fails(spark):
 
 def test_prompt_and_target(spark):
     schema = "i int, role string, messages array<struct<role:string,text:string>>, prompt string, response string, input_question string, plan string, planner_output string, final_answer string"
+    own = F.when(F.col("i") == 6, "<<VERDICT: CORRECT>>")
     rows = [
         (1, None, [("system", "S"), ("user", "u"), ("assistant", "a"), ("user", "v"), ("assistant", " t ")], "p", "r", None, None, None, None),
         (2, "planner", [], "p", "r", None, None, None, None),
         (3, "planner", None, None, None, "Q", "P", "<<1>>", None),
         (4, "verifier", None, "p", None, "Q", "P", None, "7"),
         (5, None, [("user", "u")], None, None, None, None, None, None),
+        (6, "verifier", None, None, None, "Q", None, "<<1>>", None),
     ]
-    got = {r.i: (r.prompt, r.target) for r in roles.prompt_and_target(spark.createDataFrame(rows, schema)).collect()}
+    got = {r.i: (r.prompt, r.target) for r in roles.prompt_and_target(spark.createDataFrame(rows, schema).withColumn("verifier_output", own)).collect()}
     head = f"<system>\n{roles.DEFAULT_SYSTEM}\n\n<user>\n"
     assert got[1] == ("<system>\nS\n\n<user>\nu\n\n<assistant>\na\n\n<user>\nv", "t")
     assert got[2] == (head + "p", "r")
     assert got[3] == (head + "Act as <role:planner>.\n\nPROBLEM:\nQ", "<<1>>")
     assert got[4] == (head + "Act as <role:verifier>.\n\nPROBLEM:\nQ\n\nPLAN:\nP", "7")
     assert got[5] == (head + "u", "u")
+    assert got[6] == (head + "Act as <role:verifier>.\n\nPROBLEM:\nQ", "<<VERDICT: CORRECT>>")
 
 
 def test_supervised_rows(spark):

@@ -54,6 +54,14 @@ def claims(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(CLAIM), 0), one)
 
 
+def marker_claims(text: Column) -> Column:
+    """CALC-5, CALC-14: all markers as an array of (expr, claimed): the first number behind the arrow, which takes the rest of
+    its line; null without one."""
+    marker = r"(?s)\[\[calc:\s*(.*?)\s*\]\](?:\s*->\s*([^\n]+))?"
+    one = lambda m: F.struct(F.regexp_extract(m, marker, 1).alias("expr"), F.nullif(F.regexp_extract(F.regexp_extract(m, marker, 2), r"[+-]?\d+(?:\.\d+)?", 0), F.lit("")).cast("double").alias("claimed"))
+    return F.transform(F.regexp_extract_all(text, F.lit(marker), 0), one)
+
+
 def is_symbolic(expr: Column, allowed: tuple[str, ...] = ("pi", "e")) -> Column:
     """CALC-4: whether names other than the allowed ones occur."""
     return F.size(F.array_except(F.regexp_extract_all(expr, F.lit("[A-Za-z]+"), 0), F.array(*[F.lit(a) for a in allowed]))) > 0

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.answers import answers_match, fixed_answer, normal_answer, predicted_answer, verdict
-from tracemill.functions.markers import check_lines, ensure_marker, evaluated_lines, normalized_reasoning, normalized_steps
-from tracemill.functions.text import clip_after_final, count_steps, ensure_final_suffix, final_last_line_anywhere, first_filled, once, parse_selector, sanitize_planner, sanitize_reasoner, sanitize_selector, sanitize_verifier, strip
+from tracemill.functions.evaluator import calc_each
+from tracemill.functions.markers import TOLERANCE, check_lines, ensure_marker, evaluated_lines, is_trivial, marker_claims, normalized_reasoning, normalized_steps
+from tracemill.functions.text import clip_after_final, count_steps, ensure_final_suffix, final_last_line_anywhere, first_filled, once, parse_selector, sanitize_planner, sanitize_reasoner, sanitize_selector, sanitize_verifier, strip, with_computed
 from tracemill.operators.joins import union_roles, with_companions
-from tracemill.operators.quality_rules import normalizer_quality, reasoner_quality
+from tracemill.operators.quality_rules import normalizer_quality, reasoner_quality, routed_calls
 from tracemill.scratch import written
 
 DEFAULT_SYSTEM = "You are a careful assistant that solves problems step by step."
@@ -101,6 +102,33 @@ def normalized_rows(reasoner: DataFrame, verifier: DataFrame) -> DataFrame:
     return x.withColumn("final_answer_norm", F.col("_a.final")).withColumn("qc", normalizer_quality(F.col("normalized_rationale"))).drop("_a", "_n", "verifier")
 
 
+def router_rows(reasoner: DataFrame, planner: DataFrame, verifier: DataFrame, normalizer: DataFrame, include_plan: bool = False, least_steps: int = 2, **options) -> DataFrame:
+    """JOIN-4, LBL-2, CALC-5, CALC-14, TXT-23: selector rows of reasoner rows (id, question, reasoner_output).
+
+    A plan is the planner's, else the row's own; a verdict is the row's own only where there is no verifier row. Calculations
+    are those of the normalized rationale, else of the reasoner. Adds selector_input, selector_output, calls, halt_after and
+    signals; options are those of routed_calls.
+    """
+    own = lambda name: F.col(name) if name in reasoner.columns else F.lit(None).cast("string")
+    theirs = lambda df, role, name: F.col(f"{role}.{name}") if name in df.columns else F.lit(None).cast("string")
+    x = with_companions(reasoner, {"planner": planner, "verifier": verifier, "normalizer": normalizer})
+    plan = first_filled(theirs(planner, "planner", "planner_output"), theirs(planner, "planner", "plan"), own("plan"), own("planner_output"))
+    said = F.when(F.col("verifier").isNotNull(), theirs(verifier, "verifier", "verifier_output")).otherwise(own("verifier_output"))
+    normal = theirs(normalizer, "normalizer", "normalized_rationale")
+    x = x.withColumns({"_plan": plan, "_said": said, "_normal": normal, "_body": first_filled(normal, F.col("reasoner_output"), F.lit(""))})
+    x = with_computed(x, _claims=marker_claims(F.col("_body")))
+    x = with_computed(x, _values=calc_each(F.transform("_claims", lambda c: c["expr"]), "router"))
+    valued = F.zip_with("_claims", "_values", lambda c, v: F.struct(c["expr"].alias("expr"), c["claimed"].alias("claimed"), v.alias("got")))
+    x = with_computed(x, _v=valued)
+    has_calc = F.exists("_v", lambda c: ~is_trivial(c["expr"]) & c["got"].isNotNull())
+    mismatch = F.exists("_v", lambda c: F.coalesce(F.abs(c["got"] - c["claimed"]) > TOLERANCE, F.lit(False)))
+    text = F.col("question")
+    routed = routed_calls(text, F.col("_plan"), F.col("_said"), has_calc, mismatch, F.col("reasoner_output"), F.col("_normal"), own("subject"), own("level"), least_steps=least_steps, **options)
+    x = with_computed(x, _r=routed)
+    x = x.withColumns({"selector_input": selector_input(text, F.col("_plan"), include_plan, least_steps), "selector_output": F.col("_r.text"), "calls": F.col("_r.calls"), "halt_after": F.col("_r.halt_after"), "signals": F.col("_r.signals")})
+    return x.drop("planner", "verifier", "normalizer", "_plan", "_said", "_normal", "_body", "_claims", "_values", "_v", "_r")
+
+
 def message_pair(messages: Column) -> Column:
     """TXT-25: struct(prompt, target) of an array of (role, text), null for none. The last message is the target, and stays
     in the prompt unless it is the assistant's. The last system text leads; other roles than the assistant are users."""

@@ -143,6 +143,24 @@ def q_supervised_rows(spark, sf_dir):
     return x.select(F.split_part("id", F.lit("::"), F.lit(1)).cast("long").alias("o_orderkey"), "role", part("CANDIDATE").alias("candidate"), part("GOLD").alias("gold"), "response")
 
 
+@query("""WITH k AS (SELECT o_orderkey AS k, o_orderpriority AS q FROM orders), f AS (SELECT *, k % 3 = 0 AS planned, k % 5 = 0 AS wrong, k % 7 = 0 AS normal FROM k)
+SELECT k, 'CALLS: ' || array_to_string(list_filter([CASE WHEN planned THEN 'planner' END, 'reasoner', CASE WHEN k % 2 = 0 OR normal THEN 'calculator' END, CASE WHEN wrong OR (k % 4 = 2 AND NOT normal) OR k % 11 = 0 THEN 'verifier' END, CASE WHEN normal THEN 'normalizer' END], lambda x: x IS NOT NULL), ',') || '; HALT_AFTER: ' || CASE WHEN normal THEN 'normalizer' WHEN wrong OR k % 4 = 2 OR k % 11 = 0 THEN 'verifier' ELSE 'reasoner' END AS said,
+'<role:selector>' || chr(10) || q || CASE WHEN planned THEN chr(10) || 'PLAN:' || chr(10) || '<<' || chr(10) || '1. a' || chr(10) || '2. b' || chr(10) || '>>' ELSE '' END AS asked, k % 4 = 2 AND NOT normal AS mismatch FROM f""")
+def q_router_rows(spark, sf_dir):
+    """JOIN-4, LBL-2, CALC-5, CALC-14, TXT-23: plans and verdicts with their fallbacks, calculations found and compared."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    ids = k.alias("id")
+    text = F.when(k % 4 == 0, "1. a [[calc: 2*(1+1)]] -> 4 [[calc: 1+1]] -> 3").when(k % 4 == 2, "1. a [[calc: 2*(1+1)]]\n2. b [[calc: 3*1]] -> about 4").otherwise("1. a [[calc: x+1]] -> 2 or [[calc: 7]] -> 8")
+    plan = F.lit("<<\n1. a\n2. b\n>>")
+    block = F.when(k % 11 == 0, "<<VERDICT: INCORRECT>>")
+    reasoner = o.select(ids, F.col("o_orderpriority").alias("question"), text.alias("reasoner_output"), F.when(k % 6 == 3, plan).alias("plan"), block.alias("verifier_output"))
+    planner = o.where(k % 6 == 0).select(ids, F.lit(0).alias("pos"), plan.alias("planner_output"))
+    verifier = o.where((k % 5 == 0) & (k % 11 != 0)).select(ids, F.lit(0).alias("pos"), F.lit("<<VERDICT: INCORRECT>>").alias("verifier_output"))
+    normalizer = o.where(k % 7 == 0).select(ids, F.lit(0).alias("pos"), F.lit("1. n [[calc: 2*2]] -> 4").alias("normalized_rationale"))
+    x = roles.router_rows(reasoner, planner, verifier, normalizer, include_plan=True)
+    return x.select(F.col("id").alias("k"), F.col("selector_output").alias("said"), F.col("selector_input").alias("asked"), F.col("signals.calc_mismatch").alias("mismatch"))
+
+
 @query("SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents c WHERE c.doc_id % 10 = 0 AND c.lang IS NOT DISTINCT FROM d.lang AND c.source IS NOT DISTINCT FROM d.source AND c.n_chars % 3 IS NOT DISTINCT FROM d.n_chars % 3)")
 def q_whole_record_anti(spark, sf_dir):
     """JOIN-7: records that equal no chosen one in all columns."""
