@@ -6,8 +6,8 @@ PMI(entity, term) = log(N P(entity | term) / n(entity)) tells how much a term sa
 lower 95 % limit (Wilson) of n(entity, term) / n(term), so what a few documents say counts for little. A term that gives at
 least `disclosure` of an entity's information content log(N / n(entity)), stands with it in `support` different texts at
 least, and with that confidence in at least `certainty` of the texts that hold the term, reveals the entity. The last two
-bounds don't move with the size of the table; without them, any rare word beside an address would reveal it in a table that
-is large enough. Every occurrence of a revealing term, in whatever document, becomes a span of kind `term`. Sanitising removes
+bounds don't move with the size of the table: at a `certainty` of 0.25 a word that stood once beside an address reveals it if
+it stands nowhere else, in a table of any size. Every occurrence of a revealing term, in whatever document, becomes a span of kind `term`. Sanitising removes
 base spans for a tag of their kind and generalises term spans to `[TERM]`. Words of one or two characters and numbers are no
 terms.
 
@@ -174,7 +174,7 @@ def revealing_terms(base: DataFrame, texts: DataFrame, disclosure: float, suppor
     return written(some.groupBy("h").agg(F.collect_set("term").alias("hits")), "hits")
 
 
-def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 2, certainty: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, disclosure: float = 0.8, support: int = 1, certainty: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, h (hash of the text), base and spans (arrays of (start, kind, end)); base ones are in spans."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = F.array_sort(F.concat(*[spans_of(F.col("text"), k) for k in KINDS[:4]]))
