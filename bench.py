@@ -7,7 +7,7 @@ import time
 from tracemill.plans import catalog
 from tracemill.session import local_session
 
-HEADLINE = ["q_calc_verify", "q_calc_extract", "q_calc_eval_udf", "q_plan_dsl", "q_verify_claims", "q_verdict_confusion", "q_eval_grouping_sets", "q_chain_hist", "q_split_train_val", "q_stratified_rr", "q_largest_remainder", "q_last_wins", "q_merge_roles", "q_resume_anti", "q_dedup_exact", "q_chat_io", "q_ws_norm", "q_collapse_lines", "q_multistep", "q_qc_reasons", "q_router_calls", "q_answer_sets"]
+HEADLINE = ["q_calc_verify", "q_calc_extract", "q_calc_eval_udf", "q_plan_dsl", "q_verify_claims", "q_verdict_confusion", "q_eval_grouping_sets", "q_chain_hist", "q_split_train_val", "q_stratified_rr", "q_largest_remainder", "q_last_wins", "q_merge_roles", "q_resume_anti", "q_dedup_exact", "q_chat_io", "q_ws_norm", "q_collapse_lines", "q_multistep", "q_qc_reasons", "q_router_calls", "q_answer_sets", "q_answer_expressions", "q_repair_rows", "q_perturb", "q_provenance", "q_planner_quality", "q_caps_in_a_column", "q_padded_batches"]
 
 
 def main() -> None:

@@ -11,6 +11,27 @@ from tracemill.functions.text import count_steps, filled_lines, final_on_last_li
 from tracemill.operators.sampling import share_key
 
 
+#: What the checks of plans, traces, verdicts and normalized traces say, and what evidence says.
+PLAN_SAID = {
+    "delimiters": "Missing or incorrect delimiters << >>.",
+    "empty": "Empty plan inside delimiters.",
+    "many": "Too many steps: %d (>10).",
+    "odd": "Step formatting not recognized on line %d: %s",
+    "long": "Step %d too long (%d chars).",
+    "none": "No numbered steps parsed.",
+}
+TRACE_SAID = {"empty": "empty output", "few": "too few lines", "steps": "no numbered steps", "calc": "no calc markers", "final": "missing final ####"}
+VERDICT_SAID = {"tag": "missing %s tag", "invalid": "VERDICT value invalid", "label": "VERDICT label mismatch %s vs %s", "fixed": "FIXED_ANSWER does not equal gold"}
+NORMAL_SAID = {"none": "no steps", "steps": "steps not numbered", "symbolic": "symbolic calc remained: %s", "final": "missing final ####"}
+EVIDENCE_SAID = {
+    "missing": "Missing final answer marker '####'.",
+    "match": "Final answer matches gold (%s).",
+    "differs": "Final answer mismatch: predicted '%s' vs gold '%s' (%s).",
+    "calc": "Calc mismatch: '%s' -> %s (recalc %s).",
+    "failed": "%d calc line(s) not evaluable.",
+}
+
+
 def checked(*tests: tuple[Column, str]) -> Column:
     """struct(passed, reasons): the reasons of all tests that are true."""
     reasons = F.array_compact(F.array(*[F.when(t, r) for t, r in tests]))
@@ -28,13 +49,13 @@ def planner_quality(c: Column) -> Column:
     steps = F.transform(filled_lines(inner), strip)
     step = r"^\d+\.\s+(.+)$"
     size = lambda s: F.length(strip(F.regexp_extract(s, step, 1)))
-    odd = lambda s, i: F.concat(F.lit("Step formatting not recognized on line "), (i + 1).cast("string"), F.lit(": "), F.substring(s, 1, 80))
-    long = lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(" too long ("), size(s).cast("string"), F.lit(" chars)."))
+    odd = lambda s, i: F.format_string(PLAN_SAID["odd"], i + 1, F.substring(s, 1, 80))
+    long = lambda s, i: F.format_string(PLAN_SAID["long"], i + 1, size(s))
     each = F.array_compact(F.transform(steps, lambda s, i: F.when(~s.rlike(step), odd(s, i)).when(size(s) > LONGEST_STEP, long(s, i))))
-    more = F.array_compact(F.array(F.when(F.size(steps) > MOST_STEPS, F.concat(F.lit("Too many steps: "), F.size(steps).cast("string"), F.lit(" (>10).")))))
-    none = F.array_compact(F.array(F.when(~F.exists(steps, lambda s: s.rlike(step)), F.lit("No numbered steps parsed."))))
+    more = F.array_compact(F.array(F.when(F.size(steps) > MOST_STEPS, F.format_string(PLAN_SAID["many"], F.size(steps)))))
+    none = F.array_compact(F.array(F.when(~F.exists(steps, lambda s: s.rlike(step)), F.lit(PLAN_SAID["none"]))))
     one = lambda m: F.array(F.lit(m))
-    reasons = F.when(~(text.startswith("<<") & text.endswith(">>")), one("Missing or incorrect delimiters << >>.")).when(inner == "", one("Empty plan inside delimiters.")).otherwise(F.concat(more, each, none))
+    reasons = F.when(~(text.startswith("<<") & text.endswith(">>")), one(PLAN_SAID["delimiters"])).when(inner == "", one(PLAN_SAID["empty"])).otherwise(F.concat(more, each, none))
     return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
 
@@ -42,21 +63,21 @@ def reasoner_quality(c: Column) -> Column:
     """QC-2: two lines, a numbered one, a marker, a final; an empty text has one fault."""
     text = strip(F.coalesce(c, F.lit("")))
     found = lambda kept: F.struct(F.size(kept).alias("lines"), F.exists(kept, lambda s: s.rlike(r"^\d+\.\s+\S")).alias("steps"), F.exists(kept, lambda s: s.rlike(r"^\s*####\s*[^\n#]*[^\s#]")).alias("final"))
-    judged = lambda x: checked((x["lines"] < 2, "too few lines"), (~x["steps"], "no numbered steps"), (~text.contains("[[calc:"), "no calc markers"), (~x["final"], "missing final ####"))
+    judged = lambda x: checked((x["lines"] < 2, TRACE_SAID["few"]), (~x["steps"], TRACE_SAID["steps"]), (~text.contains("[[calc:"), TRACE_SAID["calc"]), (~x["final"], TRACE_SAID["final"]))
     full = once(once(filled_lines(text), found), judged)
-    return F.when(text == "", checked((F.lit(True), "empty output"))).otherwise(full)
+    return F.when(text == "", checked((F.lit(True), TRACE_SAID["empty"]))).otherwise(full)
 
 
 def verifier_quality(block: Column, label: Column, gold: Column) -> Column:
     """QC-3: tags present, verdict as labelled, fixed answer as gold where INCORRECT."""
     fixed = fixed_answer(block)
     agrees = F.coalesce(answers_equal(fixed, gold), F.lit(False))
-    tag = lambda b, n: F.when(~(b.contains(f"<<{n}:") & b.contains(">>")), f"missing {n} tag")
+    tag = lambda b, n: F.when(~(b.contains(f"<<{n}:") & b.contains(">>")), VERDICT_SAID["tag"] % n)
 
     def judged(x: Column) -> Column:
         said = x["said"]
-        differs = F.when(said == "", F.lit("VERDICT value invalid")).when(said != x["label"], F.concat(F.lit("VERDICT label mismatch "), said, F.lit(" vs "), x["label"]))
-        wrong = F.when(x["fixed"].isNotNull() & (x["label"] == "INCORRECT") & ~x["agrees"], F.lit("FIXED_ANSWER does not equal gold"))
+        differs = F.when(said == "", F.lit(VERDICT_SAID["invalid"])).when(said != x["label"], F.format_string(VERDICT_SAID["label"], said, x["label"]))
+        wrong = F.when(x["fixed"].isNotNull() & (x["label"] == "INCORRECT") & ~x["agrees"], F.lit(VERDICT_SAID["fixed"]))
         reasons = F.array_compact(F.array(*[tag(x["block"], n) for n in ("VERDICT", "EVIDENCE", "FIXED_ANSWER")], differs, wrong))
         return once(reasons, lambda r: F.struct((F.size(r) == 0).alias("passed"), r.alias("reasons")))
 
@@ -67,9 +88,9 @@ def verifier_quality(block: Column, label: Column, gold: Column) -> Column:
 def normalizer_quality(c: Column) -> Column:
     """QC-4: steps that start at 1, no symbolic marker, a final."""
     steps = F.filter(filled_lines(c), lambda s: ~s.rlike(r"^\s*####"))
-    symbolic = F.transform(F.filter(F.regexp_extract_all(c, F.lit(MARKER), 1), lambda e: is_symbolic(e)), lambda e: F.concat(F.lit("symbolic calc remained: "), e))
-    before = checked((F.size(steps) == 0, "no steps"), (~c.rlike(r"^1\.\s"), "steps not numbered"))["reasons"]
-    after = checked((~c.rlike(r"(?m)^\s*####\s+.+"), "missing final ####"))["reasons"]
+    symbolic = F.transform(F.filter(F.regexp_extract_all(c, F.lit(MARKER), 1), lambda e: is_symbolic(e)), lambda e: F.format_string(NORMAL_SAID["symbolic"], e))
+    before = checked((F.size(steps) == 0, NORMAL_SAID["none"]), (~c.rlike(r"^1\.\s"), NORMAL_SAID["steps"]))["reasons"]
+    after = checked((~c.rlike(r"(?m)^\s*####\s+.+"), NORMAL_SAID["final"]))["reasons"]
     reasons = F.concat(before, symbolic, after)
     return F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"))
 
@@ -81,10 +102,10 @@ def is_verifier_incorrect(role: Column, response: Column) -> Column:
 
 def evidence(pred: Column, gold: Column, why: Column, mismatches: Column, n_failed: Column) -> Column:
     """TXT-28: the final, up to three mismatches (an array of (expr, claimed, got)), the number of claims that can't be evaluated."""
-    missed = F.concat(F.lit("Final answer mismatch: predicted '"), pred, F.lit("' vs gold '"), gold, F.lit("' ("), why, F.lit(")."))
-    final = F.when(pred.isNull(), "Missing final answer marker '####'.").when(why.endswith(" match"), F.concat(F.lit("Final answer matches gold ("), gold, F.lit(")."))).otherwise(missed)
-    shown = F.transform(F.slice(mismatches, 1, 3), lambda m: F.concat(F.lit("Calc mismatch: '"), m["expr"], F.lit("' -> "), decimal_text(m["claimed"]), F.lit(" (recalc "), decimal_text(m["got"]), F.lit(").")))
-    failed = F.array_compact(F.array(F.when(n_failed > 0, F.concat(n_failed.cast("string"), F.lit(" calc line(s) not evaluable.")))))
+    missed = F.format_string(EVIDENCE_SAID["differs"], pred, gold, why)
+    final = F.when(pred.isNull(), EVIDENCE_SAID["missing"]).when(why.endswith(" match"), F.format_string(EVIDENCE_SAID["match"], gold)).otherwise(missed)
+    shown = F.transform(F.slice(mismatches, 1, 3), lambda m: F.format_string(EVIDENCE_SAID["calc"], m["expr"], decimal_text(m["claimed"]), decimal_text(m["got"])))
+    failed = F.array_compact(F.array(F.when(n_failed > 0, F.format_string(EVIDENCE_SAID["failed"], n_failed))))
     return F.array_join(F.concat(F.array(final), shown, failed), " ")
 
 

@@ -14,7 +14,7 @@ from tracemill.functions.evaluator import calc_each
 from tracemill.functions.markers import TOLERANCE, check_lines, ensure_marker, evaluated_lines, is_trivial, marker_claims, normalized_reasoning, normalized_steps
 from tracemill.functions.text import clip_after_final, count_steps, ensure_final_suffix, final_last_line_anywhere, first_filled, once, parse_selector, sanitize_planner, sanitize_reasoner, sanitize_selector, sanitize_verifier, strip, with_computed
 from tracemill.operators.joins import union_roles, with_companions
-from tracemill.operators.quality_rules import normalizer_quality, reasoner_quality, routed_calls
+from tracemill.operators.quality_rules import TRACE_SAID, normalizer_quality, reasoner_quality, routed_calls
 from tracemill.scratch import written
 
 DEFAULT_SYSTEM = "You are a careful assistant that solves problems step by step."
@@ -265,8 +265,8 @@ def generated(df: DataFrame, prompt: str, out: str, make: Callable[[], Callable[
 
 #: How a draft is asked for again: with the draft, afresh, and along a skeleton.
 REPAIRS = ["Mend this draft so that it has numbered steps, marked calculations and a final line.\nDRAFT:\n{draft}", "Write it afresh: numbered steps, marked calculations, a final line.", "Fill in: 1. ... [[calc: ...]] -> ...\n#### ..."]
-#: Faults for which a draft is asked for again.
-MENDED = ["empty output", "no numbered steps", "no calc markers", "missing final ####"]
+#: Faults for which a draft is asked for again.
+MENDED = [TRACE_SAID[k] for k in ("empty", "steps", "calc", "final")]
 
 
 def _drafted(x: DataFrame, final: str, make: Callable, tried: str) -> DataFrame:
