@@ -64,6 +64,18 @@ def decimal_text(v: Column) -> Column:
     return F.when((v == F.floor(v)) & (F.abs(v) < 1e16), F.concat(v.cast("long").cast("string"), F.lit(".0"))).otherwise(v.cast("string"))
 
 
+#: Why answers are equal or not.
+COMPARED = {
+    "gold": "missing gold",
+    "pred": "missing pred",
+    "numbers": "numeric match",
+    "sizes": "set size mismatch %d vs %d",
+    "values": "value mismatch %s vs %s",
+    "texts": "literal match",
+    "differ": "literal mismatch '%s' vs '%s'",
+}
+
+
 def answer_comparison(pred: Column, gold: Column, tolerance: float = 1e-6) -> Column:
     """ANS-3: struct(equal, why). Sets of numbers are equal within the tolerance, in any order; else texts are equal without
     the dots at their ends; missing ones never match."""
@@ -75,11 +87,11 @@ def answer_comparison(pred: Column, gold: Column, tolerance: float = 1e-6) -> Co
         n, m = F.size(x["a"]), F.size(x["b"])
         apart = F.filter(F.zip_with(x["a"], x["b"], lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda t: ~(F.abs(t["p"] - t["q"]) <= tolerance))
         first = F.try_element_at(apart, F.lit(1))
-        sizes = F.concat(F.lit("set size mismatch "), n.cast("string"), F.lit(" vs "), m.cast("string"))
-        values = F.concat(F.lit("value mismatch "), decimal_text(first["p"]), F.lit(" vs "), decimal_text(first["q"]))
-        numbers = F.when(n != m, sizes).when(first.isNotNull(), values).otherwise("numeric match")
-        literal = F.when((strip(x["p"]) != "") & (strip(x["p"]) == strip(x["g"])), "literal match").otherwise(F.concat(F.lit("literal mismatch '"), x["p"], F.lit("' vs '"), x["g"], F.lit("'")))
-        why = F.when(none(gold), "missing gold").when(none(pred), "missing pred").when(x["a"].isNotNull() & x["b"].isNotNull(), numbers).otherwise(literal)
+        sizes = F.format_string(COMPARED["sizes"], n, m)
+        values = F.format_string(COMPARED["values"], decimal_text(first["p"]), decimal_text(first["q"]))
+        numbers = F.when(n != m, sizes).when(first.isNotNull(), values).otherwise(COMPARED["numbers"])
+        literal = F.when((strip(x["p"]) != "") & (strip(x["p"]) == strip(x["g"])), COMPARED["texts"]).otherwise(F.format_string(COMPARED["differ"], x["p"], x["g"]))
+        why = F.when(none(gold), COMPARED["gold"]).when(none(pred), COMPARED["pred"]).when(x["a"].isNotNull() & x["b"].isNotNull(), numbers).otherwise(literal)
         return once(why, lambda w: F.struct(w.endswith(" match").alias("equal"), w.alias("why")))
 
     return once(both, compared)

@@ -154,6 +154,11 @@ def balance_parens(expr: Column) -> Column:
     return F.when(gap > 0, F.concat(expr, F.repeat(F.lit(")"), gap))).when(gap < 0, F.substring(expr, F.lit(1), F.length(expr) - F.least(-gap, trailing))).otherwise(expr)
 
 
+#: What recomputation and the reasoner's check note.
+RECOMPUTE_NOTES = {"symbolic": "removed symbolic calc '{expr}'", "failed": "calc parse failed '{expr}'; removed", "fixed": "fixed '{expr}' from {said} to {value}"}
+REASONER_NOTES = {"symbolic": "skip symbolic: '{expr}' -> '{said}'", "failed": "eval error: {expr}", "text": "skip non-numeric rhs: '{said}'", "wrong": "mismatch: {expr} -> {said} (calc={value})"}
+
+
 def recompute_report(text: str) -> tuple[str, list[str]]:
     """CALC-6: (text, notes): symbolic or failing markers go, the others get their value; runs of spaces become one."""
     notes: list[str] = []
@@ -161,15 +166,15 @@ def recompute_report(text: str) -> tuple[str, list[str]]:
     def fix(m: re.Match) -> str:
         expr, said = m[1].strip(), m[2]
         if re.search(r"[A-Za-z]", re.sub(r"\b(?:pi|e)\b", "", expr)):
-            notes.append(f"removed symbolic calc '{expr}'")
+            notes.append(RECOMPUTE_NOTES["symbolic"].format(expr=expr))
             return ""
         v = safe_calc(expr, "normalizer")
         if v is None:
-            notes.append(f"calc parse failed '{expr}'; removed")
+            notes.append(RECOMPUTE_NOTES["failed"].format(expr=expr))
             return ""
         value = str(round(v)) if abs(v - round(v)) < 1e-9 else f"{v:.10g}"
         if value != said:
-            notes.append(f"fixed '{expr}' from {said} to {value}")
+            notes.append(RECOMPUTE_NOTES["fixed"].format(expr=expr, said=said, value=value))
         return f"[[calc: {expr}]] -> {value}"
 
     return re.sub(r"\s{2,}", " ", re.sub(RECOMPUTED, fix, text)).rstrip(), notes
@@ -287,15 +292,15 @@ def reasoner_report(text: str | None) -> tuple[bool, list[str], str]:
             expr, said = m[1].strip(), m[2].strip()
             plain, value = plain_math(expr), plain_math(said)
             if re.search(r"[A-Za-z_√π]", plain) or re.search(r"[A-Za-z√π]", value):
-                notes.append(f"skip symbolic: '{expr}' -> '{said}'")
+                notes.append(REASONER_NOTES["symbolic"].format(expr=expr, said=said))
             elif (got := safe_calc(plain, "reasoner")) is None:
                 ok = False
-                notes.append(f"eval error: {expr}")
+                notes.append(REASONER_NOTES["failed"].format(expr=expr))
             elif (claimed := rational(value)) is None:
-                notes.append(f"skip non-numeric rhs: '{said}'")
+                notes.append(REASONER_NOTES["text"].format(said=said))
             elif abs(got - claimed) > TOLERANCE * max(1.0, abs(got), abs(claimed)):
                 ok = False
-                notes.append(f"mismatch: {expr} -> {said} (calc={shown(got)})")
+                notes.append(REASONER_NOTES["wrong"].format(expr=expr, said=said, value=shown(got)))
                 line = line[: m.start(2)] + shown(got) + line[m.end(2) :]
         out.append(line)
     return ok, notes, "\n".join(out)
