@@ -5,8 +5,9 @@ each group, a lower bound of the distance to the group's other centroids. After
 far they moved; a vector whose upper bound is below all lower ones keeps its cluster unseen, else only groups whose bound
 isn't above are scanned, exactly. Squared distances are integers, so ties are true ties and go to the smaller number.
 
-Vectors of another length, with null or non-finite components, or with a scaled component beyond LARGEST (whose squares no
-long holds) take no part, as if they weren't there. Repeated rows are vectors each; a null id is hashed as an empty one. Of
+Vectors of another length, with null or non-finite components, or with a scaled component beyond LARGEST (a long) take no
+part, as if they weren't there. Components beyond EASY are squared and summed in whole numbers of any length; a distance
+or inertia that no long holds is null. Repeated rows are vectors each; a null id is hashed as an empty one. Of
 an empty table the result is empty; with fewer vectors than k there are as many centroids as vectors. Further columns of the
 table are ignored.
 """
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import written
 
-LARGEST = 1 << 27
+#: The largest scaled component, and up to which squares and their sum are safe in a long.
+LARGEST, EASY = 1 << 62, 1 << 27
+LONGEST = (1 << 63) - 1
 #: How much bounds are widened against rounding, relative and absolute.
 SLACK = 1e-9
 
@@ -34,7 +37,7 @@ def scaled_vectors(table: DataFrame, scale: int = 64, dims: int = 64, id_: str =
     # NaN is above all numbers.
     odd = F.exists(x, lambda c: c.isNull() | (F.abs(c * scale) > LARGEST))
     kept = table.where((F.size(vector) == dims) & ~odd)
-    return kept.select(F.col(id_).alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("v"))
+    return kept.select(F.col(id_).alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
 def first_centroids(vectors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
@@ -44,9 +47,15 @@ def first_centroids(vectors: DataFrame, k: int, seed: int = 1) -> np.ndarray:
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    if max(np.abs(x).max(initial=0), np.abs(c).max(initial=0)) > EASY:
+        x, c = x.astype(object), c.astype(object)
     return ((x - c) ** 2).sum(axis=-1)
 
 
+def root(d: np.ndarray) -> np.ndarray:
+    return np.sqrt(d.astype(float))
+
+
 def grouped(centroids: np.ndarray, n: int) -> np.ndarray:
     """The group of each centroid: a few rounds of k-means among the centroids themselves, in their order."""
     n = min(n, len(centroids))
@@ -66,8 +75,8 @@ def first_state(x: np.ndarray, c: np.ndarray, group: np.ndarray) -> tuple[np.nda
     """Cluster, upper bound and lower bounds by group, of vectors that are compared with all centroids."""
     d = np.stack([squared(x, y) for y in c], axis=1)
     own = d.argmin(axis=1)  # the first of equals
-    upper = np.sqrt(d[np.arange(len(x)), own])
-    d = np.sqrt(d)
+    d = root(d)
+    upper = d[np.arange(len(x)), own]
     d[np.arange(len(x)), own] = np.inf
     lower = np.stack([d[:, group == g].min(axis=1) if (group == g).any() else np.full(len(x), np.inf) for g in range(group.max() + 1)], axis=1)
     return own, upper, _below(lower)
@@ -82,7 +91,7 @@ def next_state(x: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndar
     near = lambda at: at[lower[at].min(axis=1) <= upper[at] * (1 + SLACK)]
     at = near(np.arange(len(x)))
     best = squared(x[at], c[own[at]])
-    upper[at] = np.sqrt(best)
+    upper[at] = root(best)
     still = np.isin(at, near(at), assume_unique=True)
     at, best = at[still], best[still]
     was, was_d = own[at], upper[at]
@@ -96,11 +105,15 @@ def next_state(x: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndar
             d = squared(x[at[i]], c[j])
             wins = (d < best[i]) | ((d == best[i]) & (j < now[i]))
             # Of each two centroids the farther one counts as another one, in its own group.
-            far = np.where(wins, np.sqrt(best[i]), np.sqrt(d))
+            far = np.where(wins, root(best[i]), root(d))
             side = np.where(wins, group[now[i]], g)
             lower[at[i], side] = np.minimum(lower[at[i], side], _below(far))
             best[i], now[i] = np.where(wins, d, best[i]), np.where(wins, j, now[i])
-    own[at], upper[at] = now, np.sqrt(best)
+    # The centroid that was left is another one now; a scan of its group after another one had won has passed it over.
+    left = now != was
+    side = group[was[left]]
+    lower[at[left], side] = np.minimum(lower[at[left], side], _below(was_d[left]))
+    own[at], upper[at] = now, root(best)
     return own, upper, lower
 
 
@@ -116,6 +129,8 @@ def cluster(table: DataFrame, k: int = 16, rounds: int = 3, scale: int = 64, dim
     if not len(c):
         return state.selectExpr("vec_id", "0 AS cluster", "0L AS distance", "0L AS cluster_inertia", "0L AS inertia", "'' AS centroid_sha256")
     group, moved = grouped(c, groups), None
+    easy = state.where(F.exists("v", lambda x: F.abs(x) > EASY)).limit(1).count() == 0
+    part = (lambda x: x) if easy else (lambda x: x.cast("decimal(20,0)"))
     id_type = state.schema["vec_id"].dataType.simpleString()
     for last in [False] * rounds + [True]:
 
@@ -129,21 +144,23 @@ def cluster(table: DataFrame, k: int = 16, rounds: int = 3, scale: int = 64, dim
                 else:
                     own, upper, lower = next_state(x, b["cluster"].to_numpy(), b["upper"].to_numpy(), np.stack(b["lower"].to_numpy()), c, moved, group)
                 if last:
-                    yield pd.DataFrame({"vec_id": b["vec_id"], "cluster": own, "distance": squared(x, c[own])})
+                    yield pd.DataFrame({"vec_id": b["vec_id"], "cluster": own, "distance": [d if d <= LONGEST else None for d in squared(x, c[own]).tolist()]}).astype({"distance": object})
                 else:
                     yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "cluster": own, "upper": upper, "lower": list(lower)})
 
-        columns = f"vec_id {id_type}, cluster int, distance long" if last else f"vec_id {id_type}, v array<int>, cluster int, upper double, lower array<double>"
+        columns = f"vec_id {id_type}, cluster int, distance long" if last else f"vec_id {id_type}, v array<long>, cluster int, upper double, lower array<double>"
         state = written(state.mapInPandas(assigned, columns), "assigned")
         if not last:
-            sums = state.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("v")[i]) for i in range(dims)]).alias("s")).collect()
+            sums = state.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*[F.sum(part(F.col("v")[i])) for i in range(dims)]).alias("s")).collect()
             before, c = c, c.copy()
             for r in sums:
-                c[r["cluster"]] = [s // r["n"] for s in r["s"]]
-            moved = np.sqrt(squared(c, before)) * (1 + SLACK)
-    totals = state.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    held = {r["cluster"]: r["cluster_inertia"] for r in totals.collect()}
-    named = [(j, held[j], sum(held.values()), hashlib.sha256(",".join(map(str, c[j].tolist())).encode()).hexdigest()) for j in sorted(held)]
+                c[r["cluster"]] = [int(s) // r["n"] for s in r["s"]]
+            moved = root(squared(c, before)) * (1 + SLACK)
+    whole = F.when(F.count("distance") == F.count("*"), F.sum(F.col("distance").cast("decimal(38,0)")))
+    held = {r["cluster"]: r["s"] for r in state.groupBy("cluster").agg(whole.alias("s")).collect()}
+    fits = lambda n: int(n) if n is not None and n <= LONGEST else None
+    total = fits(None if None in held.values() else sum(held.values()))
+    named = [(j, fits(held[j]), total, hashlib.sha256(",".join(map(str, c[j].tolist())).encode()).hexdigest()) for j in sorted(held)]
     each = spark.createDataFrame(named, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     # As many rows as centroids.
     return state.join(F.broadcast(each), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
