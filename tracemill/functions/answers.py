@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill.functions.evaluator import safe_calc
-from tracemill.functions.text import blank_to_null, final_last_line_anywhere, final_or_text, once, strip
+from tracemill.functions.text import blank_to_null, final_last_line_anywhere, final_or_text, once, put_in, strip
 
 BRACES = str.maketrans("{}", "()")
 
@@ -87,10 +87,10 @@ def answer_comparison(pred: Column, gold: Column, tolerance: float = 1e-6) -> Co
         n, m = F.size(x["a"]), F.size(x["b"])
         apart = F.filter(F.zip_with(x["a"], x["b"], lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda t: ~(F.abs(t["p"] - t["q"]) <= tolerance))
         first = F.try_element_at(apart, F.lit(1))
-        sizes = F.format_string(COMPARED["sizes"], n, m)
-        values = F.format_string(COMPARED["values"], decimal_text(first["p"]), decimal_text(first["q"]))
+        sizes = put_in(COMPARED["sizes"], n, m)
+        values = once(first, lambda f: put_in(COMPARED["values"], decimal_text(f["p"]), decimal_text(f["q"])))
         numbers = F.when(n != m, sizes).when(first.isNotNull(), values).otherwise(COMPARED["numbers"])
-        literal = F.when((strip(x["p"]) != "") & (strip(x["p"]) == strip(x["g"])), COMPARED["texts"]).otherwise(F.format_string(COMPARED["differ"], x["p"], x["g"]))
+        literal = F.when((strip(x["p"]) != "") & (strip(x["p"]) == strip(x["g"])), COMPARED["texts"]).otherwise(put_in(COMPARED["differ"], x["p"], x["g"]))
         why = F.when(none(gold), COMPARED["gold"]).when(none(pred), COMPARED["pred"]).when(x["a"].isNotNull() & x["b"].isNotNull(), numbers).otherwise(literal)
         return once(why, lambda w: F.struct(w.endswith(" match").alias("equal"), w.alias("why")))
 

@@ -152,7 +152,8 @@ def q_evidence(spark, sf_dir):
     x = X.with_computed(x, w=A.answer_comparison(F.col("q"), F.lit("0")))
     x = X.with_computed(x, said=quality_rules.evidence(F.col("q"), F.lit("0"), F.col("w.why"), F.col("mismatches"), F.col("n_failed")))
     block = quality_rules.verifier_block(F.lit("INCORRECT"), F.col("said"), F.lit("0"))
-    return x.select("l_orderkey", "l_linenumber", "said", F.array_join(quality_rules.verifier_quality(block, F.lit("CORRECT"), F.lit("0"))["reasons"], "|").alias("faults"))
+    x = quality_rules.with_verifier_quality(x, block, F.lit("CORRECT"), F.lit("0"), "qc")
+    return x.select("l_orderkey", "l_linenumber", "said", F.array_join("qc.reasons", "|").alias("faults"))
 
 
 @query("SELECT l_orderkey, l_linenumber, [(CAST(l_quantity AS BIGINT) + 3) * 2.0, CAST(l_quantity AS BIGINT) + 1.0, NULL]::DOUBLE[] AS v FROM lineitem")
