@@ -326,9 +326,9 @@ CALCULATED = ["reasoner", "normalizer"]
 
 
 def _spoken(x: DataFrame, role: str, prompt: Column, make: Callable) -> DataFrame:
-    """A stage: the rows' texts of a role, cleaned; written, so that nothing is generated twice."""
-    raw = written(generated(x.withColumn("_p", prompt), "_p", "_raw", make), role)
-    return raw.withColumn(f"{role}_output", F.coalesce(CLEANED[role](F.col("_raw")), F.lit(""))).drop("_p", "_raw")
+    """A stage: the rows' texts of a role, cleaned; written, so that nothing is generated or cleaned twice."""
+    raw = generated(x.withColumn("_p", prompt), "_p", "_raw", make)
+    return written(raw.withColumn(f"{role}_output", F.coalesce(CLEANED[role](F.col("_raw")), F.lit(""))).drop("_p", "_raw"), role)
 
 
 def role_chain(df: DataFrame, makes: dict[str, Callable], enforce_halt: bool = False, selector: bool = True, fallback: bool = False, verify: bool = False, repair: bool = False) -> DataFrame:
@@ -341,7 +341,8 @@ def role_chain(df: DataFrame, makes: dict[str, Callable], enforce_halt: bool = F
     q, order = F.col("question"), list(CHAIN)
     default = F.array(*[F.lit(r) for r in DEFAULT_CHAIN])
     if selector:
-        x = _spoken(df, "selector", role_prompt("selector", q, strict=True), makes["selector"]).withColumn("_s", parse_selector(F.col("selector_output")))
+        x = _spoken(df, "selector", role_prompt("selector", q, strict=True), makes["selector"])
+        x = with_computed(x, _s=parse_selector(F.col("selector_output")))
         x = x.withColumns({"calls": F.col("_s.calls"), "halt_after": F.coalesce("_s.halt", F.lit(""))}).drop("_s")
         if fallback:
             none = F.size("calls") == 0
@@ -359,10 +360,10 @@ def role_chain(df: DataFrame, makes: dict[str, Callable], enforce_halt: bool = F
         said = _spoken(x.where(called), role, text, makes[role])
         if role in CALCULATED and (verify or repair):
             marked = F.col(out).contains("[[calc:")
-            found = written(said.where(marked).withColumn("_c", evaluated_lines(F.col(out), repair)), f"{role}-calculator")
+            found = with_computed(said.where(marked), _c=evaluated_lines(F.col(out), repair))
             clean = clip_after_final(CLEANED[role](F.col("_c.text")))
             found = found.withColumns({out: clean, **{f"calc_{n}": F.col(f"calc_{n}") + F.col(f"_c.{n}") for n in counters}}).drop("_c")
-            said = found.unionByName(said.where(~marked))
+            said = written(found, f"{role}-calculator").unionByName(said.where(~marked))
         x = said.unionByName(x.where(~called).withColumn(out, F.lit("")))
     return x
 
