@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +51,22 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None)
     return F.broadcast(df) if (df.agg(F.sum(weight + 1)).first()[0] or 0) <= most else df
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the Python worker gives back what it freed: workers idle on beside the JVM, in the same container."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: 64-bit words of the largest sieve (8 MB).
 SIEVE_WORDS = 1 << 20
 

@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tracemill.llm.common import few, written
+from tracemill.llm.common import few, tidy, written
 from tracemill.llm.components import connected_components
 
 #: A shingle in more than one of so many documents (and of at least FREQUENT_LEAST) comes last in the order of prefixes.
 FREQUENT_SHARE, FREQUENT_LEAST = 2000, 48
 #: Classes in a tile, and minimum hashes by which classes meet in tiles.
 TILE, MEETINGS = 1024, 3
+#: Hashes that a task hands on at once, besides those of one text, and prefix keys in one task that looks for shared ones.
+HANDED, KEYS_IN_TASK = 200_000, 250_000
 #: 64-bit words of the bitmaps that bound pairs outside of tiles.
 BITMAP_WORDS = 16
 
@@ -111,7 +113,7 @@ def profiles(docs: DataFrame, length: int) -> DataFrame:
             yield batch_of(batch.column(1), batch.column(2), n, x, 0)
         yield counted()
 
-    return docs.select("text", "doc_id", "h").mapInArrow(run, "doc_id long, h long, n long, x long, kind int")
+    return docs.select("text", "doc_id", "h").mapInArrow(tidy(run), "doc_id long, h long, n long, x long, kind int")
 
 
 def prefix_keys(docs: DataFrame, length: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -119,8 +121,15 @@ def prefix_keys(docs: DataFrame, length: int, percent: int, frequent: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(length), set()
+        keys, xs, ns, ls, held = [], [], [], [], 0
+
+        def handed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(ls), pa.int32())], ["key", "x", "n", "l"])
+            for part in (keys, xs, ns, ls):
+                part.clear()
+            return out
+
         for batch in batches:
-            keys, xs, ns, ls = [], [], [], []
             for t in texts(batch):
                 s = shingles(t)
                 c = class_of(s)
@@ -135,10 +144,14 @@ def prefix_keys(docs: DataFrame, length: int, percent: int, frequent: np.ndarray
                     s = np.concatenate([s[~often], s[often]])
                 p = s[: spare + l]
                 keys.append(p), xs.append(np.full(len(p), c)), ns.append(np.full(len(p), len(s))), ls.append(np.full(len(p), l))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(ls), pa.int32())], ["key", "x", "n", "l"])
+                held += len(p)
+                if held >= HANDED:
+                    yield handed()
+                    held = 0
+        if keys:
+            yield handed()
 
-    return docs.select("text").mapInArrow(run, "key long, x long, n int, l int")
+    return docs.select("text").mapInArrow(tidy(run), "key long, x long, n int, l int")
 
 
 def shingle_sets(docs: DataFrame, length: int) -> DataFrame:
@@ -146,17 +159,33 @@ def shingle_sets(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(length)
-        seen = set()
+        seen, found, held = set(), [], 0
+
+        def handed() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, found)])
+            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+            meet = pa.array([[int(mixed(s, 3 + r).min().astype(np.int64)) for r in range(MEETINGS)] for s in found], pa.list_(pa.int64()))
+            bits = pa.array([bitmap(s).view(np.int64).tolist() for s in found], pa.list_(pa.int64()))
+            out = pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), sets, meet, bits], ["x", "s", "meet", "bits"])
+            found.clear()
+            return out
+
         for batch in batches:
-            found = [s for t in texts(batch) if len(s := shingles(t)) and not ((c := class_of(s)) in seen or seen.add(c))]
-            if found:
-                ends = np.cumsum([0, *map(len, found)])
-                sets = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(found).astype(np.int64))).cast(pa.list_(pa.int64()))
-                meet = pa.array([[int(mixed(s, 3 + r).min().astype(np.int64)) for r in range(MEETINGS)] for s in found], pa.list_(pa.int64()))
-                bits = pa.array([bitmap(s).view(np.int64).tolist() for s in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), sets, meet, bits], ["x", "s", "meet", "bits"])
+            for t in texts(batch):
+                s = shingles(t)
+                c = class_of(s)
+                if not len(s) or c in seen:
+                    continue
+                seen.add(c)
+                found.append(s)
+                held += len(s)
+                if held >= HANDED:
+                    yield handed()
+                    held = 0
+        if found:
+            yield handed()
 
-    return docs.select("text").mapInArrow(run, "x long, s array<long>, meet array<long>, bits array<long>")
+    return docs.select("text").mapInArrow(tidy(run), "x long, s array<long>, meet array<long>, bits array<long>")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -228,7 +257,7 @@ def tiles(sets: DataFrame, percent: int) -> DataFrame:
             yield done()
 
     dealt = sets.repartition("g", "tile").sortWithinPartitions("g", "tile", "x")
-    return dealt.select("g", "tile", "x", "s").mapInArrow(run, "a long, b long")
+    return dealt.select("g", "tile", "x", "s").mapInArrow(tidy(run), "a long, b long")
 
 
 def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +276,7 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets = sets.select("x", "s").dropDuplicates(["x"])
     left = sets.select(F.col("x").alias("a"), F.col("s").alias("p"))
     right = sets.select(F.col("x").alias("b"), F.col("s").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(tidy(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,13 +284,17 @@ def jaccard_components(docs: DataFrame, length: int = 5, percent: int = 80, id_c
     texts_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     found = written(profiles(texts_of, length), "profiles")
     members = found.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), "x")
-    n_docs = members.count()
+    # Of a set of n, spare + l shingles are prefix keys.
+    spare = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100)
+    n_docs, n_keys = members.agg(F.count("*"), F.coalesce(F.sum(spare + 1 + F.floor(spare / 4)), F.lit(0))).first()
     often = max(FREQUENT_LEAST, n_docs / FREQUENT_SHARE)
     # Bounded by the mean size of a set times FREQUENT_SHARE, however many documents there are.
     frequent = found.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= often).select("x")
     frequent = np.unique(np.array([r[0] for r in frequent.toLocalIterator()], np.int64).astype(np.uint64))
 
-    keys = prefix_keys(texts_of, length, percent, frequent).repartition("key").groupBy("key", "x", "n", "l").agg(F.lit(1).alias("_"))
+    # So many tasks that what one sorts doesn't grow with the table.
+    n_tasks = max(docs.sparkSession.sparkContext.defaultParallelism, 1 + int(n_keys) // KEYS_IN_TASK)
+    keys = prefix_keys(texts_of, length, percent, frequent).repartition(n_tasks, "key").groupBy("key", "x", "n", "l").agg(F.lit(1).alias("_"))
     shared = F.count("*").over(Window.partitionBy("key"))
     buckets = written(keys.withColumn("m", shared).where("m > 1").select("key", "x", "n", "l"), "buckets")
     # A class that links with another shares at least as many keys as the smallest that it may link with must.

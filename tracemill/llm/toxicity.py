@@ -18,16 +18,18 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import few, written
+from tracemill.llm.common import few, give_back, tidy, written
 
 #: What a character may stand for in a disguised word, besides itself.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il"}
@@ -53,23 +55,17 @@ GAP, INNER = re.compile(r"[\s.*_-]+"), re.compile(r"[.*_-]+")
 EDGES, CLOSING = ".,;:?\"'()[]*%#&", ".,;:?!\"')|*%$#&"
 #: Tokens whose words a task keeps; distinct signatures of texts that a task keeps for a term.
 KEPT, SIGNATURES = 300_000, 16
-#: Decoded tokens that a Python worker keeps from task to task, and the longest token that is remembered.
+#: Decoded tokens that a Python worker keeps from task to task, and whose terms a task keeps, and the longest token that is remembered.
 DECODED, REMEMBERED = 50_000, 64
 MARKS = " .*_-"
 
 
 class Characters:
-    """Log probabilities of a character after two others, from counts."""
+    """Log probabilities of a character after two others, from counts.
 
-    last: tuple[int, Characters] | None = None
-
-    @classmethod
-    def shared(cls, counts: dict[str, int]) -> Characters:
-        """The model of these counts; a worker's next tasks get the same one."""
-        key = hash(frozenset(counts.items()))
-        if cls.last is None or cls.last[0] != key:
-            cls.last = key, cls(counts)
-        return cls.last[1]
+    It is broadcast as it is, so a worker's tasks share it with what it remembers, and the worker drops it with the
+    broadcast, at the next task that doesn't use it.
+    """
 
     def __init__(self, counts: dict[str, int]):
         self.decoded: dict[tuple[str, bool], str] = {}
@@ -228,30 +224,32 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
         if words:
             yield counted()
 
-    sums = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    sums = docs.select(F.col(text_col).alias("text")).mapInPandas(tidy(run), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     sums = written(sums, "trigrams")
     often = sums.groupBy(F.substring("g", 3, 1).alias("c")).agg(F.sum("n").alias("n")).where(F.col("c") != END).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()
     rare = f"[^{BEGIN}{END}" + "".join(r["c"] for r in often) + "]"
     return {r["g"]: r["n"] for r in sums.groupBy(F.regexp_replace("g", rare, OTHER).alias("g")).agg(F.sum("n").alias("n")).collect()}
 
 
-def term_evidence(rows: DataFrame, counts: dict[str, int]) -> tuple[dict[str, float], float]:
+def term_evidence(rows: DataFrame, shared: Broadcast[Characters]) -> tuple[dict[str, float], float]:
     """Log odds of the strongest terms, shrunk to the prior, and the prior log odds, from all rows (text, y).
 
     Near copies of one toxic text are no further evidence: a term counts as often as the texts that hold it differ in
     their signature (the least hash of their tokens), as long as those are few.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known, seen = Characters.shared(shared.value), {}, {}
+        model, known = shared.value, {}
+        # Most terms are in no toxic text, so numbers are all that is held of these.
+        seen, signs = (Counter(), Counter()), {}
 
         def counted() -> Iterator[pd.DataFrame]:
-            rows = list(seen.items())
-            seen.clear()
-            for i in range(0, len(rows), 20_000):
-                part = rows[i : i + 20_000]
-                yield pd.DataFrame({"w": [w for w, _ in part], "n0": [v[0] for _, v in part], "n1": [v[1] for _, v in part], "s": [list(v[2]) for _, v in part]})
+            terms = list(seen[0].keys() | seen[1].keys())
+            for i in range(0, len(terms), 20_000):
+                part = terms[i : i + 20_000]
+                yield pd.DataFrame({"w": part, "n0": [seen[0][w] for w in part], "n1": [seen[1][w] for w in part], "s": [list(signs.get(w, ())) for w in part]})
+            for held in (*seen, signs):
+                held.clear()
 
         for batch in batches:
             for t, y in zip(batch["text"], batch["y"], strict=True):
@@ -259,17 +257,16 @@ def term_evidence(rows: DataFrame, counts: dict[str, int]) -> tuple[dict[str, fl
                 sign = min((zlib.crc32(x.encode()) for x in tokens), default=0)
                 terms = set()
                 for x in (*tokens, *apart):
-                    if len(known) > KEPT:
+                    if len(known) > DECODED:
                         known.clear()
                     if x not in known:
-                        known[x] = [w for word in token_words(x, model) for w in word_terms(word)]
+                        known[x] = [sys.intern(w) for word in token_words(x, model) for w in word_terms(word)]
                     terms.update(known[x])
-                for w in terms:
-                    v = seen.setdefault(w, [0, 0, set()])
-                    v[y] += 1
-                    if y and len(v[2]) < SIGNATURES:
-                        v[2].add(sign)
-            if len(seen) > 2 * KEPT:
+                seen[y].update(terms)
+                for w in terms if y else ():
+                    if len(of := signs.setdefault(w, set())) < SIGNATURES:
+                        of.add(sign)
+            if len(seen[0]) + len(seen[1]) > 2 * KEPT:
                 yield from counted()
         yield from counted()
 
@@ -277,21 +274,20 @@ def term_evidence(rows: DataFrame, counts: dict[str, int]) -> tuple[dict[str, fl
     if not n0 or not n1:
         return {}, -3.0
     share = n1 / (n0 + n1)
-    sums = rows.mapInPandas(run, "w string, n0 long, n1 long, s array<long>").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n1") > 0, F.col("s"))))).alias("s"))
+    sums = rows.mapInPandas(tidy(run), "w string, n0 long, n1 long, s array<long>").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n1") > 0, F.col("s"))))).alias("s"))
     differ = F.when(F.size("s") < SIGNATURES, F.least(F.col("n1"), F.size("s"))).otherwise(F.col("n1"))
     odds = F.log((differ + SHRINK * share) / (F.col("n0") + SHRINK * (1 - share))) - math.log(share / (1 - share))
     best = sums.withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).select("w", "odds").collect()
     return {r["w"]: r["odds"] for r in best}, math.log(n1 / n0)
 
 
-def evidence(text, counts: dict[str, int], weights: dict[str, float]):
+def evidence(text, shared: Broadcast[Characters], weights: dict[str, float]):
     """A column: the sum over a text's distinct words of their strongest term."""
-    shared = SparkSession.active().sparkContext.broadcast((counts, weights))
+    strong = SparkSession.active().sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts, weights = shared.value
-        model = Characters.shared(counts)
+        model, weights = shared.value, strong.value
 
         def odds_of(words) -> list[float]:
             return [max(weights.get(t, 0.0) for t in word_terms(w)) for w in words]
@@ -313,6 +309,8 @@ def evidence(text, counts: dict[str, int], weights: dict[str, float]):
                 spelt = {w for x in apart for w in token_words(x, model)}  # a spelt-out phrase is as many words as it has
                 out.append(math.fsum(map(known.__getitem__, tokens)) + math.fsum(odds_of(spelt)))
             yield pd.Series(out, dtype="float64")
+        known.clear()
+        give_back()
 
     return summed(text)
 
@@ -338,9 +336,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = few(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")))
     rows = written(texts.join(known, "doc_id").select("text", "y"), "labelled")
-    counts = character_counts(docs, text_col)
-    weights, prior = term_evidence(rows, counts)
-    found = written(texts.select("doc_id", F.xxhash64("text").alias("h"), evidence(F.col("text"), counts, weights).alias("x")), "evidence")
+    model = docs.sparkSession.sparkContext.broadcast(Characters(character_counts(docs, text_col)))
+    weights, prior = term_evidence(rows, model)
+    found = written(texts.select("doc_id", F.xxhash64("text").alias("h"), evidence(F.col("text"), model, weights).alias("x")), "evidence")
     seen = found.join(known, "doc_id").groupBy(F.round("x", 1).alias("x")).agg(F.count(F.when(F.col("y") == 0, 1)), F.count(F.when(F.col("y") == 1, 1))).collect() if weights else []
     a, b = fitted([tuple(r) for r in seen], prior)
     s = found.withColumn("score", 1 / (1 + F.exp(-(F.col("x") * a + b))))
