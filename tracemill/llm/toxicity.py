@@ -9,6 +9,9 @@ that look like a letter are read both ways. Restored texts are scored by log odd
 from the labelled rows; counts cover all of them. A term needs about five different toxic texts to count, so the terms
 on the driver are far fewer than the labelled rows' words.
 
+Texts are cut into tokens a slice at a time by Arrow, so that Python looks at each different token of a slice once; what
+a text holds is then counted in arrays. A token is decoded for its score only where some reading could begin a term.
+
 Nulls and empty texts have no evidence and get the prior's low score. Very long texts, tokens and spelt-out phrases are
 read whole. Repeated rows count each for itself; a repeated id takes each of its labels. Without labelled rows of both
 kinds every text scores the prior. Further columns are not read.
@@ -18,13 +21,14 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +57,16 @@ RUN = re.compile(r"([^\W\d_])\1+", re.UNICODE)
 GAP, INNER = re.compile(r"[\s.*_-]+"), re.compile(r"[.*_-]+")
 #: Marks around a token that look like no letter, and marks that end one.
 EDGES, CLOSING = ".,;:?\"'()[]*%#&", ".,;:?!\"')|*%$#&"
-#: Tokens whose words a task keeps; distinct signatures of texts that a task keeps for a term.
+#: Characters of texts that are cut into tokens at once.
+SLICE = 8_000_000
+#: Tokens whose odds a task keeps, and runs and trigrams that a model remembers; distinct signatures that a slice keeps for a term.
 KEPT, SIGNATURES = 300_000, 16
-#: Decoded tokens that a Python worker keeps from task to task, and whose terms a task keeps, and the longest token that is remembered.
+#: Decoded tokens that a Python worker keeps from task to task, and whose words a task keeps, and the longest token that is remembered.
 DECODED, REMEMBERED = 50_000, 64
 MARKS = " .*_-"
+#: One character for all that may stand for each other, none for marks; and characters that repeat.
+KIN = str.maketrans({m: "" for m in MARKS} | {x: letters[0] for sign, letters in LOOKS_LIKE.items() for x in sign + letters})
+SAME = re.compile(r"(.)\1+", re.DOTALL)
 
 
 class Characters:
@@ -69,6 +78,7 @@ class Characters:
 
     def __init__(self, counts: dict[str, int]):
         self.decoded: dict[tuple[str, bool], str] = {}
+        self.stay: dict[tuple[str, str, str, int], int] = {}
         self.three, self.two, self.one = dict(counts), Counter(), Counter()
         for g, n in counts.items():
             self.two[g[:2]] += n
@@ -91,25 +101,28 @@ class Characters:
 def restore(token: str, model: Characters, apart: bool = False) -> str:
     """The likeliest word behind a token, or the likeliest words behind characters set apart by single spaces."""
     states = {(BEGIN, BEGIN): (0.0, None)}  # ways are linked backwards, so that long tokens take linear time
+    known = model.known
     for ch in token:
         nxt: dict[tuple[str, str], tuple[float, tuple | None]] = {}
-
-        def offer(key, score, way, nxt=nxt):
-            if key not in nxt or score > nxt[key][0]:
-                nxt[key] = (score, way)
-
         gap, options = ch in MARKS, [(ch, AS_IS), *((x, ALIKE) for x in LOOKS_LIKE.get(ch, ""))]
-        for (a, b), (score, way) in states.items():
+        for key, (score, way) in states.items():
+            a, b = key
             if gap:
-                offer((a, b), score + SEPARATOR, way)
+                if key not in nxt or score + SEPARATOR > nxt[key][0]:
+                    nxt[key] = (score + SEPARATOR, way)
                 if apart:
                     if b != BEGIN:
-                        offer((BEGIN, BEGIN), score + SEPARATOR + model(a, b, END), (way, " "))
+                        ended = score + SEPARATOR + model(a, b, END)
+                        if (BEGIN, BEGIN) not in nxt or ended > nxt[BEGIN, BEGIN][0]:
+                            nxt[BEGIN, BEGIN] = (ended, (way, " "))
                     continue
             for c, cost in options:
-                if c == b:
-                    offer((a, b), score + REPEAT, way)
-                offer((b, c), score + cost + model(a, b, c), (way, c))
+                if c == b and (key not in nxt or score + REPEAT > nxt[key][0]):
+                    nxt[key] = (score + REPEAT, way)
+                p = known.get(a + b + c)
+                new, to = score + cost + (model(a, b, c) if p is None else p), (b, c)
+                if to not in nxt or new > nxt[to][0]:
+                    nxt[to] = (new, (way, c))
         states = nxt
     way, out = max(((s + model(a, b, END), w) for (a, b), (s, w) in states.items()), key=lambda x: x[0])[1], []
     while way:
@@ -129,9 +142,14 @@ def unrepeated(token: str, model: Characters) -> str:
         c, n = m[1], len(m[0])
         b = token[m.start() - 1] if m.start() else BEGIN
         d = token[m.end()] if m.end() < len(token) else END
-        more = model(b, c, c) + model(c, c, d)
-        scores = [((n - 1) * REPEAT + model(b, c, d), 1), (AS_IS + (n - 2) * REPEAT + more, 2), ((n - 1) * AS_IS + more + (n - 2) * model(c, c, c), n)]
-        return c * max(scores, key=lambda x: x[0])[1]
+        stay = model.stay.get((b, c, d, n))
+        if stay is None:
+            if len(model.stay) > KEPT:
+                model.stay.clear()
+            more = model(b, c, c) + model(c, c, d)
+            scores = [((n - 1) * REPEAT + model(b, c, d), 1), (AS_IS + (n - 2) * REPEAT + more, 2), ((n - 1) * AS_IS + more + (n - 2) * model(c, c, c), n)]
+            stay = model.stay[b, c, d, n] = max(scores, key=lambda x: x[0])[1]
+        return c * stay
 
     return RUN.sub(shorter, token)
 
@@ -197,32 +215,99 @@ def tokens_of(text: str) -> tuple[set[str], list[str]]:
     tokens = set(words)
     if not may_be_apart(words):
         return tokens, []
-    return tokens, [x for x in dict.fromkeys(m.group() for m in APART.finditer(low)) if x not in tokens and any(map(str.isalpha, x))]
+    return tokens, runs_apart(low)
+
+
+def runs_apart(low: str) -> list[str]:
+    """Different runs of single characters that are no tokens."""
+    runs = [x for x in dict.fromkeys(m.group() for m in APART.finditer(low)) if any(map(str.isalpha, x))]
+    tokens = set(low.split()) if runs else ()
+    return [x for x in runs if x not in tokens]
+
+
+class Cut:
+    """Texts cut into their tokens as tokens_of() does it: different tokens, and the row and token of each place.
+
+    `apart` has the runs of single characters of the rows that hold any.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        low = [t.lower() if t else "" for t in texts]
+        parts = pc.utf8_split_whitespace(pa.array(low, pa.large_string()))
+        places = parts.flatten().dictionary_encode()
+        self.tokens: list[str] = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.token = places.indices.to_numpy().astype("int64")
+        self.row = np.repeat(np.arange(len(low)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        if "" in self.tokens:  # what Arrow finds before and after white space at the ends of a text
+            real = self.token != self.tokens.index("")
+            self.token, self.row = self.token[real], self.row[real]
+        self.low = low
+
+    @property
+    def repeats(self) -> np.ndarray:
+        """Whether a token holds the same character twice in a row."""
+        size = np.array([len(x) for x in self.tokens], "int64")
+        chars = np.frombuffer("".join(self.tokens).encode("utf-32-le"), "<u4")
+        of = np.repeat(np.arange(len(size)), size)
+        out = np.zeros(len(size), bool)
+        out[of[1:][(chars[1:] == chars[:-1]) & (of[1:] == of[:-1])]] = True
+        return out
+
+    @property
+    def apart(self) -> dict[int, list[str]]:
+        begins = np.array([len(b) == 1 or not b[1:2].isalnum() or b[0] in MARKS for b in self.tokens], bool)
+        begin = np.flatnonzero(begins[self.token[1:]] & (self.row[1:] == self.row[:-1]))
+        ends = {i: len(a) <= 1 or not a[-2].isalnum() for i in np.unique(self.token[begin]).tolist() for a in [self.tokens[i].rstrip(MARKS)]}
+        rows = {r for r, i in zip(self.row[begin].tolist(), self.token[begin].tolist(), strict=True) if ends[i]}
+        return {r: runs for r in sorted(rows) if (runs := runs_apart(self.low[r]))}
+
+
+def slices(texts: pd.Series) -> Iterator[slice]:
+    """Neighbouring rows of about SLICE characters, and single rows that are longer."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= SLICE:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, in order, of numbers below 2**31 and 2**32."""
+    pairs = np.sort(a << 32 | b)
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     """Trigrams of characters (with word ends) over all words of all documents: all there are over the ALPHABET."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter[str] = Counter()
-
-        def counted() -> pd.DataFrame:
-            grams: Counter[str] = Counter()
-            for w, n in words.items():
-                if w.isalpha():
-                    w = BEGIN + BEGIN + w + END
-                    for i in range(len(w) - 2):
-                        grams[w[i : i + 3]] += n
-            words.clear()
-            return pd.DataFrame({"g": list(grams), "n": np.array(list(grams.values()), "int64")}).astype({"g": object})
+    def counted(texts: list[str | None]) -> pd.DataFrame:
+        cut = Cut(texts)
+        n = np.bincount(cut.token, minlength=len(cut.tokens))
+        alpha = np.array([w.isalpha() for w in cut.tokens], bool)
+        words = [BEGIN + BEGIN + w + END for w, is_word in zip(cut.tokens, alpha, strict=True) if is_word]
+        size = np.array([len(w) for w in words], "int64")
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        if not words:
+            return pd.DataFrame({"g": pd.Series([], dtype=object), "n": np.array([], "int64")})
+        within = np.ones(len(chars), bool)  # whether a trigram begins here
+        within[np.cumsum(size) - 1] = within[np.cumsum(size) - 2] = False
+        at = np.flatnonzero(within)
+        code = chars.astype("int64")
+        found = pa.array(code[at] << 42 | code[at + 1] << 21 | code[at + 2]).dictionary_encode()
+        gram = found.dictionary.to_numpy()
+        sums = np.zeros(len(gram), "int64")
+        np.add.at(sums, found.indices.to_numpy(), np.repeat(n[alpha], size - 2))
+        three = np.stack([gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF], 1).astype("<u4")
+        return pd.DataFrame({"g": three.view("<U3").ravel().astype(object), "n": sums})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for t in batch["text"]:
-                words.update(t.lower().split() if t else ())
-            if len(words) > KEPT:
-                yield counted()
-        if words:
-            yield counted()
+            for part in slices(batch["text"]):
+                yield counted(batch["text"].iloc[part].tolist())
 
     sums = docs.select(F.col(text_col).alias("text")).mapInPandas(tidy(run), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     sums = written(sums, "trigrams")
@@ -231,6 +316,56 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     return {r["g"]: r["n"] for r in sums.groupBy(F.regexp_replace("g", rare, OTHER).alias("g")).agg(F.sum("n").alias("n")).collect()}
 
 
+def term_counts(texts: list[str | None], y: np.ndarray, model: Characters, known: dict[str, tuple[str, ...]]) -> pd.DataFrame:
+    """Terms of texts with label y: how many texts of each label hold them, and signatures of those of label 1."""
+    cut = Cut(texts)
+    ids: dict[str, int] = {}
+    of_token, size = [], np.ones(len(cut.tokens), "int64")
+    for i, (token, repeats) in enumerate(zip(cut.tokens, cut.repeats.tolist(), strict=True)):
+        body = token if token.isalpha() else token.strip(EDGES)
+        if body.isalpha() and not (repeats and RUN.search(body)):
+            of_token.append(ids.setdefault(body, len(ids)))
+            continue
+        words = known.get(token)
+        if words is None:
+            if len(known) > DECODED:
+                known.clear()
+            words = known[token] = token_words(token, model)
+        size[i] = len(words)
+        of_token.extend(ids.setdefault(w, len(ids)) for w in words)
+    row, token = distinct(cut.row, cut.token)
+    n = size[token]
+    place = np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[token] - (np.cumsum(n) - n), n)
+    spelt = [(r, ids.setdefault(w, len(ids))) for r, runs in cut.apart.items() for x in runs for w in token_words(x, model)]
+    more = np.array(spelt, "int64").reshape(-1, 2)
+    row, word = distinct(np.concatenate([np.repeat(row, n), more[:, 0]]), np.concatenate([np.array(of_token, "int64")[place], more[:, 1]]))
+    held, words, names = [(row, word)], pa.array(list(ids), pa.large_string()), list(ids)
+    size = pc.utf8_length(words).to_numpy()
+    for k in BEGINNINGS:
+        begins = pc.utf8_slice_codeunits(words.filter(pa.array(size >= k)), 0, k).dictionary_encode()
+        begin = np.zeros(len(words), "int64")
+        begin[size >= k] = len(names) + begins.indices.to_numpy()
+        names += [x + "*" for x in begins.dictionary.to_numpy(zero_copy_only=False)]
+        long = size[word] >= k
+        held.append(distinct(row[long], begin[word[long]]))
+    row, term = (np.concatenate(x) for x in zip(*held, strict=True))
+    toxic = y[row] == 1
+    out = pd.DataFrame({"w": pd.Series(names, dtype=object), "n0": np.bincount(term[~toxic], minlength=len(names)), "n1": np.bincount(term[toxic], minlength=len(names))})
+    signs = np.full(len(names), None, object)
+    if toxic.any():
+        least = np.full(len(texts), 1 << 32, "int64")
+        at = y[cut.row] == 1
+        crc = np.zeros(len(cut.tokens), "int64")
+        for i in np.unique(cut.token[at]).tolist():
+            crc[i] = zlib.crc32(cut.tokens[i].encode())
+        np.minimum.at(least, cut.row[at], crc[cut.token[at]])
+        of, sign = distinct(term[toxic], least[row[toxic]])
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        for i, signed in zip(of[first].tolist(), np.split(sign, first[1:]), strict=True):
+            signs[i] = signed[:SIGNATURES]
+    return out.assign(s=signs)
+
+
 def term_evidence(rows: DataFrame, shared: Broadcast[Characters]) -> tuple[dict[str, float], float]:
     """Log odds of the strongest terms, shrunk to the prior, and the prior log odds, from all rows (text, y).
 
@@ -240,35 +375,10 @@ def term_evidence(rows: DataFrame, shared: Broadcast[Characters]) -> tuple[dict[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, known = shared.value, {}
-        # Most terms are in no toxic text, so numbers are all that is held of these.
-        seen, signs = (Counter(), Counter()), {}
-
-        def counted() -> Iterator[pd.DataFrame]:
-            terms = list(seen[0].keys() | seen[1].keys())
-            for i in range(0, len(terms), 20_000):
-                part = terms[i : i + 20_000]
-                yield pd.DataFrame({"w": part, "n0": [seen[0][w] for w in part], "n1": [seen[1][w] for w in part], "s": [list(signs.get(w, ())) for w in part]})
-            for held in (*seen, signs):
-                held.clear()
-
         for batch in batches:
-            for t, y in zip(batch["text"], batch["y"], strict=True):
-                tokens, apart = tokens_of(t or "")
-                sign = min((zlib.crc32(x.encode()) for x in tokens), default=0)
-                terms = set()
-                for x in (*tokens, *apart):
-                    if len(known) > DECODED:
-                        known.clear()
-                    if x not in known:
-                        known[x] = [sys.intern(w) for word in token_words(x, model) for w in word_terms(word)]
-                    terms.update(known[x])
-                seen[y].update(terms)
-                for w in terms if y else ():
-                    if len(of := signs.setdefault(w, set())) < SIGNATURES:
-                        of.add(sign)
-            if len(seen[0]) + len(seen[1]) > 2 * KEPT:
-                yield from counted()
-        yield from counted()
+            for part in slices(batch["text"]):
+                texts = batch.iloc[part]
+                yield term_counts(texts["text"].tolist(), texts["y"].to_numpy("int64"), model, known)
 
     n0, n1 = rows.agg(F.count(F.when(F.col("y") == 0, 1)), F.count(F.when(F.col("y") == 1, 1))).first()
     if not n0 or not n1:
@@ -281,35 +391,82 @@ def term_evidence(rows: DataFrame, shared: Broadcast[Characters]) -> tuple[dict[
     return {r["w"]: r["odds"] for r in best}, math.log(n1 / n0)
 
 
+def outline(form: str) -> str:
+    """What all readings of a form share: without marks and repeats, one character for those that look alike."""
+    return SAME.sub(r"\1", form.translate(KIN))
+
+
+class TokenOdds:
+    """Per token the log odds of the strongest term that its words give.
+
+    The words of most tokens begin no term, and of these no disguise is decoded: a term's outline lies at the begin of
+    the outline of each word that gives it, and that within the outline of the token.
+    """
+
+    def __init__(self, weights: dict[str, float], model: Characters):
+        self.weights, self.model, self.known = weights, model, {}
+        self.heads = {t[: BEGINNINGS[0]] for t in weights}
+        self.starts, self.outlines = {SAME.sub(r"\1", h) for h in self.heads}, {outline(h) for h in self.heads}
+        self.letters, self.sizes = {x[0] for x in self.starts}, sorted({len(x) for x in self.starts | self.outlines})
+
+    def of_words(self, words) -> list[float]:
+        return [max(self.weights.get(t, 0.0) for t in word_terms(w)) for w in words]
+
+    def of_tokens(self, cut: Cut) -> np.ndarray:
+        heads, k, out = self.heads, BEGINNINGS[0], np.zeros(len(cut.tokens))
+        for i, (token, repeats) in enumerate(zip(cut.tokens, cut.repeats.tolist(), strict=True)):
+            body = token if token.isalpha() else token.strip(EDGES)
+            if not body.isalpha():
+                out[i] = self(token)
+            elif repeats:
+                if body[0] in self.letters and self.may_begin(body):
+                    out[i] = self(token, sure=True)
+            elif body[:k] in heads:
+                out[i] = self.of_words((body,))[0]
+        return out
+
+    def may_begin(self, body: str) -> bool:
+        line = SAME.sub(r"\1", body)
+        return any(line[:k] in self.starts for k in self.sizes)
+
+    def may_hold(self, form: str) -> bool:
+        line = outline(form)
+        return any(line[i : i + k] in self.outlines for k in self.sizes for i in range(len(line) - k + 1))
+
+    def __call__(self, token: str, sure: bool = False) -> float:
+        best = self.known.get(token)
+        if best is None:
+            best = max(self.of_words(token_words(token, self.model)), default=0.0) if sure or self.may_hold(token) else 0.0
+            if len(self.known) > KEPT:
+                self.known.clear()
+            if len(token) <= REMEMBERED:
+                self.known[token] = best
+        return best
+
+
 def evidence(text, shared: Broadcast[Characters], weights: dict[str, float]):
     """A column: the sum over a text's distinct words of their strongest term."""
     strong = SparkSession.active().sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, weights = shared.value, strong.value
-
-        def odds_of(words) -> list[float]:
-            return [max(weights.get(t, 0.0) for t in word_terms(w)) for w in words]
-
-        class Odds(dict):
-            def __missing__(self, token: str) -> float:
-                if len(self) > KEPT:
-                    self.clear()
-                best = max(odds_of(token_words(token, model)), default=0.0)
-                if len(token) <= REMEMBERED:
-                    self[token] = best
-                return best
+        model = shared.value
+        odds_of = TokenOdds(strong.value, model)
+
+        def sums(texts: list[str | None]) -> list[float]:
+            cut = Cut(texts)
+            odds = odds_of.of_tokens(cut)
+            strongly = odds[cut.token] > 0
+            found = defaultdict(list)
+            for r, i in zip(*(x.tolist() for x in distinct(cut.row[strongly], cut.token[strongly])), strict=True):
+                found[r].append(odds[i])
+            # A spelt-out phrase is as many words as it has.
+            spelt = {r: {w for x in runs if odds_of.may_hold("".join(x.split())) for w in token_words(x, model)} for r, runs in cut.apart.items()}
+            return [math.fsum(found.get(r, ())) + math.fsum(odds_of.of_words(spelt.get(r, ()))) for r in range(len(texts))]
 
-        known = Odds()
         for texts in batches:
-            out = []
-            for t in texts:
-                tokens, apart = tokens_of(t or "")
-                spelt = {w for x in apart for w in token_words(x, model)}  # a spelt-out phrase is as many words as it has
-                out.append(math.fsum(map(known.__getitem__, tokens)) + math.fsum(odds_of(spelt)))
-            yield pd.Series(out, dtype="float64")
-        known.clear()
+            yield pd.Series([x for part in slices(texts) for x in sums(texts.iloc[part].tolist())], dtype="float64")
+        odds_of.known.clear()
         give_back()
 
     return summed(text)
