@@ -58,7 +58,7 @@ GAP, INNER = re.compile(r"[\s.*_-]+"), re.compile(r"[.*_-]+")
 #: Marks around a token that look like no letter, and marks that end one.
 EDGES, CLOSING = ".,;:?\"'()[]*%#&", ".,;:?!\"')|*%$#&"
 #: Characters of texts that are cut into tokens at once.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: Tokens whose odds a task keeps, and runs and trigrams that a model remembers; distinct signatures that a slice keeps for a term.
 KEPT, SIGNATURES = 300_000, 16
 #: Decoded tokens that a Python worker keeps from task to task, and whose words a task keeps, and the longest token that is remembered.
@@ -378,7 +378,8 @@ def term_evidence(rows: DataFrame, shared: Broadcast[Characters]) -> tuple[dict[
         for batch in batches:
             for part in slices(batch["text"]):
                 texts = batch.iloc[part]
-                yield term_counts(texts["text"].tolist(), texts["y"].to_numpy("int64"), model, known)
+                counts = term_counts(texts["text"].tolist(), texts["y"].to_numpy("int64"), model, known)
+                yield from (counts.iloc[i : i + 20_000] for i in range(0, len(counts), 20_000))
 
     n0, n1 = rows.agg(F.count(F.when(F.col("y") == 0, 1)), F.count(F.when(F.col("y") == 1, 1))).first()
     if not n0 or not n1:
